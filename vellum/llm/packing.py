@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,12 +35,17 @@ from vellum.llm.common import small_batches, texts, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers (some 200 MB at most).
-MEMO = 500_000
+MEMO = 700_000
 _GAP = re.compile("[ \n]+")
 
 
 class WordIds:
-    """Ids of a tokenizer that drops white space: words between spaces are encoded once."""
+    """Ids of a tokenizer that drops white space and marks the end of each word.
+
+    A new word of letters alone is one piece to the tokenizer, whose last id is
+    one that ends words; so the new words of a batch are encoded as one text and
+    told apart by those ids.  Any other run of characters is encoded by itself.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -48,22 +54,56 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in names.items() if t.endswith(suffix)]] = True
+        self.memo: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of new words to the memo."""
+        memo, plain, other = self.memo, [], []
+        for w in words:
+            core = w.rstrip(".,!?;:")
+            if core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
+                plain.append(core)
+                if core != w:
+                    other.append(w[len(core) :])
+            else:
+                other.append(w)
+        plain = [w for w in dict.fromkeys(plain) if w not in memo]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(plain):
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(plain, (stops * 4).tolist(), strict=True):
+                memo[w], start = raw[start:stop], stop
+        else:  # a tokenizer that marks ends in some other way
+            other += plain
+        other = [w for w in dict.fromkeys(other) if w not in memo]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w in words:
+            if w not in memo:
+                core = w.rstrip(".,!?;:")
+                memo[w] = memo[core] + memo[w[len(core) :]]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = _GAP.split(text)
+    def encode(self, batch: list[str]) -> Iterator[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = list({w for w in words if w not in memo})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(memo.__getitem__, words))
+            memo[""] = b""
+        split = [_GAP.split(t) for t in batch]
+        new = list(set().union(*split).difference(memo))
+        if new:
+            self._learn(new)
+        for words in split:
+            yield b"".join(map(memo.__getitem__, words))
         for w in new:
             if len(w) > 64:
-                del memo[w]
-        return out
+                memo.pop(w, None)
 
 
 @lru_cache(maxsize=2)
@@ -80,8 +120,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, t in zip(batch.iloc[:, 0], texts(batch.iloc[:, 1]), strict=True):
-                ids = word_ids(tokenizer).encode(t) + end
+            for i, ids in zip(batch.iloc[:, 0], word_ids(tokenizer).encode(list(texts(batch.iloc[:, 1]))), strict=True):
+                ids += end
                 n = len(ids) // 4
                 out += [(i, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
             yield pd.DataFrame(out, columns=names)
