@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, mpeg_audio, packing, quality, toxicity, url_filter, winnow
+from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, toxicity, url_filter, winnow
 from vellum.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, num=85, den=100)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
