@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, toxicity, url_filter, winnow
+from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, winnow
 from vellum.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_byte_level_bpe": op9_byte_level_bpe,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 #: SQL for those of them that SQL can express.
