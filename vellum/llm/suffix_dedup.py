@@ -167,6 +167,14 @@ def _cut(raw: bytes, spans: list) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
+def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans of its bytes; code points that a span cuts go as a whole."""
+    raw = text.encode()
+    gone = _removed(len(raw), spans)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
+    return "".join(raw[a:b].decode(errors="ignore") for a, b in edge.reshape(-1, 2).tolist())
+
+
 def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     """Null-safe equality of the named columns."""
     out = F.lit(True)

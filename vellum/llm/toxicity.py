@@ -255,10 +255,14 @@ def _log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Colum
     return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
 
 
-def _counted(sample: DataFrame, words_of, schema: str = "word string, toxic long, clean long") -> DataFrame:
-    """Texts of either label that hold each word of ``words_of(text)``; added up in the tasks first."""
+def _counted(sample: DataFrame, counter, schema: str = "word string, toxic long, clean long") -> DataFrame:
+    """Texts of either label that hold each word of ``words_of(text)``; added up in the tasks first.
+
+    A task makes its ``words_of`` once, by ``counter()``, so that it may remember forms.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_of = counter()
         for batch in batches:
             counts = (Counter(), Counter())
             for y, t in zip(batch.iloc[:, 0], texts(batch.iloc[:, 1]), strict=True):
@@ -276,7 +280,7 @@ def _terms_of(text: str) -> set[str]:
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """Words and beginnings whose log odds stand out; a beginning only where it says more than one word."""
-    counts = _counted(sample, _terms_of)
+    counts = _counted(sample, lambda: _terms_of)
     least = max(3, n_toxic // 200)
     odds = _log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
     # a list of terms of a fixed length comes to the driver
@@ -310,17 +314,19 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
         return None
     lexicon = learn_lexicon(sample, n_toxic, n_clean)
 
-    def soft_forms(text: str) -> set[str]:
+    def soft_forms():
         """Forms that match only by an error or by their beginning."""
-        return {h.form for h in Finder(lexicon).find(text)[1] if h.form not in lexicon.words}
+        finder = Finder(lexicon)
+        return lambda text: {h.form for h in finder.find(text)[1] if h.form not in lexicon.words}
 
     odds = _log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
     own = _counted(sample, soft_forms).where("clean > 0").where(odds < 1.5)
     exempt = own.orderBy(F.desc("clean"), "word").limit(EXEMPT).collect()
     lexicon = Lexicon(lexicon.terms, frozenset(r.word for r in exempt))
 
-    def near_hits(text: str) -> set[str]:
-        return {w for h in Finder(lexicon).find(text)[1] for w in h.around if w and not lexicon.match(w)}
+    def near_hits():
+        finder = Finder(lexicon)
+        return lambda text: {w for h in finder.find(text)[1] for w in h.around if w and not lexicon.match(w)}
 
     # words that came with hits in clean texts speak for quotation; without such texts there are none
     told = _counted(sample, near_hits).where("clean >= 5").withColumn("w", -odds).where("abs(w) > 1").orderBy(F.desc("clean"), "word").limit(EXEMPT).collect()
