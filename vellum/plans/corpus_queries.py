@@ -8,15 +8,14 @@ from vellum.functions import classify as C
 from vellum.operators import corpus as O
 from vellum.sources.tables import load
 
-_STATUS = F.concat("l_linestatus", "l_returnflag")
 #: Line items stand for page scans: OR and OA passed, FR is a difference, the rest are failures.
-_RESULT = F.when(_STATUS.isin("OR", "OA"), "PASS").when(_STATUS == "FR", "DIFF").otherwise("FAIL")
 _RESULT_SQL = "CASE WHEN l_linestatus || l_returnflag IN ('OR', 'OA') THEN 'PASS' WHEN l_linestatus || l_returnflag = 'FR' THEN 'DIFF' ELSE 'FAIL' END"
 _D = "CAST({0} AS DECIMAL(20,4))"
 
 
 def _scan(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").withColumn("status", _RESULT)
+    status = F.concat("l_linestatus", "l_returnflag")
+    return load(spark, sf_dir, "lineitem").withColumn("status", F.when(status.isin("OR", "OA"), "PASS").when(status == "FR", "DIFF").otherwise("FAIL"))
 
 
 def _events(spark, sf_dir):
