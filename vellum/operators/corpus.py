@@ -21,7 +21,7 @@ def nearest_rank(value: Column | str, p: float) -> Column:
 def upper_median(value: str) -> Column:
     """The element in the middle, the greater one of two; 0 of none."""
     held = F.sort_array(F.collect_list(value))
-    return F.coalesce(F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int")), F.lit(0))
+    return F.coalesce(F.get(held, F.floor(F.size(held) / 2).cast("int")), F.lit(0))
 
 
 def histogram(df: DataFrame, *keys: str) -> DataFrame:
