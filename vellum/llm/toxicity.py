@@ -278,6 +278,21 @@ def _terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
+def _covering(found: dict[str, tuple[int, float]], held: list[set[str]], n_toxic: int) -> list[str]:
+    """Candidates that are common, or that explain toxic texts which those before them don't.
+
+    Copies of one toxic text make all of its words look toxic; such words explain nothing anew.
+    """
+    out, open_texts = [], [h for h in held if h]
+    common, fresh = max(5, 0.04 * n_toxic), max(2, 0.003 * n_toxic)
+    for word, (n, _) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+        new = sum(word in h for h in open_texts)
+        if n >= common or new >= fresh:
+            out.append(word)
+            open_texts = [h for h in open_texts if word not in h] if new else open_texts
+    return out
+
+
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """Words and beginnings whose log odds stand out; a beginning only where it says more than one word."""
     counts = _counted(sample, lambda: _terms_of)
@@ -286,6 +301,20 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     # a list of terms of a fixed length comes to the driver
     rows = counts.where(F.col("toxic") >= least).withColumn("w", odds).where("w > 2.5").orderBy(F.desc("toxic"), F.desc("w"), "word").limit(4 * TERMS).collect()
     found = {r.word: (r.toxic, r.w) for r in rows}
+    candidates = frozenset(found)
+
+    @F.pandas_udf("array<string>")
+    def holds(batch: pd.Series) -> pd.Series:
+        return pd.Series([sorted(_terms_of(t) & candidates) for t in texts(batch)])
+
+    # of the bounded sample of toxic texts, the candidates that each one holds
+    held = [set(r.h) for r in sample.where("_y = 1").select(holds("_t").alias("h")).collect()]
+    return Lexicon(choose_terms(found, held, n_toxic))
+
+
+def choose_terms(found: dict[str, tuple[int, float]], held: list[set[str]], n_toxic: int) -> dict[str, float]:
+    """The terms of the lexicon with their weights, from candidates (texts that hold them, log odds)."""
+    found = {w: found[w] for w in _covering(found, held, n_toxic)}
     terms: dict[str, float] = {}
     for word, (n, w) in sorted(found.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
         stem = word.rstrip("*")
@@ -296,12 +325,10 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
             longer = max((v for o, (m, v) in found.items() if o.endswith("*") and len(o) > len(word) and o.startswith(stem) and m >= 0.9 * n), default=-math.inf)
             if whole >= 0.8 * n or longer > w + 0.7:
                 continue  # it is that word, or that longer beginning, that counts
-        elif stem[: STEMS[0]] + "*" in terms:
-            continue
         terms[word] = w
         if len(terms) == TERMS:
             break
-    return Lexicon(terms)
+    return terms
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
