@@ -68,8 +68,10 @@ def test_planted_groups_near_the_threshold(spark):
     assert got_of(J.link_components(docs)) == want
 
 
-def test_chain_and_large_group(spark):
-    """A chain whose ends aren't alike, and a group in which few are like the first one."""
+def test_chain_and_large_group(spark, monkeypatch):
+    """A chain whose ends aren't alike, and a group in which few are like the first one; small blocks."""
+    monkeypatch.setattr(J, "FEW", 4)
+    monkeypatch.setattr(J, "BLOCK", 20)
     rng, rows = random.Random(9), []
     chain = [f"w{i}" for i in range(100)]
     for k in range(40):

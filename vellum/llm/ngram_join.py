@@ -38,6 +38,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from vellum.llm.common import small_batches, texts, written
 from vellum.llm.components import components
@@ -46,8 +47,8 @@ from vellum.llm.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Width of a band of sizes; extra pieces, as a share.
 RATIO, EXTRA = 1.6, 0.25
-#: Groups up to this size are searched by a join, greater ones in blocks of as many nodes.
-BLOCK = 64
+#: Groups up to the first size are searched by a join, greater ones in blocks of the second.
+FEW, BLOCK = 32, 512
 #: Words that a worker remembers.
 MEMO = 500_000
 
@@ -176,10 +177,21 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, keys array<long>, sketch binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar.  Only documents in pairs are moved twice."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = written(docs.join(ids, "id"), "pair-texts")
+def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and folded sketches allow a link."""
+
+    @F.pandas_udf(BooleanType())
+    def allowed(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([folded_distance(p, q) <= (i + j) * (den - num) // (den + num) for i, j, p, q in zip(n, m, x, y, strict=True)], dtype=bool)
+
+    x = facts.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ax"))
+    y = facts.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bx"))
+    sized = pairs.join(x, "a").join(y, "b").where(F.least("an", "bn") * den >= F.greatest("an", "bn") * num)
+    return sized.where(allowed("an", "bn", "ax", "bx")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose texts, in ``held`` by id, are similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -196,7 +208,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
                 good.append(similar(x, y, num, den))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
-    small_batches(docs.sparkSession)
     joined = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return written(joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
 
@@ -205,7 +216,7 @@ def _between(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes in one group (key, id, component, n, sketch) and of different components that may be similar."""
     counted = groups.withColumn("size", F.count("*").over(Window.partitionBy("key")))
     counted = written(counted.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "open")
-    few, many = counted.where("blocks = 1"), counted.where("blocks > 1")
+    few, many = counted.where(f"size <= {FEW}"), counted.where(f"size > {FEW}")
 
     def columns(side: str) -> list:
         return ["key", *(F.col(c).alias(side + c) for c in ("id", "component", "n"))]
@@ -218,15 +229,17 @@ def _between(groups: DataFrame, num: int, den: int) -> DataFrame:
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, sizes, blocks, sketches = (pdf[c].to_numpy() for c in ("id", "component", "n", "block", "sketch"))
+        ids, comps, sizes, blocks = (pdf[c].to_numpy(np.int64) for c in ("id", "component", "n", "block"))
         low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        out = []
+        width = min(map(len, pdf["sketch"]))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0) for x in pdf["sketch"]]).view(np.uint64)
+        out, mates = [], np.flatnonzero(blocks == high)
         for i in np.flatnonzero(blocks == low):
-            mates = np.flatnonzero((blocks == high) & (comps != comps[i]) & ((low != high) | (ids > ids[i])) & (np.minimum(sizes, sizes[i]) * den >= np.maximum(sizes, sizes[i]) * num))
-            for j in mates:
-                if folded_distance(sketches[i], sketches[j]) <= (int(sizes[i]) + int(sizes[j])) * (den - num) // (den + num):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            fits = mates[(comps[mates] != comps[i]) & ((low != high) | (ids[mates] > ids[i])) & (np.minimum(sizes[mates], sizes[i]) * den >= np.maximum(sizes[mates], sizes[i]) * num)]
+            apart = np.bitwise_count(folded[fits] ^ folded[i]).sum(1, dtype=np.int64)
+            found = fits[apart <= (sizes[fits] + sizes[i]) * (den - num) // (den + num)]
+            out.append(np.stack((np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i])), 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     far = dealt.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
     return near.unionByName(far).distinct()
@@ -247,17 +260,19 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     stars = [shared.select(F.col("low").alias("a"), F.col("id").alias("b")), shared.select(F.col("id").alias("a"), F.col("high").alias("b"))]
     pairs = written(stars[0].unionByName(stars[1]).where("a < b").distinct(), "pairs")
-    links = _verified(pairs, docs, words, num, den)
+    facts = written(full.select("id", "n", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "facts")
+    # texts that may have to be verified, moved once; sorted, whatever the sizes, so that the plan is the same at every size
+    held = written(docs.join(facts.select("id").hint("merge"), "id", "left_semi"), "texts")
+    links = _verified(_near(pairs, facts, num, den), held, words, num, den)
     found = components(links)
 
     # groups that hold nodes of several components still: every pair between those is looked at
     placed = shared.select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_groups = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low < high")
-    facts = full.select("id", "n", "sketch").dropDuplicates(["id"])
     more = _between(open_groups.select("key", "id", "component").join(facts, "id"), num, den)
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = written(_near(more.join(pairs, ["a", "b"], "left_anti"), facts, num, den), "more-pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, words, num, den))
+        links = links.unionByName(_verified(more, held, words, num, den))
         found = components(links)
 
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
