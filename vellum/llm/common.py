@@ -52,7 +52,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     before it again, and several readers share one computation.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

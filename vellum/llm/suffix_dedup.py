@@ -202,8 +202,8 @@ def _span(place: Column) -> Column:
     return F.struct((anchor - first).alias("from"), (anchor - last + LENGTH).alias("to"))
 
 
-def _members(touched: DataFrame) -> DataFrame:
-    """Stretches with their bytes; those of large shards split by classes of distance."""
+def _members(touched: DataFrame, split: bool) -> DataFrame:
+    """Stretches with their bytes: those of shards that stay whole, or those of large shards, split by classes of distance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,9 +211,9 @@ def _members(touched: DataFrame) -> DataFrame:
             for i, h, text, look in zip(*(batch[c] for c in ("id", "sum", "text", "look")), strict=True):
                 raw = text.encode()
                 for x in look:
-                    key, place, many = x["anchor"], x["place"], x["many"]
+                    key, place = x["anchor"], x["place"]
                     a, first, last = place >> 16, place >> 8 & 255, place & 255
-                    if many <= MANY:
+                    if not split:
                         out.append((key, i, h, a, first, last, 0, raw[a - first : a - last + LENGTH]))
                         continue
                     for j, (low, high) in enumerate(_classes()):
@@ -226,7 +226,8 @@ def _members(touched: DataFrame) -> DataFrame:
                             out.append((sub - (1 << 63), i, h, a, o2, o1, (tag >> 1) + 1, own))
             yield pd.DataFrame(out, columns=["key", "id", "sum", "at", "first", "last", "tag", "bytes"]).astype({"id": "Int64"})
 
-    return touched.select("id", "sum", "text", "look").mapInPandas(run, "key long, id long, sum long, at long, first int, last int, tag long, bytes binary")
+    mine = F.filter("look", lambda x: (x["many"] > MANY) == split).alias("look")
+    return touched.select("id", "sum", "text", mine).where("size(look) > 0").mapInPandas(run, "key long, id long, sum long, at long, first int, last int, tag long, bytes binary")
 
 
 def _sorted_shards(members: DataFrame) -> DataFrame:
@@ -292,10 +293,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = joined.select("id", "sum", n_bytes.alias("n_bytes"), F.when(~untouched, F.col("text")).alias("text"), F.when(untouched, F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), "spans", "look")
     state = written(state, "state")
 
-    members = _members(state.where("size(look) > 0"))
+    whole = _members(state, False)
     # of split shards, equal pieces are one for the sorting, and all of their windows are repeated
-    members = written(members, "members")
-    whole, pieces = members.where("tag = 0"), members.where("tag <> 0")
+    pieces = written(_members(state, True), "members")
     grouped = pieces.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min_by(F.struct("id", "sum", "at", "first", "last", "bytes"), F.struct("id", "at")).alias("one"))
     grouped = written(grouped, "pieces")
     again = pieces.join(grouped.where("copies > 1").select("key", "tag"), ["key", "tag"]).select("id", "sum", (F.col("at") - F.col("first")).alias("from"), (F.col("at") - F.col("last") + LENGTH).alias("to"))
