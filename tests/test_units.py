@@ -67,9 +67,9 @@ def test_dehyphenated_and_markers(spark):
     assert [one(spark, T.list_marker(F.lit(x))) for x in ("• a", " 12) b", "a. c", "1234. d", "ab. e", "-")] == ["•", "12)", "a.", "", "", "-"]
 
 
-def test_excised_in_order(spark):
-    assert one(spark, T.excised(F.lit("xabcy "), ["b", "ac"])) == "xy"
-    assert one(spark, T.excised(F.lit("A.b"), ["."])) == "Ab"
+def test_terms_go_in_order(spark):
+    assert one(spark, T.without_terms(F.lit("xabcy "), ["b", "ac"])) == "xy"
+    assert one(spark, T.without_terms(F.lit("A.b"), ["."])) == "Ab"
 
 
 def test_search_of_nothing_and_of_bad_patterns(spark):

@@ -130,7 +130,7 @@ def has_rtl(text: Column) -> Column:
     return text.rlike("[֐-ࣿיִ-﷿ﹰ-ﻼ]")
 
 
-def excised(text: Column, terms: Sequence[str], ignore_case: bool = True) -> Column:
+def without_terms(text: Column, terms: Sequence[str], ignore_case: bool = True) -> Column:
     """The text without the terms, removed one after the other, then trimmed.
 
     A later term may hit what an earlier removal has brought together.

@@ -15,7 +15,7 @@ def carriers(df: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     Information and annotations that become empty are removed; an outline title says that it was redacted.
     """
-    gone = {c: T.excised(F.col(c), terms) for c in ("info", "title", "note")}
+    gone = {c: T.without_terms(F.col(c), terms) for c in ("info", "title", "note")}
     return df.select("doc_id", F.nullif(gone["info"], F.lit("")).alias("info"), F.when(gone["title"] == "", "[redacted]").otherwise(gone["title"]).alias("title"), F.nullif(gone["note"], F.lit("")).alias("note"))
 
 

@@ -139,13 +139,13 @@ def error_cluster(spark, sf_dir):
 
 
 def redact_terms(spark, sf_dir):
-    out = T.excised(F.col("text"), TERMS)
+    out = T.without_terms(F.col("text"), TERMS)
     return _docs(spark, sf_dir).select("doc_id", F.length(out).alias("size"), F.md5(out).alias("digest"))
 
 
 def redact_verify_remaining(spark, sf_dir):
     # a removal can bring a term together anew, so a second pass looks for what is left
-    once = T.excised(F.col("text"), TERMS)
+    once = T.without_terms(F.col("text"), TERMS)
     return _docs(spark, sf_dir).select(T.remaining(once, TERMS[-1:]).alias("left")).agg(F.sum("left").alias("remaining"), F.count("*").alias("documents"))
 
 
