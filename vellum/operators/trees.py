@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.sources.scratch import written
+
 
 def walk(nodes: DataFrame, depth: int = 32) -> DataFrame:
     """Nodes (node_id, parent_id, title) with depth and path from the roots.
@@ -55,7 +57,8 @@ def grid_components(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     for _ in range(rounds):
         sent = label.select("grid", "x", "y", "label", moves.alias("m")).select("grid", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), F.col("label").alias("near"))
-        new = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y", F.col("label").alias("old"), F.least("label", "near").alias("label")).checkpoint()
+        new = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        new = written(new, "labels")
         label = new.select("grid", "x", "y", "label")
         if new.where("old <> label").isEmpty():
             break
