@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.scratch import written  # noqa: F401  (for the operators)
+
 #: Rows in an Arrow batch for whole texts: a batch of long documents stays small.
 BATCH_ROWS = 1000
 
@@ -27,35 +27,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder and any other
-    session a folder in its warehouse, which a cluster shares by definition.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-vellum-")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vellum"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor never makes Spark run the steps
-    before it again, and several readers share one computation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts(batch: pd.Series) -> Iterator[str]:
     """The texts of a batch; a null is an empty text."""
     for x in batch:
