@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.sources.scratch import written  # noqa: F401  (for the operators)
+from vellum.sources.scratch import discard, written  # noqa: F401  (for the operators)
 
 #: Rows in an Arrow batch for whole texts: a batch of long documents stays small.
 BATCH_ROWS = 1000

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from vellum.llm.common import small_batches, texts, written
+from vellum.llm.common import discard, small_batches, texts, written
 from vellum.llm.components import components
 
 #: Words in a shingle, and the least similarity as a fraction.
@@ -48,7 +48,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Width of a band of sizes; extra pieces, as a share.
 RATIO, EXTRA = 1.6, 0.25
 #: Groups up to the first size are searched by a join, greater ones in blocks of the second.
-FEW, BLOCK = 32, 512
+FEW, BLOCK = 32, 2048
 #: Words that a worker remembers.
 MEMO = 500_000
 
@@ -250,8 +250,10 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = written(_sets(docs, words, num, den), "sets")
+    slim = written(sets.select("id", "n", "k1", "k2"), "rows")
     full = sets.where("n > 0 AND id IS NOT NULL")
-    nodes = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
+    named = slim.where("n > 0 AND id IS NOT NULL")
+    nodes = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
     index = full.select("id", "keys", "k1", "k2").join(nodes.select(F.col("node").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
     index = index.select("id", F.explode("keys").alias("key"))
     group = Window.partitionBy("key")
@@ -261,6 +263,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = [shared.select(F.col("low").alias("a"), F.col("id").alias("b")), shared.select(F.col("id").alias("a"), F.col("high").alias("b"))]
     pairs = written(stars[0].unionByName(stars[1]).where("a < b").distinct(), "pairs")
     facts = written(full.select("id", "n", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "facts")
+    discard(sets)
     # texts that may have to be verified, moved once; sorted, whatever the sizes, so that the plan is the same at every size
     held = written(docs.join(facts.select("id").hint("merge"), "id", "left_semi"), "texts")
     links = _verified(_near(pairs, facts, num, den), held, words, num, den)
@@ -275,7 +278,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.unionByName(_verified(more, held, words, num, den))
         found = components(links)
 
-    named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
-    linked = full.select("id", "k1", "k2", "n").join(named, ["k1", "k2", "n"]).select("id", "n", "component_id")
-    alone = sets.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    discard(shared, pairs, facts, held, more)
+    placed = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
+    linked = named.select("id", "k1", "k2", "n").join(placed, ["k1", "k2", "n"]).select("id", "n", "component_id")
+    alone = slim.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
