@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, texts, written
+from vellum.llm.common import discard, small_batches, texts, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are looked at together; longer texts are gone through in overlapping parts.
@@ -275,13 +275,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("sum", F.crc32(F.encode("text", "UTF-8")))
     anchored = _anchored(docs)
-    often = anchored.groupBy("anchor").count().where("count > 1").select("anchor")
-    often = written(often, "anchors")
+    often = anchored.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+    often = written(often.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchors")
     kept = written(anchored.join(often, "anchor"), "stretches")
-    kinds = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "sum", "place")).alias("one"))
+    # where all stretches of an anchor are equal, all are repeated and nothing has to be sorted
+    mixed = kept.where("NOT alike")
+    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "sum", "place")).alias("one"))
     kinds = written(kinds, "kinds")
     many = written(kinds.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "shards")
-    copied = kept.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "sum", _span(F.col("place")).alias("span"))
+    copied = mixed.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "sum", "place")
+    copied = copied.unionByName(kept.where("alike").select("id", "sum", "place")).select("id", "sum", _span(F.col("place")).alias("span"))
     look = kinds.join(many, "anchor").select("one.id", "one.sum", F.struct("anchor", "one.place", "many").alias("look"))
     # all of a document's own spans and stretches: no more than its text is long
     facts = copied.select("id", "sum", "span", F.lit(None).cast("struct<anchor:bigint,place:bigint,many:bigint>").alias("look"))
@@ -292,6 +295,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     untouched = F.col("look").isNull()
     state = joined.select("id", "sum", n_bytes.alias("n_bytes"), F.when(~untouched, F.col("text")).alias("text"), F.when(untouched, F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), "spans", "look")
     state = written(state, "state")
+    discard(often, kept, kinds, many)
 
     whole = _members(state, False)
     # of split shards, equal pieces are one for the sorting, and all of their windows are repeated
