@@ -83,6 +83,29 @@ def test_large_shards_are_split_and_long_texts_parted(spark, monkeypatch):
         S._powers.cache_clear()
 
 
+def test_no_sorted_shard_is_larger_than_its_bound(spark, monkeypatch):
+    """A passage shorter than a window in every document: its edges give a different piece for each document."""
+    monkeypatch.setattr(S, "MANY", 20)
+    rng, sizes, sort = random.Random(8), [], S._sorted_shards
+    make = lambda n: "".join(rng.choices("abcdefghij é", k=n))
+    short, long = make(170), make(420)
+    rows = [(i, make(rng.randint(150, 300)) + (short if i % 2 else long) + make(rng.randint(150, 300))) for i in range(160)]
+
+    def measured(members):
+        sizes.append(max((r["count"] for r in members.groupBy("key").count().collect()), default=0))
+        return sort(members)
+
+    monkeypatch.setattr(S, "_sorted_shards", measured)
+    import pyspark.cloudpickle as cloudpickle
+
+    cloudpickle.register_pickle_by_value(S)
+    try:
+        assert got_of(S.repeated_digest(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    finally:
+        cloudpickle.unregister_pickle_by_value(S)
+    assert 1 < sizes[0] <= 20
+
+
 def test_stretches_cover_every_window_once():
     rng = random.Random(6)
     raw = bytes(rng.choices(b"abc ", k=5000)) + b"z" * 500

@@ -11,7 +11,9 @@ corpus, so Spark first deals suffixes to shards and keeps those that can match:
    Anchors that stand in the corpus once are dropped.
 2. Stretches of equal bytes are one for the sorting, and all of their windows
    are repeated.  Shards with more than ``MANY`` different stretches are split by
-   the bytes that all windows of a class of starts have in common.
+   the bytes that all windows of a class of starts have in common; while such a
+   part has more than ``MANY`` different pieces, its class is halved, down to one
+   start, where equal windows are one key and are only counted.
 3. In each shard the suffixes at the anchors are sorted, with the common prefix
    of neighbours.  From the order of the suffixes at one place the order of
    those a byte earlier is *induced*: stable by their first byte, and the common
@@ -20,7 +22,8 @@ corpus, so Spark first deals suffixes to shards and keeps those that can match:
    reaches ``LENGTH``, the window is repeated.
 
 Spark's shuffles sort the shards' tuples on disk, so a shard set may be far
-larger than memory; a task holds one block of shards at a time.
+larger than memory; a task holds one block of shards at a time, and no shard
+that is sorted has more than ``MANY`` pieces.
 
 A null text is an empty one; a text of fewer than ``LENGTH`` bytes loses
 nothing; of two equal longer texts nothing is left of either.  Rows that share
@@ -32,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,8 @@ LENGTH, GRAM = 200, 32
 PART = 1 << 20
 #: Different stretches from which a shard is split; stretches in a block that is sorted together.
 MANY, BLOCK = 1_000, 20_000
+_PIECE = "key long, id long, sum long, at long, first int, last int, tag long, low int, high int, bytes binary"
+_PIECES = [c.split()[0] for c in _PIECE.split(", ")]
 _PLACES = (1 << 20) - 1
 _BASE = 0xD1342543DE82EF95
 
@@ -202,6 +207,17 @@ def _span(place: Column) -> Column:
     return F.struct((anchor - first).alias("from"), (anchor - last + LENGTH).alias("to"))
 
 
+def _piece(key: int, part: int, i: int | None, h: int, a: int, first: int, last: int, low: int, high: int, own: bytes) -> tuple | None:
+    """The piece of a stretch with the bytes ``own`` whose windows start ``low`` to ``high`` before the anchor, keyed by what all of these share."""
+    o1, o2 = max(low, last), min(high, first)
+    if o1 > o2:
+        return None
+    shared, mine = own[first - low : first - high + LENGTH], own[first - o2 : first - o1 + LENGTH]
+    sub = xxhash.xxh3_64_intdigest(shared, seed=(key << 4 | part) & (1 << 64) - 1)
+    tag = xxhash.xxh3_64_intdigest(mine, seed=o1 << 8 | o2)
+    return sub - (1 << 63), i, h, a, o2, o1, (tag >> 1) + 1, low, high, mine
+
+
 def _members(touched: DataFrame, split: bool) -> DataFrame:
     """Stretches with their bytes: those of shards that stay whole, or those of large shards, split by classes of distance."""
 
@@ -213,21 +229,56 @@ def _members(touched: DataFrame, split: bool) -> DataFrame:
                 for x in look:
                     key, place = x["anchor"], x["place"]
                     a, first, last = place >> 16, place >> 8 & 255, place & 255
+                    own = raw[a - first : a - last + LENGTH]
                     if not split:
-                        out.append((key, i, h, a, first, last, 0, raw[a - first : a - last + LENGTH]))
+                        out.append((key, i, h, a, first, last, 0, 0, LENGTH - GRAM, own))
                         continue
-                    for j, (low, high) in enumerate(_classes()):
-                        o1, o2 = max(low, last), min(high, first)
-                        if o1 <= o2:
-                            shared = raw[a - low : a + LENGTH - high]
-                            own = raw[a - o2 : a + LENGTH - o1]
-                            sub = xxhash.xxh3_64_intdigest(shared, seed=(key << 4 | j) & (1 << 64) - 1)
-                            tag = xxhash.xxh3_64_intdigest(own, seed=o1 << 8 | o2)
-                            out.append((sub - (1 << 63), i, h, a, o2, o1, (tag >> 1) + 1, own))
-            yield pd.DataFrame(out, columns=["key", "id", "sum", "at", "first", "last", "tag", "bytes"]).astype({"id": "Int64"})
+                    parts = (_piece(key, j, i, h, a, first, last, low, high, own) for j, (low, high) in enumerate(_classes()))
+                    out += [p for p in parts if p]
+            yield pd.DataFrame(out, columns=_PIECES).astype({"id": "Int64"})
 
     mine = F.filter("look", lambda x: (x["many"] > MANY) == split).alias("look")
-    return touched.select("id", "sum", "text", mine).where("size(look) > 0").mapInPandas(run, "key long, id long, sum long, at long, first int, last int, tag long, bytes binary")
+    return touched.select("id", "sum", "text", mine).where("size(look) > 0").mapInPandas(run, _PIECE)
+
+
+def _halved(pieces: DataFrame) -> DataFrame:
+    """The pieces of either half of each piece's class of distances."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["id"] = batch["id"].astype("Int64")
+            out = []
+            for key, i, h, a, first, last, low, high, own in zip(*(batch[c] for c in _PIECES if c != "tag"), strict=True):
+                middle = (low + high) // 2
+                parts = (_piece(key, j, i, h, a, first, last, x, y, bytes(own)) for j, (x, y) in enumerate(((low, middle), (middle + 1, high))))
+                out += [p for p in parts if p]
+            yield pd.DataFrame(out, columns=_PIECES).astype({"id": "Int64"})
+
+    return pieces.select(_PIECES).mapInPandas(run, _PIECE)
+
+
+def _parted(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pieces to sort, in shards of at most ``MANY``; (id, sum, from, to) of equal pieces; the written tables of the former.
+
+    Equal pieces are one for the sorting, and all of their windows are repeated.
+    A shard that is too large is split again; a class of one distance has only
+    equal pieces in a shard, so this ends.
+    """
+    sortable, equal, tables = [], [], []
+    while True:
+        pieces = written(pieces, "members")
+        one = F.min_by(F.struct(*(c for c in _PIECES if c not in ("key", "tag"))), F.struct("id", "at")).alias("one")
+        grouped = written(pieces.groupBy("key", "tag").agg(F.count("*").alias("copies"), one), "pieces")
+        again = pieces.join(grouped.where("copies > 1").select("key", "tag"), ["key", "tag"])
+        equal.append(written(again.select("id", "sum", (F.col("at") - F.col("first")).alias("from"), (F.col("at") - F.col("last") + LENGTH).alias("to")), "equal"))
+        discard(pieces)
+        sizes = written(grouped.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "parts")
+        tables += [grouped, sizes]
+        kinds = grouped.join(sizes, "key").select("many", "key", "tag", "one.*")
+        sortable.append(kinds.where(F.col("many") <= MANY).select(_PIECES))
+        if sizes.where(F.col("many") > MANY).isEmpty():
+            return reduce(DataFrame.unionByName, sortable), reduce(DataFrame.unionByName, equal), tables
+        pieces = _halved(kinds.where(F.col("many") > MANY))
 
 
 def _sorted_shards(members: DataFrame) -> DataFrame:
@@ -298,13 +349,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(often, kept, kinds, many)
 
     whole = _members(state, False)
-    # of split shards, equal pieces are one for the sorting, and all of their windows are repeated
-    pieces = written(_members(state, True), "members")
-    grouped = pieces.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min_by(F.struct("id", "sum", "at", "first", "last", "bytes"), F.struct("id", "at")).alias("one"))
-    grouped = written(grouped, "pieces")
-    again = pieces.join(grouped.where("copies > 1").select("key", "tag"), ["key", "tag"]).select("id", "sum", (F.col("at") - F.col("first")).alias("from"), (F.col("at") - F.col("last") + LENGTH).alias("to"))
-    split = grouped.select("key", *(F.col(f"one.{c}") for c in ("id", "sum", "at", "first", "last", "bytes")))
-    found = _sorted_shards(whole.select(split.columns).unionByName(split)).unionByName(again)
+    split, again, tables = _parted(_members(state, True))
+    found = written(_sorted_shards(whole.unionByName(split)).unionByName(again), "found")
+    discard(*tables)
     found = found.groupBy("id", "sum").agg(F.collect_list(F.struct("from", "to")).alias("found"))
 
     open_rows, done = state.where("text IS NOT NULL"), state.where("text IS NULL")
