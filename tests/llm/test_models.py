@@ -126,6 +126,29 @@ def test_toxicity_held_out(spark, odd_docs, no_docs):
     assert toxicity.toxicity_scores(no_docs, labels).count() == 0
 
 
+def test_copies_of_a_toxic_text_do_not_crowd_out_terms(spark):
+    rng = random.Random(21)
+    make = lambda a, b: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(a, b)))
+    common, terms, copied = [make(3, 7) for _ in range(200)], [make(14, 16) for _ in range(12)], " ".join(make(5, 11) for _ in range(2500))
+    plain = lambda: rng.choices(common, k=30)
+    rows = [(i, copied, 1) for i in range(120)]
+    rows += [(i, " ".join([*plain(), terms[i % 12], *plain()]), 1) for i in range(120, 420)]
+    rows += [(i, " ".join(plain()), 0) for i in range(420, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = [r for r in toxicity.toxicity_scores(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect() if r.held_out]
+    assert all(r.predicted == 1 for r in got if 120 <= r.doc_id < 420) and all(r.predicted == 0 for r in got if r.doc_id >= 420)
+
+
+def test_whole_words_of_a_beginning_are_found_with_an_error():
+    found = {"lowe*": (40, 4.0), **{w: (10, 3.0) for w in ("lowest", "lowering", "loweich", "lowedan")}}
+    words = [w for w in found if w != "lowe*"]
+    held = [{"lowe*", words[i % 4]} for i in range(40)]
+    lexicon = toxicity.Lexicon(toxicity.choose_terms(found, held, 1000))
+    assert "lowe*" in lexicon.terms and lexicon.match("loewich") is None and lexicon.match("l0weich")[0] == "loweich"
+    many = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}word": (5, 3.0) for i in range(600)}
+    assert len(toxicity.choose_terms(many, [{w} for w in many for _ in range(5)], 3000)) == 600
+
+
 # --- quality
 
 

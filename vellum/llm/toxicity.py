@@ -10,7 +10,8 @@ in toxic texts.  A logistic regression over the sums of a text's hits gives its
 score.
 
 The fit takes a bounded sample of labelled rows (``LABELLED`` of each label, by
-a hash of the id); counts of forms are added up by Spark.  Every text is scored
+a hash of the id), in which equal texts of a label count once; counts of forms
+are added up by Spark, and the sample alone bounds the lexicon.  Every text is scored
 whole.  A null text is an empty one and scores like a text without hits; equal
 texts have equal scores; without labels of both kinds every score is 0.
 """
@@ -29,13 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, texts
+from vellum.llm.common import discard, small_batches, texts, written
 from vellum.llm.quality import SEED, held_out
 
 #: Labelled rows of each label that the fit may use at most.
 LABELLED = 12_000
-#: Terms in the lexicon, and forms with an exemption, at most.
-TERMS, EXEMPT = 400, 5_000
+#: Toxic texts that hold a candidate at least.
+LEAST = 3
 #: Letters of a term from which it is matched with one error.
 FUZZY_FROM = 5
 #: Lengths of beginnings that may be terms.
@@ -283,38 +284,45 @@ def _covering(found: dict[str, tuple[int, float]], held: list[set[str]], n_toxic
 
     Copies of one toxic text make all of its words look toxic; such words explain nothing anew.
     """
-    out, open_texts = [], [h for h in held if h]
-    common, fresh = max(5, 0.04 * n_toxic), max(2, 0.003 * n_toxic)
+    where: dict[str, list[int]] = {}
+    for i, h in enumerate(held):
+        for word in h & found.keys():
+            where.setdefault(word, []).append(i)
+    out, is_open = [], np.ones(len(held), bool)
+    common, fresh = max(5, 0.04 * n_toxic), max(2, min(LEAST, 0.003 * n_toxic))
     for word, (n, _) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-        new = sum(word in h for h in open_texts)
-        if n >= common or new >= fresh:
+        at = where.get(word, [])
+        if n >= common or is_open[at].sum() >= fresh:
             out.append(word)
-            open_texts = [h for h in open_texts if word not in h] if new else open_texts
+            is_open[at] = False
     return out
 
 
 def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
     """Words and beginnings whose log odds stand out; a beginning only where it says more than one word."""
     counts = _counted(sample, lambda: _terms_of)
-    least = max(3, n_toxic // 200)
     odds = _log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
-    # a list of terms of a fixed length comes to the driver
-    rows = counts.where(F.col("toxic") >= least).withColumn("w", odds).where("w > 2.5").orderBy(F.desc("toxic"), F.desc("w"), "word").limit(4 * TERMS).collect()
+    # no more candidates than the bounded sample holds
+    rows = counts.where(F.col("toxic") >= LEAST).withColumn("w", odds).where("w > 2.5").select("word", "toxic", "w").collect()
     found = {r.word: (r.toxic, r.w) for r in rows}
-    candidates = frozenset(found)
+    names = sorted(found)
+    number = sample.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def holds(batch: pd.Series) -> pd.Series:
-        return pd.Series([sorted(_terms_of(t) & candidates) for t in texts(batch)])
+        return pd.Series([sorted(number.value[w] for w in _terms_of(t) if w in number.value) for t in texts(batch)])
 
     # of the bounded sample of toxic texts, the candidates that each one holds
-    held = [set(r.h) for r in sample.where("_y = 1").select(holds("_t").alias("h")).collect()]
+    held = [{names[i] for i in r.h} for r in sample.where("_y = 1").select(holds("_t").alias("h")).collect()]
     return Lexicon(choose_terms(found, held, n_toxic))
 
 
 def choose_terms(found: dict[str, tuple[int, float]], held: list[set[str]], n_toxic: int) -> dict[str, float]:
-    """The terms of the lexicon with their weights, from candidates (texts that hold them, log odds)."""
-    found = {w: found[w] for w in _covering(found, held, n_toxic)}
+    """The terms of the lexicon with their weights, from candidates (texts that hold them, log odds).
+
+    The whole words of a beginning are terms, too, so that they are found with an error.
+    """
+    whole_words, found = {w: v for w, (_, v) in found.items() if not w.endswith("*")}, {w: found[w] for w in _covering(found, held, n_toxic)}
     terms: dict[str, float] = {}
     for word, (n, w) in sorted(found.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
         stem = word.rstrip("*")
@@ -326,15 +334,15 @@ def choose_terms(found: dict[str, tuple[int, float]], held: list[set[str]], n_to
             if whole >= 0.8 * n or longer > w + 0.7:
                 continue  # it is that word, or that longer beginning, that counts
         terms[word] = w
-        if len(terms) == TERMS:
-            break
-    return terms
+    stems = {t[:-1] for t in terms if t.endswith("*")}
+    return terms | {o: v for o, v in whole_words.items() if any(o[:k] in stems for k in STEMS if k < len(o))}
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Learns the lexicon, exemptions, contexts and weights; None without labels of both kinds."""
     small_batches(docs.sparkSession)
-    sample = _sample(docs, labels, folds, rest, id_col, text_col)
+    # copies of a text would make its chance words look toxic
+    sample = written(_sample(docs, labels, folds, rest, id_col, text_col).dropDuplicates(["_y", "_t"]), "sample")
     n = {r[0]: r[1] for r in sample.groupBy("_y").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -348,7 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
 
     odds = _log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
     own = _counted(sample, soft_forms).where("clean > 0").where(odds < 1.5)
-    exempt = own.orderBy(F.desc("clean"), "word").limit(EXEMPT).collect()
+    exempt = own.select("word").collect()
     lexicon = Lexicon(lexicon.terms, frozenset(r.word for r in exempt))
 
     def near_hits():
@@ -356,7 +364,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
         return lambda text: {w for h in finder.find(text)[1] for w in h.around if w and not lexicon.match(w)}
 
     # words that came with hits in clean texts speak for quotation; without such texts there are none
-    told = _counted(sample, near_hits).where("clean >= 5").withColumn("w", -odds).where("abs(w) > 1").orderBy(F.desc("clean"), "word").limit(EXEMPT).collect()
+    told = _counted(sample, near_hits).where("clean >= 5").withColumn("w", -odds).where("abs(w) > 1").collect()
     context = {r.word: max(-2.0, min(2.0, r.w)) for r in told}
 
     @F.pandas_udf("array<double>")
@@ -365,6 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
         return pd.Series([features(*finder.find(t), context).tolist() for t in texts(batch)])
 
     rows = sample.select("_y", vector("_t").alias("x")).collect()
+    discard(sample)
     x, y = np.array([r.x for r in rows]), np.array([r._y for r in rows], float)
     weights, bias = _logistic(x, y)
     return Model(lexicon, context, weights, bias)
