@@ -64,6 +64,19 @@ def test_url_model_is_a_distribution(spark):
     assert model.score("http://x.net/3") > 0 > model.score("http://y.org/1a") and model.score(None) == 0
 
 
+def test_url_scores_use_every_count(spark, monkeypatch):
+    """One host has most URLs, so grams of the others are below any share; some are joined, not broadcast."""
+    monkeypatch.setattr(url_filter, "COMMON", 1 / 200, raising=False)
+    urls = [f"http://hot.net/de/{k % 50}" for k in range(10_000)] + [f"http://n{k}y.net/de/{k}" for k in range(50)] + [f"http://q{k}zx.org/es/{k % 7}w{k}" for k in range(60)] + [f"http://q{k}zx.org/xx/{k % 7}w{k}" for k in range(90)] + ["", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.url_verdicts(pages).collect()
+    kept = [(urls[r.page_id], r.verdict == "allow") for r in rows if r.rule and zlib.crc32(urls[r.page_id].encode()) % 5]
+    model = url_filter.train(spark.createDataFrame(kept, "url string, accepted boolean"))
+    assert len(rows) == len(urls) and all(abs(r.score - model.score(urls[r.page_id])) < 1e-9 for r in rows)
+    for m, side in ((model.accepted, True), (model.rejected, False)):
+        assert m.grams.keys() == {s[max(0, i - k) : i + 1] for u, good in kept if good == side for s in [url_filter.symbols(u)] for i in range(len(s)) for k in range(5)}
+
+
 # --- toxicity
 
 
