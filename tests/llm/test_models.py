@@ -213,6 +213,32 @@ def test_main_text():
     assert html_extract.extract([PAGE, "", "no markup", "<p", "<article>", "&" * 50], model)[:2] == [want, ""]
 
 
+def under(page):
+    """Each text block of a page with the tags above it."""
+    out, stack = {}, [(html_extract.parse(page), ())]
+    while stack:
+        node, above = stack.pop()
+        if node.tag == "#":
+            out[node.text] = above
+        stack += [(c, (*above, node.tag)) for c in node.children]
+    return out
+
+
+def test_parser_drops_no_text():
+    article = "<article><h1>A title</h1><p>" + "A long sentence of the text, which goes on. " * 5 + "</p></article>"
+    model = html_extract.trained()
+    want = html_extract.extract([f"<html><head><title>T</title></head><body>{article}</body></html>"], model)
+    assert want[0].startswith("A title")
+    for head in ("<head><title>T</title><body>", "<head><meta charset=x><script>a</script>", "<head>\n<link href=x>\n<body>", "<svg viewBox='0 0 1 1'/>", "<script src='x'/>", "<iframe src='x' />"):
+        assert html_extract.extract([f"<html>{head}{article}"], model) == want, head
+    assert list(under("<head><title>T</title>some text")) == ["some text"]
+    assert list(under("<script src='x'/>var a</script><p>b</p><script>c</script>")) == ["b"]
+    assert list(under("<script src='x'/><p>b</p><script>c</script>")) == ["b"]
+    # end tags of elements that are too deep close those, not the ones above
+    deep = under("<nav><div>" + "<section>" * 150 + "<div>" * 100 + "</div>" * 100 + "inner" + "</section>" * 150 + "here</div>there</nav>out")
+    assert deep["inner"][-1] == "section" and deep["here"] == ("#root", "nav", "div") and deep["there"] == ("#root", "nav") and deep["out"] == ("#root",)
+
+
 def test_decoding_is_consistent():
     rng = random.Random(3)
     for _ in range(40):

@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -46,6 +47,10 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template iframe textarea title svg xmp object".split())
 _NEVER = frozenset("head script style noscript template iframe textarea title svg select option button canvas audio video object datalist dialog".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that may stand in a head; any other one ends it, as text does.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Elements deeper than this aren't nodes; what they hold goes to the node above.
+_DEEPEST = 200
 #: Start tags that end an open element of the same group, up to one of its holders.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -81,10 +86,18 @@ class Node:
     keep: bool = False
 
 
+def _own_end(page: str, at: int, name: str) -> re.Match | None:
+    """The end tag that comes before another start tag of that name, as after ``<script src="x"/>`` in plain HTML."""
+    m = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
+    return m if m and m.group(1) else None
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; text and inline elements between them become text blocks."""
     root = Node("#root")
     stack, run, links = [root], [], 0
+    # names of all open elements, those that are too deep for nodes, too, and how often each is open
+    names, held = [root.tag], Counter()
     open_link = 0
 
     def flush() -> None:
@@ -97,13 +110,16 @@ def parse(page: str) -> Node:
 
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        held.subtract(names[to:])
+        del stack[to:], names[to:]
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
             piece = page[at : m.start() if m else n]
+            if names[-1] == "head" and piece.strip():
+                close(len(names) - 1)
             run.append(piece)
             if open_link:
                 links += len(piece)
@@ -118,11 +134,13 @@ def parse(page: str) -> Node:
                 open_link = 0
             if name in _INLINE:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
+            for i in range(len(names) - 1, 0, -1) if held[name] else ():
+                if names[i] == name:
                     close(i)
                     break
             continue
+        if names[-1] == "head" and name not in _IN_HEAD:
+            close(len(names) - 1)
         if name in _INLINE:
             if name == "br":
                 run.append(" ")
@@ -133,18 +151,20 @@ def parse(page: str) -> Node:
         if name in _VOID:
             continue
         if name in _RAW:
+            if token.endswith("/>") and (name == "svg" or _own_end(page, at, name) is None):
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|$)|</{re.escape(name)}\s[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if len(stack) > 1:
-            if stack[-1].tag == "p" or (stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit() and name[0] == "h" and name[1:].isdigit()):
-                close(len(stack) - 1)
+        if len(names) > 1:
+            if names[-1] == "p" or (names[-1][0] == "h" and names[-1][1:].isdigit() and name[0] == "h" and name[1:].isdigit()):
+                close(len(names) - 1)
             elif name in _ENDS:
                 own, holders = _ENDS[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in holders:
+                for i in range(len(names) - 1, 0, -1) if any(held[o] for o in own) else ():
+                    if names[i] in holders:
                         break
-                    if stack[i].tag in own:
+                    if names[i] in own:
                         close(i)
                         break
         groups = 0
@@ -156,8 +176,11 @@ def parse(page: str) -> Node:
                         groups |= 1 << g
         node = Node(name, groups)
         stack[-1].children.append(node)
-        if len(stack) < 200 and not token.endswith("/>"):
-            stack.append(node)
+        if not token.endswith("/>"):
+            if len(names) == len(stack) < _DEEPEST:
+                stack.append(node)
+            names.append(name)
+            held[name] += 1
     flush()
     return root
 
