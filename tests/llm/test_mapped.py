@@ -183,6 +183,13 @@ def test_winnow_guarantee():
         assert set(a[:, 0]) & set(b[:, 0])
 
 
+def test_short_texts_share_hashes_with_their_edited_ones(spark):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=42 + i % 300))) for i in range(600)]
+    got = winnow.edited_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 600 and all(r.near_edited > 0 for r in got)
+
+
 def test_edited_digest(spark, odd_docs, no_docs):
     for docs in (odd_docs, table(spark, SMALL, "documents")):
         rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())

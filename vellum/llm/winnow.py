@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import small_batches
 
-#: Code points in a gram (a power of two) and hashes in a window: runs of 100 are found.
-GRAM, WINDOW = 16, 85
+#: Code points in a gram (a power of two) and hashes in a window: runs of 31 are found.
+GRAM, WINDOW = 16, 16
 #: Documents between two cuts of the order of ids.
 RUN = 2_000
 _BASE = 0x9E3779B97F4A7C15
