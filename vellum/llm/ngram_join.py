@@ -15,17 +15,21 @@ pieces and a set leaves out its E weakest: equal pieces have equal strength, at
 least E + 1 are equal, hence the strongest of these is left out by neither.  No
 link is lost.
 
-Equal sets are one node before anything is joined.  In each group of equal
-pieces all nodes are compared with the least and the greatest one; the true
-links among these are joined to components; and only groups that still hold
-more than one component are searched pair by pair, in blocks, where folded
-sketches and sizes rule out most pairs, so that every link between components
-is found.  All candidates are verified on the texts.
+Equal sets are one node, named by a hash of the set, before anything is joined.
+In each group of equal pieces all nodes are compared with the least and the
+greatest one, which are random members; the true links among these are joined
+to components.  Groups that still hold more than one component are searched in
+full, in blocks: sizes and folded sketches rule out most pairs, the sets of the
+others are compared, and a pair is passed over once its components are one.  So
+a block puts out a spanning forest and never its pairs, and no link between
+components is missed.  ``link_pairs`` uses the same blocks to list every link.
 
 A null text, or one without words, has no shingles and no links; a text with
-fewer words than a shingle is one shingle.  Rows that share an id are taken as
-linked.  Rows with a null id are kept, each by itself.  An empty table gives an
-empty one; further columns are ignored.
+fewer words than a shingle is one shingle.  Rows that share an id are nodes of
+their own, where their sets differ, and count as linked.  Rows with a null id
+are kept, each by itself, with a null component.  Ids are never floats, so all
+64-bit ids come back as they are.  An empty table gives an empty one; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +51,10 @@ from vellum.llm.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Width of a band of sizes; extra pieces, as a share.
 RATIO, EXTRA = 1.6, 0.25
-#: Groups up to the first size are searched by a join, greater ones in blocks of the second.
-FEW, BLOCK = 32, 2048
+#: Nodes, and shingles, that a block of a searched group holds at most (but for a single greater set).
+BLOCK, SHINGLES = 4096, 2_000_000
+#: Candidates of one node whose sets are compared together.
+CHUNK = 64
 #: Words that a worker remembers.
 MEMO = 500_000
 
@@ -159,22 +165,22 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, keys, sketch): k1 and k2 tell sets apart."""
+    """(id, h, n, node, keys, sketch) of docs (id, h, text): node is a hash of the set, null for an empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, t in zip(batch["id"], texts(batch["text"]), strict=True):
-                s = shingles(t, words)
-                if len(s):
-                    with np.errstate(over="ignore"):
-                        k1, k2 = np.bitwise_xor.reduce(_mixed(s, 6)), _mixed(s, 7).sum(dtype=np.uint64)
-                    out.append((i, len(s), int(k1.astype(np.int64)), int(k2.astype(np.int64)), piece_keys(s, num, den), sketch(s)))
-                else:
-                    out.append((i, 0, 0, 0, [], b""))
-            yield pd.DataFrame(out, columns=["id", "n", "k1", "k2", "keys", "sketch"]).astype({"id": "Int64"})
+    @F.pandas_udf("n long, node long, keys array<long>, sketch binary")
+    def facts(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts(batch):
+            s = shingles(t, words)
+            if len(s):
+                with np.errstate(over="ignore"):
+                    node = _mixed(np.array([np.bitwise_xor.reduce(_mixed(s, 6)) + _mixed(s, 7).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(s))]), 8)
+                out.append((len(s), int(node.astype(np.int64)[0]), piece_keys(s, num, den), sketch(s)))
+            else:
+                out.append((0, None, [], b""))
+        return pd.DataFrame(out, columns=["n", "node", "keys", "sketch"]).astype({"node": "Int64"})
 
-    return docs.mapInPandas(run, "id long, n long, k1 long, k2 long, keys array<long>, sketch binary")
+    return docs.select("id", "h", facts("text").alias("s")).select("id", "h", "s.*")
 
 
 def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,102 +190,224 @@ def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     def allowed(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([folded_distance(p, q) <= (i + j) * (den - num) // (den + num) for i, j, p, q in zip(n, m, x, y, strict=True)], dtype=bool)
 
-    x = facts.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ax"))
-    y = facts.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bx"))
+    x = facts.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ax"))
+    y = facts.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bx"))
     sized = pairs.join(x, "a").join(y, "b").where(F.least("an", "bn") * den >= F.greatest("an", "bn") * num)
     return sized.where(allowed("an", "bn", "ax", "bx")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose texts, in ``held`` by id, are similar."""
+    """The pairs (a, b) whose texts, in ``held`` by node, are similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
+
+        def set_of(node: int, text: str) -> np.ndarray:
+            s = memo.get(node)
+            if s is None:
+                s = memo[node] = shingles(text or "", words)
+            return s
+
         for batch in batches:
             good = []
             for a, b, ta, tb in zip(*(batch[c] for c in ("a", "b", "ta", "tb")), strict=True):
-                x, y = (memo.get(i) for i in (a, b))
                 if len(memo) > 200:
                     memo.clear()
-                if x is None:
-                    x = memo[a] = shingles(ta or "", words)
-                if y is None:
-                    y = memo[b] = shingles(tb or "", words)
-                good.append(similar(x, y, num, den))
+                good.append(similar(set_of(a, ta), set_of(b, tb), num, den))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
-    joined = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return written(joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "links")
 
 
-def _between(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes in one group (key, id, component, n, sketch) and of different components that may be similar."""
-    counted = groups.withColumn("size", F.count("*").over(Window.partitionBy("key")))
-    counted = written(counted.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "open")
-    few, many = counted.where(f"size <= {FEW}"), counted.where(f"size > {FEW}")
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key another row has, too.  Counts are combined in the tasks, and a hot key's rows can be split."""
+    often = written(index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "keys")
+    out = written(index.join(often, "key"), "shared")
+    discard(often)
+    return out
 
-    def columns(side: str) -> list:
-        return ["key", *(F.col(c).alias(side + c) for c in ("id", "component", "n"))]
 
-    fits = (F.col("xcomponent") != F.col("ycomponent")) & (F.col("xid") < F.col("yid")) & (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num)
-    near = few.select(columns("x")).join(few.select(columns("y")), "key").where(fits).select(F.col("xid").alias("a"), F.col("yid").alias("b"))
-    # greater groups: each pair of blocks meets once
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+class _Block:
+    """Nodes of two blocks (or one) of a group: sizes, folded sketches and sets, compared without a pair ever leaving."""
+
+    def __init__(self, rows: dict[str, np.ndarray], num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.node, self.label, self.size = rows["node"], rows["component"].copy(), rows["n"]
+        self.sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+        low, high = rows["low"][0], rows["high"][0]
+        self.one = bool(low == high)
+        self.first = np.flatnonzero(rows["block"] == low)
+        self.second = self.first if self.one else np.flatnonzero(rows["block"] == high)
+        width = min(map(len, rows["sketch"]))
+        self.folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0) for x in rows["sketch"]]).view(np.uint64)
+
+    def candidates(self, i: int, apart: bool) -> np.ndarray:
+        """Nodes that sizes and sketches allow to be like node i, nearest first; ``apart``: of other components."""
+        m, n = self.second, self.size
+        fits = m[(np.minimum(n[m], n[i]) * self.den >= np.maximum(n[m], n[i]) * self.num) & ((m > i) if self.one else True) & (self.node[m] != self.node[i])]
+        if apart:
+            fits = fits[self.label[fits] != self.label[i]]
+        away = np.bitwise_count(self.folded[fits] ^ self.folded[i]).sum(1, dtype=np.int64)
+        good = away <= (n[fits] + n[i]) * (self.den - self.num) // (self.den + self.num)
+        return fits[good][np.argsort(away[good], kind="stable")]
+
+    def like(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others' sets are similar to that of node i."""
+        own, sets = self.sets[i], [self.sets[j] for j in others]
+        every = np.concatenate(sets)
+        at = np.searchsorted(own, every)
+        at[at == len(own)] = 0
+        both = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum([0, *map(len, sets[:-1])]))
+        return self.den * both >= self.num * (self.size[i] + self.size[others] - both)
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that join components, as few as join all that any link joins."""
+        out = []
+        for i in self.first.tolist():
+            left = self.candidates(i, True)
+            while len(left):
+                chunk, left = left[:CHUNK], left[CHUNK:]
+                for j in chunk[self.like(i, chunk)].tolist():
+                    a, b = self.label[i], self.label[j]
+                    if a != b:
+                        out.append((int(a), int(b)))
+                        self.label[self.label == b] = a
+                left = left[self.label[left] != self.label[i]]
+        return out
+
+    def links(self) -> list[tuple[int, int]]:
+        """Every link, the lesser node first."""
+        out = []
+        for i in self.first.tolist():
+            left = self.candidates(i, False)
+            for x in range(0, len(left), CHUNK):
+                chunk = left[x : x + CHUNK]
+                out += [(int(min(self.node[i], b)), int(max(self.node[i], b))) for b in self.node[chunk[self.like(i, chunk)]]]
+        return out
+
+
+def _searched(groups: DataFrame, facts: DataFrame, held: DataFrame, words: int, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b) of groups (key, node, component): links between components, or every link.
+
+    Groups of the same nodes are searched once.  A group is dealt to blocks by its number of nodes and of
+    shingles, and each two blocks meet in one place.
+    """
+    sized = groups.join(facts.select("node", "n", "sketch"), "node")
+    facts_of = sized.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    facts_of = facts_of.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / SHINGLES))
+    kept = written(facts_of.select("key", blocks.alias("blocks")), "groups")
+
+    @F.pandas_udf("binary")
+    def hashes(batch: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).tobytes() for t in texts(batch)])
+
+    sets = held.join(groups.select("node").distinct(), "node", "left_semi").select("node", hashes("text").alias("hashes"))
+    sets = written(sets, "hashes")
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    dealt = sized.join(kept, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(sets, "node")
+    names = ["key", "low", "high", "block", "node", "component", "n", "sketch", "hashes"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, sizes, blocks = (pdf[c].to_numpy(np.int64) for c in ("id", "component", "n", "block"))
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        width = min(map(len, pdf["sketch"]))
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0) for x in pdf["sketch"]]).view(np.uint64)
-        out, mates = [], np.flatnonzero(blocks == high)
-        for i in np.flatnonzero(blocks == low):
-            fits = mates[(comps[mates] != comps[i]) & ((low != high) | (ids[mates] > ids[i])) & (np.minimum(sizes[mates], sizes[i]) * den >= np.maximum(sizes[mates], sizes[i]) * num)]
-            apart = np.bitwise_count(folded[fits] ^ folded[i]).sum(1, dtype=np.int64)
-            found = fits[apart <= (sizes[fits] + sizes[i]) * (den - num) // (den + num)]
-            out.append(np.stack((np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i])), 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_rows: list[dict[str, np.ndarray]] = []  # of the group that may go on in the next batch
 
-    far = dealt.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
-    return near.unionByName(far).distinct()
+        def found(parts: list[dict[str, np.ndarray]]) -> list[tuple[int, int]]:
+            rows = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in names}
+            if len(rows["node"]) < 2:
+                return []
+            b = _Block(rows, num, den)
+            return b.forest() if forest else b.links()
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = {c: batch[c].to_numpy() for c in names}
+            place = np.stack([columns[c] for c in ("key", "low", "high")], 1)
+            cuts = (np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist()
+            if kept_rows and any(kept_rows[-1][c][-1] != columns[c][0] for c in ("key", "low", "high")):
+                cuts = [0, *cuts]
+            out, start = [], 0
+            for cut in cuts:
+                out += found([*kept_rows, *([{c: v[start:cut] for c, v in columns.items()}] if cut > start else [])])
+                kept_rows, start = [], cut
+            kept_rows.append({c: v[start:] for c, v in columns.items()})
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if kept_rows:
+            yield pd.DataFrame(found(kept_rows), columns=["a", "b"], dtype="int64")
+
+    placed = dealt.select(names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    out = written(placed.mapInPandas(run, "a long, b long").distinct(), "found")
+    discard(kept, sets)
+    return out
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` (the least id that links reach) for every row."""
+
+def _prepared(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, ...]:
+    """Written tables: rows (id, n, node), shared (key, node), facts (node, n, sketch) and texts (node, text) of nodes with a shared key."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     sets = written(_sets(docs, words, num, den), "sets")
-    slim = written(sets.select("id", "n", "k1", "k2"), "rows")
+    rows = written(sets.select("id", "n", "node"), "rows")
     full = sets.where("n > 0 AND id IS NOT NULL")
-    named = slim.where("n > 0 AND id IS NOT NULL")
-    nodes = named.groupBy("k1", "k2", "n").agg(F.min("id").alias("node"))
-    index = full.select("id", "keys", "k1", "k2").join(nodes.select(F.col("node").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
-    index = index.select("id", F.explode("keys").alias("key"))
-    group = Window.partitionBy("key")
-    shared = index.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low < high")
-    shared = written(shared, "shared")
-
-    stars = [shared.select(F.col("low").alias("a"), F.col("id").alias("b")), shared.select(F.col("id").alias("a"), F.col("high").alias("b"))]
-    pairs = written(stars[0].unionByName(stars[1]).where("a < b").distinct(), "pairs")
-    facts = written(full.select("id", "n", "sketch").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "facts")
+    # one row stands for a node
+    chosen = full.groupBy("node").agg(F.min(F.struct("id", "h")).alias("one")).select("node", "one.*")
+    single = full.join(chosen, ["node", "id", "h"], "left_semi")
+    shared = _shared(single.select("node", F.explode("keys").alias("key")).select("key", "node"))
+    facts = single.select("node", "id", "h", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi")
+    facts = written(facts.dropDuplicates(["node"]), "facts")
     discard(sets)
     # texts that may have to be verified, moved once; sorted, whatever the sizes, so that the plan is the same at every size
-    held = written(docs.join(facts.select("id").hint("merge"), "id", "left_semi"), "texts")
+    held = docs.join(facts.select("node", "id", "h").hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"])
+    return rows, shared, facts, written(held.select("node", "text"), "texts")
+
+
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` (the least id that links reach) for every row."""
+    rows, shared, facts, held = _prepared(df, id_col, text_col, words, num, den)
+    hubs = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = shared.join(hubs, "key").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
+    pairs = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = _verified(_near(pairs, facts, num, den), held, words, num, den)
     found = components(links)
 
-    # groups that hold nodes of several components still: every pair between those is looked at
-    placed = shared.select("key", "id").distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_groups = placed.withColumn("low", F.min("component").over(group)).withColumn("high", F.max("component").over(group)).where("low < high")
-    more = _between(open_groups.select("key", "id", "component").join(facts, "id"), num, den)
-    more = written(_near(more.join(pairs, ["a", "b"], "left_anti"), facts, num, den), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, held, words, num, den))
-        found = components(links)
-
-    discard(shared, pairs, facts, held, more)
-    placed = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
-    linked = named.select("id", "k1", "k2", "n").join(placed, ["k1", "k2", "n"]).select("id", "n", "component_id")
-    alone = slim.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    # groups that hold nodes of several components still are searched in full
+    placed = written(shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    is_open = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    is_open = written(is_open, "open")
+    more = _searched(placed.join(is_open, "key").distinct(), facts, held, words, num, den, True)
+    # rows of one id are linked, whatever their sets
+    named = rows.where("n > 0 AND id IS NOT NULL")
+    clash = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
+    ties = written(named.join(clash, "id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
+    if not (more.isEmpty() and ties.isEmpty()):
+        discard(found)
+        found = components(links.unionByName(more).unionByName(ties))
+    discard(shared, facts, held, links, placed, is_open, more, ties)
+
+    nodes = named.groupBy("node").agg(F.min("id").alias("least")).join(found.withColumnRenamed("id", "node"), "node", "left")
+    nodes = nodes.select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = written(nodes.join(least, "component").select("node", "component_id"), "names")
+    discard(found)
+    linked = named.join(names, "node").select("id", "n", "component_id")
+    alone = rows.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def link_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, and who has which set.
+
+    The pairs are (a, b) of class ids with a < b; members are ``id_col``, ``n_shingles`` and ``class_id``, the
+    least id with the same set.  Members of a class are linked with each other; copies aren't expanded into pairs.
+    The pairs grow with the links themselves, so with the square of a group of differing near copies.
+    """
+    rows, shared, facts, held = _prepared(df, id_col, text_col, words, num, den)
+    found = _searched(shared.withColumn("component", F.col("node")).distinct(), facts, held, words, num, den, False)
+    named = rows.where("n > 0 AND id IS NOT NULL")
+    ids = written(named.groupBy("node").agg(F.min("id").alias("class_id")), "classes")
+    discard(shared, facts, held)
+    a, b = (ids.select(F.col("node").alias(x), F.col("class_id").alias(f"{x}_id")) for x in "ab")
+    pairs = found.join(a, "a").join(b, "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    members = named.join(ids, "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id")
+    return pairs, members
