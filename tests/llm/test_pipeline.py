@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_ngram_join import brute as brute_components
@@ -88,6 +89,23 @@ def test_repeated_ids_leave_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
 
 
+def test_shared_null_and_great_ids_lose_no_text(spark):
+    """Rows of one id with different texts stay, as do rows without an id; columns of any name are kept."""
+    words = "one two three four five six seven eight nine ten "
+    great = (1 << 60) + 1
+    rows = [(5, words, 1.0), (5, words * 2, None), (5, words, 1.0), (None, words, 2.0), (None, words, 2.0), (great, words, 3.0), (great + 2, "some other words that stand alone here", None), (great + 4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone double").withColumn("component_id", F.lit("x")).withColumn("n_chars", F.lit(None).cast("long"))
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(5, words), (5, words * 2), (0, words), (0, words), (great + 2, rows[6][1]), (great + 4, "")])
+    long_a, long_b = "abcdefghij" * 25, "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = [(None, long_b, 1.0), (None, long_b + "tail", None), (great, "head" + long_b, None), (great, None, None), (great + 2, "short", None), (7, long_a, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _left double").withColumn("n_chars", F.lit(None).cast("long"))
+    got = corpus_pipeline.repeats_stage(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in got.collect()) == [(0, "tail", 4), (great, "", 0), (great, "head", 4), (great + 2, "short", 0)]
+
+
 def test_cut_text_never_joins_halves_of_code_points():
     assert suffix_dedup.cut_text("aéb", [(2, 3)]) == "ab"
     assert suffix_dedup.cut_text("é日", [(1, 3)]) == ""

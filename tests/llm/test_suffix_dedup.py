@@ -135,3 +135,19 @@ def test_induced_order_finds_exactly_the_equal_windows():
         for o in range(found.shape[1]):
             real = last[i] <= o <= first[i] and seen[keys[i], o, data[i][first[i] - o : first[i] - o + 200]] > 1
             assert found[i, o] == real
+
+
+def test_null_shared_and_great_ids(spark):
+    """Rows of one id and different texts, null ids with equal texts, ids above 2**53, and a text that is one passage over and over."""
+    rng, great = random.Random(11), 1 << 60
+    a, b = ("".join(rng.choices("abcdefg ", k=900)) for _ in "ab")
+    own = ["".join(rng.choices("hijkl", k=150)) for _ in range(9)]
+    line = "".join(rng.choices("mnop", k=230)) + "\n"
+    texts = [a, b, own[0] + a[100:400], own[1] + b[:250] + own[2], own[3], own[3], None, "", line * 40, own[4] + line * 3, own[5] + own[6]]
+    ids = [5, 5, None, None, None, None, great + 1, great + 7, great + 9, None, great + 11]
+    docs = spark.createDataFrame(list(zip(ids, texts, range(11), strict=True)), "doc_id long, text string, _id long")
+    want = brute(list(enumerate(texts)))
+    got = S.repeated_digest(docs).collect()
+    rows = sorted(((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))
+    assert rows == sorted((ids[k] is None, ids[k] or 0, *w) for k, w in want.items())
+    assert {r.doc_id: r.n_removed for r in got}[great + 9] == 40 * 231

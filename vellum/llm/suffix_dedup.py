@@ -10,7 +10,8 @@ corpus, so Spark first deals suffixes to shards and keeps those that can match:
    called a stretch, form a shard with all others of the same anchor hash.
    Anchors that stand in the corpus once are dropped.
 2. Stretches of equal bytes are one for the sorting, and all of their windows
-   are repeated.  Shards with more than ``MANY`` different stretches are split by
+   are repeated.  Those that a text holds several times are one row from the
+   start, so a passage that fills a text over and over costs it a row.  Shards with more than ``MANY`` different stretches are split by
    the bytes that all windows of a class of starts have in common; while such a
    part has more than ``MANY`` different pieces, its class is halved, down to one
    start, where equal windows are one key and are only counted.
@@ -25,10 +26,13 @@ Spark's shuffles sort the shards' tuples on disk, so a shard set may be far
 larger than memory; a task holds one block of shards at a time, and no shard
 that is sorted has more than ``MANY`` pieces.
 
+Rows are known by their text, that is by a 64-bit and a 32-bit hash of it, so
+rows with equal texts lose the same bytes whatever their ids are, and ids may be
+null, repeated or as great as 64 bits go; they never pass through Python.
+
 A null text is an empty one; a text of fewer than ``LENGTH`` bytes loses
-nothing; of two equal longer texts nothing is left of either.  Rows that share
-id and text are treated alike.  An empty table gives an empty one; further
-columns are ignored.
+nothing; of two equal longer texts nothing is left of either.  An empty table
+gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +55,7 @@ LENGTH, GRAM = 200, 32
 PART = 1 << 20
 #: Different stretches from which a shard is split; stretches in a block that is sorted together.
 MANY, BLOCK = 1_000, 20_000
-_PIECE = "key long, id long, sum long, at long, first int, last int, tag long, low int, high int, bytes binary"
+_PIECE = "key long, h long, sum long, at long, first int, last int, tag long, low int, high int, bytes binary"
 _PIECES = [c.split()[0] for c in _PIECE.split(", ")]
 _PLACES = (1 << 20) - 1
 _BASE = 0xD1342543DE82EF95
@@ -180,25 +185,39 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(raw[a:b].decode(errors="ignore") for a, b in edge.reshape(-1, 2).tolist())
 
 
-def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    """Null-safe equality of the named columns."""
-    out = F.lit(True)
-    for name in names:
-        out = out & a[name].eqNullSafe(b[name])
-    return out
+def text_key(text_col: str) -> list[Column]:
+    """(h, sum): what rows are known by."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("sum")]
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(anchor, content, id, sum, place) of all stretches of all documents."""
+    """(anchor, content, h, sum, id, place, more) of all stretches of all texts; ``more``: further places of the same one in the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [stretches(t.encode()) for t in texts(batch["text"])]
-            sizes = [len(f[0]) for f in found]
-            columns = {name: np.concatenate([f[k] for f in found]) for k, name in enumerate(("anchor", "content", "place"))}
-            yield pd.DataFrame({**columns, **{c: batch[c].repeat(sizes).array for c in ("id", "sum")}})[["anchor", "content", "id", "sum", "place"]]
-
-    return docs.select("id", "sum", "text").mapInPandas(run, "anchor long, content long, id long, sum long, place long")
+            parts, more, sizes = [], [], []
+            for t in batch.column("text").to_pylist():
+                anchor, content, place = stretches(t.encode())
+                _, first, of = np.unique(anchor * 31 ^ content, return_index=True, return_inverse=True)
+                sizes.append(len(first))
+                more += [None] * len(first)
+                if len(first) < len(anchor):
+                    again = np.ones(len(anchor), bool)
+                    again[first] = False
+                    for k, p in zip(of[again].tolist(), place[again].tolist(), strict=True):
+                        k += len(more) - len(first)
+                        more[k] = more[k] or []
+                        more[k].append(p)
+                parts.append((anchor[first], content[first], place[first]))
+            columns = {name: pa.array(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64)) for k, name in enumerate(("anchor", "content", "place"))}
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns |= {c: batch.column(c).take(rows) for c in ("h", "sum", "id")}
+            columns["more"] = pa.array(more, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+
+    names = ["anchor", "content", "h", "sum", "id", "place", "more"]
+    return docs.select("id", "h", "sum", "text").mapInArrow(run, "anchor long, content long, h long, sum long, id long, place long, more array<long>")
 
 
 def _span(place: Column) -> Column:
@@ -207,7 +226,12 @@ def _span(place: Column) -> Column:
     return F.struct((anchor - first).alias("from"), (anchor - last + LENGTH).alias("to"))
 
 
-def _piece(key: int, part: int, i: int | None, h: int, a: int, first: int, last: int, low: int, high: int, own: bytes) -> tuple | None:
+def _spans() -> Column:
+    """The bytes of a stretch at all of its places."""
+    return F.transform(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))), _span)
+
+
+def _piece(key: int, part: int, h: int, s: int, a: int, first: int, last: int, low: int, high: int, own: bytes) -> tuple | None:
     """The piece of a stretch with the bytes ``own`` whose windows start ``low`` to ``high`` before the anchor, keyed by what all of these share."""
     o1, o2 = max(low, last), min(high, first)
     if o1 > o2:
@@ -215,7 +239,7 @@ def _piece(key: int, part: int, i: int | None, h: int, a: int, first: int, last:
     shared, mine = own[first - low : first - high + LENGTH], own[first - o2 : first - o1 + LENGTH]
     sub = xxhash.xxh3_64_intdigest(shared, seed=(key << 4 | part) & (1 << 64) - 1)
     tag = xxhash.xxh3_64_intdigest(mine, seed=o1 << 8 | o2)
-    return sub - (1 << 63), i, h, a, o2, o1, (tag >> 1) + 1, low, high, mine
+    return sub - (1 << 63), h, s, a, o2, o1, (tag >> 1) + 1, low, high, mine
 
 
 def _members(touched: DataFrame, split: bool) -> DataFrame:
@@ -224,21 +248,21 @@ def _members(touched: DataFrame, split: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, h, text, look in zip(*(batch[c] for c in ("id", "sum", "text", "look")), strict=True):
+            for h, s, text, look in zip(*(batch[c] for c in ("h", "sum", "text", "look")), strict=True):
                 raw = text.encode()
                 for x in look:
                     key, place = x["anchor"], x["place"]
                     a, first, last = place >> 16, place >> 8 & 255, place & 255
                     own = raw[a - first : a - last + LENGTH]
                     if not split:
-                        out.append((key, i, h, a, first, last, 0, 0, LENGTH - GRAM, own))
+                        out.append((key, h, s, a, first, last, 0, 0, LENGTH - GRAM, own))
                         continue
-                    parts = (_piece(key, j, i, h, a, first, last, low, high, own) for j, (low, high) in enumerate(_classes()))
+                    parts = (_piece(key, j, h, s, a, first, last, low, high, own) for j, (low, high) in enumerate(_classes()))
                     out += [p for p in parts if p]
-            yield pd.DataFrame(out, columns=_PIECES).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=_PIECES)
 
     mine = F.filter("look", lambda x: (x["many"] > MANY) == split).alias("look")
-    return touched.select("id", "sum", "text", mine).where("size(look) > 0").mapInPandas(run, _PIECE)
+    return touched.select("h", "sum", "text", mine).where("size(look) > 0").mapInPandas(run, _PIECE)
 
 
 def _halved(pieces: DataFrame) -> DataFrame:
@@ -246,19 +270,18 @@ def _halved(pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["id"] = batch["id"].astype("Int64")
             out = []
-            for key, i, h, a, first, last, low, high, own in zip(*(batch[c] for c in _PIECES if c != "tag"), strict=True):
+            for key, h, s, a, first, last, low, high, own in zip(*(batch[c] for c in _PIECES if c != "tag"), strict=True):
                 middle = (low + high) // 2
-                parts = (_piece(key, j, i, h, a, first, last, x, y, bytes(own)) for j, (x, y) in enumerate(((low, middle), (middle + 1, high))))
+                parts = (_piece(key, j, h, s, a, first, last, x, y, bytes(own)) for j, (x, y) in enumerate(((low, middle), (middle + 1, high))))
                 out += [p for p in parts if p]
-            yield pd.DataFrame(out, columns=_PIECES).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=_PIECES)
 
     return pieces.select(_PIECES).mapInPandas(run, _PIECE)
 
 
 def _parted(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Pieces to sort, in shards of at most ``MANY``; (id, sum, from, to) of equal pieces; the written tables of the former.
+    """Pieces to sort, in shards of at most ``MANY``; (h, sum, from, to) of equal pieces; the written tables of the former.
 
     Equal pieces are one for the sorting, and all of their windows are repeated.
     A shard that is too large is split again; a class of one distance has only
@@ -267,10 +290,10 @@ def _parted(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     sortable, equal, tables = [], [], []
     while True:
         pieces = written(pieces, "members")
-        one = F.min_by(F.struct(*(c for c in _PIECES if c not in ("key", "tag"))), F.struct("id", "at")).alias("one")
+        one = F.min_by(F.struct(*(c for c in _PIECES if c not in ("key", "tag"))), F.struct("h", "sum", "at")).alias("one")
         grouped = written(pieces.groupBy("key", "tag").agg(F.count("*").alias("copies"), one), "pieces")
         again = pieces.join(grouped.where("copies > 1").select("key", "tag"), ["key", "tag"])
-        equal.append(written(again.select("id", "sum", (F.col("at") - F.col("first")).alias("from"), (F.col("at") - F.col("last") + LENGTH).alias("to")), "equal"))
+        equal.append(written(again.select("h", "sum", (F.col("at") - F.col("first")).alias("from"), (F.col("at") - F.col("last") + LENGTH).alias("to")), "equal"))
         discard(pieces)
         sizes = written(grouped.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "parts")
         tables += [grouped, sizes]
@@ -282,7 +305,7 @@ def _parted(pieces: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
 
 
 def _sorted_shards(members: DataFrame) -> DataFrame:
-    """(id, sum, from, to) of repeated strings, from the induced order in each shard."""
+    """(h, sum, from, to) of repeated strings, from the induced order in each shard."""
 
     def block(held: pd.DataFrame) -> pd.DataFrame:
         first, last = held["first"].to_numpy(np.int64), held["last"].to_numpy(np.int64)
@@ -291,7 +314,7 @@ def _sorted_shards(members: DataFrame) -> DataFrame:
         row, low = np.nonzero(step == 1)
         high = np.nonzero(step == -1)[1] - 1  # both in order of rows, so they pair up
         at = held["at"].to_numpy(np.int64)[row]
-        return pd.DataFrame({"id": held["id"].array[row], "sum": held["sum"].to_numpy()[row], "from": at - high, "to": at - low + LENGTH})
+        return pd.DataFrame({"h": held["h"].to_numpy()[row], "sum": held["sum"].to_numpy()[row], "from": at - high, "to": at - low + LENGTH})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -299,7 +322,6 @@ def _sorted_shards(members: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            batch["id"] = batch["id"].astype("Int64")
             held.append(batch)
             rows += len(batch)
             if rows >= BLOCK:
@@ -313,67 +335,65 @@ def _sorted_shards(members: DataFrame) -> DataFrame:
             yield block(pd.concat(held, ignore_index=True))
 
     dealt = members.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "id", "sum", "at", "first", "last", "bytes").mapInPandas(run, "id long, sum long, from long, to long")
+    return dealt.select("key", "h", "sum", "at", "first", "last", "bytes").mapInPandas(run, "h long, sum long, from long, to long")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: ``id``, ``n_bytes``, and either ``text`` with ``spans`` to remove, or neither.
-
-    A row whose text loses nothing for certain has a null text here and a
-    finished ``digest``.
-    """
+    """(h, sum, spans): for every text that loses bytes, by its ``text_key``, the spans of them; a written table."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("sum", F.crc32(F.encode("text", "UTF-8")))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", "text", *text_key("text"))
     anchored = _anchored(docs)
-    often = anchored.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+    times = F.lit(1) + F.coalesce(F.size("more"), F.lit(0))
+    often = anchored.groupBy("anchor").agg(F.sum(times).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     often = written(often.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchors")
     kept = written(anchored.join(often, "anchor"), "stretches")
     # where all stretches of an anchor are equal, all are repeated and nothing has to be sorted
     mixed = kept.where("NOT alike")
-    kinds = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "sum", "place")).alias("one"))
+    kinds = mixed.groupBy("anchor", "content").agg(F.sum(times).alias("copies"), F.min(F.struct("h", "sum", "id", "place")).alias("one"))
     kinds = written(kinds, "kinds")
     many = written(kinds.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "shards")
-    copied = mixed.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "sum", "place")
-    copied = copied.unionByName(kept.where("alike").select("id", "sum", "place")).select("id", "sum", _span(F.col("place")).alias("span"))
-    look = kinds.join(many, "anchor").select("one.id", "one.sum", F.struct("anchor", "one.place", "many").alias("look"))
-    # all of a document's own spans and stretches: no more than its text is long
-    facts = copied.select("id", "sum", "span", F.lit(None).cast("struct<anchor:bigint,place:bigint,many:bigint>").alias("look"))
-    facts = facts.unionByName(look.select("id", "sum", F.lit(None).cast("struct<from:bigint,to:bigint>").alias("span"), "look"))
-    facts = facts.groupBy("id", "sum").agg(F.collect_list("span").alias("spans"), F.collect_list("look").alias("look"))
-    joined = docs.join(facts, _same(docs, facts, "id", "sum"), "left").select(docs["id"], docs["sum"], docs["text"], "spans", "look")
-    n_bytes = F.octet_length("text").cast("long")
-    untouched = F.col("look").isNull()
-    state = joined.select("id", "sum", n_bytes.alias("n_bytes"), F.when(~untouched, F.col("text")).alias("text"), F.when(untouched, F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), "spans", "look")
-    state = written(state, "state")
+    copied = mixed.join(kinds.where("copies > 1").select("anchor", "content"), ["anchor", "content"])
+    known = copied.select("h", "sum", _spans().alias("spans")).unionByName(kept.where("alike").select("h", "sum", _spans().alias("spans")))
+    # a set, as copies of a text have the same spans: no more of them than the text is long
+    known = written(known.groupBy("h", "sum").agg(F.flatten(F.collect_set("spans")).alias("spans")), "known")
+    look = kinds.join(many, "anchor").select("one.id", "one.h", "one.sum", F.struct("anchor", "one.place", "many").alias("look"))
+    look = written(look.groupBy("id", "h", "sum").agg(F.collect_list("look").alias("look")), "look")
     discard(often, kept, kinds, many)
 
-    whole = _members(state, False)
-    split, again, tables = _parted(_members(state, True))
+    touched = docs.join(look, docs["id"].eqNullSafe(look["id"]) & (docs["h"] == look["h"]) & (docs["sum"] == look["sum"])).select(docs["h"], docs["sum"], "text", "look")
+    whole = _members(touched, False)
+    split, again, tables = _parted(_members(touched, True))
     found = written(_sorted_shards(whole.unionByName(split)).unionByName(again), "found")
-    discard(*tables)
-    found = found.groupBy("id", "sum").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    discard(look, *tables)
+    every = known.unionByName(found.select("h", "sum", F.array(F.struct("from", "to")).alias("spans")))
+    out = written(every.groupBy("h", "sum").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    discard(known, found)
+    return out
+
 
-    open_rows, done = state.where("text IS NOT NULL"), state.where("text IS NULL")
-    more = open_rows.join(found, _same(open_rows, found, "id", "sum"), "left").select(open_rows["id"], "n_bytes", "text", "digest", F.concat("spans", F.coalesce("found", F.array().cast("array<struct<from:bigint,to:bigint>>"))).alias("spans"))
-    return more.unionByName(done.select("id", "n_bytes", "text", "digest", F.lit(None).cast("array<struct<from:bigint,to:bigint>>").alias("spans")))
+def with_spans(df: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, spans): every row of ``df`` as a struct, whatever its columns are called, and what ``repeated_spans`` found for its text, else null."""
+    rows = df.select(F.struct("*").alias("row"), *text_key(text_col))
+    return rows.join(spans, ["h", "sum"], "left").select("row", "spans")
 
 
 def repeated_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How much every text loses, and the SHA-256 of what is left of its bytes."""
-    rows = repeated_spans(df, id_col, text_col)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, text, spans in zip(*(batch[c] for c in ("id", "text", "spans")), strict=True):
-                raw = text.encode()
-                removed, runs, left = _cut(raw, [(s["from"], s["to"]) for s in spans])
-                out.append((i, len(raw), removed, runs, hashlib.sha256(left).hexdigest()))
-            yield pd.DataFrame(out, columns=names).astype({id_col: "Int64"})
-
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = rows.where("text IS NOT NULL").select("id", "text", "spans").mapInPandas(run, schema)
-    zero = F.lit(0).cast("long")
-    return cut.unionByName(rows.where("text IS NULL").select(F.col("id").alias(id_col), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256")))
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, x in zip(text, spans, strict=True):
+            if not isinstance(t, str):
+                out.append((0, 0, None))
+                continue
+            removed, runs, left = _cut(t.encode(), [(s["from"], s["to"]) for s in x])
+            out.append((removed, runs, hashlib.sha256(left).hexdigest()))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256"])
+
+    rows = with_spans(docs, repeated_spans(docs, "id")).select("row.id", "row.text", "spans")
+    whole = F.col("spans").isNull()
+    done = rows.select("id", "text", whole.alias("whole"), cut(F.when(~whole, F.col("text")), "spans").alias("cut"))
+    digest = F.when(F.col("whole"), F.sha2(F.encode("text", "UTF-8"), 256)).otherwise(F.col("cut.kept_sha256"))
+    return done.select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", digest.alias("kept_sha256"))
