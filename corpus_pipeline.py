@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import ngram_join, packing, quality, suffix_dedup, toxicity
-from vellum.llm.common import small_batches, table, written
+from vellum.llm.common import discard, small_batches, table, written
 
 #: Scores that decide, as in the queries of the two classifiers.
 QUALITY, TOXIC = quality.THRESHOLD, toxicity.THRESHOLD
@@ -24,7 +24,8 @@ QUALITY, TOXIC = quality.THRESHOLD, toxicity.THRESHOLD
 def _kept(docs: DataFrame, decision: Callable[[DataFrame], Column]) -> DataFrame:
     """The rows of ``docs`` for which the decision column holds, with the columns of ``docs``."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("_kept_by_stage", decision(docs)).where("_kept_by_stage").drop("_kept_by_stage")
+    judged = docs.select(F.struct("*").alias("row"), decision(docs).alias("kept"))
+    return judged.where("kept").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +43,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links of at least 0.8 over five-word shingles join, the one with the least id.
 
-    Documents without words aren't linked, so they stay.  Of rows that share an id, the one with the least text stays.
+    Documents without words aren't linked, so they stay, as do rows with a null id.  Of rows that share an id and a text
+    one stays; rows that share an id and differ in their texts all stay, if their id does.
     """
     linked = ngram_join.link_components(docs.select("doc_id", "text"))
     facts = linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("_gone"), (F.count("*") > 1).alias("_many"))
-    left = docs.join(facts.where("_gone OR _many"), "doc_id", "left").where("NOT coalesce(_gone, false)")
-    alone, many = left.where("_many IS NULL"), left.where("_many")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return alone.select(docs.columns).unionByName(many.withColumn("_turn", first).where("_turn = 1").select(docs.columns))
+    facts = written(facts.where("_gone OR _many"), "facts")
+    left = docs.select(F.struct("*").alias("row"), "doc_id").join(facts, "doc_id", "left").where("NOT coalesce(_gone, false)")
+    alone, many = left.where("NOT coalesce(_many, false)"), left.where("_many")
+    return alone.select("row.*").unionByName(many.select("row.*").dropDuplicates(["doc_id", "text"]))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,25 +59,23 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A code point that is cut in its middle goes as a whole.  A document of which nothing is left goes.
     """
-    rows = suffix_dedup.repeated_spans(docs, "doc_id", "text").where("size(spans) > 0").select("id", "text", "spans")
+    spans = suffix_dedup.repeated_spans(docs, "doc_id", "text")
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([suffix_dedup.cut_text(t, [(s["from"], s["to"]) for s in x]) for t, x in zip(text, spans, strict=True)])
+        return pd.Series([suffix_dedup.cut_text(t, [(s["from"], s["to"]) for s in x]) if isinstance(t, str) else None for t, x in zip(text, spans, strict=True)])
 
-    cut = written(rows.select(F.col("id").alias("_id"), F.crc32(F.encode("text", "UTF-8")).alias("_sum"), left("text", "spans").alias("_left")).distinct(), "cut")
-    same = docs["doc_id"].eqNullSafe(cut["_id"]) & F.crc32(F.encode(docs["text"], "UTF-8")).eqNullSafe(cut["_sum"])
-    joined = docs.join(cut, same, "left")
-    out = joined.where("_left IS NULL OR _left <> ''")
+    joined = suffix_dedup.with_spans(docs, spans)
+    cut = joined.withColumn("left", left(F.when(F.col("spans").isNotNull(), F.col("row.text")), "spans")).where("left IS NULL OR left <> ''")
     columns = []
     for name in docs.columns:
-        value = F.col(name)
+        value = F.col("row")[name]
         if name == "text":
-            value = F.coalesce("_left", "text")
+            value = F.coalesce("left", value)
         elif name == "n_chars":
-            value = F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("n_chars"))
+            value = F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(value)
         columns.append(value.alias(name))
-    return out.select(columns)
+    return cut.select(columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,7 +99,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
