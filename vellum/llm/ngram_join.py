@@ -19,10 +19,11 @@ Equal sets are one node, named by a hash of the set, before anything is joined.
 In each group of equal pieces all nodes are compared with the least and the
 greatest one, which are random members; the true links among these are joined
 to components.  Groups that still hold more than one component are searched in
-full, in blocks: sizes and folded sketches rule out most pairs, the sets of the
-others are compared, and a pair is passed over once its components are one.  So
-a block puts out a spanning forest and never its pairs, and no link between
-components is missed.  ``link_pairs`` uses the same blocks to list every link.
+full.  Of those with few nodes, pairs whose sizes and folded sketches allow a
+link are verified, each once.  Greater ones are searched in blocks that hold the
+sets: a pair is passed over once its components are one, so a block puts out a
+spanning forest and never its pairs.  No link between components is missed.
+``link_pairs`` searches in the same way to list every link.
 
 A null text, or one without words, has no shingles and no links; a text with
 fewer words than a shingle is one shingle.  Rows that share an id are nodes of
@@ -51,6 +52,8 @@ from vellum.llm.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Width of a band of sizes; extra pieces, as a share.
 RATIO, EXTRA = 1.6, 0.25
+#: Groups of up to so many nodes are searched by pairs, greater ones in blocks.
+FEW = 32
 #: Nodes, and shingles, that a block of a searched group holds at most (but for a single greater set).
 BLOCK, SHINGLES = 4096, 2_000_000
 #: Candidates of one node whose sets are compared together.
@@ -287,26 +290,40 @@ class _Block:
         return out
 
 
-def _searched(groups: DataFrame, facts: DataFrame, held: DataFrame, words: int, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b) of groups (key, node, component): links between components, or every link.
+def _searched(groups: DataFrame, tested: DataFrame | None, facts: DataFrame, held: DataFrame, words: int, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b) of groups (key, node, component): links between components, or every link, but for pairs that were tested.
 
-    Groups of the same nodes are searched once.  A group is dealt to blocks by its number of nodes and of
+    Groups of the same nodes are searched once.  A great group is dealt to blocks by its number of nodes and of
     shingles, and each two blocks meet in one place.
     """
-    sized = groups.join(facts.select("node", "n", "sketch"), "node")
+    sized = groups.join(facts.select("node", "n"), "node")
     facts_of = sized.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
     facts_of = facts_of.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / SHINGLES))
-    kept = written(facts_of.select("key", blocks.alias("blocks")), "groups")
+    kept = written(facts_of.select("key", "size", blocks.alias("blocks")), "groups")
+    rows = sized.join(kept, "key")
+
+    few = rows.where(F.col("size") <= FEW)
+    x, y = (few.select("key", *[F.col(c).alias(side + c) for c in ("node", "component", "n")]) for side in "xy")
+    fits = (F.col("xnode") < F.col("ynode")) & (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num)
+    if forest:
+        fits = fits & (F.col("xcomponent") != F.col("ycomponent"))
+    pairs = x.join(y, "key").where(fits).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    near = _verified(_near(pairs, facts, num, den), held, words, num, den)
+
+    many = rows.where(F.col("size") > FEW)
 
     @F.pandas_udf("binary")
     def hashes(batch: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).tobytes() for t in texts(batch)])
 
-    sets = held.join(groups.select("node").distinct(), "node", "left_semi").select("node", hashes("text").alias("hashes"))
+    wanted = many.select("node").distinct()
+    sets = held.join(wanted, "node", "left_semi").select("node", hashes("text").alias("hashes")).join(facts.select("node", "sketch"), "node")
     sets = written(sets, "hashes")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
-    dealt = sized.join(kept, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).join(sets, "node")
     names = ["key", "low", "high", "block", "node", "component", "n", "sketch", "hashes"]
 
@@ -338,8 +355,9 @@ def _searched(groups: DataFrame, facts: DataFrame, held: DataFrame, words: int,
             yield pd.DataFrame(found(kept_rows), columns=["a", "b"], dtype="int64")
 
     placed = dealt.select(names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    out = written(placed.mapInPandas(run, "a long, b long").distinct(), "found")
-    discard(kept, sets)
+    far = placed.mapInPandas(run, "a long, b long")
+    out = written(near.unionByName(far).distinct(), "found")
+    discard(kept, sets, near)
     return out
 
 
@@ -367,7 +385,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, shared, facts, held = _prepared(df, id_col, text_col, words, num, den)
     hubs = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = shared.join(hubs, "key").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
-    pairs = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = written(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     links = _verified(_near(pairs, facts, num, den), held, words, num, den)
     found = components(links)
 
@@ -375,7 +393,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = written(shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     is_open = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     is_open = written(is_open, "open")
-    more = _searched(placed.join(is_open, "key").distinct(), facts, held, words, num, den, True)
+    more = _searched(placed.join(is_open, "key").distinct(), pairs, facts, held, words, num, den, True)
     # rows of one id are linked, whatever their sets
     named = rows.where("n > 0 AND id IS NOT NULL")
     clash = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("id", "a")
@@ -383,7 +401,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not (more.isEmpty() and ties.isEmpty()):
         discard(found)
         found = components(links.unionByName(more).unionByName(ties))
-    discard(shared, facts, held, links, placed, is_open, more, ties)
+    discard(shared, pairs, facts, held, links, placed, is_open, more, ties)
 
     nodes = named.groupBy("node").agg(F.min("id").alias("least")).join(found.withColumnRenamed("id", "node"), "node", "left")
     nodes = nodes.select("node", "least", F.coalesce("component", "node").alias("component"))
@@ -403,7 +421,7 @@ def link_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     The pairs grow with the links themselves, so with the square of a group of differing near copies.
     """
     rows, shared, facts, held = _prepared(df, id_col, text_col, words, num, den)
-    found = _searched(shared.withColumn("component", F.col("node")).distinct(), facts, held, words, num, den, False)
+    found = _searched(shared.withColumn("component", F.col("node")).distinct(), None, facts, held, words, num, den, False)
     named = rows.where("n > 0 AND id IS NOT NULL")
     ids = written(named.groupBy("node").agg(F.min("id").alias("class_id")), "classes")
     discard(shared, facts, held)
