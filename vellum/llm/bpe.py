@@ -9,9 +9,9 @@ compatible *is* the BPE encoding, so the merges are reproduced exactly.
 Compatibility is memoised per pair, and each place is given up at most once,
 hence linear time, even for a piece of a million equal letters.
 
-Nulls and empty texts have no ids.  Rows are independent of each other: repeated rows
-give repeated results, an empty table an empty one, and further columns of the
-input are ignored.
+Nulls and empty texts have no ids.  Rows are independent of each other: repeated
+rows, ids and null ids are kept as they are, an empty table gives an empty one,
+and further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +19,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import small_batches, texts
+from vellum.llm.common import mapped
 
 #: White space as Unicode defines it (the property White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -188,20 +186,9 @@ def codec(vocabulary: str, pattern: str) -> BpeCodec:
     return BpeCodec(ranks, pattern)
 
 
-def _mapped(df: DataFrame, id_col: str, text_col: str, schema: str, row: Callable) -> DataFrame:
-    small_batches(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(i, *row(t)) for i, t in zip(batch.iloc[:, 0], texts(batch.iloc[:, 1]), strict=True)], columns=names)
-
-    names = [x.split()[0] for x in schema.split(",")]
-    return df.select(id_col, text_col).mapInPandas(run, schema)
-
-
 def bpe_encode(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (the ids as little-endian unsigned 32-bit integers) for every row."""
-    return _mapped(df, id_col, text_col, f"{id_col} long, ids binary", lambda t: (codec(vocabulary, pattern).encode(t),))
+    return mapped(df, id_col, text_col, "ids binary", lambda t: (codec(vocabulary, pattern).encode(t),))
 
 
 def bpe_digest(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,4 +199,4 @@ def bpe_digest(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
         ids = c.encode(text)
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-    return _mapped(df, id_col, text_col, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return mapped(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellum.sources.scratch import discard, written  # noqa: F401  (for the operators)
 
@@ -31,3 +32,18 @@ def texts(batch: pd.Series) -> Iterator[str]:
     """The texts of a batch; a null is an empty text."""
     for x in batch:
         yield x if isinstance(x, str) else ""
+
+
+def mapped(df: DataFrame, id_col: str, text_col: str, schema: str, row: Callable[[str], tuple]) -> DataFrame:
+    """``id_col`` and the columns of ``schema``, which ``row`` makes of each text.
+
+    Ids stay in Spark: pandas would make floats of a batch's ids where one is null.
+    """
+    small_batches(df.sparkSession)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    @F.pandas_udf(schema)
+    def rows(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([row(t) for t in texts(batch)], columns=names)
+
+    return df.select(F.col(id_col).alias("_id"), rows(F.col(text_col)).alias("_row")).select(F.col("_id").cast("long").alias(id_col), "_row.*")

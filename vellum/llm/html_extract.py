@@ -13,8 +13,9 @@ a fixed seed), whose parts are known; half of those layouts have no telling
 tags or class names.
 
 A null or an empty page has no text and no characters.  Pages are independent
-of each other, so equal pages have equal texts; an empty table gives an empty
-one; further columns are ignored.
+of each other, so equal pages have equal texts, and repeated, null and great ids
+are kept; nodes may be as deep as a page makes them.  An empty table gives an
+empty one; further columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,16 +24,16 @@ import html
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vellum.llm import boosting
-from vellum.llm.common import small_batches
+from vellum.llm.common import small_batches, texts
 
 #: Pages that the trees are trained on, and the seed of their layouts.
 TRAINING, SEED = 400, 4
@@ -49,8 +50,6 @@ _NEVER = frozenset("head script style noscript template iframe textarea title sv
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that may stand in a head; any other one ends it, as text does.
 _IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-#: Elements deeper than this aren't nodes; what they hold goes to the node above.
-_DEEPEST = 200
 #: Start tags that end an open element of the same group, up to one of its holders.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -96,7 +95,7 @@ def parse(page: str) -> Node:
     """The tree of block elements; text and inline elements between them become text blocks."""
     root = Node("#root")
     stack, run, links = [root], [], 0
-    # names of all open elements, those that are too deep for nodes, too, and how often each is open
+    # names of all open elements, and how often each is open
     names, held = [root.tag], Counter()
     open_link = 0
 
@@ -176,11 +175,10 @@ def parse(page: str) -> Node:
                         groups |= 1 << g
         node = Node(name, groups)
         stack[-1].children.append(node)
-        if not token.endswith("/>"):
-            if len(names) == len(stack) < _DEEPEST:
-                stack.append(node)
-            names.append(name)
-            held[name] += 1
+        # in HTML, a slash at its end doesn't close an element
+        stack.append(node)
+        names.append(name)
+        held[name] += 1
     flush()
     return root
 
@@ -406,9 +404,10 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(trained())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = extract([x if isinstance(x, str) else "" for x in batch.iloc[:, 2]], held.value)
-            yield pd.DataFrame({id_col: batch.iloc[:, 0], url_col: batch.iloc[:, 1], "text": out, "n_chars": [len(t) for t in out]})
+    @F.pandas_udf("text string, n_chars long")
+    def rows(batch: pd.Series) -> pd.DataFrame:
+        out = extract(list(texts(batch)), held.value)
+        return pd.DataFrame({"text": out, "n_chars": [len(t) for t in out]})
 
-    return df.select(id_col, url_col, html_col).mapInPandas(run, f"{id_col} long, {url_col} string, text string, n_chars long")
+    # ids stay in Spark: pandas would make floats of a batch's ids where one is null
+    return df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), rows(F.col(html_col)).alias("_row")).select(F.col("_id").cast("long").alias(id_col), F.col("_url").alias(url_col), "_row.*")

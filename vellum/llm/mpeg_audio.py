@@ -13,8 +13,9 @@ frames, and gives exact durations (samples and rate) and the byte offset of
 every frame.
 
 A null or an empty text is stored as one frame of bytes 255.  Rows are
-independent; equal texts give equal values; an empty table gives an empty one;
-further columns are ignored.
+independent and stay as they are, with repeated, null or great ids; equal texts
+give equal values; an empty table gives an empty one; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, texts
+from vellum.llm.common import mapped, small_batches
 
 UNIT = 576
 #: kbit/s by index, for MPEG-1 and for MPEG-2/2.5, by layer (fixed values of the format).
@@ -246,31 +247,29 @@ def feature(s: Stream) -> str:
 
 def media_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_bytes`` and ``media`` (the stream that holds the text's bytes)."""
-    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw = [t.encode() for t in texts(batch.iloc[:, 1])]
-            yield pd.DataFrame({id_col: batch.iloc[:, 0], "n_bytes": [len(r) for r in raw], "media": [pack(padded(r)) for r in raw]})
+    def row(text: str) -> tuple[int, bytes]:
+        raw = text.encode()
+        return len(raw), pack(padded(raw))
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, n_bytes long, media binary")
+    return mapped(df, id_col, text_col, "n_bytes long, media binary", row)
 
 
 def media_index(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Durations, seek offsets, tags and checks of every stream; a null stream has no frames."""
     small_batches(df.sparkSession)
-    names = [id_col, "frames", "samples", "hertz", "duration_us", "tags", "vbr_table", "crc_ok", "crc_bad", "skipped_bytes", "seek_offsets"]
+    schema = "frames long, samples long, hertz int, duration_us long, tags array<string>, vbr_table string, crc_ok long, crc_bad long, skipped_bytes long, seek_offsets array<long>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def row(data: bytes | None) -> tuple:
         s = read(bytes(data or b""))
         return len(s.offsets), s.samples, s.heads[0].hertz if s.heads else None, s.duration_us, s.tags, s.table or None, s.crc_ok, s.crc_bad, s.skipped, s.offsets
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([(i, *row(m)) for i, m in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True)], columns=names)
-            yield out.astype({"hertz": "Int32"})
+    @F.pandas_udf(schema)
+    def rows(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([row(m) for m in batch], columns=names).astype({"hertz": "Int32"})
 
-    return df.select(id_col, media_col).mapInPandas(run, f"{id_col} long, frames long, samples long, hertz int, duration_us long, tags array<string>, vbr_table string, crc_ok long, crc_bad long, skipped_bytes long, seek_offsets array<long>")
+    return df.select(F.col(id_col).alias("_id"), rows(F.col(media_col)).alias("_row")).select(F.col("_id").cast("long").alias(id_col), "_row.*")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,8 +279,6 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     payload as read back, ``media_*`` of the stored stream.  A stream is made
     and read row by row, so a worker holds one at a time.
     """
-    small_batches(df.sparkSession)
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def row(text: str) -> tuple:
         raw = text.encode()
@@ -290,8 +287,4 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         back = unpack(media, s)
         return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(i, *row(t)) for i, t in zip(batch.iloc[:, 0], texts(batch.iloc[:, 1]), strict=True)], columns=names)
-
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(df, id_col, text_col, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row)

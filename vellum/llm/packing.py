@@ -13,9 +13,9 @@ Pieces find their place in the plan by their rank among the pieces of equal
 length: ranks are taken in salted groups whose offsets are a running sum, so no
 length, however common, meets in one task.
 
-A null or an empty text is the end-of-document id alone.  Repeated rows are
-packed as rows of their own; an empty table gives an empty one; further
-columns are ignored.
+A null or an empty text is the end-of-document id alone.  Repeated rows, and
+rows whose id is null or that of another row, are packed as rows of their own; an
+empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,20 +113,21 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cuts every text into pieces of ``capacity`` ids and a rest."""
-    small_batches(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i, ids in zip(batch.iloc[:, 0], word_ids(tokenizer).encode(list(texts(batch.iloc[:, 1]))), strict=True):
-                ids += end
-                n = len(ids) // 4
-                out += [(i, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            yield pd.DataFrame(out, columns=names)
+    @F.pandas_udf("doc_tokens long, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
+    def cut(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for ids in word_ids(tokenizer).encode(list(texts(batch))):
+            ids += end
+            n = len(ids) // 4
+            out.append((n, [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, n, capacity)]))
+        return pd.DataFrame(out, columns=["doc_tokens", "pieces"])
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long")
+    # ids stay in Spark: pandas would make floats of a batch's ids where one is null
+    rows = df.select(F.col(id_col).alias("_id"), cut(F.col(text_col)).alias("_cut")).select(F.col("_id").cast("long").alias(id_col), "_cut.doc_tokens", F.explode("_cut.pieces").alias("_piece"))
+    return rows.select(id_col, "_piece.*", "doc_tokens")
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -175,7 +176,8 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
     """Every piece with its sequence and its offset there."""
     spark = df.sparkSession
     cut = written(pieces(df, tokenizer, end_id, capacity, id_col, text_col), "pieces")
-    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a group holds some 100,000 pieces at most of one length, however many there are
+    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), cut.count() // 100_000)
     salt = F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(groups)).alias("_salt")
     sized = cut.select("*", salt)
     in_group = sized.groupBy("length", "_salt").count()
@@ -183,7 +185,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
     counts = {r.length: r.n for r in in_group.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     below = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = in_group.select("length", "_salt", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_below"))
-    order = Window.partitionBy("length", "_salt").orderBy(id_col, "start", "ids_crc32")
+    order = Window.partitionBy("length", "_salt").orderBy(id_col, "start", "ids_crc32", "doc_tokens")
     ranked = sized.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, ["length", "_salt"])
     ranked = ranked.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("_rank") + F.col("_below")).alias("_rank"))
 
@@ -200,17 +202,17 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACIT
             at += length * window[length]
         first += times
     table = {k: np.array(v, np.int64) for k, v in slots.items()}
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            rank = batch["_rank"].to_numpy()
-            for length, rows in batch.groupby("length").indices.items():
-                t = table[length]
-                start, first, at, each = t[np.searchsorted(t[:, 0], rank[rows], "right") - 1].T
-                turn, place = np.divmod(rank[rows] - start, each)
-                sequence[rows], offset[rows] = first + turn, at + place * length
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)[names]
-
-    return ranked.mapInPandas(place, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        for size in np.unique(length).tolist():
+            rows, t = np.flatnonzero(length == size), table[size]
+            start, first, at, each = t[np.searchsorted(t[:, 0], rank[rows], "right") - 1].T
+            turn, nth = np.divmod(rank[rows] - start, each)
+            sequence[rows], offset[rows] = first + turn, at + nth * size
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    placed = ranked.withColumn("_place", place("length", "_rank"))
+    return placed.select(id_col, "start", "length", "ids_crc32", "doc_tokens", "_place.*")

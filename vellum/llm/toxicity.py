@@ -187,6 +187,10 @@ class Finder:
 
     def find(self, text: str) -> tuple[int, list[Hit]]:
         """The number of words, and the hits in order."""
+        if len(self.clean) > MEMO:
+            self.clean.clear()
+        if len(self.hits) > MEMO:
+            self.hits.clear()
         chunks = fold(text).split()
         for c in set(chunks) - self.clean:
             if c not in self.hits:
@@ -195,11 +199,6 @@ class Finder:
                     self.clean.add(c)
                 else:
                     self.hits[c] = m
-        if len(self.clean) > MEMO:
-            self.clean.clear()
-        if len(self.hits) > MEMO:
-            self.hits.clear()
-            return self.find(text)
         out = []
         if not self.hits.keys().isdisjoint(chunks):
             for j, c in enumerate(chunks):
@@ -405,7 +404,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.nda
     return b[:-1], float(b[-1])
 
 
-_FINDERS: dict[bytes, Finder] = {}
+#: The model that a worker scored with last, and its finder.
+_LAST: list[tuple[Model, Finder]] = []
 
 
 def score(df: DataFrame, model: Model | None, text_col: str = "text") -> Column:
@@ -417,10 +417,9 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text") -> Column:
         m = held.value
         if m is None:
             return pd.Series(np.zeros(len(batch)))
-        if id(m) not in _FINDERS:  # one for each model and worker
-            _FINDERS.clear()
-            _FINDERS[id(m)] = Finder(m.lexicon)
-        finder = _FINDERS[id(m)]
+        if not _LAST or _LAST[0][0] is not m:  # the model is held, so no other one can take its place in memory
+            _LAST[:] = [(m, Finder(m.lexicon))]
+        finder = _LAST[0][1]
         return pd.Series([1 / (1 + math.exp(-min(40.0, max(-40.0, float(features(*finder.find(t), m.context) @ m.weights) + m.bias)))) for t in texts(batch)])
 
     return scores(F.col(text_col))

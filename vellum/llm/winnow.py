@@ -14,6 +14,7 @@ sets of hashes: 1 for two empty ones, 0 for an empty one and another.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -22,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches
+from vellum.llm.common import discard, mapped, small_batches, written
 
 #: Code points in a gram (a power of two) and hashes in a window: runs of 31 are found.
 GRAM, WINDOW = 16, 16
-#: Documents between two cuts of the order of ids.
-RUN = 2_000
+#: Runs of documents, for each partition of a shuffle.
+RUNS = 8
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -77,78 +78,103 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``id_col``, ``hashes`` and ``positions`` for every row; further columns are ignored."""
-    small_batches(df.sparkSession)
+
+    def row(text: str) -> tuple:
+        chosen = winnow(text, gram, window).astype(np.int64)
+        return chosen[:, 0], chosen[:, 1]
+
+    return mapped(df, id_col, text_col, "hashes array<bigint>, positions array<bigint>", row)
+
+
+def _starts(rows: DataFrame, runs: int) -> list[tuple[int, int]]:
+    """(id, h) of the rows that open some ``runs`` runs of about equal size, in order: no more than runs and partitions."""
+    n = rows.count()
+    every = max(1, -(-n // runs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = 0
         for batch in batches:
-            chosen = [winnow(t if isinstance(t, str) else "", gram, window) for t in batch.iloc[:, 1]]
-            yield pd.DataFrame({id_col: batch.iloc[:, 0], "hashes": [c[:, 0].astype(np.int64) for c in chosen], "positions": [c[:, 1].astype(np.int64) for c in chosen]})
+            yield batch.iloc[np.flatnonzero((at + np.arange(len(batch))) % every == 0)]
+            at += len(batch)
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, hashes array<long>, positions array<long>")
+    ordered = rows.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
+    return sorted({(r[0], r[1]) for r in ordered.mapInPandas(run, "_id long, _h long").collect()})
 
 
-def in_runs(df: DataFrame, id_col: str, run_rows: int = RUN) -> DataFrame:
-    """Deals rows to runs of ascending ids, so that each row has its successor in its run.
+def in_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, _h, _run, _tail): rows dealt to runs in the order of (id, h), h a hash of the text, so that each row has its successor in its run.
 
-    The cuts are quantiles of the ids (8 bytes for some ``run_rows`` rows).  The first
-    document of a run is dealt to the run before it, too, as its last row
-    (``_tail``), and the very first one to the last run: after the last document
-    comes the first.  Rows arrive sorted by (run, tail, id).  Rows without an id form a run of their own.
+    The row that opens a run is dealt to the run before it, too, as its last row (``_tail``), and the very
+    first one to the last run: after the last document comes the first.  Rows arrive sorted.  All ids are whole numbers
+    throughout.  Rows without an id aren't among them.
     """
-    ids = df.select(id_col).where(F.col(id_col).isNotNull())
-    n, least = ids.agg(F.count("*"), F.min(id_col)).first()
-    runs = max(1, -(-n // run_rows))
-    cuts = sorted({least, *ids.approxQuantile(id_col, [i / runs for i in range(1, runs)], 1 / (4 * runs))} if n and runs > 1 else {least} if n else set())
-    # a run starts at the least id that isn't below its cut: cuts are ids of rows
-    starts = np.array(cuts, np.float64).astype(np.int64)
-
-    @F.pandas_udf("long")
-    def run_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.where(i.isna(), -1, np.searchsorted(starts, i.fillna(0).to_numpy(np.int64), "right") - 1))
-
-    @F.pandas_udf("long")
-    def before(i: pd.Series) -> pd.Series:
-        at = np.searchsorted(starts, i.fillna(0).to_numpy(np.int64))
-        hit = i.notna().to_numpy() & (at < len(starts))
-        hit[hit] = starts[at[hit]] == i.to_numpy()[hit].astype(np.int64)
-        return pd.Series(np.where(hit, (at - 1) % max(1, len(starts)), -1)).astype("Int64").where(pd.Series(hit))
-
-    places = F.array(F.struct(run_of(id_col).alias("run"), F.lit(False).alias("tail")), F.struct(before(id_col).alias("run"), F.lit(True).alias("tail")))
-    dealt = df.withColumn("_place", F.explode(places)).where("_place.run IS NOT NULL")
-    dealt = dealt.select("*", F.col("_place.run").alias("_run"), F.col("_place.tail").alias("_tail")).drop("_place")
-    return dealt.repartition("_run").sortWithinPartitions("_run", "_tail", id_col)
+    spark = df.sparkSession
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id IS NOT NULL").withColumn("_h", F.xxhash64("_text"))
+    slim = written(docs.select("_id", "_h"), "order")
+    starts = _starts(slim, RUNS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ids, marks = np.array([i for i, _ in starts], np.int64), [h for _, h in starts]
+    discard(slim)
+
+    @F.pandas_udf("array<struct<run:bigint,tail:boolean>>")
+    def places(i: pd.Series, h: pd.Series) -> pd.Series:
+        i, h = i.to_numpy(np.int64), h.to_numpy(np.int64)
+        low, high = np.searchsorted(ids, i, "left"), np.searchsorted(ids, i, "right")
+        out = []
+        for a, b, mark in zip(low.tolist(), high.tolist(), h.tolist(), strict=True):
+            opens = False
+            if a < b:  # a row that shares its id with one that opens a run
+                at = bisect.bisect_left(marks, mark, a, b)
+                opens = at < b and marks[at] == mark
+                b = at + opens
+            place = [(b - 1, False)]
+            if opens:
+                place.append(((b - 2) % len(marks), True))
+            out.append(place)
+        return pd.Series(out)
+
+    dealt = docs.withColumn("_place", F.explode(places("_id", "_h")))
+    dealt = dealt.select("_id", "_text", "_h", F.col("_place.run").alias("_run"), F.col("_place.tail").alias("_tail"))
+    return dealt.repartition("_run").sortWithinPartitions("_run", "_tail", "_id", "_h")
 
 
 def edited_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints every text and its edited text, and compares both with the next document.
 
     The edited text has its last quarter replaced by the beginning of the next
-    document, in ascending order of ids.  A document that is alone is its own
-    next.  Of repeated ids, each row's next is the following row (order among
-    them is by text), and only the first opens a run.  Rows without an id are
-    left out, as they have no place in the order.
+    document, in ascending order of ids; rows that share an id come in the order
+    of a hash of their texts, and rows with equal ids and texts follow each
+    other.  A document that is alone is its own next, and so is each row
+    without an id, as it has no place in the order.
     """
     small_batches(df.sparkSession)
-    df = df.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def row(i: int, text: str, mine: np.ndarray, after: str, theirs: np.ndarray) -> tuple:
+    def row(text: str, mine: np.ndarray, after: str, theirs: np.ndarray) -> tuple:
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + after[:quarter]
         changed = winnow(edited)
         own = np.unique(mine[:, 0])
-        return i, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(mine), fingerprint(changed), likeness(own, np.unique(changed[:, 0])), likeness(own, np.unique(theirs[:, 0]))
+        return len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(mine), fingerprint(changed), likeness(own, np.unique(changed[:, 0])), likeness(own, np.unique(theirs[:, 0]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             out = []
-            for i, text, r, tail in zip(*(batch.iloc[:, k] for k in range(4)), strict=True):
+            for i, text, r, tail in zip(*(batch[c] for c in ("_id", "_text", "_run", "_tail")), strict=True):
+                if tail and held is None:
+                    continue  # a further copy of the row that opens the next run
                 text = text if isinstance(text, str) else ""
                 chosen = winnow(text)
                 if held is not None and held[3] == r:
-                    out.append(row(held[0], held[1], held[2], text, chosen))
+                    out.append((held[0], *row(held[1], held[2], text, chosen)))
                 held = None if tail else (i, text, chosen, r)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=["_id", *names])
+
+    def lone(text: str) -> tuple:
+        chosen = winnow(text)
+        return row(text, chosen, text, chosen)
 
-    return in_runs(df, id_col).mapInPandas(run, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    placed = in_runs(df, id_col, text_col).mapInPandas(run, f"_id long, {schema}")
+    nameless = mapped(df.where(F.col(id_col).isNull()), id_col, text_col, schema, lone)
+    return placed.withColumnRenamed("_id", id_col).unionByName(nameless)
