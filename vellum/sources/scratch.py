@@ -27,15 +27,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+#: While it is on, a query's shuffle files go when the query ends, and not only when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor never makes Spark run the steps
-    before it again, and several readers share one computation.
+    before it again, and several readers share one computation.  The shuffle
+    files of the steps before go at once, as nothing needs them any more.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before:
+            spark.conf.set(_CLEANUP, before)
+        else:
+            spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
