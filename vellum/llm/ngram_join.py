@@ -370,11 +370,12 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     full = sets.where("n > 0 AND id IS NOT NULL")
     # one row stands for a node
     chosen = full.groupBy("node").agg(F.min(F.struct("id", "h")).alias("one")).select("node", "one.*")
-    single = full.join(chosen, ["node", "id", "h"], "left_semi")
+    single = written(full.join(chosen, ["node", "id", "h"], "left_semi"), "nodes")
+    discard(sets)
     shared = _shared(single.select("node", F.explode("keys").alias("key")).select("key", "node"))
     facts = single.select("node", "id", "h", "n", "sketch").join(shared.select("node").distinct(), "node", "left_semi")
     facts = written(facts.dropDuplicates(["node"]), "facts")
-    discard(sets)
+    discard(single)
     # texts that may have to be verified, moved once; sorted, whatever the sizes, so that the plan is the same at every size
     held = docs.join(facts.select("node", "id", "h").hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"])
     return rows, shared, facts, written(held.select("node", "text"), "texts")
