@@ -40,15 +40,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "")
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before:
-            spark.conf.set(_CLEANUP, before)
-        else:
-            spark.conf.unset(_CLEANUP)
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
