@@ -45,3 +45,38 @@ def transformed(matrix: tuple[float, ...], x: Column, y: Column) -> tuple[Column
     """A point under a matrix (a, b, c, d, e, f)."""
     a, b, c, d, e, f = matrix
     return x * a + y * c + e, x * b + y * d + f
+
+
+def multiplied(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, ...]:
+    """The matrix (a to f) that applies ``a`` first and then ``b``."""
+    return (
+        a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3],
+        a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5],
+    )
+
+
+def unit_box(m: tuple[Column, ...]) -> tuple[Column, ...]:
+    """The box around the unit square under a matrix."""
+    a, b, c, d, e, f = m
+    xs, ys = (e, a + e, c + e, a + c + e), (f, b + f, d + f, b + d + f)
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
+#: Points in an inch.
+POINTS = 72.0
+
+
+def to_pixels(x: Column, y: Column, height: Column, dpi: Column) -> tuple[Column, Column]:
+    """A point of a page, whose origin is below, as pixels from above."""
+    return x * dpi / POINTS, (height - y) * dpi / POINTS
+
+
+def from_pixels(px: Column, py: Column, height: Column, dpi: Column) -> tuple[Column, Column]:
+    return px * POINTS / dpi, height - py * POINTS / dpi
+
+
+def to_visual(x: Column, y: Column, width: Column, height: Column, turn: Column) -> tuple[Column, Column]:
+    """A point as it is seen on a page that is turned clockwise, from the lower left of what is seen."""
+    vx = F.when(turn == 90, y).when(turn == 180, width - x).when(turn == 270, height - y).otherwise(x)
+    vy = F.when(turn == 90, width - x).when(turn == 180, height - y).when(turn == 270, x).otherwise(y)
+    return vx, vy

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,19 +66,33 @@ def alnum(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct neighbouring pairs of characters."""
-    one = F.split(text, "")  # an array, as finding the n-th character of a string takes n steps
-    n = F.length(text)
-    two = F.zip_with(F.slice(one, F.lit(1), n - 1), F.slice(one, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(two))
+#: The alphabet of ``alnum``; a pair of its signs is a bit of a set of 36 times 36.
+_SIGNS = b"0123456789abcdefghijklmnopqrstuvwxyz"
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct values; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, 1.0).otherwise(both / either)
+@F.pandas_udf(DoubleType())
+def pair_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard similarity of the sets of neighbouring signs of two ``alnum`` texts; 1 if neither has a pair, null beside a null.
+
+    A set is a bitmap of fixed size, so a text of any length costs one pass.
+    """
+    place = np.zeros(256, np.int16)
+    place[list(_SIGNS)] = np.arange(len(_SIGNS))
+
+    def pairs(text: str) -> np.ndarray:
+        at = place[np.frombuffer(text.encode(), np.uint8)]
+        out = np.zeros(len(_SIGNS) ** 2, bool)
+        out[at[:-1] * len(_SIGNS) + at[1:]] = True
+        return out
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        p, q = pairs(x), pairs(y)
+        either = int((p | q).sum())
+        return int((p & q).sum()) / either if either else 1.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Float64")
 
 
 def letters_and_digits(text: Column) -> Column:
@@ -117,7 +132,7 @@ def dehyphenated(text: Column) -> Column:
 
 def list_marker(line: Column) -> Column:
     """The bullet, number or letter that opens a list item; empty if none does."""
-    return F.regexp_extract(line, r"^[ \t]*([•‣◦▪*-]|[0-9]{1,3}[.)]|[A-Za-z][.)])(?:[ \t]|$)", 1)
+    return F.regexp_extract(line, r"^ *([•·‣◦*⁃∙\-–—]|[0-9]{1,3}[.)]|\p{L}[.)])(?: |$)", 1)
 
 
 def collapsed_message(message: Column, width: int = 66) -> Column:
@@ -125,9 +140,94 @@ def collapsed_message(message: Column, width: int = 66) -> Column:
     return F.left(F.regexp_replace(message, "[0-9]+", "N"), F.lit(width))
 
 
+#: Strong right-to-left letters: Hebrew to Arabic Extended but for digits, and presentation forms (fixed ranges).
+_RTL = "\u0590-\u065f\u066a-\u06ef\u06fa-\u08ff\ufb1d-\ufdff\ufe70-\ufeff"
+
+
 def has_rtl(text: Column) -> Column:
-    """Whether a strong right-to-left letter occurs (Hebrew, Arabic and their presentation forms)."""
-    return text.rlike("[֐-ࣿיִ-﷿ﹰ-ﻼ]")
+    """Whether a strong right-to-left letter occurs."""
+    return text.rlike(f"[{_RTL}]")
+
+
+_IS_RTL = re.compile(f"[{_RTL}]")
+
+
+def _bidi_class(c: str) -> str:
+    """R, digit (D), neutral (N: blanks, punctuation, symbols) or other (O)."""
+    if c in "0123456789" or "\u0660" <= c <= "\u0669" or "\u06f0" <= c <= "\u06f9":
+        return "D"
+    if _IS_RTL.match(c):
+        return "R"
+    return "N" if c.isspace() or unicodedata.category(c)[0] in "PS" else "O"
+
+
+#: What keeps its order in a run that turns: a number, with single separators between its digits.
+_ISLAND = re.compile(r"\d+(?:[.,:/+-]\d+)*|.", re.S)
+
+
+def logical_order(text: str | None) -> str | None:
+    """A line in the order in which it was painted, with its right-to-left runs turned to the order in which they are read.
+
+    A run goes from one strong letter to another with neutral signs between.  Where nothing on the line is strong the
+    other way, numbers belong to runs, too, and keep their own order.
+    """
+    if not text or not _IS_RTL.search(text):
+        return text
+    kinds = "".join(map(_bidi_class, text))
+    members = "R" if "O" in kinds else "RD"
+    out = list(text)
+    for run in re.finditer(f"[{members}](?:[{members}N]*[{members}])?", kinds):
+        start, end = run.span()
+        if "R" in run.group():
+            out[start:end] = "".join(reversed(_ISLAND.findall(text[start:end])))
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def _logical_batches(text: pd.Series) -> pd.Series:
+    return text.map(logical_order, na_action="ignore")
+
+
+def in_logical_order(text: Column) -> Column:
+    """``logical_order`` of a column; Python sees only texts with right-to-left letters."""
+    return F.when(has_rtl(text), _logical_batches(F.when(has_rtl(text), text))).otherwise(text)
+
+
+def folded_letters(values: list[str | None]) -> list[str]:
+    """Each letter folded by itself; one that opens with a combining mark joins the last letter that isn't empty."""
+    out: list[str] = []
+    last = -1
+    for v in values:
+        f = fold_for_matching(v or "") or ""
+        if f and last >= 0 and unicodedata.category(f[0])[0] == "M":
+            out[last] = fold_for_matching(out[last] + f) or ""
+            f = ""
+        elif f:
+            last = len(out)
+        out.append(f)
+    return out
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of at most ``width`` signs, filled word by word; breaks of the text stay and a longer word has a line of its own.
+
+    Nothing is wrapped for a width of 0 or less.
+    """
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
+
+    def fill(line: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("at"))
+
+        def add(state: Column, word: Column) -> Column:
+            longer = F.concat(state["at"], F.lit(" "), word)
+            grown = F.struct(state["done"].alias("done"), F.when(state["at"] == "", word).otherwise(longer).alias("at"))
+            ended = F.struct(F.array_append(state["done"], state["at"]).alias("done"), word.alias("at"))
+            return F.when((state["at"] != "") & (F.length(longer) > width), ended).otherwise(grown)
+
+        whole = F.aggregate(F.split(line, " ", -1), start, add, lambda s: F.when(s["at"] == "", s["done"]).otherwise(F.array_append(s["done"], s["at"])))
+        return F.when(line == "", F.array(F.lit(""))).otherwise(whole)
+
+    return F.flatten(F.transform(lines, fill)) if width > 0 else lines
 
 
 def without_terms(text: Column, terms: Sequence[str], ignore_case: bool = True) -> Column:

@@ -33,6 +33,23 @@ def byte_range(a: Column, b: Column, c: Column, d: Column, size: Column) -> tupl
     return valid, valid & (c + d == size)
 
 
+def signature_error(ranges: Column, size: Column, contents: Column) -> Column:
+    """What is wrong with a signature's byte ranges (start and length, twice) in a file of a size; null if nothing is.
+
+    ``contents`` are the places (from, to) of signature values in the file: one of them must be the gap between the
+    two ranges.
+    """
+    v = [F.get(ranges, F.lit(i)) for i in range(4)]
+    whole = F.forall(ranges, lambda x: x.isNotNull() & (F.abs(x - F.round(x)) < 1e-7))
+    a, b, c, d = (F.round(x).cast("long") for x in v)
+    return (
+        F.when(F.coalesce(F.size(ranges) != 4, F.lit(True)), "expected exactly four numbers").when(~whole, "an entry is not an integer")
+        .when((a < 0) | (b < 0) | (c < 0) | (d < 0), "offsets and lengths must be non-negative").when(a != 0, "first range must start at byte 0")
+        .when((b > size) | (c > size) | (d > size - c), "range extends beyond end of file").when(a + b > c, "ranges overlap")
+        .when(~F.exists(contents, lambda x: (x["from"] == a + b) & (x["to"] == c)), "the value does not match the gap")
+    )
+
+
 def batch_report(steps: DataFrame, batch: str, order: str, failed: Column, stops: bool = True) -> DataFrame:
     """Steps run and failed of each batch, its status and exit code; after a failure the rest is skipped."""
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

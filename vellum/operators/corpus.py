@@ -13,9 +13,34 @@ def exact(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("decimal(20,4)")
 
 
-def nearest_rank(value: Column | str, p: float) -> Column:
-    """The least value at or above the share ``p`` of the values; null of none."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+#: Buckets for each doubling of a value, where percentiles are searched.
+FINE = 64
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Keys with the least value at or above each share of a group's values, exact, by name; groups of nulls alone have no row.
+
+    Equal values are counted first.  Counts are added up by buckets of values, whose running totals (some thousand
+    rows for a group) tell the bucket of each share; only that bucket's values are then looked at one by one.  So no
+    task holds a group.
+    """
+    keys = list(keys)
+    v = F.col("_v").cast("double")
+    bucket = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * FINE)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket)
+    by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    ends = by_bucket.withColumn("_end", F.sum("_n").over(up_to)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("share")) for n, p in shares.items()]))
+    wanted = ends.withColumn("_q", asked).withColumn("_rank", F.col("_q.share") * F.col("_all"))
+    wanted = wanted.where((F.col("_end") >= F.col("_rank")) & ((F.col("_end") - F.col("_n") < F.col("_rank")) | ((F.col("_rank") <= 0) & (F.col("_end") == F.col("_n")))))
+    wanted = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_wb"), F.col("_q.name").alias("_name"), "_rank", (F.col("_end") - F.col("_n")).alias("_before"))
+    on = counts["_b"] == wanted["_wb"]
+    for k in keys:
+        on = on & counts[k].eqNullSafe(wanted[f"_k_{k}"])
+    within = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.join(wanted, on).withColumn("_end", F.sum("_n").over(within) + F.col("_before")).where(F.col("_end") >= F.col("_rank"))
+    return at.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in shares])
 
 
 def upper_median(value: str) -> Column:
@@ -30,15 +55,113 @@ def histogram(df: DataFrame, *keys: str) -> DataFrame:
 
 def hotspots(df: DataFrame, phase: str, ms: str, top: int = 0) -> DataFrame:
     """Per phase: count, total, mean, median, 95th percentile, greatest, and share of the total; ``top <= 0`` is all."""
-    out = df.groupBy(phase).agg(
-        F.count("*").alias("n"), F.sum(exact(ms)).alias("_total"), nearest_rank(ms, 0.5).alias("p50"), nearest_rank(ms, 0.95).alias("p95"), F.max(ms).alias("most")
-    )
+    out = df.groupBy(phase).agg(F.count("*").alias("n"), F.sum(exact(ms)).alias("_total"), F.max(ms).alias("most"))
+    out = out.join(percentiles(df, [phase], ms, {"p50": 0.5, "p95": 0.95}), phase, "left")
     # the window runs over one row for each phase
     out = out.withColumn("share", F.round(F.col("_total").cast("double") / F.sum("_total").over(Window.partitionBy(F.lit(1))).cast("double"), 6))
     out = out.select(phase, "n", F.col("_total").cast("double").alias("total"), F.round(F.col("_total").cast("double") / F.col("n"), 4).alias("mean"), "p50", "p95", "most", "share")
     return out.orderBy(F.desc("total"), phase).limit(top) if top > 0 else out
 
 
+#: Renderers with the phases that a time of theirs belongs to: drawn, read from a cache, and as drawn when it was cached.
+RENDERERS = ("own", "r1", "r2", "r3", "r4", "r5")
+OVERHEAD = "compare-classify-and-overhead"
+
+
+def render_phases(df: DataFrame, renderers: Sequence[str] = RENDERERS) -> DataFrame:
+    """(phase, ms) of scan entries: for each renderer its time (``_ms``), cold or from the cache (``_hit``), the time
+    when it was cached (``_cached_ms``), and what of ``elapsed_ms`` is left, not less than 0."""
+    rows, measured = [], F.lit(0)
+    for r in renderers:
+        ms, hit = F.col(f"{r}_ms"), F.coalesce(F.col(f"{r}_hit"), F.lit(False))
+        rows.append(F.struct(F.when(hit, f"{r}-cache-read").otherwise(f"{r}-render").alias("phase"), ms.alias("ms")))
+        rows.append(F.struct(F.lit(f"{r}-cached-original").alias("phase"), F.col(f"{r}_cached_ms").alias("ms")))
+        measured = measured + F.coalesce(ms, F.lit(0))
+    rows.append(F.struct(F.lit(OVERHEAD).alias("phase"), F.greatest(F.lit(0), F.col("elapsed_ms") - measured).alias("ms")))
+    # greatest() passes over nulls, so a page without a time of its own is asked for
+    long = df.select("elapsed_ms", F.explode(F.array(*[F.struct(x["phase"].alias("phase"), x["ms"].cast("long").alias("ms")) for x in rows])).alias("x")).select("elapsed_ms", "x.*")
+    return long.where(F.col("ms").isNotNull() & ~((F.col("phase") == OVERHEAD) & F.col("elapsed_ms").isNull())).select("phase", "ms")
+
+
+def cache_counts(df: DataFrame, renderers: Sequence[str] = RENDERERS) -> DataFrame:
+    """(renderer, state, n): hits, misses, and times without a word about the cache, which is a third thing."""
+    rows = [F.struct(F.lit(r).alias("renderer"), F.col(f"{r}_ms").alias("ms"), F.col(f"{r}_hit").alias("hit")) for r in renderers]
+    long = df.select(F.explode(F.array(*rows)).alias("x")).where("x.ms IS NOT NULL")
+    state = F.when(F.col("x.hit").isNull(), "uncached").when(F.col("x.hit"), "hit").otherwise("miss")
+    return long.groupBy(F.col("x.renderer").alias("renderer"), state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def count_maps(df: DataFrame, maps: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """(map, key, n) of several count maps in one pass, each given as (which rows, key)."""
+    found = F.array(*[F.struct(F.lit(name).alias("map"), rows.alias("on"), key.cast("string").alias("key")) for name, (rows, key) in maps.items()])
+    return df.select(F.explode(found).alias("x")).where("x.on").groupBy("x.map", "x.key").agg(F.count("*").alias("n"))
+
+
+def named(value: Column, blank: str) -> Column:
+    """A value, or ``blank`` for null and white space."""
+    return F.when(F.length(F.trim(F.coalesce(value, F.lit("")))) > 0, value).otherwise(F.lit(blank))
+
+
+#: Workloads by what their phases begin with, and by phases (fixed values; the first that fits counts).
+WORKLOADS = (
+    ("gui.document-open.", "gui.document-open"), ("gui.input.", "gui.input"), ("gui.render.", "gui.render"), ("gui.search.", "gui.search"), ("gui.annotation.", "gui.annotation"),
+    ("gui.form.", "gui.form"), ("gui.page-organization.", "gui.page-organization"), ("gui.redaction.", "gui.redaction"), ("gui.save.", "gui.save"), ("gui.close.", "gui.close"),
+    ("gui.thumbnail.", "gui.thumbnail"), ("own-render", "renderer.page-render"), ("reference-", "reference.external-render"),
+)
+WORKLOAD_OF = {
+    "viewer-render-and-capture": "gui.display-render-capture", "image-source-diff": "gui.display-render-capture", "dimension-check": "gui.display-render-capture",
+    "semantic-status-policy": "gui.display-render-capture", OVERHEAD: "corpus.compare-classify",
+}
+
+
+def workload(phase: Column) -> Column:
+    """The workload of a phase, by its beginning, else by its name; "unknown" if none fits."""
+    by_name = F.create_map(*[F.lit(x) for kv in WORKLOAD_OF.items() for x in kv])
+    out = F.coalesce(F.try_element_at(by_name, phase), F.lit("unknown"))
+    for prefix, name in reversed(WORKLOADS):
+        out = F.when(phase.startswith(prefix), name).otherwise(out)
+    return out
+
+
+def compared_keys(budgets: DataFrame, measured: DataFrame, step: str, key: str) -> DataFrame:
+    """(step, compared, missing): keys of budgets that were measured, and those that weren't, in order."""
+    seen = measured.select(step, key).distinct().withColumn("_seen", F.lit(True))
+    held = budgets.select(step, key).distinct().join(seen, [step, key], "left")
+    missing = F.sort_array(F.collect_list(F.when(F.col("_seen").isNull(), F.col(key).cast("string"))))
+    return held.groupBy(step).agg(F.count("_seen").alias("compared"), F.concat_ws(",", missing).alias("missing"))
+
+
+def gated(rows: DataFrame, group: Sequence[str], ratio: str, key: str) -> DataFrame:
+    """Groups with their worst ratio and the key that contributes it; the first of equal ones."""
+    worst = F.min(F.struct((-F.col(ratio)).alias("r"), key))
+    out = rows.where(F.col(ratio).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), worst.alias("m"))
+    return out.select(*group, "n", (-F.col("m.r")).alias("worst"), F.col(f"m.{key}").alias("contributor"))
+
+
+def difference_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of samples (ar, ag, ab, br, bg, bb; 0 to 255): mean steps of luminance and chroma of those that differ, and how even dark ones are.
+
+    The balance is the lesser count of dark samples for the greater one; 1 if neither image has any.
+    """
+
+    def y(s: str) -> Column:
+        return 0.299 * F.col(f"{s}r") + 0.587 * F.col(f"{s}g") + 0.114 * F.col(f"{s}b")
+
+    def chroma(s: str) -> tuple[Column, Column]:
+        r, g, b = (F.col(f"{s}{c}") for c in "rgb")
+        return -0.168736 * r - 0.331264 * g + 0.5 * b, 0.5 * r - 0.418688 * g - 0.081312 * b
+
+    (ab, ar), (bb, br) = chroma("a"), chroma("b")
+    differs = (F.col("ar") != F.col("br")) | (F.col("ag") != F.col("bg")) | (F.col("ab") != F.col("bb"))
+    rows = df.select(*keys, differs.alias("differs"), F.abs(y("a") - y("b")).alias("y"), ((F.abs(ab - bb) + F.abs(ar - br)) / 2).alias("c"), (y("a") < 128).alias("da"), (y("b") < 128).alias("db"))
+    out = rows.groupBy(*keys).agg(
+        F.count_if("differs").alias("differing"), F.avg(F.when(F.col("differs"), F.col("y"))).alias("y"), F.avg(F.when(F.col("differs"), F.col("c"))).alias("c"),
+        F.count_if("da").alias("da"), F.count_if("db").alias("db"),
+    )
+    balance = F.when(F.greatest("da", "db") == 0, 1.0).otherwise(F.least("da", "db") / F.nullif(F.greatest("da", "db"), F.lit(0)))
+    return out.select(*keys, "differing", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("luminance"), F.round(F.coalesce("c", F.lit(0.0)), 4).alias("chroma"), F.round(balance, 6).alias("dark_balance"))
+
+
 def unpivoted(df: DataFrame, id_col: str, timers: Sequence[str]) -> DataFrame:
     """(id, timer, ms) rows of timer columns; null timers have no row."""
     return df.unpivot(id_col, list(timers), "timer", "ms").where("ms IS NOT NULL")

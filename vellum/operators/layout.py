@@ -5,11 +5,15 @@ All windows are partitioned by line or page, whose size doesn't grow with the co
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.functions.text import dehyphenated, list_marker
 from vellum.operators.corpus import upper_median
 from vellum.sources.tables import is_blank
 
@@ -45,15 +49,282 @@ def column_bands(boxes: DataFrame, keys: tuple[str, ...], gap: float) -> DataFra
     return numbered.groupBy(*keys, "band").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("n"))
 
 
+def with_spaces(letters: DataFrame) -> DataFrame:
+    """Glyphs with ``space``, whether a space is meant before them.
+
+    A line that holds white space separates its words itself.  Else a gap of over a quarter of the glyphs' size is a
+    space; where widths are degenerate (their median is under a fifth of the size), an advance of over one and a half
+    times the median advance is.
+    """
+    whole, order = Window.partitionBy(*_LINE), Window.partitionBy(*_LINE).orderBy("c")
+    size = F.first(F.col("top") - F.col("bottom")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    advance = F.abs(F.col("left") - F.lag("left").over(order))
+    gap = F.greatest(F.col("left") - F.lag("right").over(order), F.lag("left").over(order) - F.col("right"))
+    held = letters.withColumns({"_size": size, "_gap": gap, "_advance": advance, "_blanks": F.count_if(is_blank(F.col("value"))).over(whole)})
+    bare = F.col("_blanks") == 0  # medians are taken of such lines alone
+    held = held.withColumns({"_width": _middle(F.when(bare, F.abs(F.col("right") - F.col("left")))).over(whole), "_usual": _middle(F.when(bare, F.col("_advance"))).over(whole)})
+    by_advance = (F.col("_size") > 0) & (F.col("_width") < 0.2 * F.col("_size")) & (F.col("_usual") > 0)
+    wide = F.when(by_advance, F.col("_advance") > 1.5 * F.col("_usual")).otherwise((F.col("_size") > 0) & (F.col("_gap") > 0.25 * F.col("_size")))
+    return held.withColumn("space", (F.col("_blanks") == 0) & F.coalesce(wide, F.lit(False))).drop("_size", "_gap", "_advance", "_width", "_usual")
+
+
+def _middle(value: Column) -> Column:
+    """The median, the mean of the two middle values of an even number."""
+    return F.percentile(value, 0.5)
+
+
 def inferred_spaces(letters: DataFrame) -> DataFrame:
     """Lines by spaces that they hold, or that gaps between glyphs stand for where they hold none."""
-    w = Window.partitionBy(*_LINE).orderBy("c")
-    gap = F.col("left") - F.lag("right").over(w)
-    marked = letters.withColumn("_wide", (gap > 0.25 * (F.col("top") - F.col("bottom"))).cast("int")).withColumn("_blank", is_blank(F.col("value")).cast("int"))
-    out = marked.groupBy(*_LINE).agg(F.sum("_blank").alias("blanks"), F.sum(F.coalesce("_wide", F.lit(0))).alias("gaps"), F.count("*").alias("glyphs"))
+    out = with_spaces(letters).groupBy(*_LINE).agg(F.first("_blanks").alias("blanks"), F.count_if("space").alias("gaps"), F.count("*").alias("glyphs"))
     return out.select(*_LINE, "glyphs", F.when(F.col("blanks") > 0, F.col("blanks")).otherwise(F.col("gaps")).alias("spaces"), (F.col("blanks") == 0).alias("inferred"))
 
 
+def _joined(*parts: str) -> Column:
+    """The last of ``parts`` of a group's rows joined in the order of the others."""
+    return F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(*parts))), lambda x: x[parts[-1]]))
+
+
+def cropped(letters: DataFrame, crops: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+    """Glyphs that aren't wholly above or below their page's crop box (touching counts as outside), without those of hidden layers.
+
+    ``crops`` are (doc_id, page_no, box), in any corner order; ``hidden`` are layers (doc_id, layer) that are off.
+    """
+    low, high = F.least("crop_bottom", "crop_top"), F.greatest("crop_bottom", "crop_top")
+    boxes = crops.select("doc_id", "page_no", F.col("bottom").alias("crop_bottom"), F.col("top").alias("crop_top"))
+    kept = letters.join(boxes, ["doc_id", "page_no"]).where(~((F.greatest("top", "bottom") <= low) | (F.least("top", "bottom") >= high)))
+    return kept if hidden is None else kept.join(hidden.select("doc_id", "layer").distinct(), ["doc_id", "layer"], "left_anti")
+
+
+def area_text(letters: DataFrame, areas: DataFrame, rise: float = 5.0, gap: float = 2.5) -> DataFrame:
+    """(doc_id, page_no, area_id, text) of the glyphs whose centres areas hold: lines from the top, a space for each gap, trimmed.
+
+    A glyph joins the first line whose first glyph's baseline is less than ``rise`` away, in the order of the page, so
+    an area's glyphs, of which a page has a bounded number, are gone through in one go.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_no", "c"], kind="stable")
+        found: list[tuple[float, list]] = []
+        for y, x, right, value in zip(pdf["bottom"], pdf["left"], pdf["right"], pdf["value"], strict=True):
+            line = next((glyphs for base, glyphs in found if abs(base - y) < rise), None)
+            if line is None:
+                line = []
+                found.append((y, line))
+            line.append((x, right, value))
+        out = []
+        for _, glyphs in sorted(found, key=lambda f: -f[0]):
+            glyphs.sort(key=lambda g: g[0])
+            out.append("".join((" " if i and g[0] - glyphs[i - 1][1] > gap else "") + g[2] for i, g in enumerate(glyphs)))
+        first = pdf.iloc[0]
+        return pd.DataFrame({"doc_id": [first["doc_id"]], "page_no": [first["page_no"]], "area_id": [first["area_id"]], "text": ["\n".join(out).strip()]})
+
+    inside = with_areas(letters, areas).where(removed_by("centre")).select("doc_id", "page_no", "area_id", "line_no", "c", "value", "left", "right", "bottom")
+    return inside.groupBy("doc_id", "page_no", "area_id").applyInPandas(run, "doc_id long, page_no int, area_id int, text string")
+
+
+def joined_lines(letters: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, text, left, centre, height) with the spaces that are meant."""
+    shown = with_spaces(letters).withColumn("_shown", F.concat(F.when(F.col("space"), " ").otherwise(""), "value"))
+    return shown.groupBy("doc_id", "page_no", "line_no").agg(
+        _joined("c", "_shown").alias("text"), F.min("left").alias("left"), F.avg((F.col("bottom") + F.col("top")) / 2).alias("centre"), F.avg(F.col("top") - F.col("bottom")).alias("height")
+    )
+
+
+def smart_join(lines: DataFrame, paragraph: float = 1.6, indent: float = 2.0) -> DataFrame:
+    """(doc_id, page_no, text): lines of a page joined, with blank lines between paragraphs and indented lists, words put together again.
+
+    A gap of over ``paragraph`` times the median leading opens a paragraph, unless the line is an item of a list; items
+    are indented by two spaces for each of at most four levels beyond the page's left edge.
+    """
+    whole, order = Window.partitionBy("doc_id", "page_no"), Window.partitionBy("doc_id", "page_no").orderBy("line_no")
+    drop = F.lag("centre").over(order) - F.col("centre")
+    held = lines.withColumns({"_drop": drop, "_edge": F.min("left").over(whole), "_unit": F.greatest(_middle(F.col("height")).over(whole) * 0.5, F.lit(1.0)), "_item": list_marker(F.col("text")) != ""})
+    held = held.withColumn("_leading", F.coalesce(_middle(F.when(F.col("_drop") > 0, F.col("_drop"))).over(whole), F.lit(0.0)))
+    level = F.greatest(F.lit(0), F.least(F.lit(4), F.bround((F.col("left") - F.col("_edge")) / (F.col("_unit") * indent)))).cast("int")
+    new_paragraph = ~F.col("_item") & (F.col("_leading") > 0) & (F.col("_drop") > paragraph * F.col("_leading"))
+    before = F.when(F.col("_drop").isNull(), "").when(new_paragraph, "\n\n").otherwise("\n")
+    shown = held.withColumn("_shown", F.concat(before, F.when(F.col("_item"), F.repeat(F.lit("  "), level)).otherwise(""), "text"))
+    return shown.groupBy("doc_id", "page_no").agg(dehyphenated(_joined("line_no", "_shown")).alias("text"))
+
+
+def columned(letters: DataFrame) -> DataFrame:
+    """Glyphs with ``place``, their place in the reading order of pages that may have columns.
+
+    A gutter is a gap across the page, wider than three times the usual glyph, beside which blocks of at least three
+    lines run in parallel down half of the page.  Lines that span most of the page without such a gap (headings, page
+    numbers) are left out of the search for it, and stand between the columns above and below them.  A page without a
+    gutter reads line by line.  A page's glyphs are bounded and are gone through in one go.
+    """
+
+    def lines_of(y: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of lines: a glyph joins the first line whose first glyph's centre is within half of the lesser size."""
+        pairs, seen, of = np.unique(np.stack((y, size), 1), axis=0, return_index=True, return_inverse=True)
+        number, firsts = np.zeros(len(pairs), np.int64), []
+        for p in np.argsort(seen).tolist():  # glyphs of one height and size are of one line
+            at, height = pairs[p]
+            fits = (k for k, (y0, h0) in enumerate(firsts) if abs(y0 - at) <= (0.5 * min(height, h0) or 4.0))
+            number[p] = next(fits, len(firsts))
+            if number[p] == len(firsts):
+                firsts.append((at, height))
+        return number[of.ravel()]
+
+    def order_simple(rows: np.ndarray, line: np.ndarray, y: np.ndarray, left: np.ndarray) -> list[int]:
+        first = {k: y[rows[line[rows] == k][0]] for k in np.unique(line[rows])}
+        return sorted(rows.tolist(), key=lambda i: (-first[line[i]], line[i], left[i]))
+
+    def gap_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
+        at = rows[np.argsort(left[rows], kind="stable")]
+        reach = np.maximum.accumulate(right[at])
+        return float((left[at][1:] - reach[:-1]).max(initial=0))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["top", "line_no", "c"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        left, bottom, right, top = (pdf[c].to_numpy(float) for c in _BOX)
+        y, size, centre = (bottom + top) / 2, top - bottom, (left + right) / 2
+        line, every = lines_of(y, size), np.arange(len(pdf))
+        widths = np.sort((right - left)[right > left])
+        wide = 3.0 * widths[len(widths) // 2] if len(widths) else np.inf
+        count, across = int(line.max()) + 1, right.max() - left.min()
+        heads = np.array([y[line == k][0] for k in range(count)])
+        tall = heads.max() - heads.min()
+        spans = np.zeros(count, bool)
+        for k in range(count if across > 0 and np.isfinite(wide) else 0):
+            rows = every[line == k]
+            spans[k] = right[rows].max() - left[rows].min() >= 0.6 * across and gap_of(rows, left, right) < wide
+        gutters = []
+        body = every[~spans[line]]
+        if len(pdf) >= 8 and count >= 4 and np.isfinite(wide) and tall > 0 and len(body):
+            at = body[np.argsort(left[body], kind="stable")]
+            reach = np.maximum.accumulate(right[at])
+            for j in np.flatnonzero(left[at][1:] - reach[:-1] > wide).tolist():
+                middle = (reach[j] + left[at][j + 1]) / 2
+                sides = [every[centre < middle], every[centre >= middle]]
+                blocks = [(lines_of(y[s], size[s]), y[s]) for s in sides]
+                if all(len(b) and b.max() + 1 >= 3 for b, _ in blocks):
+                    ends = [[ys[b == k][0] for k in range(b.max() + 1)] for b, ys in blocks]
+                    if min(map(max, ends)) - max(map(min, ends)) >= 0.5 * tall:
+                        gutters.append(middle)
+        if not gutters:
+            order = order_simple(every, line, y, left)
+        else:
+            order, band = [], []
+            column = np.searchsorted(np.array(sorted(gutters)), centre, "left")
+
+            def flush() -> None:
+                rows = np.array(sorted(band), np.int64)
+                for k in range(len(gutters) + 1):
+                    own = rows[column[rows] == k] if len(rows) else rows
+                    if len(own):
+                        again = np.zeros(len(pdf), np.int64)
+                        again[own] = lines_of(y[own], size[own])
+                        order.extend(order_simple(own, again, y, left))
+                band.clear()
+
+            for k in np.argsort(-heads, kind="stable").tolist():
+                rows = every[line == k]
+                if spans[k]:
+                    flush()
+                    order.extend(rows[np.argsort(left[rows], kind="stable")].tolist())
+                else:
+                    band.extend(rows.tolist())
+            flush()
+        place = np.zeros(len(pdf), np.int64)
+        place[np.array(order, np.int64)] = np.arange(len(pdf))
+        return pdf.assign(place=place)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in letters.schema) + ", place long"
+    return letters.groupBy("doc_id", "page_no").applyInPandas(run, schema)
+
+
+def matched_glyphs(texts: DataFrame, letters: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ix, first, n): where the text of an operator stands among its page's glyphs.
+
+    Of several places that whose glyphs lie closest together, rows weighing eleven times; the first of equal ones.  A
+    text with fill signs that isn't found is tried up to them.  Texts (doc_id, page_no, ix, arg) and glyphs meet page
+    by page.
+    """
+
+    def meaningful(text: str) -> str:
+        return re.split("_{2,}|-{2,}", text)[0].strip()
+
+    def run(ops: pd.DataFrame, glyphs: pd.DataFrame) -> pd.DataFrame:
+        glyphs = glyphs.sort_values(["line_no", "c"], kind="stable")
+        page = "".join(glyphs["value"])
+        left, bottom, right, top = (glyphs[c].to_numpy(float) for c in _BOX)
+        out = []
+        for doc, page_no, ix, text in zip(ops["doc_id"], ops["page_no"], ops["ix"], ops["arg"], strict=True):
+            for needle in (text, meaningful(text) if "_" in text or "-" in text else ""):
+                if not needle or needle != text and len(needle) < 3:
+                    continue
+                best, at = None, page.find(needle)
+                while at >= 0:
+                    s = slice(at, at + len(needle))
+                    spread = right[s].max() - left[s].min() + 11 * (top[s].max() - bottom[s].min())
+                    if best is None or spread < best[0]:
+                        best = (spread, at)
+                    at = page.find(needle, at + 1)
+                if best:
+                    out.append((doc, page_no, ix, best[1], len(needle)))
+                    break
+        return pd.DataFrame(out, columns=["doc_id", "page_no", "ix", "first", "n"])
+
+    keys = ["doc_id", "page_no"]
+    return texts.groupBy(*keys).cogroup(letters.groupBy(*keys)).applyInPandas(run, "doc_id long, page_no int, ix int, first long, n long")
+
+
+def unread_pages(pages: DataFrame, letters: DataFrame, force: bool = False) -> DataFrame:
+    """Pages (doc_id, page_no) that have no glyphs and so would be read by eye; all of them if ``force``."""
+    return pages if force else pages.join(letters.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
+
+
+def without_term(letters: DataFrame, term: str, strategy: str = "any", passes: int = 10) -> DataFrame:
+    """Glyphs that are left when a term is redacted from their pages, whatever its case.
+
+    Each pass finds the term in a page's text and removes the glyphs that the box around each match touches (any), holds
+    (full) or whose centre it has (centre); a removal may bring a term together anew, so passes go on until none is
+    found.  Where a pass removes nothing, or too many were needed, whole lines that still hold the term go.
+    """
+    needle = term.lower()
+
+    def matches(text: str) -> list[int]:
+        out, at = [], text.find(needle)
+        while at >= 0:
+            out.append(at)
+            at = text.find(needle, at + len(needle))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line_no", "c"], kind="stable")
+        for _ in range(passes if needle else 0):
+            # a letter whose small form is longer would shift places, so it counts as itself
+            small = "".join(v.lower() if len(v.lower()) == 1 else v[:1] for v in pdf["value"])
+            found = matches(small)
+            if not found:
+                break
+            left, bottom, right, top = (pdf[c].to_numpy(float) for c in _BOX)
+            gone = np.zeros(len(pdf), bool)
+            for at in found:
+                s = slice(at, at + len(needle))
+                a, b, c, d = left[s].min(), bottom[s].min(), right[s].max(), top[s].max()
+                if strategy == "any":
+                    gone |= (left < c) & (right > a) & (bottom < d) & (top > b)
+                elif strategy == "full":
+                    gone |= (left >= a) & (right <= c) & (bottom >= b) & (top <= d)
+                else:
+                    x, y = (left + right) / 2, (bottom + top) / 2
+                    gone |= (x >= a) & (x <= c) & (y >= b) & (y <= d)
+            if not gone.any():
+                break
+            pdf = pdf[~gone]
+        if needle and len(pdf):
+            text = pdf.groupby("line_no")["value"].agg("".join)
+            pdf = pdf[~pdf["line_no"].isin(text.index[text.str.lower().str.contains(needle, regex=False)])]
+        return pdf
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in letters.schema)
+    return letters.groupBy("doc_id", "page_no").applyInPandas(run, schema)
+
+
 def median_width(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key).agg(upper_median("width").alias("median"), F.count("*").alias("n"))
 
@@ -91,11 +362,16 @@ def hidden_by_later(texts: DataFrame, covers: DataFrame, least: float = 0.5) ->
 
 
 def nearest(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The box that each point of a page hits, else the nearest one, rows weighing forty times; ties go to the first."""
+    """The first box that holds each point of a page, else the nearest one; ties go to the first.
+
+    Rows weigh forty times, and count from the point to the middle of the box.  ``score`` is -1 for a hit.
+    """
     left, bottom, right, top = box()
-    dx = F.greatest(left - F.col("x"), F.col("x") - right, F.lit(0))
-    dy = F.greatest(bottom - F.col("y"), F.col("y") - top, F.lit(0))
-    both = points.join(boxes, ["doc_id", "page_no"]).withColumn("score", (40 * dy + dx).cast("double"))
+    x, y = F.col("x"), F.col("y")
+    inside = x.between(left, right) & y.between(bottom, top)
+    dx = F.greatest(left - x, x - right, F.lit(0))
+    away = (40.0 * F.abs(y - (bottom + top) / 2) + dx).cast("double")
+    both = points.join(boxes, ["doc_id", "page_no"]).withColumn("score", F.when(inside, -1.0).otherwise(away))
     best = both.groupBy("doc_id", "page_no", "point_id").agg(F.min(F.struct("score", "line_no", "c")).alias("m"))
     return best.select("doc_id", "page_no", "point_id", "m.line_no", "m.c", "m.score")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import content, layout
 
 
 def carriers(df: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -54,3 +55,90 @@ def scrub_metadata(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def distinct_terms(terms: DataFrame, column: str = "term", least: int = 3) -> DataFrame:
     """Terms of a length, distinct but for case; of equal ones the least stays."""
     return terms.where(F.length(column) >= least).groupBy(F.lower(column).alias("_key")).agg(F.min(column).alias(column)).select(column)
+
+
+def area_report(letters: DataFrame, ops: DataFrame, areas: DataFrame, strategy: str = "any") -> DataFrame:
+    """(doc_id, kind, n): what redacting areas takes out of documents: glyphs by a strategy, and images that areas touch."""
+    glyphs = layout.with_areas(letters, areas).where(layout.removed_by(strategy)).select("doc_id", "page_no", "line_no", "c").distinct()
+    images = content.image_overlaps(content.with_state(ops), areas).select("doc_id", "page_no", "ix").distinct()
+    kinds = [rows.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(kind).alias("kind"), "n") for rows, kind in ((glyphs, "letters"), (images, "images"))]
+    return kinds[0].unionByName(kinds[1])
+
+
+class Redaction:
+    """Redactions of glyphs and operators, gathered by chained calls and carried out in their order by ``apply``.
+
+    Nothing is computed before: each step is a part of the plan.
+    """
+
+    def __init__(self, letters: DataFrame, ops: DataFrame) -> None:
+        self._letters, self._ops, self._steps = letters, ops, []
+
+    def _then(self, letters=lambda x: x, ops=lambda x: x) -> Redaction:
+        self._steps.append((letters, ops))
+        return self
+
+    def area(self, areas: DataFrame, strategy: str = "any") -> Redaction:
+        """Glyphs of areas by a strategy, and drawn operators, but for texts, that areas touch."""
+
+        def letters(x: DataFrame) -> DataFrame:
+            gone = layout.with_areas(x, areas).where(layout.removed_by(strategy)).select("doc_id", "line_no", "c").distinct()
+            return x.join(gone, ["doc_id", "line_no", "c"], "left_anti")
+
+        def ops(x: DataFrame) -> DataFrame:
+            shown = content.category(F.col("name")) == "TextShowing"
+            return x.where(shown).unionByName(content.without_area(x.where(~shown), areas))
+
+        return self._then(letters, ops)
+
+    def text(self, term: str, strategy: str = "any") -> Redaction:
+        return self._then(lambda x: layout.without_term(x, term, strategy))
+
+    def letters(self, which: Column) -> Redaction:
+        """Glyphs for which a condition holds."""
+        return self._then(lambda x: x.where(~F.coalesce(which, F.lit(False))))
+
+    def all_text(self) -> Redaction:
+        return self._then(lambda x: x.limit(0), lambda x: content.without_category(x, "TextShowing"))
+
+    def category(self, *kinds: str) -> Redaction:
+        return self._then(ops=lambda x: content.without_category(x, *kinds))
+
+    def apply(self) -> tuple[DataFrame, DataFrame]:
+        """The glyphs and the operators that are left."""
+        letters, ops = self._letters, self._ops
+        for on_letters, on_ops in self._steps:
+            letters, ops = on_letters(letters), on_ops(ops)
+        return letters, ops
+
+
+#: Characters that a term has to have to be looked for in a copy.
+LEAST_PREVIEW = 3
+
+
+def safe_copy(docs: DataFrame, previews: DataFrame, hidden: DataFrame, images: DataFrame, checks: tuple[bool, bool, bool] = (True, True, True)) -> DataFrame:
+    """What can be said of redacted copies (doc_id, text, skipped, info, xmp, attachments): a row for each.
+
+    ``previews`` are terms that were redacted (doc_id, term); ``hidden`` and ``images`` are findings of the audits
+    (doc_id, n).  A check that is off, or has nothing to look at, is NotChecked; one that finds something warns.
+    """
+    text = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    term = F.lower(F.trim(F.regexp_replace("term", r"\s+", " ")))
+    asked = previews.select("doc_id", term.alias("term")).where("term <> ''").distinct().groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    held = docs.select("doc_id", "skipped", "info", "xmp", "attachments", text.alias("text")).join(asked, "doc_id", "left")
+    held = held.join(hidden.withColumnRenamed("n", "hidden"), "doc_id", "left").join(images.withColumnRenamed("n", "images"), "doc_id", "left")
+    terms = F.coalesce("terms", F.array().cast("array<string>"))
+    checked = F.filter(terms, lambda t: F.length(t) >= LEAST_PREVIEW)
+    left = F.size(F.filter(checked, lambda t: F.contains("text", t)))
+
+    def state(on: Column, found: Column) -> Column:
+        return F.when(~on, "NotChecked").when(found > 0, "Warning").otherwise("Verified")
+
+    n_hidden, n_images = F.coalesce("hidden", F.lit(0)), F.coalesce("images", F.lit(0))
+    content_state = state(F.lit(checks[0]) & (F.size(checked) > 0), left)
+    hidden_state, image_state = state(F.lit(checks[1]), n_hidden), state(F.lit(checks[2]) & (F.size(terms) > 0), n_images)
+    warnings = (F.col("skipped") > 0).cast("int") + sum(((s == "Warning").cast("int") for s in (content_state, hidden_state, image_state)), F.lit(0))
+    return held.select(
+        "doc_id", F.size(terms).alias("previews"), F.size(checked).alias("checked"), left.alias("remaining"), (F.size(terms) - F.size(checked)).alias("short"), content_state.alias("content"),
+        hidden_state.alias("hidden_text"), image_state.alias("raster"), F.col("info").alias("info_scrubbed"), F.col("xmp").alias("had_xmp"), F.col("attachments").alias("attachments"), warnings.alias("warnings"),
+    )

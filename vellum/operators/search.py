@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -37,27 +37,37 @@ def regex(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count("text", F.lit(known)).alias("matches"), F.regexp_extract("text", known, 0).alias("first")).where("matches > 0")
 
 
+def _holding(docs: DataFrame, needle: str) -> DataFrame:
+    """Lines that hold ``needle``, case aside, of documents that do."""
+    low = needle.lower()
+    return lines(docs.where(F.lower("text").contains(low))).where(F.lower("line").contains(low))
+
+
+def _pieces(held: DataFrame, parts: Column, gap: int) -> DataFrame:
+    """(doc_id, line_no, ix, part, start, last): the parts of lines with their offsets, a running sum of lengths and gaps."""
+    one = held.select("doc_id", "line_no", F.size(parts).alias("n"), F.posexplode(parts).alias("ix", "part"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("part") + gap).over(before), F.lit(0)).cast("int")
+    return one.select("doc_id", "line_no", "ix", "part", start.alias("start"), (F.col("ix") == F.col("n") - 1).alias("last"))
+
+
 def match_spans(docs: DataFrame, needle: str) -> DataFrame:
     """(doc_id, line_no, start, end) of matches that don't overlap; 0-based, case aside."""
-    low = F.lower("line")
-    hit = lines(docs).where(low.contains(needle.lower())).select("doc_id", "line_no", F.split(low, T.quoted(needle.lower()), -1).alias("parts"))
-    hit = hit.withColumn("ends", F.slice(F.col("parts"), F.lit(1), F.size("parts") - 1))
-    # a match starts after what stands before it, and the matches before it
-    starts = F.transform("ends", lambda _, i: F.aggregate(F.slice(F.col("parts"), F.lit(1), i + 1), F.lit(0), lambda acc, p: acc + F.length(p)) + i * len(needle))
-    return hit.select("doc_id", "line_no", F.explode(starts).alias("start")).withColumn("end", F.col("start") + len(needle))
+    parts = F.split(F.lower("line"), T.quoted(needle.lower()), -1)
+    found = _pieces(_holding(docs, needle), parts, len(needle)).where("NOT last")
+    start = F.col("start") + F.length("part")
+    return found.select("doc_id", "line_no", start.alias("start"), (start + len(needle)).alias("end"))
 
 
-def word_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start, end, word) of the runs between single spaces; empty runs are no words."""
-    parts = lines(docs).select("doc_id", "line_no", F.split("line", " ", -1).alias("parts"))
-    one = parts.select("doc_id", "line_no", F.posexplode(F.transform("parts", lambda w, i: F.struct(w.alias("word"), i.alias("i")))).alias("ix", "w"), "parts")
-    start = F.aggregate(F.slice("parts", F.lit(1), F.col("ix")), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
-    return one.where("w.word <> ''").select("doc_id", "line_no", start.alias("start"), (start + F.length("w.word")).alias("end"), F.col("w.word").alias("word"))
+def word_spans(held: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start, end, word) of the runs between single spaces of lines; empty runs are no words."""
+    found = _pieces(held, F.split("line", " ", -1), 1).where("part <> ''")
+    return found.select("doc_id", "line_no", "start", (F.col("start") + F.length("part")).alias("end"), F.col("part").alias("word"))
 
 
 def word_bounds(docs: DataFrame, needle: str) -> DataFrame:
     """The first and the last word that each match touches; a match that touches no word is dropped."""
-    m, w = match_spans(docs, needle).alias("m"), word_spans(docs).alias("w")
+    m, w = match_spans(docs, needle).alias("m"), word_spans(_holding(docs, needle)).alias("w")
     near = m.join(w, (F.col("m.doc_id") == F.col("w.doc_id")) & (F.col("m.line_no") == F.col("w.line_no")) & (F.col("w.start") < F.col("m.end")) & (F.col("w.end") > F.col("m.start")))
     found = near.groupBy("m.doc_id", "m.line_no", F.col("m.start").alias("match_start")).agg(
         F.min_by("w.word", "w.start").alias("first_word"), F.max_by("w.word", "w.start").alias("last_word"), F.min("w.start").alias("left_c"), F.max("w.end").alias("right_c")

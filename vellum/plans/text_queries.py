@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import records as R
 from vellum.operators import redact, search
 from vellum.sources.tables import LINES_SQL, lines, load
 
@@ -75,8 +76,7 @@ def text_normalize(spark, sf_dir):
 
 def bigram_jaccard(spark, sf_dir):
     d = _edited(spark, sf_dir).select("doc_id", T.alnum(F.col("text")).alias("a"), T.alnum(F.col("other")).alias("b"))
-    d = d.select("doc_id", T.bigrams(F.col("a")).alias("x"), T.bigrams(F.col("b")).alias("y"))
-    return d.select("doc_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+    return d.select("doc_id", F.round(T.pair_similarity("a", "b"), 6).alias("similarity"))
 
 
 def coverage_ratio(spark, sf_dir):
@@ -86,8 +86,8 @@ def coverage_ratio(spark, sf_dir):
 def _tiers(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("other", F.regexp_replace("text", *_EDIT))
     d = d.withColumn("a", T.alnum(F.col("text"))).withColumn("b", T.alnum(F.col("other")))
-    d = d.select("doc_id", "source", "text", F.length("a").alias("size"), T.coverage(F.col("other"), F.col("text")).alias("cover"), T.bigrams(F.col("a")).alias("x"), T.bigrams(F.col("b")).alias("y"))
-    d = d.withColumn("similarity", T.jaccard(F.col("x"), F.col("y"))).withColumn("worse", F.least("cover", "similarity"))
+    d = d.select("doc_id", "source", "text", F.length("a").alias("size"), T.coverage(F.col("other"), F.col("text")).alias("cover"), T.pair_similarity("a", "b").alias("similarity"))
+    d = d.withColumn("worse", F.least("cover", "similarity"))
     return d.select("doc_id", "source", T.tier(F.col("text"), F.col("size"), F.col("worse")).alias("tier"))
 
 
@@ -144,21 +144,43 @@ def redact_terms(spark, sf_dir):
 
 
 def redact_verify_remaining(spark, sf_dir):
-    # a removal can bring a term together anew, so a second pass looks for what is left
+    # a removal can bring a term together anew, so what is left of every term is counted, after one pass and after a second one
     once = T.without_terms(F.col("text"), TERMS)
-    return _docs(spark, sf_dir).select(T.remaining(once, TERMS[-1:]).alias("left")).agg(F.sum("left").alias("remaining"), F.count("*").alias("documents"))
+    d = _docs(spark, sf_dir).select(once.alias("once")).withColumn("twice", T.without_terms(F.col("once"), TERMS))
+    left = [F.sum(T.remaining(F.col(c), [t])).alias(f"{c}_{t}") for c in ("once", "twice") for t in TERMS]
+    return d.agg(*left, F.count("*").alias("documents"))
 
 
 def redact_carriers(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    return redact.carriers(d.select("doc_id", F.col("source").alias("info"), F.col("lang").alias("title"), F.left("text", F.lit(20)).alias("note")), ["src1", "en", "the"])
+    return redact.carriers(d.select("doc_id", F.col("source").alias("info"), F.col("lang").alias("title"), F.col("text").alias("note")), ["src1", "en", "the"])
 
 
 def redact_counts(spark, sf_dir):
     return redact.counts(_docs(spark, sf_dir), TERMS)
 
 
-QUERIES = {f.__name__: f for f in (search_substring, search_overlapping, search_whole_word, search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize, bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin, dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
+def word_wrap(spark, sf_dir):
+    w = load(spark, sf_dir, "benchmark").select("item_id", T.wrapped(F.col("text"), 30).alias("w"))
+    return w.select("item_id", F.size("w").alias("lines"), F.md5(F.concat_ws("|", "w")).alias("digest"))
+
+
+def bidi_order(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(_PAINTED))).otherwise(F.concat(F.col("conv_id").cast("string"), F.lit(_PAINTED))).alias("painted"))
+    out = T.in_logical_order(F.col("painted"))
+    return c.select("conv_id", "turn", F.right(out, F.lit(len(_PAINTED))).alias("tail"), F.length(out).alias("size"))
+
+
+def suggested_names(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("files/part "), (F.col("s_suppkey") % 3).cast("string"), F.lit(".v2.pdf")).alias("path"))
+    out = R.numbered_names(s.withColumn("path", R.suggested_name(F.col("path"), "REDACTED")), "path", "s_suppkey")
+    return out.select("s_suppkey", "path", R.suggested_name(F.col("path"), F.concat(F.lit("pages_1-"), (F.col("s_suppkey") % 4).cast("string"))).alias("subset"))
+
+
+#: Hebrew words and a number in the order in which they are painted.
+_PAINTED = " םלוע 12.5 םולש"
+
+QUERIES = {f.__name__: f for f in (word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word, search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize, bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin, dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
 
 _SUBSTRING = f"""WITH {LINES_SQL}, hits AS (SELECT doc_id, line_no, line, lower(line) AS low, instr(lower(line), 'tion') AS pos FROM lines WHERE contains(lower(line), 'tion')),
 spans AS (SELECT *, greatest(1, pos - 30) AS a, least(length(line), pos - 1 + 4 + 30) AS b FROM hits)"""
@@ -172,9 +194,21 @@ t AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 'Unverified' WHEN lengt
 _MULTISET = """, k AS (SELECT id, side, w, count(*) AS n FROM tok GROUP BY ALL),
 p AS (SELECT id, w, coalesce(max(n) FILTER (side), 0) AS a, coalesce(max(n) FILTER (NOT side), 0) AS b FROM k GROUP BY ALL)
 SELECT id AS {0}, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS similarity FROM p GROUP BY id"""
+_BARE = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
+_LEFT = ", ".join(f"CAST(sum(len(regexp_extract_all(lower({c}), '{t}'))) AS BIGINT) AS {c}_{t}" for c in ("once", "twice") for t in TERMS)
 _CARRY = "trim(regexp_replace(regexp_replace(regexp_replace({0}, 'src1', '', 'gi'), 'en', '', 'gi'), 'the', '', 'gi'), ' ' || chr(9) || chr(10) || chr(13))"
 
 ORACLES = {
+    "word_wrap": """WITH RECURSIVE l AS (SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line FROM benchmark),
+w AS (SELECT item_id, ln, string_split(line, ' ') AS ws FROM l),
+f(item_id, ln, ws, i, done, cur) AS (SELECT item_id, ln, ws, 1, CAST([] AS VARCHAR[]), '' FROM w UNION ALL
+SELECT item_id, ln, ws, i + 1, CASE WHEN cur <> '' AND length(cur || ' ' || ws[i]) > 30 THEN list_append(done, cur) ELSE done END, CASE WHEN cur = '' OR length(cur || ' ' || ws[i]) > 30 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM f WHERE i <= len(ws)),
+e AS (SELECT item_id, ln, CASE WHEN len(ws) = 1 AND ws[1] = '' THEN [''] WHEN cur = '' THEN done ELSE list_append(done, cur) END AS o FROM f WHERE i > len(ws)),
+a AS (SELECT item_id, flatten(list(o ORDER BY ln)) AS o FROM e GROUP BY item_id) SELECT item_id, CAST(len(o) AS INTEGER) AS lines, md5(array_to_string(o, '|')) AS digest FROM a""",
+    "bidi_order": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ' עולם 12.5 שלום' ELSE right('שלום 12.5 עולם ' || conv_id, 15) END AS tail,
+CAST(length(CASE WHEN turn % 2 = 0 THEN text ELSE CAST(conv_id AS VARCHAR) END) + 15 AS INTEGER) AS size FROM conversations""",
+    "suggested_names": """WITH s AS (SELECT s_suppkey, 'files/part ' || (s_suppkey % 3) || '.v2_REDACTED' AS stem, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier),
+p AS (SELECT s_suppkey, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS stem FROM s) SELECT s_suppkey, stem || '.pdf' AS path, stem || '_pages_1-' || (s_suppkey % 4) || '.pdf' AS subset FROM p""",
     "search_substring": _SUBSTRING + " SELECT doc_id, line_no, CAST((length(low) - length(replace(low, 'tion', ''))) // 4 AS INTEGER) AS matches, (CASE WHEN a > 1 THEN '...' ELSE '' END) || substr(line, a, b - a + 1) || (CASE WHEN b < length(line) THEN '...' ELSE '' END) AS context FROM spans",
     "search_overlapping": "SELECT * FROM (SELECT doc_id, CAST(len([i FOR i IN range(1, length(text) - 2) IF substr(text, i, 4) = 'erer']) AS INTEGER) AS matches FROM documents) WHERE matches > 0",
     "search_whole_word": r"SELECT * FROM (SELECT doc_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') IF w = 'the']) AS INTEGER) AS words, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[ \t\n\r\f\v\x{a0}]+') IF w = 'the']) AS INTEGER) AS tokens FROM documents) WHERE words > 0",
@@ -200,10 +234,10 @@ FROM m JOIN w ON m.doc_id = w.doc_id AND m.line_no = w.line_no AND a < s + 8 AND
 v AS (SELECT DISTINCT lower(trim(unnest(regexp_split_to_array(text, '[ \t\n\r\f\v\x{a0}]+')), '.,:;!?"''()[]')) AS word FROM benchmark)
 SELECT conv_id, turn, word, count(*) AS n FROM t WHERE word <> '' AND word NOT IN (SELECT word FROM v) GROUP BY ALL""",
     "dehyphenate": r"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, 'tion ', 'tion-' || chr(10)), '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS o FROM documents)",
-    "list_marker": f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, regexp_extract(line, '^[ \\t]*([•‣◦▪*-]|[0-9]{{1,3}}[.)]|[A-Za-z][.)])(?:[ \\t]|$)', 1) AS marker FROM lines) WHERE marker <> ''",
+    "list_marker": f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, regexp_extract(line, '^ *([•·‣◦*⁃∙\\-–—]|[0-9]{{1,3}}[.)]|\\p{{L}}[.)])(?: |$)', 1) AS marker FROM lines) WHERE marker <> ''",
     "error_cluster": "SELECT substr(regexp_replace(event_type || ' 12 failed for user ' || user_id || ' with ' || props, '[0-9]+', 'N', 'g'), 1, 66) AS message, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "redact_terms": f"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, trim({_TERMS_SQL}, ' ' || chr(9) || chr(10) || chr(13)) AS o FROM (SELECT doc_id, text AS x FROM documents))",
-    "redact_verify_remaining": f"SELECT CAST(sum(len(regexp_extract_all(lower({_TERMS_SQL}), 'que'))) AS BIGINT) AS remaining, count(*) AS documents FROM (SELECT text AS x FROM documents)",
-    "redact_carriers": f"SELECT doc_id, nullif({_CARRY.format('source')}, '') AS info, CASE WHEN {_CARRY.format('lang')} = '' THEN '[redacted]' ELSE {_CARRY.format('lang')} END AS title, nullif({_CARRY.format('substr(text, 1, 20)')}, '') AS note FROM documents",
+    "redact_verify_remaining": f"WITH o AS (SELECT {_BARE.format(_TERMS_SQL)} AS x FROM (SELECT text AS x FROM documents)), t AS (SELECT x AS once, {_BARE.format(_TERMS_SQL)} AS twice FROM o) SELECT {_LEFT}, count(*) AS documents FROM t",
+    "redact_carriers": f"SELECT doc_id, nullif({_CARRY.format('source')}, '') AS info, CASE WHEN {_CARRY.format('lang')} = '' THEN '[redacted]' ELSE {_CARRY.format('lang')} END AS title, nullif({_CARRY.format('text')}, '') AS note FROM documents",
     "redact_counts": "SELECT term, CAST(sum(len(regexp_extract_all(lower(text), term))) AS BIGINT) AS matches, count_if(contains(lower(text), term)) AS documents FROM documents, (SELECT unnest(['the', 'ung', 'tion', 'que']) AS term) GROUP BY term",
 }

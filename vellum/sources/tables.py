@@ -22,8 +22,14 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each glyph with its box, from the synthetic layout; empty lines have no glyphs."""
-    line = lines(docs, id_col, text_col).where(F.length("line") > 0)
+    """A row for each glyph with its box, from the synthetic layout; empty lines have no glyphs.
+
+    Documents are placed before they become glyphs, so only texts are moved: windows over a document's pages or
+    lines find their rows where they are.  The number of partitions is given, as small texts make many glyphs and
+    must not be put together in a few tasks.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = lines(docs.repartition(parts, id_col), id_col, text_col).where(F.length("line") > 0)
     glyph = line.select(id_col, "line_no", F.posexplode(F.split("line", "")).alias("c", "value"))
     left = ADVANCE * F.col("c") + JUMP * F.floor(F.col("c") / RUN)
     bottom = TOP - LEADING * F.col("line_no")
