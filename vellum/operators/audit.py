@@ -16,9 +16,21 @@ def heading_problems(headings: DataFrame, doc: str, order: str) -> DataFrame:
     return headings.withColumn("problem", problem).where("problem IS NOT NULL")
 
 
-def without_parent(items: DataFrame, holders: DataFrame, key: list[str]) -> DataFrame:
-    """Items whose holder isn't there."""
-    return items.join(holders.select(*key).distinct(), key, "left_anti")
+def with_parent(tags: DataFrame) -> DataFrame:
+    """Opening tags (doc_id, ix, tag) with the tag that holds each: the last one before it that is one level higher.
+
+    ``tags`` have ``step``, 1 for an opening and -1 for a closing one.  Tags meet by document and level.
+    """
+    order = Window.partitionBy("doc_id").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    opened = tags.withColumn("depth", F.sum("step").over(order)).where("step = 1").select("doc_id", "ix", "tag", "depth")
+    above = opened.select("doc_id", F.col("ix").alias("_ix"), F.col("tag").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    last = opened.join(above, ["doc_id", "depth"], "left").where("_ix IS NULL OR _ix < ix").groupBy("doc_id", "ix").agg(F.max_by("parent", "_ix").alias("parent"))
+    return opened.join(last, ["doc_id", "ix"], "left").select("doc_id", "ix", "tag", "parent")
+
+
+def stray_items(tags: DataFrame, item: str = "li", holders: tuple[str, ...] = ("ul", "ol")) -> DataFrame:
+    """Items whose own parent isn't one of their holders, wherever else on the page there is one."""
+    return with_parent(tags).where((F.col("tag") == item) & ~F.coalesce(F.col("parent").isin(*holders), F.lit(False)))
 
 
 def untagged(runs: DataFrame, by_page: DataFrame, anywhere: DataFrame) -> DataFrame:
@@ -73,30 +85,52 @@ def assignment(text: Column) -> tuple[Column, Column]:
 
 
 def filled(fields: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """Fields (kind, read_only, options, value) with new values where they may be set: (key, value, outcome)."""
-    v = values.select(key, F.col("value").alias("_new"))
-    joined = fields.join(v, key, "left")
+    """(key, value, state, outcome) of fields (kind, read_only, options, value) with new values where they may be set.
+
+    A null value clears; a button's state follows its value and is Off when cleared.  A value for a field that isn't
+    there is an error of its own row, so that a caller can refuse the whole.
+    """
+    v = values.select(F.col(key).alias("_key"), F.col("value").alias("_new"), F.lit(True).alias("_given"))
+    joined = fields.join(v, fields[key] == v["_key"], "full")
+    listed = F.size(F.coalesce("options", F.array().cast("array<string>"))) > 0
     outcome = (
-        F.when(F.col("_new").isNull(), "kept").when(F.col("read_only"), "read-only").when(F.col("kind") == "signature", "refused")
-        .when((F.col("kind") == "choice") & ~F.array_contains("options", F.col("_new")), "not an option").otherwise("set")
+        F.when(F.col(key).isNull(), "no such field").when(F.col("_given").isNull(), "kept").when(F.col("read_only"), "read-only").when(F.col("kind") == "signature", "refused")
+        .when(F.col("_new").isNull(), "cleared").when((F.col("kind") == "choice") & listed & ~F.array_contains("options", F.col("_new")), "not an option").otherwise("set")
     )
-    return joined.withColumn("outcome", outcome).select(key, F.when(F.col("outcome") == "set", F.col("_new")).otherwise(F.col("value")).alias("value"), "outcome")
+    held = joined.withColumn("outcome", outcome)
+    value = F.when(F.col("outcome") == "set", F.col("_new")).when(F.col("outcome") != "cleared", F.col("value"))
+    state = F.when((F.col("kind") == "button") & F.col("outcome").isin("set", "cleared"), F.coalesce("_new", F.lit("Off")))
+    return held.select(F.coalesce(key, "_key").alias(key), value.alias("value"), state.alias("state"), "outcome")
+
+
+def fill_result(outcomes: DataFrame) -> DataFrame:
+    """One row: how many fields were set, and how many errors there are, any of which refuses the whole."""
+    return outcomes.agg(F.count_if(F.col("outcome").isin("set", "cleared")).alias("set"), F.count_if(~F.col("outcome").isin("set", "cleared", "kept")).alias("errors"))
+
+
+#: Tiles along each side of a page, the share of ink that counts, and inked tiles for a verdict (fixed values).
+INK_GRID, INK_LEAST, INK_VERDICT = 32, 0.005, 3
 
 
-def ink_tiles(a: DataFrame, b: DataFrame, tile: int, least: float) -> DataFrame:
-    """Tiles of a grid that are inked in one image, in the other, or in both: (grid, inked, missing, extra).
+def ink_tiles(pages: DataFrame, mine: DataFrame, reference: DataFrame, parts: int = INK_GRID, least: float = INK_LEAST) -> DataFrame:
+    """(grid, inked, missing, extra, status) of pages (grid, width, height, status): tiles that the reference inked, and where the images differ.
 
-    ``a`` and ``b`` hold inked cells (grid, x, y).
+    ``mine`` and ``reference`` hold inked cells (grid, x, y).  A page that passed and has none of the reference's ink,
+    of at least three tiles, misses its content; a page that didn't pass keeps its status.
     """
+    size = pages.select("grid", "width", "height", F.greatest(F.lit(1), F.floor(F.col("width") / parts)).alias("tw"), F.greatest(F.lit(1), F.floor(F.col("height") / parts)).alias("th"))
 
     def tiles(df: DataFrame, name: str) -> DataFrame:
-        t = df.select("grid", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"))
-        return t.groupBy("grid", "tx", "ty").agg((F.count("*") / (tile * tile) >= least).alias(name))
+        t = df.join(size, "grid").withColumn("tx", F.floor(F.col("x") / F.col("tw"))).withColumn("ty", F.floor(F.col("y") / F.col("th")))
+        # tiles at the right and lower edges are smaller
+        wide = F.least(F.col("tw"), F.col("width") - F.col("tx") * F.col("tw"))
+        high = F.least(F.col("th"), F.col("height") - F.col("ty") * F.col("th"))
+        return t.groupBy("grid", "tx", "ty").agg((F.count("*") / F.first(wide * high) >= least).alias(name))
 
-    both = tiles(a, "want").join(tiles(b, "have"), ["grid", "tx", "ty"], "full").select("grid", F.coalesce("want", F.lit(False)).alias("want"), F.coalesce("have", F.lit(False)).alias("have"))
+    both = tiles(reference, "want").join(tiles(mine, "have"), ["grid", "tx", "ty"], "full").select("grid", F.coalesce("want", F.lit(False)).alias("want"), F.coalesce("have", F.lit(False)).alias("have"))
     out = both.groupBy("grid").agg(F.count_if("want").alias("inked"), F.count_if(F.col("want") & ~F.col("have")).alias("missing"), F.count_if(~F.col("want") & F.col("have")).alias("extra"))
-    verdict = F.when((F.col("inked") >= 3) & (F.col("missing") == F.col("inked")), "MISSING_CONTENT").otherwise("PASS")
-    return out.withColumn("verdict", verdict)
+    blank = (F.col("status") == "PASS") & (F.col("inked") >= INK_VERDICT) & (F.col("missing") == F.col("inked"))
+    return pages.join(out, "grid").select("grid", "inked", "missing", "extra", F.when(blank, "MISSING_CONTENT").otherwise(F.col("status")).alias("status"))
 
 
 def most_inked(cells: DataFrame, stride: int = 4) -> DataFrame:

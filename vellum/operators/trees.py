@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.sources.scratch import written
+from vellum.sources.scratch import discard, written
 
 
 def walk(nodes: DataFrame, depth: int = 32) -> DataFrame:
@@ -14,12 +14,14 @@ def walk(nodes: DataFrame, depth: int = 32) -> DataFrame:
     One equi-join for each level, until a level is empty or too deep; a cycle has no root, so it isn't entered.
     """
     kids = nodes.select(F.col("parent_id").alias("_parent"), "node_id", "title")
-    level = nodes.where("parent_id IS NULL").select("node_id", "title", F.lit(0).alias("depth"), F.col("title").alias("path"))
+    level = written(nodes.where("parent_id IS NULL").select("node_id", "title", F.lit(0).alias("depth"), F.col("title").alias("path")), "level")
     out = level
     for d in range(1, depth + 1):
         above = level.select(F.col("node_id").alias("_above"), F.col("path").alias("_path"))
-        level = kids.join(above, F.col("_parent") == F.col("_above")).select("node_id", "title", F.lit(d).alias("depth"), F.concat("_path", F.lit("/"), "title").alias("path"))
+        below = kids.join(above, F.col("_parent") == F.col("_above")).select("node_id", "title", F.lit(d).alias("depth"), F.concat("_path", F.lit("/"), "title").alias("path"))
+        level = written(below, "level")
         if level.isEmpty():
+            discard(level)
             break
         out = out.unionByName(level)
     return out
@@ -30,37 +32,45 @@ def resolve_roles(roles: DataFrame, steps: int = 64) -> DataFrame:
 
     Each round follows twice as far, so 64 hops take seven joins.
     """
-    out = roles.select("name", F.col("role").alias("target"), F.lit(1).alias("hops"))
+    out = written(roles.select("name", F.col("role").alias("target"), F.lit(1).alias("hops")), "roles")
     reach = 1
     while reach < steps:
         onward = out.select(F.col("name").alias("_n"), F.col("target").alias("_t"), F.col("hops").alias("_h"))
-        out = out.join(onward, out["target"] == onward["_n"], "left").select("name", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
-        reach *= 2
+        step = out.join(onward, out["target"] == onward["_n"], "left").select("name", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        step = written(step, "roles")
+        discard(out)
+        out, reach = step, reach * 2
     return out
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """Ids that edges (src, dst) lead to from the roots (id), the roots included."""
-    seen, front = roots.select("id").distinct(), roots.select("id").distinct()
+    front = written(roots.select("id").distinct(), "reached")
+    seen = front
     for _ in range(most):
-        front = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        found = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = written(found, "reached")
         if front.isEmpty():
-            return seen
+            discard(front)
+            break
         seen = seen.unionByName(front)
     return seen
 
 
 def grid_components(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Boxes and densities of 4-neighbour components of cells (grid, x, y): labels go to neighbours until none changes."""
-    at = cells.select("grid", "x", "y").distinct()
-    label = at.withColumn("label", F.struct("y", "x"))
+    start = written(cells.select("grid", "x", "y").distinct().withColumn("label", F.struct("y", "x")), "labels")
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
+    label = start
     for _ in range(rounds):
         sent = label.select("grid", "x", "y", "label", moves.alias("m")).select("grid", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), F.col("label").alias("near"))
-        new = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = written(new, "labels")
-        label = new.select("grid", "x", "y", "label")
-        if new.where("old <> label").isEmpty():
+        step = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # a label is the place of a cell, whose own label may be less: a path takes the logarithm of its length in rounds
+        onward = step.select("grid", F.struct("y", "x").alias("label"), F.col("label").alias("beyond"))
+        new = written(step.join(onward, ["grid", "label"], "left").select("grid", "x", "y", (F.col("old") != F.least("label", "beyond")).alias("moved"), F.least("label", "beyond").alias("label")), "labels")
+        discard(label)
+        label = new
+        if new.where("moved").isEmpty():
             break
     box = label.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("cells"))
     area = (F.col("right") - F.col("left") + 1) * (F.col("high") - F.col("low") + 1)

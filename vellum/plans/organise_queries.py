@@ -117,8 +117,12 @@ def heading_order(spark, sf_dir):
 
 
 def stray_items(spark, sf_dir):
-    t = _tags(spark, sf_dir)
-    return A.without_parent(t.where("tag = 'p'").select("doc_id", "ix"), t.where("tag = 'article'"), ["doc_id"]).unionByName(A.without_parent(t.where("tag = 'li'").select("doc_id", "ix"), t.where("tag = 'ol'"), ["doc_id"])).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # every fourth list of a page is taken for something else, so that there is something to find
+    tag = F.posexplode(F.regexp_extract_all("html", F.lit("<(/?(?:ul|ol|li|nav|article|body))[ >]"), 1)).alias("ix", "raw")
+    t = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), tag)
+    name = F.regexp_replace("raw", "^/", "")
+    t = t.select("doc_id", "ix", F.when((name == "ul") & (F.col("doc_id") % 4 == 0), "div").otherwise(name).alias("tag"), F.when(F.col("raw").startswith("/"), -1).otherwise(1).alias("step"))
+    return A.stray_items(t).groupBy("doc_id", "parent").agg(F.count("*").alias("n"))
 
 
 def content_tagged(spark, sf_dir):
@@ -139,15 +143,24 @@ def batch_rollup(spark, sf_dir):
     return A.batch_report(e, "user_id", "event_id", F.col("value") > 180)
 
 
-def form_fill(spark, sf_dir):
+def _filled(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "view", "signature").when(F.col("event_type") == "click", "choice").otherwise("text")
+    kind = F.when(F.col("event_type") == "view", "signature").when(F.col("event_type") == "click", "choice").when(F.col("event_type") == "purchase", "button").otherwise("text")
     fields = e.select("event_id", kind.alias("kind"), (F.col("user_id") % 9 == 0).alias("read_only"), F.array(F.lit("1"), F.lit("2"), F.lit("3")).alias("options"), F.lit("old").alias("value"))
-    name, value = A.assignment(F.concat(F.col("event_id").cast("string"), F.lit("="), F.get_json_object("props", "$.k")))
-    values = e.where("event_id % 4 <> 0").select(name.cast("long").alias("event_id"), value.alias("value"))
+    asked = F.when(F.col("event_id") % 5 == 0, F.col("event_id") + 1_000_000).otherwise(F.col("event_id"))
+    name, value = A.assignment(F.concat(asked.cast("string"), F.lit("="), F.get_json_object("props", "$.k")))
+    values = e.where("event_id % 4 <> 0").select(name.cast("long").alias("event_id"), F.when(F.col("event_id") % 6 > 0, value).alias("value"))
     return A.filled(fields, values, "event_id")
 
 
+def form_fill(spark, sf_dir):
+    return _filled(spark, sf_dir)
+
+
+def form_fill_result(spark, sf_dir):
+    return A.fill_result(_filled(spark, sf_dir))
+
+
 def _cells(spark, sf_dir):
     """Inked cells of one grid for each vector: its greater components, eight to a row."""
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("grid"), F.posexplode("embedding").alias("i", "v")).where("v > 0.05")
@@ -160,7 +173,9 @@ def connected_components(spark, sf_dir):
 
 def ink_tiles(spark, sf_dir):
     c = _cells(spark, sf_dir)
-    return A.ink_tiles(c, c.select((F.col("grid") + 1).alias("grid"), "x", "y"), 4, 0.25)
+    pages = c.select("grid").distinct().select("grid", F.lit(8).alias("width"), F.lit(7).alias("height"), F.when(F.col("grid") % 3 == 0, "DIFF").otherwise("PASS").alias("status"))
+    other = c.where("y < 7 AND grid % 7 > 0").select((F.col("grid") + 1).alias("grid"), "x", "y")
+    return A.ink_tiles(pages, other.where("x % 2 = 0"), c.where("y < 7"), 3, 0.3)
 
 
 def most_inked(spark, sf_dir):
@@ -168,13 +183,17 @@ def most_inked(spark, sf_dir):
     return A.most_inked(c.select(F.floor(F.col("grid") / 5).cast("long").alias("page"), F.col("grid").alias("image"), "x", "y"))
 
 
-QUERIES = {f.__name__: f for f in (bates_numbers, next_bates, page_label_asof, roman_labels, merge_pages, split_every_n, split_boundaries, move_pages, page_remove, page_move, page_insert, page_extract, corpus_chunks, shard_pages, permission_bits, link_classification, outline_tree, role_map_resolve, heading_order, stray_items, content_tagged, byte_range_check, batch_rollup, form_fill, connected_components, ink_tiles, most_inked)}
+QUERIES = {f.__name__: f for f in (bates_numbers, next_bates, page_label_asof, roman_labels, merge_pages, split_every_n, split_boundaries, move_pages, page_remove, page_move, page_insert, page_extract, corpus_chunks, shard_pages, permission_bits, link_classification, outline_tree, role_map_resolve, heading_order, stray_items, content_tagged, byte_range_check, batch_rollup, form_fill, form_fill_result, connected_components, ink_tiles, most_inked)}
 
 _BIT = "((o_orderkey >> {0}) & 1) = 1"
 _TAGS = "tags AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<([a-z]+[1-6]?)[ >]', 1)) AS tag, CAST(generate_subscripts(regexp_extract_all(html, '<([a-z]+[1-6]?)[ >]', 1), 1) - 1 AS INTEGER) AS ix FROM pages)"
 _CELLS = "cells AS (SELECT grid, (i - 1) % 8 AS x, (i - 1) // 8 AS y FROM (SELECT vec_id AS grid, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE v > CAST(0.05 AS DOUBLE))"
 _ALPHA = "CASE WHEN n > 26 THEN chr(CAST(64 + (n - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INTEGER))"
 
+_FILL = """WITH f AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'signature' WHEN 'click' THEN 'choice' WHEN 'purchase' THEN 'button' ELSE 'text' END AS kind, user_id % 9 = 0 AS read_only FROM events),
+v AS (SELECT CASE WHEN event_id % 5 = 0 THEN event_id + 1000000 ELSE event_id END AS id, CASE WHEN event_id % 6 > 0 THEN json_extract_string(props, '$.k') END AS v, true AS given FROM events WHERE event_id % 4 <> 0),
+o AS (SELECT coalesce(event_id, id) AS key, kind, v, CASE WHEN event_id IS NULL THEN 'no such field' WHEN given IS NULL THEN 'kept' WHEN read_only THEN 'read-only' WHEN kind = 'signature' THEN 'refused' WHEN v IS NULL THEN 'cleared' WHEN kind = 'choice' AND v NOT IN ('1', '2', '3') THEN 'not an option' ELSE 'set' END AS outcome FROM f FULL JOIN v ON event_id = id)"""
+
 ORACLES = {
     "bates_numbers": "SELECT conv_id, turn, n AS number, 'B-' || CASE WHEN n > 999999 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 6, '0') END AS label FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)",
     "next_bates": "SELECT count(*) + 1 AS next FROM conversations",
@@ -196,12 +215,19 @@ SELECT conv_id, turn, CASE WHEN f IS NULL THEN CAST(turn + 1 AS VARCHAR) WHEN co
     "outline_tree": "WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS node_id, NULL AS parent_id, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier), w AS (SELECT node_id, 0 AS depth, title AS path FROM t WHERE parent_id IS NULL UNION ALL SELECT t.node_id, depth + 1, path || '/' || title FROM t JOIN w ON t.parent_id = w.node_id) SELECT * FROM w",
     "role_map_resolve": "WITH RECURSIVE w AS (SELECT s_suppkey AS name, s_suppkey // 3 AS target, 1 AS hops FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT name, target // 3, hops + 1 FROM w WHERE target > 0) SELECT name, min(target) AS target, max(hops) AS hops FROM w GROUP BY name",
     "heading_order": f"WITH {_TAGS}, h AS (SELECT doc_id, ix, CASE WHEN tag = 'ul' THEN 3 ELSE CAST(substr(tag, 2) AS INTEGER) END AS level FROM tags WHERE tag = 'ul' OR regexp_matches(tag, '^h[1-6]$')), p AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ix) AS b FROM h) SELECT doc_id, ix, CASE WHEN b IS NULL THEN 'first' ELSE 'skip' END AS problem FROM p WHERE (b IS NULL AND level <> 1) OR level > b + 1",
-    "stray_items": f"WITH {_TAGS} SELECT doc_id, count(*) AS n FROM tags WHERE (tag = 'p' AND doc_id NOT IN (SELECT doc_id FROM tags WHERE tag = 'article')) OR (tag = 'li' AND doc_id NOT IN (SELECT doc_id FROM tags WHERE tag = 'ol')) GROUP BY doc_id",
+    "stray_items": """WITH r AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<(/?(?:ul|ol|li|nav|article|body))[ >]', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<(/?(?:ul|ol|li|nav|article|body))[ >]', 1), 1) AS ix FROM pages),
+t AS (SELECT doc_id, ix, raw, CASE WHEN ltrim(raw, '/') = 'ul' AND doc_id % 4 = 0 THEN 'div' ELSE ltrim(raw, '/') END AS tag, sum(CASE WHEN starts_with(raw, '/') THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ix) AS depth FROM r),
+o AS (SELECT * FROM t WHERE NOT starts_with(raw, '/')), p AS (SELECT o.doc_id, o.ix, o.tag, arg_max(a.tag, a.ix) AS parent FROM o LEFT JOIN o a ON a.doc_id = o.doc_id AND a.depth = o.depth - 1 AND a.ix < o.ix GROUP BY ALL)
+SELECT doc_id, parent, count(*) AS n FROM p WHERE tag = 'li' AND coalesce(parent NOT IN ('ul', 'ol'), true) GROUP BY ALL""",
     "content_tagged": f"WITH {_TAGS} SELECT doc_id, count(*) AS untagged FROM tags WHERE tag = 'p' AND ix % 3 <> 0 AND ix % 5 <> 0 GROUP BY doc_id",
     "byte_range_check": """WITH r AS (SELECT o_orderkey, o_orderkey + 1000 AS size, o_orderkey % 50 - CASE WHEN o_orderkey % 50 > 2 THEN o_orderkey % 50 ELSE 0 END AS a, o_orderkey % 900 AS b, o_orderkey % 900 + o_orderkey % 40 - 3 AS c, o_orderkey + 1000 - o_orderkey % 900 - o_orderkey % 40 + CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 0 END AS d FROM orders),
 v AS (SELECT *, a = 0 AND b >= 0 AND c >= 0 AND d >= 0 AND b <= size AND c + d <= size AND c >= a + b AS valid FROM r) SELECT o_orderkey, valid, valid AND c + d = size AS covers FROM v""",
     "batch_rollup": "WITH f AS (SELECT user_id, value > 180 AS bad, coalesce(count_if(value > 180) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS skip FROM events) SELECT user_id, count_if(NOT skip) AS run, count_if(bad AND NOT skip) AS failed, count_if(skip) AS skipped, CASE WHEN count_if(bad AND NOT skip) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN count_if(bad AND NOT skip) > 0 THEN 1 ELSE 0 END AS exit_code FROM f GROUP BY user_id",
-    "form_fill": "WITH e AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN json_extract_string(props, '$.k') END AS v, event_type, user_id FROM events), o AS (SELECT *, CASE WHEN v IS NULL THEN 'kept' WHEN user_id % 9 = 0 THEN 'read-only' WHEN event_type = 'view' THEN 'refused' WHEN event_type = 'click' AND v NOT IN ('1', '2', '3') THEN 'not an option' ELSE 'set' END AS outcome FROM e) SELECT event_id, CASE WHEN outcome = 'set' THEN v ELSE 'old' END AS value, outcome FROM o",
-    "ink_tiles": f"WITH {_CELLS}, a AS (SELECT grid, x // 4 AS tx, y // 4 AS ty, count(*) / 16 >= 0.25 AS want FROM cells GROUP BY ALL), b AS (SELECT grid + 1 AS grid, tx, ty, want AS have FROM a), j AS (SELECT coalesce(a.grid, b.grid) AS grid, coalesce(want, false) AS want, coalesce(have, false) AS have FROM a FULL JOIN b ON a.grid = b.grid AND a.tx = b.tx AND a.ty = b.ty), c AS (SELECT grid, count_if(want) AS inked, count_if(want AND NOT have) AS missing, count_if(NOT want AND have) AS extra FROM j GROUP BY grid) SELECT *, CASE WHEN inked >= 3 AND missing = inked THEN 'MISSING_CONTENT' ELSE 'PASS' END AS verdict FROM c",
+    "form_fill": _FILL + " SELECT key AS event_id, CASE WHEN outcome = 'set' THEN v WHEN outcome NOT IN ('cleared', 'no such field') THEN 'old' END AS value, CASE WHEN kind = 'button' AND outcome IN ('set', 'cleared') THEN coalesce(v, 'Off') END AS state, outcome FROM o",
+    "form_fill_result": _FILL + ' SELECT count_if(outcome IN (\'set\', \'cleared\')) AS "set", count_if(outcome NOT IN (\'set\', \'cleared\', \'kept\')) AS errors FROM o',
+    "ink_tiles": f"""WITH {_CELLS}, m AS (SELECT grid + 1 AS grid, x, y FROM cells WHERE y < 7 AND grid % 7 > 0 AND x % 2 = 0), a AS (SELECT grid, x // 2 AS tx, y // 2 AS ty, count(*) / any_value(least(2, 8 - x // 2 * 2) * least(2, 7 - y // 2 * 2)) >= 0.3 AS want FROM cells WHERE y < 7 GROUP BY ALL),
+b AS (SELECT grid, x // 2 AS tx, y // 2 AS ty, count(*) / any_value(least(2, 8 - x // 2 * 2) * least(2, 7 - y // 2 * 2)) >= 0.3 AS have FROM m GROUP BY ALL), j AS (SELECT coalesce(a.grid, b.grid) AS grid, coalesce(want, false) AS want, coalesce(have, false) AS have FROM a FULL JOIN b ON a.grid = b.grid AND a.tx = b.tx AND a.ty = b.ty),
+c AS (SELECT grid, count_if(want) AS inked, count_if(want AND NOT have) AS missing, count_if(NOT want AND have) AS extra FROM j WHERE grid IN (SELECT grid FROM cells) GROUP BY grid)
+SELECT *, CASE WHEN grid % 3 = 0 THEN 'DIFF' WHEN inked >= 3 AND missing = inked THEN 'MISSING_CONTENT' ELSE 'PASS' END AS status FROM c""",
     "most_inked": f"WITH {_CELLS}, i AS (SELECT grid // 5 AS page, grid AS image, count_if(x % 4 = 0 AND y % 4 = 0) AS ink FROM cells GROUP BY ALL) SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY page ORDER BY ink DESC, image) = 1",
 }

@@ -177,10 +177,18 @@ def suggested_names(spark, sf_dir):
     return out.select("s_suppkey", "path", R.suggested_name(F.col("path"), F.concat(F.lit("pages_1-"), (F.col("s_suppkey") % 4).cast("string"))).alias("subset"))
 
 
+def safe_copy_report(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    docs = d.select("doc_id", T.without_terms(F.col("text"), TERMS[:2]).alias("text"), (F.col("doc_id") % 5 == 0).cast("int").alias("skipped"), (F.col("doc_id") % 9).alias("info"), (F.col("doc_id") % 2 == 0).alias("xmp"), (F.col("doc_id") % 3).alias("attachments"))
+    asked = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(" The"), F.lit("the"), F.lit("ab"), F.lit("tion"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("x"), F.lit(" "))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("ung")))
+    hidden, images = d.where("doc_id % 7 = 0").select("doc_id", F.lit(2).alias("n")), d.where("doc_id % 6 = 0").select("doc_id", F.lit(1).alias("n"))
+    return redact.safe_copy(docs, d.select("doc_id", F.explode(asked).alias("term")), hidden, images)
+
+
 #: Hebrew words and a number in the order in which they are painted.
 _PAINTED = " םלוע 12.5 םולש"
 
-QUERIES = {f.__name__: f for f in (word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word, search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize, bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin, dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
+QUERIES = {f.__name__: f for f in (safe_copy_report, word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word, search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize, bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin, dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
 
 _SUBSTRING = f"""WITH {LINES_SQL}, hits AS (SELECT doc_id, line_no, line, lower(line) AS low, instr(lower(line), 'tion') AS pos FROM lines WHERE contains(lower(line), 'tion')),
 spans AS (SELECT *, greatest(1, pos - 30) AS a, least(length(line), pos - 1 + 4 + 30) AS b FROM hits)"""
@@ -199,6 +207,12 @@ _LEFT = ", ".join(f"CAST(sum(len(regexp_extract_all(lower({c}), '{t}'))) AS BIGI
 _CARRY = "trim(regexp_replace(regexp_replace(regexp_replace({0}, 'src1', '', 'gi'), 'en', '', 'gi'), 'the', '', 'gi'), ' ' || chr(9) || chr(10) || chr(13))"
 
 ORACLES = {
+    "safe_copy_report": f"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(trim(regexp_replace(regexp_replace(text, 'the', '', 'gi'), 'ung', '', 'gi'), ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g'))) AS x FROM documents),
+p AS (SELECT doc_id, x, CASE doc_id % 4 WHEN 0 THEN ['the', 'ab', 'tion'] WHEN 1 THEN ['x'] WHEN 2 THEN ['ung'] ELSE [] END AS terms FROM t),
+c AS (SELECT *, list_filter(terms, lambda w: length(w) >= 3) AS ch FROM p), r AS (SELECT *, CAST(len(list_filter(ch, lambda w: contains(x, w))) AS INTEGER) AS lft FROM c),
+s AS (SELECT doc_id, CAST(len(terms) AS INTEGER) AS previews, CAST(len(ch) AS INTEGER) AS checked, lft AS remaining, CAST(len(terms) - len(ch) AS INTEGER) AS short, CASE WHEN len(ch) = 0 THEN 'NotChecked' WHEN lft > 0 THEN 'Warning' ELSE 'Verified' END AS content,
+CASE WHEN doc_id % 7 = 0 THEN 'Warning' ELSE 'Verified' END AS hidden_text, CASE WHEN len(terms) = 0 THEN 'NotChecked' WHEN doc_id % 6 = 0 THEN 'Warning' ELSE 'Verified' END AS raster, doc_id % 9 AS info_scrubbed, doc_id % 2 = 0 AS had_xmp, doc_id % 3 AS attachments FROM r)
+SELECT *, CAST((doc_id % 5 = 0)::INT + (content = 'Warning')::INT + (hidden_text = 'Warning')::INT + (raster = 'Warning')::INT AS INTEGER) AS warnings FROM s""",
     "word_wrap": """WITH RECURSIVE l AS (SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line FROM benchmark),
 w AS (SELECT item_id, ln, string_split(line, ' ') AS ws FROM l),
 f(item_id, ln, ws, i, done, cur) AS (SELECT item_id, ln, ws, 1, CAST([] AS VARCHAR[]), '' FROM w UNION ALL
