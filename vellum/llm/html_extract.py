@@ -320,6 +320,8 @@ def make_page(rng: random.Random) -> str:
 
     def paragraph(text: str) -> str:
         style = rng.random()
+        if style < 0.05:
+            return f'<p><a href="/{rng.randint(1, 99)}">{text}</a></p>'
         if style < 0.15:
             return f"<p><b>{text}<br>"
         if style < 0.3:
@@ -329,7 +331,7 @@ def make_page(rng: random.Random) -> str:
         return f"<p>{text}</p>"
 
     def body() -> str:
-        parts = [f"<h1>{mark(words(3, 12))}</h1>"] if rng.random() < 0.85 else []
+        parts = [f"<h1>{mark(words(1, 12))}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 25])):
             r = rng.random()
             if r < 0.08:
