@@ -178,3 +178,29 @@ def test_forms_refuse_unknown_fields(spark):
     out = audit.filled(fields, values, "f")
     assert {r.f: (r.value, r.state, r.outcome) for r in out.collect()} == {1: ("new", None, "set"), 2: (None, "Off", "cleared"), 3: ("any", None, "set"), 4: ("y", None, "read-only"), 9: (None, None, "no such field")}
     assert tuple(audit.fill_result(out).first()) == (3, 2)
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    import json
+
+    from vellum.sources import readers, sinks
+
+    (tmp_path / "contracts").mkdir()
+    page = {"ExpectedRawStatus": "PASS", "ReleaseStatus": "OK", "QualityStatus": "X", "PixelAgreement": "Y", "ReferenceSituation": "Z"}
+    (tmp_path / "contracts" / "a.json").write_text(json.dumps({"Path": "a.pdf", "Source": "s", "Owner": "o", "Pages": {"1": page, "3": page}}, indent=1))
+    got = readers.contracts(spark, f"file://{tmp_path}/contracts")
+    assert sorted((r.path, r.page_number, r.ExpectedRawStatus) for r in got.collect()) == [("a.pdf", 1, "PASS"), ("a.pdf", 3, "PASS")]
+    (tmp_path / "report.json").write_text(json.dumps({"results": [{"a": 1}, {"a": 2}]}, indent=1))
+    assert sorted(r.a for r in readers.report_results(spark, f"file://{tmp_path}/report.json").collect()) == [1, 2]
+    assert readers.report_results(spark, f"file://{tmp_path}/report.json", "none").count() == 0
+    rows = ["level\tx", "\t".join(["5", *["0"] * 5, "300", "600", "150", "30", "95.5", "word"]), "\t".join(["4", *["0"] * 10, "line"]), "\t".join(["5", *["0"] * 10, " "])]
+    (tmp_path / "words.tsv").write_text("\n".join(rows))
+    w = readers.recognised_words(spark, f"file://{tmp_path}/words.tsv").collect()
+    assert [(r.text, r.left, r.right, round(r.bottom, 3), r.top, r.confidence) for r in w] == [("word", 72.0, 108.0, 640.8, 648.0, 0.955)]
+    df = spark.createDataFrame([(1, None), (2, 'say "hi"')], "a int, b string")
+    assert sorted(r.json for r in sinks.json_rows(df).collect()) == ['{"a":1,"b":null}', '{"a":2,"b":"say \\"hi\\""}']
+    sinks.json_lines(df, f"file://{tmp_path}/lines")
+    assert spark.read.json(f"file://{tmp_path}/lines").count() == 2
+    scrubbed = redact.scrub_metadata(df, ["b"])
+    assert scrubbed.dtypes == df.dtypes and {r.b for r in scrubbed.collect()} == {None}
+    assert sorted(r.term for r in redact.distinct_terms(spark.createDataFrame([("Abc",), ("abc",), ("ab",), ("xyz",)], "term string")).collect()) == ["Abc", "xyz"]

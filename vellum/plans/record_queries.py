@@ -220,6 +220,21 @@ def signature_gap(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy(out.alias("error")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+def scrubbed_metadata(spark, sf_dir):
+    from vellum.operators.redact import distinct_terms, scrub_metadata
+
+    d = scrub_metadata(load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["source"])
+    terms = distinct_terms(load(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.left("n_name", F.lit(7))).alias("term")))
+    return d.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("kind", F.lit("documents")).unionByName(terms.select(F.col("term").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n"), F.lit("term").alias("kind")))
+
+
+def report_rows(spark, sf_dir):
+    from vellum.sources.sinks import json_rows
+
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") > 5, F.col("s_name")).alias("name"), "s_nationkey")
+    return json_rows(s)
+
+
 def embedded_files(spark, sf_dir):
     s = load(spark, sf_dir, "supplier")
     names = F.array(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")), F.concat(F.lit("b"), F.col("s_nationkey").cast("string")))
@@ -248,13 +263,16 @@ def image_info(spark, sf_dir):
     return b.groupBy("vec_id").agg(F.round(F.avg("b"), 4).alias("mean"), F.count_if(F.col("b") < 100).alias("dark"), F.count_if(F.col("b") < 242).alias("not_white"))
 
 
-QUERIES = {f.__name__: f for f in (manifest_selection, named_destinations, link_targets, field_filters, page_spaces, matrix_boxes, tint_functions, command_lookup, signature_gap, embedded_files, page_selection, recent_files, validation_rules, subset_conformance, marked_content_depth, form_autodetect, bates_position, segment_count_merge, orphan_widgets, destination_resolve, structure_text, cmap_decode, xref_first_wins, near_white_fill, placeholder_strip, path_normalise, split_names, wall_budgets, agreement_class, rotate_pages, form_name_dedupe, strong_rtl, image_info)}
+QUERIES = {f.__name__: f for f in (scrubbed_metadata, report_rows, manifest_selection, named_destinations, link_targets, field_filters, page_spaces, matrix_boxes, tint_functions, command_lookup, signature_gap, embedded_files, page_selection, recent_files, validation_rules, subset_conformance, marked_content_depth, form_autodetect, bates_position, segment_count_merge, orphan_widgets, destination_resolve, structure_text, cmap_decode, xref_first_wins, near_white_fill, placeholder_strip, path_normalise, split_names, wall_budgets, agreement_class, rotate_pages, form_name_dedupe, strong_rtl, image_info)}
 
 _RULES = """rules AS (SELECT page_id AS doc_id, r.rule, CASE WHEN NOT applies THEN 'NotApplicable' WHEN holds THEN 'Pass' ELSE 'Fail' END AS status FROM pages, LATERAL (VALUES
  ('Lang', true, regexp_matches(html, '<html lang="[a-z]')), ('Title', true, regexp_matches(html, '<title>[^<]')), ('List-Structure', contains(html, '<li>'), regexp_matches(html, '<[uo]l>')),
  ('Closed', true, ends_with(html, '</html>')), ('Figure-Alt', contains(html, '<img'), contains(html, 'alt='))) r(rule, applies, holds))"""
 
 ORACLES = {
+    "scrubbed_metadata": """WITH t AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE left(n_name, 7) END AS term FROM nation)
+SELECT lang, CAST(NULL AS VARCHAR) AS source, count(*) AS n, 'documents' AS kind FROM documents GROUP BY lang UNION ALL SELECT min(term), NULL, 1, 'term' FROM t WHERE length(term) >= 3 GROUP BY lower(term)""",
+    "report_rows": "SELECT '{\"s_suppkey\":' || s_suppkey || ',\"name\":' || CASE WHEN s_nationkey > 5 THEN '\"' || s_name || '\"' ELSE 'null' END || ',\"s_nationkey\":' || s_nationkey || '}' AS json FROM supplier",
     "page_selection": "WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, CAST(p AS INTEGER) AS page_number, 'sample' AS mode FROM n, (SELECT unnest([1, 2, 5, 20]) AS p) WHERE p <= n UNION ALL SELECT conv_id, CAST(unnest(range(1, n + 1)) AS INTEGER), 'all' FROM n",
     "recent_files": "SELECT user_id, user_id % 10 = 0 AS pinned FROM events GROUP BY user_id ORDER BY pinned DESC, max(ts) DESC, user_id LIMIT 20",
     "validation_rules": f"WITH {_RULES} SELECT doc_id, rule, status FROM rules",
