@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import mapped
+from vellum.llm.common import mapped, remember
 
 #: White space as Unicode defines it (the property White_Space).
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -195,6 +195,7 @@ def bpe_digest(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     """Encodes every text, decodes the ids again, and returns counts and digests of both."""
 
     def row(text: str) -> tuple[int, str, str]:
+        remember("chunks", codec.cache_clear)
         c = codec(vocabulary, pattern)
         ids = c.encode(text)
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()

@@ -28,6 +28,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Of this Python worker: the operator that remembers something between batches, and how to forget it.
+_REMEMBERS: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Says that ``name`` remembers things in this worker, which serves one operator after the other: those of others go.
+
+    So a worker holds the memo of one operator, and not the sum of all that it has ever worked for.
+    """
+    for other in [k for k in _REMEMBERS if k != name]:
+        _REMEMBERS.pop(other)()
+    _REMEMBERS[name] = forget
+
+
 def texts(batch: pd.Series) -> Iterator[str]:
     """The texts of a batch; a null is an empty text."""
     for x in batch:

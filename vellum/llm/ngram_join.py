@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from vellum.llm.common import discard, small_batches, texts, written
+from vellum.llm.common import discard, remember, small_batches, texts, written
 from vellum.llm.components import components
 
 #: Words in a shingle, and the least similarity as a fraction.
@@ -172,6 +172,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     @F.pandas_udf("n long, node long, keys array<long>, sketch binary")
     def facts(batch: pd.Series) -> pd.DataFrame:
+        remember("shingles", _hashes.clear)
         out = []
         for t in texts(batch):
             s = shingles(t, words)
@@ -204,6 +205,7 @@ def _verified(pairs: DataFrame, held: DataFrame, words: int, num: int, den: int)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
+        remember("shingles", _hashes.clear)
 
         def set_of(node: int, text: str) -> np.ndarray:
             s = memo.get(node)
@@ -317,6 +319,7 @@ def _searched(groups: DataFrame, tested: DataFrame | None, facts: DataFrame, hel
 
     @F.pandas_udf("binary")
     def hashes(batch: pd.Series) -> pd.Series:
+        remember("shingles", _hashes.clear)
         return pd.Series([shingles(t, words).tobytes() for t in texts(batch)])
 
     wanted = many.select("node").distinct()

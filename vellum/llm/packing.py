@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, texts, written
+from vellum.llm.common import remember, small_batches, texts, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers (some 200 MB at most).
@@ -118,6 +118,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
 
     @F.pandas_udf("doc_tokens long, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
     def cut(batch: pd.Series) -> pd.DataFrame:
+        remember("words", word_ids.cache_clear)
         out = []
         for ids in word_ids(tokenizer).encode(list(texts(batch))):
             ids += end

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, small_batches, texts, written
+from vellum.llm.common import discard, remember, small_batches, texts, written
 from vellum.llm.quality import SEED, held_out
 
 #: Labelled rows of each label that the fit may use at most.
@@ -417,6 +417,7 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text") -> Column:
         m = held.value
         if m is None:
             return pd.Series(np.zeros(len(batch)))
+        remember("forms", _LAST.clear)
         if not _LAST or _LAST[0][0] is not m:  # the model is held, so no other one can take its place in memory
             _LAST[:] = [(m, Finder(m.lexicon))]
         finder = _LAST[0][1]
