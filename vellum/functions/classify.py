@@ -46,7 +46,8 @@ def impact(kind: Column, diff: Column, mae: Column) -> Column:
     by_share = F.when(diff >= 0.03, "high").otherwise("medium")
     return (
         F.when(kind == "none", "none").when(kind.isin("minor-noise-or-antialiasing", "small-text-antialiasing"), "low")
-        .when(kind == "color-tone-or-texture", F.when(mae <= 16, "low").otherwise("medium")).when(kind.isin("localized-color-or-image-content", "localized-linework-or-texture"), "medium")
+        .when(kind == "color-tone-or-texture", F.when(mae <= 16, "low").otherwise("medium")).when(kind.isin("localized-color-or-image-content",
+            "localized-linework-or-texture"), "medium")
         .when(kind == "structural-or-missing-content-candidate", "high").when(kind.isin("localized-text-or-geometry", "localized-content-or-geometry"), by_share)
         .when((diff <= 0.01) & (mae <= 5), "low").when((diff >= 0.08) & (mae >= 16), "high").otherwise("medium")
     )
@@ -71,13 +72,15 @@ def failure(phase: Column, error: Column, messages: Column, kinds: Column, stack
     """
     said = F.lower(F.concat_ws("\n", messages))
     compressed, locked = _any_in(said, _COMPRESSION), _any_in(said, _PASSWORD)
-    unsupported = F.exists(F.arrays_zip(kinds.alias("kind"), messages.alias("message")), lambda x: (x["kind"] == "unsupported") & F.contains(F.lower(x["message"]), F.lit("filter")))
+    unsupported = F.exists(F.arrays_zip(kinds.alias("kind"), messages.alias("message")),
+        lambda x: (x["kind"] == "unsupported") & F.contains(F.lower(x["message"]), F.lit("filter")))
     decoding = F.exists(kinds, lambda k: k.isin("parse", "data")) | unsupported | F.contains(stack, F.lit("StreamDecompressor")) | F.contains(stack, F.lit(".Filters."))
     opened = (
         F.when(error == "encryption", F.when(locked, "PASSWORD_REQUIRED").otherwise("UNSUPPORTED_ENCRYPTED")).when((error == "data") & compressed, "UNSUPPORTED_COMPRESSION")
         .when(error.isin("parse", "data", "overflow", "format"), "MALFORMED_PDF").otherwise("PARSE_ERROR")
     )
-    return F.when(error == "geometry", "INVALID_PAGE_GEOMETRY").when(error == "limit", "RESOURCE_LIMIT").when(phase == "open", opened).when(decoding, "DECODE_ERROR").otherwise("RENDER_ERROR")
+    return F.when(error == "geometry", "INVALID_PAGE_GEOMETRY").when(error == "limit", "RESOURCE_LIMIT").when(phase == "open", opened).when(decoding,
+        "DECODE_ERROR").otherwise("RENDER_ERROR")
 
 
 _DEGENERATE = ("MALFORMED_PDF", "EMPTY_DOC", "PASSWORD_REQUIRED", "INVALID_PAGE_GEOMETRY")
@@ -116,7 +119,8 @@ def quality_ladders(e: dict[str, Column], c: dict[str, Column], strict: bool = F
         "pixel_agreement": F.when(status == "PASS", "MATCHES_ALL_REQUIRED").when(one, split).when(status == "DIFF", "MATCHES_NONE").otherwise("NOT_COMPARABLE"),
         "references": F.when(status == "ALL_ORACLES_REFUSED", "REFS_REFUSE").when(compared == 0, "REFS_INCOMPLETE").when(disagreeing > 0, "REFS_DISAGREE").otherwise("REFS_AGREE"),
         "target_basis": (
-            F.when(status.isin(*_DEGENERATE), "MALFORMED_INPUT_POLICY").when(status.isin("RESOURCE_LIMIT", "TIMEOUT"), "RESOURCE_POLICY").when(status == "ALL_ORACLES_REFUSED", "QUALITY_STANDARD")
+            F.when(status.isin(*_DEGENERATE), "MALFORMED_INPUT_POLICY").when(status.isin("RESOURCE_LIMIT", "TIMEOUT"),
+                "RESOURCE_POLICY").when(status == "ALL_ORACLES_REFUSED", "QUALITY_STANDARD")
             .when(one, "REFERENCE_DISAGREEMENT").otherwise("REFERENCE_CONSENSUS")
         ),
         "priority": F.when(status == "DIFF", "P1").when(one, "P2").otherwise("NONE"),
@@ -152,4 +156,5 @@ def link_target(action: Column, uri: Column) -> Column:
 def link_kind(uri: Column) -> Column:
     """internal, external or dangerous; null for a blank link."""
     scheme = F.lower(F.regexp_extract(F.trim(uri), "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when(F.trim(F.coalesce(uri, F.lit(""))) == "", None).when(F.trim(uri).startswith("#"), "internal").when(scheme.isin("http", "https", "mailto"), "external").otherwise("dangerous")
+    return F.when(F.trim(F.coalesce(uri, F.lit(""))) == "", None).when(F.trim(uri).startswith("#"),
+        "internal").when(scheme.isin("http", "https", "mailto"), "external").otherwise("dangerous")

@@ -38,7 +38,8 @@ def rotated(box: tuple[Column, ...], turn: Column, width: Column, height: Column
     def pick(*by_turn: Column) -> Column:
         return F.when(turn == 90, by_turn[1]).when(turn == 180, by_turn[2]).when(turn == 270, by_turn[3]).otherwise(by_turn[0])
 
-    return normalised(pick(left, width - top, width - right, bottom), pick(bottom, left, height - top, height - right), pick(right, width - bottom, width - left, top), pick(top, right, height - bottom, height - left))
+    return normalised(pick(left, width - top, width - right, bottom), pick(bottom, left, height - top, height - right),
+        pick(right, width - bottom, width - left, top), pick(top, right, height - bottom, height - left))
 
 
 def transformed(matrix: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:

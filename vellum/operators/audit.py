@@ -67,7 +67,8 @@ def batch_report(steps: DataFrame, batch: str, order: str, failed: Column, stops
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = steps.withColumn("_bad", failed.cast("int"))
     rows = rows.withColumn("_skip", (F.coalesce(F.sum("_bad").over(w), F.lit(0)) > 0) if stops else F.lit(False))
-    out = rows.groupBy(batch).agg(F.count_if(~F.col("_skip")).alias("run"), F.count_if((F.col("_bad") == 1) & ~F.col("_skip")).alias("failed"), F.count_if(F.col("_skip")).alias("skipped"))
+    out = rows.groupBy(batch).agg(F.count_if(~F.col("_skip")).alias("run"), F.count_if((F.col("_bad") == 1) & ~F.col("_skip")).alias("failed"),
+        F.count_if(F.col("_skip")).alias("skipped"))
     return out.withColumn("status", F.when(F.col("failed") > 0, "FAIL").otherwise("PASS")).withColumn("exit_code", F.when(F.col("failed") > 0, 1).otherwise(0))
 
 
@@ -118,7 +119,8 @@ def ink_tiles(pages: DataFrame, mine: DataFrame, reference: DataFrame, parts: in
     ``mine`` and ``reference`` hold inked cells (grid, x, y).  A page that passed and has none of the reference's ink,
     of at least three tiles, misses its content; a page that didn't pass keeps its status.
     """
-    size = pages.select("grid", "width", "height", F.greatest(F.lit(1), F.floor(F.col("width") / parts)).alias("tw"), F.greatest(F.lit(1), F.floor(F.col("height") / parts)).alias("th"))
+    size = pages.select("grid", "width", "height", F.greatest(F.lit(1), F.floor(F.col("width") / parts)).alias("tw"),
+        F.greatest(F.lit(1), F.floor(F.col("height") / parts)).alias("th"))
 
     def tiles(df: DataFrame, name: str) -> DataFrame:
         t = df.join(size, "grid").withColumn("tx", F.floor(F.col("x") / F.col("tw"))).withColumn("ty", F.floor(F.col("y") / F.col("th")))
@@ -127,8 +129,10 @@ def ink_tiles(pages: DataFrame, mine: DataFrame, reference: DataFrame, parts: in
         high = F.least(F.col("th"), F.col("height") - F.col("ty") * F.col("th"))
         return t.groupBy("grid", "tx", "ty").agg((F.count("*") / F.first(wide * high) >= least).alias(name))
 
-    both = tiles(reference, "want").join(tiles(mine, "have"), ["grid", "tx", "ty"], "full").select("grid", F.coalesce("want", F.lit(False)).alias("want"), F.coalesce("have", F.lit(False)).alias("have"))
-    out = both.groupBy("grid").agg(F.count_if("want").alias("inked"), F.count_if(F.col("want") & ~F.col("have")).alias("missing"), F.count_if(~F.col("want") & F.col("have")).alias("extra"))
+    both = tiles(reference, "want").join(tiles(mine, "have"), ["grid", "tx", "ty"], "full").select("grid",
+        F.coalesce("want", F.lit(False)).alias("want"), F.coalesce("have", F.lit(False)).alias("have"))
+    out = both.groupBy("grid").agg(F.count_if("want").alias("inked"), F.count_if(F.col("want") & ~F.col("have")).alias("missing"),
+        F.count_if(~F.col("want") & F.col("have")).alias("extra"))
     blank = (F.col("status") == "PASS") & (F.col("inked") >= INK_VERDICT) & (F.col("missing") == F.col("inked"))
     return pages.join(out, "grid").select("grid", "inked", "missing", "extra", F.when(blank, "MISSING_CONTENT").otherwise(F.col("status")).alias("status"))
 

@@ -162,7 +162,8 @@ def scrubbed_widgets(widgets: DataFrame, areas: DataFrame) -> DataFrame:
     meets = G.overlaps(tuple(F.col(c) for c in _BOX), tuple(F.col(f"a_{c}") for c in _BOX))
     a = _areas(areas).withColumnsRenamed({c: f"_{c}" for c in _PAGE})
     hit = widgets.join(a, (widgets["doc_id"] == a["_doc_id"]) & (widgets["page_no"] == a["_page_no"]) & meets, "left_semi")
-    action = F.when(F.col("kind") == "annotation", "removed").when(F.col("kind") == "button", "kept").when(F.col("kind") == "choice", "value and options cleared").otherwise("value cleared")
+    action = F.when(F.col("kind") == "annotation", "removed").when(F.col("kind") == "button", "kept").when(F.col("kind") == "choice",
+        "value and options cleared").otherwise("value cleared")
     return hit.withColumn("action", action)
 
 
@@ -170,7 +171,8 @@ def _dark(name: Column, operands: Column) -> Column:
     """Whether an operator sets a fill that hides what is below it; null if it sets none."""
     grey = operands[0]
     return (
-        F.when((name == "rg") & (F.size(operands) >= 3), ~near_white(operands[0], operands[1], operands[2])).when((name == "g") & (F.size(operands) >= 1), ~near_white(grey, grey, grey))
+        F.when((name == "rg") & (F.size(operands) >= 3), ~near_white(operands[0], operands[1],
+            operands[2])).when((name == "g") & (F.size(operands) >= 1), ~near_white(grey, grey, grey))
         .when((name == "k") & (F.size(operands) >= 4), ~near_white(*rgb_of_cmyk(*(F.get(operands, F.lit(i)) for i in range(4)))))
     )
 
@@ -196,7 +198,8 @@ def without_obstructions(ops: DataFrame) -> DataFrame:
 def hidden_texts(ops: DataFrame, least: float = 0.5) -> DataFrame:
     """Shown texts that a dark fill painted after them covers by at least a share: (doc_id, page_no, ix, hidden_by)."""
     filled = with_fills(ops)
-    covers = filled.where(F.col("name").isin(*_FILLS) & F.col("dark") & F.col("left").isNotNull()).select(*_PAGE, F.col("ix").alias("cover"), *[F.col(c).alias(f"a_{c}") for c in _BOX])
+    covers = filled.where(F.col("name").isin(*_FILLS) & F.col("dark") & F.col("left").isNotNull()).select(*_PAGE, F.col("ix").alias("cover"),
+        *[F.col(c).alias(f"a_{c}") for c in _BOX])
     shown = ops.where(F.col("name").isin(*_SHOWS) & F.col("left").isNotNull())
     share = G.covered(tuple(F.col(c) for c in _BOX), tuple(F.col(f"a_{c}") for c in _BOX))
     hit = shown.join(covers, _PAGE).where((F.col("cover") > F.col("ix")) & (share >= least))

@@ -34,7 +34,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[
     asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("share")) for n, p in shares.items()]))
     wanted = ends.withColumn("_q", asked).withColumn("_rank", F.col("_q.share") * F.col("_all"))
     wanted = wanted.where((F.col("_end") >= F.col("_rank")) & ((F.col("_end") - F.col("_n") < F.col("_rank")) | ((F.col("_rank") <= 0) & (F.col("_end") == F.col("_n")))))
-    wanted = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_wb"), F.col("_q.name").alias("_name"), "_rank", (F.col("_end") - F.col("_n")).alias("_before"))
+    wanted = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_wb"), F.col("_q.name").alias("_name"), "_rank",
+        (F.col("_end") - F.col("_n")).alias("_before"))
     on = counts["_b"] == wanted["_wb"]
     for k in keys:
         on = on & counts[k].eqNullSafe(wanted[f"_k_{k}"])
@@ -59,7 +60,8 @@ def hotspots(df: DataFrame, phase: str, ms: str, top: int = 0) -> DataFrame:
     out = out.join(percentiles(df, [phase], ms, {"p50": 0.5, "p95": 0.95}), phase, "left")
     # the window runs over one row for each phase
     out = out.withColumn("share", F.round(F.col("_total").cast("double") / F.sum("_total").over(Window.partitionBy(F.lit(1))).cast("double"), 6))
-    out = out.select(phase, "n", F.col("_total").cast("double").alias("total"), F.round(F.col("_total").cast("double") / F.col("n"), 4).alias("mean"), "p50", "p95", "most", "share")
+    out = out.select(phase, "n", F.col("_total").cast("double").alias("total"), F.round(F.col("_total").cast("double") / F.col("n"), 4).alias("mean"),
+        "p50", "p95", "most", "share")
     return out.orderBy(F.desc("total"), phase).limit(top) if top > 0 else out
 
 
@@ -79,7 +81,8 @@ def render_phases(df: DataFrame, renderers: Sequence[str] = RENDERERS) -> DataFr
         measured = measured + F.coalesce(ms, F.lit(0))
     rows.append(F.struct(F.lit(OVERHEAD).alias("phase"), F.greatest(F.lit(0), F.col("elapsed_ms") - measured).alias("ms")))
     # greatest() passes over nulls, so a page without a time of its own is asked for
-    long = df.select("elapsed_ms", F.explode(F.array(*[F.struct(x["phase"].alias("phase"), x["ms"].cast("long").alias("ms")) for x in rows])).alias("x")).select("elapsed_ms", "x.*")
+    long = df.select("elapsed_ms", F.explode(F.array(*[F.struct(x["phase"].alias("phase"),
+        x["ms"].cast("long").alias("ms")) for x in rows])).alias("x")).select("elapsed_ms", "x.*")
     return long.where(F.col("ms").isNotNull() & ~((F.col("phase") == OVERHEAD) & F.col("elapsed_ms").isNull())).select("phase", "ms")
 
 
@@ -153,13 +156,15 @@ def difference_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     (ab, ar), (bb, br) = chroma("a"), chroma("b")
     differs = (F.col("ar") != F.col("br")) | (F.col("ag") != F.col("bg")) | (F.col("ab") != F.col("bb"))
-    rows = df.select(*keys, differs.alias("differs"), F.abs(y("a") - y("b")).alias("y"), ((F.abs(ab - bb) + F.abs(ar - br)) / 2).alias("c"), (y("a") < 128).alias("da"), (y("b") < 128).alias("db"))
+    rows = df.select(*keys, differs.alias("differs"), F.abs(y("a") - y("b")).alias("y"), ((F.abs(ab - bb) + F.abs(ar - br)) / 2).alias("c"),
+        (y("a") < 128).alias("da"), (y("b") < 128).alias("db"))
     out = rows.groupBy(*keys).agg(
         F.count_if("differs").alias("differing"), F.avg(F.when(F.col("differs"), F.col("y"))).alias("y"), F.avg(F.when(F.col("differs"), F.col("c"))).alias("c"),
         F.count_if("da").alias("da"), F.count_if("db").alias("db"),
     )
     balance = F.when(F.greatest("da", "db") == 0, 1.0).otherwise(F.least("da", "db") / F.nullif(F.greatest("da", "db"), F.lit(0)))
-    return out.select(*keys, "differing", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("luminance"), F.round(F.coalesce("c", F.lit(0.0)), 4).alias("chroma"), F.round(balance, 6).alias("dark_balance"))
+    return out.select(*keys, "differing", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("luminance"),
+        F.round(F.coalesce("c", F.lit(0.0)), 4).alias("chroma"), F.round(balance, 6).alias("dark_balance"))
 
 
 def unpivoted(df: DataFrame, id_col: str, timers: Sequence[str]) -> DataFrame:

@@ -35,7 +35,8 @@ def words(letters: DataFrame) -> DataFrame:
     opened = letters.withColumn("_new", (breaks | is_blank(F.lag("value").over(w))).cast("int"))
     numbered = opened.withColumn("_word", F.sum("_new").over(w)).where(~is_blank(F.col("value")))
     return numbered.groupBy("doc_id", "page_no", "_word").agg(
-        F.min("line_no").alias("line_no"), F.min("c").alias("c"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c", "value"))), lambda x: x["value"])).alias("word"),
+        F.min("line_no").alias("line_no"), F.min("c").alias("c"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c",
+            "value"))), lambda x: x["value"])).alias("word"),
         F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"),
     ).drop("_word")
 
@@ -126,7 +127,8 @@ def joined_lines(letters: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, text, left, centre, height) with the spaces that are meant."""
     shown = with_spaces(letters).withColumn("_shown", F.concat(F.when(F.col("space"), " ").otherwise(""), "value"))
     return shown.groupBy("doc_id", "page_no", "line_no").agg(
-        _joined("c", "_shown").alias("text"), F.min("left").alias("left"), F.avg((F.col("bottom") + F.col("top")) / 2).alias("centre"), F.avg(F.col("top") - F.col("bottom")).alias("height")
+        _joined("c", "_shown").alias("text"), F.min("left").alias("left"), F.avg((F.col("bottom") + F.col("top")) / 2).alias("centre"),
+            F.avg(F.col("top") - F.col("bottom")).alias("height")
     )
 
 
@@ -138,7 +140,8 @@ def smart_join(lines: DataFrame, paragraph: float = 1.6, indent: float = 2.0) ->
     """
     whole, order = Window.partitionBy("doc_id", "page_no"), Window.partitionBy("doc_id", "page_no").orderBy("line_no")
     drop = F.lag("centre").over(order) - F.col("centre")
-    held = lines.withColumns({"_drop": drop, "_edge": F.min("left").over(whole), "_unit": F.greatest(_middle(F.col("height")).over(whole) * 0.5, F.lit(1.0)), "_item": list_marker(F.col("text")) != ""})
+    held = lines.withColumns({"_drop": drop, "_edge": F.min("left").over(whole),
+        "_unit": F.greatest(_middle(F.col("height")).over(whole) * 0.5, F.lit(1.0)), "_item": list_marker(F.col("text")) != ""})
     held = held.withColumn("_leading", F.coalesce(_middle(F.when(F.col("_drop") > 0, F.col("_drop"))).over(whole), F.lit(0.0)))
     level = F.greatest(F.lit(0), F.least(F.lit(4), F.bround((F.col("left") - F.col("_edge")) / (F.col("_unit") * indent)))).cast("int")
     new_paragraph = ~F.col("_item") & (F.col("_leading") > 0) & (F.col("_drop") > paragraph * F.col("_leading"))
@@ -407,6 +410,7 @@ def grouped_lines(letters: DataFrame, share: float = 0.5) -> DataFrame:
                     break
             else:
                 samples.append([top, size, 1])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page_no": pdf["page_no"].iloc[0], "line": range(len(samples)), "n": [s[2] for s in samples], "top": [s[0] for s in samples]})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page_no": pdf["page_no"].iloc[0], "line": range(len(samples)),
+            "n": [s[2] for s in samples], "top": [s[0] for s in samples]})
 
     return letters.groupBy("doc_id", "page_no").applyInPandas(run, "doc_id long, page_no int, line int, n long, top long")

@@ -78,7 +78,8 @@ def suggested_fields(paths: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("doc_id", "page_no", "kind").orderBy("ix"))
     text = F.col("kind") == "text"
     return found.select(
-        "doc_id", "page_no", "kind", F.concat(F.when(text, "Text").otherwise("Checkbox"), n.cast("string")).alias("name"), "left", F.when(text, F.col("top") + 1).otherwise(F.col("bottom")).alias("bottom"), "right",
+        "doc_id", "page_no", "kind", F.concat(F.when(text, "Text").otherwise("Checkbox"), n.cast("string")).alias("name"), "left",
+            F.when(text, F.col("top") + 1).otherwise(F.col("bottom")).alias("bottom"), "right",
         F.when(text, F.col("top") + 1 + ABOVE).otherwise(F.col("top")).alias("top"),
     )
 
@@ -182,7 +183,8 @@ def decoded(codes: DataFrame, ranges: DataFrame, code: str) -> DataFrame:
     its own length by its leading bytes, an equi-join; a map's ranges don't cross the last byte.
     """
     head, last = F.expr(f"left({code}, length({code}) - 2)"), F.conv(F.right(code, F.lit(2)), 16, 10).cast("int")
-    r = ranges.select(F.expr("left(first, length(first) - 2)").alias("_head"), F.conv(F.right("first", F.lit(2)), 16, 10).cast("int").alias("_low"), F.conv(F.right("last", F.lit(2)), 16, 10).cast("int").alias("_high"), F.col("target").alias("_target"))
+    r = ranges.select(F.expr("left(first, length(first) - 2)").alias("_head"), F.conv(F.right("first", F.lit(2)), 16, 10).cast("int").alias("_low"),
+        F.conv(F.right("last", F.lit(2)), 16, 10).cast("int").alias("_high"), F.col("target").alias("_target"))
     rows = codes.withColumn("_code_head", head).withColumn("_last", last)
     on = (rows["_code_head"] == r["_head"]) & (rows["_last"] >= r["_low"]) & (rows["_last"] <= r["_high"])
     stem, unit = F.expr("left(_target, length(_target) - 4)"), F.conv(F.right("_target", F.lit(4)), 16, 10).cast("int") + F.col("_last") - F.col("_low")

@@ -17,7 +17,8 @@ def carriers(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     Information and annotations that become empty are removed; an outline title says that it was redacted.
     """
     gone = {c: T.without_terms(F.col(c), terms) for c in ("info", "title", "note")}
-    return df.select("doc_id", F.nullif(gone["info"], F.lit("")).alias("info"), F.when(gone["title"] == "", "[redacted]").otherwise(gone["title"]).alias("title"), F.nullif(gone["note"], F.lit("")).alias("note"))
+    return df.select("doc_id", F.nullif(gone["info"], F.lit("")).alias("info"),
+        F.when(gone["title"] == "", "[redacted]").otherwise(gone["title"]).alias("title"), F.nullif(gone["note"], F.lit("")).alias("note"))
 
 
 def counts(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -139,6 +140,8 @@ def safe_copy(docs: DataFrame, previews: DataFrame, hidden: DataFrame, images: D
     hidden_state, image_state = state(F.lit(checks[1]), n_hidden), state(F.lit(checks[2]) & (F.size(terms) > 0), n_images)
     warnings = (F.col("skipped") > 0).cast("int") + sum(((s == "Warning").cast("int") for s in (content_state, hidden_state, image_state)), F.lit(0))
     return held.select(
-        "doc_id", F.size(terms).alias("previews"), F.size(checked).alias("checked"), left.alias("remaining"), (F.size(terms) - F.size(checked)).alias("short"), content_state.alias("content"),
-        hidden_state.alias("hidden_text"), image_state.alias("raster"), F.col("info").alias("info_scrubbed"), F.col("xmp").alias("had_xmp"), F.col("attachments").alias("attachments"), warnings.alias("warnings"),
+        "doc_id", F.size(terms).alias("previews"), F.size(checked).alias("checked"), left.alias("remaining"),
+            (F.size(terms) - F.size(checked)).alias("short"), content_state.alias("content"),
+        hidden_state.alias("hidden_text"), image_state.alias("raster"), F.col("info").alias("info_scrubbed"), F.col("xmp").alias("had_xmp"),
+            F.col("attachments").alias("attachments"), warnings.alias("warnings"),
     )

@@ -36,7 +36,8 @@ def resolve_roles(roles: DataFrame, steps: int = 64) -> DataFrame:
     reach = 1
     while reach < steps:
         onward = out.select(F.col("name").alias("_n"), F.col("target").alias("_t"), F.col("hops").alias("_h"))
-        step = out.join(onward, out["target"] == onward["_n"], "left").select("name", F.coalesce("_t", "target").alias("target"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+        step = out.join(onward, out["target"] == onward["_n"], "left").select("name", F.coalesce("_t", "target").alias("target"),
+            (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
         step = written(step, "roles")
         discard(out)
         out, reach = step, reach * 2
@@ -63,11 +64,14 @@ def grid_components(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     label = start
     for _ in range(rounds):
-        sent = label.select("grid", "x", "y", "label", moves.alias("m")).select("grid", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), F.col("label").alias("near"))
-        step = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        sent = label.select("grid", "x", "y", "label", moves.alias("m")).select("grid", (F.col("x") + F.col("m.dx")).alias("x"),
+            (F.col("y") + F.col("m.dy")).alias("y"), F.col("label").alias("near"))
+        step = label.join(sent.groupBy("grid", "x", "y").agg(F.min("near").alias("near")), ["grid", "x", "y"]).select("grid", "x", "y",
+            F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # a label is the place of a cell, whose own label may be less: a path takes the logarithm of its length in rounds
         onward = step.select("grid", F.struct("y", "x").alias("label"), F.col("label").alias("beyond"))
-        new = written(step.join(onward, ["grid", "label"], "left").select("grid", "x", "y", (F.col("old") != F.least("label", "beyond")).alias("moved"), F.least("label", "beyond").alias("label")), "labels")
+        new = written(step.join(onward, ["grid", "label"], "left").select("grid", "x", "y",
+            (F.col("old") != F.least("label", "beyond")).alias("moved"), F.least("label", "beyond").alias("label")), "labels")
         discard(label)
         label = new
         if new.where("moved").isEmpty():

@@ -110,7 +110,8 @@ def listed(problems: DataFrame, most: int = LISTED) -> DataFrame:
     held = F.transform(F.sort_array(F.collect_list(F.struct("node_id", "problem"))), lambda p: p["problem"])
     out = problems.groupBy("doc_id").agg(held.alias("_all"))
     more = F.size("_all") - most
-    return out.select("doc_id", F.concat(F.concat_ws("; ", F.slice("_all", 1, most)), F.when(more > 0, F.concat(F.lit("; +"), more.cast("string"), F.lit(" more"))).otherwise("")).alias("report"))
+    return out.select("doc_id", F.concat(F.concat_ws("; ", F.slice("_all", 1, most)), F.when(more > 0, F.concat(F.lit("; +"), more.cast("string"),
+        F.lit(" more"))).otherwise("")).alias("report"))
 
 
 def list_findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,8 +119,10 @@ def list_findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("up_kind"))
     placed = nodes.join(up, ["doc_id", "parent_id"], "left")
     lists = nodes.where("kind = 'L'").select("doc_id", "node_id")
-    kids = placed.where("up_kind = 'L'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("kind") == "LI").alias("items"), F.count_if(~F.col("kind").isin("LI", "Caption")).alias("odd"))
-    by_list = lists.join(kids, ["doc_id", "node_id"], "left").select("doc_id", F.lit(1).alias("n"), (F.when(F.coalesce("items", F.lit(0)) == 0, 1).otherwise(0) + F.coalesce("odd", F.lit(0))).alias("bad"))
+    kids = placed.where("up_kind = 'L'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("kind") == "LI").alias("items"),
+        F.count_if(~F.col("kind").isin("LI", "Caption")).alias("odd"))
+    by_list = lists.join(kids, ["doc_id", "node_id"], "left").select("doc_id", F.lit(1).alias("n"),
+        (F.when(F.coalesce("items", F.lit(0)) == 0, 1).otherwise(0) + F.coalesce("odd", F.lit(0))).alias("bad"))
     stray = placed.where("kind = 'LI' AND coalesce(up_kind, '') <> 'L'").select("doc_id", F.lit(1).alias("n"), F.lit(1).alias("bad"))
     structure = by_list.unionByName(stray).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     items = placed.where("kind = 'LI' AND up_kind = 'L'").select("doc_id", "node_id")
@@ -245,11 +248,13 @@ def action_chains(actions: DataFrame, deepest: int = 32) -> DataFrame:
     ``next_id`` until there is none, it comes back to an action, or it is too deep.
     """
     flat = actions.select("doc_id", F.col("action_id").alias("at"), F.col("kind").alias("_kind"), F.col("next_id").alias("_next"))
-    front = actions.where("trigger IS NOT NULL").select("doc_id", "trigger", F.lit(0).alias("step"), "action_id", "kind", F.col("next_id").alias("at"), F.array("action_id").alias("seen"))
+    front = actions.where("trigger IS NOT NULL").select("doc_id", "trigger", F.lit(0).alias("step"), "action_id", "kind",
+        F.col("next_id").alias("at"), F.array("action_id").alias("seen"))
     tables = [written(front, "chain")]
     for step in range(1, deepest):
         on = tables[-1].select("doc_id", "trigger", "at", "seen").join(flat, ["doc_id", "at"]).where(~F.array_contains("seen", F.col("at")))
-        nxt = written(on.select("doc_id", "trigger", F.lit(step).alias("step"), F.col("at").alias("action_id"), F.col("_kind").alias("kind"), F.col("_next").alias("at"), F.array_append("seen", F.col("at")).alias("seen")), "chain")
+        nxt = written(on.select("doc_id", "trigger", F.lit(step).alias("step"), F.col("at").alias("action_id"), F.col("_kind").alias("kind"),
+            F.col("_next").alias("at"), F.array_append("seen", F.col("at")).alias("seen")), "chain")
         if nxt.isEmpty():
             discard(nxt)
             break

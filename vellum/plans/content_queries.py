@@ -50,12 +50,14 @@ def graphics_state(spark, sf_dir):
 
 def marked_content_mcid(spark, sf_dir):
     shown = C.with_state(_ops(spark, sf_dir)).where("name = 'Tj'")
-    return shown.groupBy("doc_id").agg(F.count("mark").alias("marked"), F.sum("mark").alias("marks"), F.count_if("artifact").alias("artifacts"), F.sum(F.size("marks")).cast("long").alias("around"))
+    return shown.groupBy("doc_id").agg(F.count("mark").alias("marked"), F.sum("mark").alias("marks"), F.count_if("artifact").alias("artifacts"),
+        F.sum(F.size("marks")).cast("long").alias("around"))
 
 
 def untagged_text(spark, sf_dir):
     state = C.with_state(_ops(spark, sf_dir))
-    line = lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.floor(F.col("line_no") / 50).cast("int").alias("page_no"), F.col("line_no").alias("mcid"))
+    line = lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id",
+        F.floor(F.col("line_no") / 50).cast("int").alias("page_no"), F.col("line_no").alias("mcid"))
     on_page, anywhere = line.where("mcid % 4 <> 1"), line.where("mcid % 8 = 1").select("doc_id", "mcid")
     return _count(C.untagged_runs(state, on_page, anywhere), "doc_id", "page_no")
 
@@ -73,7 +75,8 @@ def unused_images(spark, sf_dir):
 
 def redact_structure(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    line = lines(docs).select("doc_id", F.floor(F.col("line_no") / 50).cast("int").alias("page_no"), F.col("line_no").alias("element"), F.col("line_no").alias("mcid"), F.col("line").alias("value"))
+    line = lines(docs).select("doc_id", F.floor(F.col("line_no") / 50).cast("int").alias("page_no"), F.col("line_no").alias("element"),
+        F.col("line_no").alias("mcid"), F.col("line").alias("value"))
     elements = line.withColumn("carrier", F.when(F.col("element") % 3 == 0, "ActualText").when(F.col("element") % 3 == 1, "Alt").otherwise("E"))
     removed = line.where("mcid % 10 = 0").select("doc_id", "page_no", F.explode(F.array(F.lit("tion"), F.lit("th"))).alias("term"))
     marks = C.affected_marks(C.with_state(operators(docs)), _areas(spark, sf_dir))
@@ -84,7 +87,8 @@ def redact_fields(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("widget"))
     kind = F.get(F.array(*map(F.lit, ("text", "button", "choice", "signature", "annotation"))), F.col("widget"))
     left, bottom = 40 * F.col("widget") + F.pmod("doc_id", F.lit(30)), 640 + 25 * F.col("widget")
-    w = d.select("doc_id", F.lit(0).alias("page_no"), "widget", kind.alias("kind"), left.alias("left"), bottom.alias("bottom"), (left + 50).alias("right"), (bottom + 20).alias("top"))
+    w = d.select("doc_id", F.lit(0).alias("page_no"), "widget", kind.alias("kind"), left.alias("left"), bottom.alias("bottom"),
+        (left + 50).alias("right"), (bottom + 20).alias("top"))
     return C.scrubbed_widgets(w, _areas(spark, sf_dir)).select("doc_id", "widget", "action")
 
 
@@ -121,7 +125,8 @@ WHERE NOT EXISTS (SELECT 1 FROM areas a WHERE {_MEET}) GROUP BY doc_id""",
     "transform_operators": _OPS + """ SELECT doc_id, CAST(sum(l + 5) AS DOUBLE) AS left_sum, CAST(sum(r + 5) AS DOUBLE) AS right_sum,
 CAST(sum(length(CASE WHEN name = 'Tj' THEN replace(arg, 'e', 'EE') ELSE arg END)) AS BIGINT) AS size, count(*) AS n FROM operators GROUP BY doc_id""",
     "graphics_state": f"""WITH {OPERATORS_SQL}, s AS (SELECT *, name <> 'f' AS inside FROM operators WHERE name IN ('Tj', 'Do', 'f'))
-SELECT doc_id, name, CAST(sum(CASE WHEN inside THEN 120 ELSE 1 END) AS DOUBLE) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, CAST(sum(CASE WHEN inside THEN 14 ELSE 1 END) AS DOUBLE) AS d,
+SELECT doc_id, name, CAST(sum(CASE WHEN inside THEN 120 ELSE 1 END) AS DOUBLE) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, CAST(sum(CASE
+WHEN inside THEN 14 ELSE 1 END) AS DOUBLE) AS d,
 CAST(sum(CASE WHEN inside THEN 10 * (line_no % 4) ELSE 0 END) AS DOUBLE) AS e, CAST(sum(CASE WHEN inside THEN 795 - 12 * line_no ELSE 0 END) AS DOUBLE) AS f FROM s GROUP BY ALL""",
     "marked_content_mcid": f"""{_OPS} SELECT doc_id, count_if(line_no % 3 <> 2) AS marked, CAST(sum(line_no) FILTER (line_no % 3 <> 2) AS BIGINT) AS marks,
 count_if(line_no % 7 = 6) AS artifacts, CAST(count_if(line_no % 3 <> 2) AS BIGINT) AS around FROM operators WHERE name = 'Tj' GROUP BY doc_id""",
@@ -138,9 +143,11 @@ e AS (SELECT x.doc_id, CASE x.line_no % 3 WHEN 0 THEN 'ActualText' WHEN 1 THEN '
   FROM lines2 x LEFT JOIN m ON m.doc_id = x.doc_id AND m.page_no = x.page_no AND m.line_no = x.line_no LEFT JOIN r ON r.doc_id = x.doc_id AND r.page_no = x.page_no)
 SELECT doc_id, carrier, cleared, count(*) AS n FROM e GROUP BY ALL""",
     "redact_fields": f"""WITH {_AREAS}, o AS (SELECT doc_id, 0 AS page_no, CAST(k AS INTEGER) AS widget, 40 * k + doc_id % 30 AS l, 640 + 25 * k AS b, 40 * k + doc_id % 30 + 50 AS r, 660 + 25 * k AS t FROM documents, range(5) x(k))
-SELECT doc_id, widget, CASE widget WHEN 4 THEN 'removed' WHEN 1 THEN 'kept' WHEN 2 THEN 'value and options cleared' ELSE 'value cleared' END AS action FROM o WHERE EXISTS (SELECT 1 FROM areas a WHERE {_MEET})""",
+SELECT doc_id, widget, CASE widget WHEN 4 THEN 'removed' WHEN 1 THEN 'kept' WHEN 2 THEN 'value and options cleared' ELSE 'value cleared' END AS action
+FROM o WHERE EXISTS (SELECT 1 FROM areas a WHERE {_MEET})""",
     "obstruction_strip": _OPS + " SELECT doc_id, name, count(*) AS n FROM operators WHERE NOT (k > 11 AND line_no % 4 < 2) GROUP BY ALL",
-    "hidden_text_state": f"""{_OPS}, c AS (SELECT * FROM operators WHERE name = 'f' AND line_no % 4 < 2), h AS (SELECT o.doc_id, o.page_no, o.ix, min(c.ix) AS cover FROM operators o
+    "hidden_text_state": f"""{_OPS}, c AS (SELECT * FROM operators WHERE name = 'f' AND line_no % 4 < 2),
+h AS (SELECT o.doc_id, o.page_no, o.ix, min(c.ix) AS cover FROM operators o
 JOIN c ON c.doc_id = o.doc_id AND c.page_no = o.page_no AND c.ix > o.ix WHERE o.name = 'Tj'
 AND greatest(0, least(o.r, c.r) - greatest(o.l, c.l)) * greatest(0, least(o.t, c.t) - greatest(o.b, c.b)) / greatest(1e-6, (o.r - o.l) * (o.t - o.b)) >= 0.5 GROUP BY ALL)
 SELECT doc_id, page_no, count(*) AS n, CAST(sum(cover) AS BIGINT) AS covers FROM h GROUP BY ALL""",

@@ -28,12 +28,14 @@ def status_counts(spark, sf_dir):
 
 def scan_summary(spark, sf_dir):
     s = _scan(spark, sf_dir)
-    return s.agg(F.count("*").alias("pages"), F.countDistinct("l_orderkey").alias("files"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "DIFF").alias("different"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.max("l_discount").alias("most_diff"))
+    return s.agg(F.count("*").alias("pages"), F.countDistinct("l_orderkey").alias("files"), F.count_if(F.col("status") == "PASS").alias("passed"),
+        F.count_if(F.col("status") == "DIFF").alias("different"), F.count_if(F.col("status") == "FAIL").alias("failed"), F.max("l_discount").alias("most_diff"))
 
 
 def expectation_join(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "pdf/").otherwise(""), F.col("doc_id").cast("string")).alias("path"))
-    e = load(spark, sf_dir, "labels").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "pdf/").otherwise(""), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("toxic") == 1, "DIFF").when(F.col("quality") == 0, "*").otherwise("PASS").alias("expected"))
+    e = load(spark, sf_dir, "labels").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "pdf/").otherwise(""),
+        F.col("doc_id").cast("string")).alias("path"), F.when(F.col("toxic") == 1, "DIFF").when(F.col("quality") == 0, "*").otherwise("PASS").alias("expected"))
     out = O.lookup_with_fallback(d, e, "path", "pdf/", "expected")
     actual = F.when(F.col("doc_id") % 5 == 0, "DIFF").otherwise("PASS")
     result = F.when(F.col("expected").isNull(), "UNEXPECTED").when((F.col("expected") == "*") | (F.col("expected") == actual), "PASS").otherwise("MISMATCH")
@@ -58,7 +60,8 @@ def percentile_gate(spark, sf_dir):
 
 def corpus_hotspots_unpivot(spark, sf_dir):
     s = load(spark, sf_dir, "lineitem")
-    timers = s.select("l_orderkey", (F.col("l_tax") * 100).alias("parse"), (F.col("l_discount") * 100).alias("text"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("render"))
+    timers = s.select("l_orderkey", (F.col("l_tax") * 100).alias("parse"), (F.col("l_discount") * 100).alias("text"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("render"))
     rest = F.greatest(F.lit(0.0), F.lit(40.0) - F.col("parse") - F.col("text") - F.coalesce("render", F.lit(0.0)))
     long = O.unpivoted(timers.withColumn("overhead", rest), "l_orderkey", ["parse", "text", "render", "overhead"])
     return long.groupBy("timer").agg(F.count("*").alias("n"), F.sum(F.round("ms", 2).cast("decimal(20,2)")).cast("double").alias("total"), F.max(F.round("ms", 2)).alias("most"))
@@ -67,7 +70,8 @@ def corpus_hotspots_unpivot(spark, sf_dir):
 def workflow_summary(spark, sf_dir):
     e = _events(spark, sf_dir)
     bad = F.get_json_object("props", "$.k").cast("int") >= 90
-    out = e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(bad).alias("errors"), F.sum(O.exact("value")).cast("double").alias("total"))
+    out = e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(bad).alias("errors"),
+        F.sum(O.exact("value")).cast("double").alias("total"))
     return out.join(O.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "event_type")
 
 
@@ -82,7 +86,8 @@ def min_of_n(spark, sf_dir):
 def budget_gate(spark, sf_dir):
     e = _events(spark, sf_dir)
     budget = O.percentiles(e, ["event_type"], "value", {"budget": 0.02})
-    return O.budget_gate(min_of_n(spark, sf_dir), budget, ["event_type"], 1.25, 2.0, 0.5).select("event_type", "least", "budget", "ratio", "verdict").groupBy("event_type", "verdict").agg(F.count("*").alias("n"), F.max("ratio").alias("worst"))
+    return O.budget_gate(min_of_n(spark, sf_dir), budget, ["event_type"], 1.25, 2.0, 0.5).select("event_type", "least", "budget", "ratio",
+        "verdict").groupBy("event_type", "verdict").agg(F.count("*").alias("n"), F.max("ratio").alias("worst"))
 
 
 def triage_clusters(spark, sf_dir):
@@ -120,7 +125,8 @@ def _samples(spark, sf_dir):
 
 def image_metrics(spark, sf_dir):
     d = F.abs(F.col("x") - F.col("y"))
-    return _samples(spark, sf_dir).groupBy("vec_id").agg(F.round(F.count_if(d > 16) / F.count("*"), 6).alias("diff_fraction"), F.round(F.avg(d), 4).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 4).alias("rmse"), F.max(d).alias("most"))
+    return _samples(spark, sf_dir).groupBy("vec_id").agg(F.round(F.count_if(d > 16) / F.count("*"), 6).alias("diff_fraction"),
+        F.round(F.avg(d), 4).alias("mae"), F.round(F.sqrt(F.avg(d * d)), 4).alias("rmse"), F.max(d).alias("most"))
 
 
 def ssim_global(spark, sf_dir):
@@ -163,24 +169,32 @@ def prior_run_growth(spark, sf_dir):
 
 
 #: Columns of scan entries, in SQL that Spark and DuckDB read alike; lines of orders stand for pages of files.
-_STATUSES = ("PASS", "PASS_ONE", "DIFF", "MISSING_CONTENT", "ALL_ORACLES_REFUSED", "MALFORMED_PDF", "PASSWORD_REQUIRED", "RESOURCE_LIMIT", "TIMEOUT", "RECOVERED_MALFORMED_CONTENT", "PASS_ONE", "PASS")
+_STATUSES = ("PASS", "PASS_ONE", "DIFF", "MISSING_CONTENT", "ALL_ORACLES_REFUSED", "MALFORMED_PDF", "PASSWORD_REQUIRED", "RESOURCE_LIMIT", "TIMEOUT",
+    "RECOVERED_MALFORMED_CONTENT", "PASS_ONE", "PASS")
 _STATUS = "CASE l_partkey % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_STATUSES)) + " END"
 _ENTRY = {
     "status": _STATUS, "path": "l_orderkey", "page": "l_linenumber", "result": "CASE l_suppkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'UNKNOWN' END",
-    "best": "concat('r', l_partkey % 3)", "agreeing": "l_suppkey % 3", "compared": "CASE WHEN l_partkey % 5 < 4 THEN l_partkey % 5 END", "pairs": "CASE WHEN l_orderkey % 5 < 4 THEN l_orderkey % 5 END",
-    "disagreeing": "CASE WHEN l_suppkey % 7 < 6 THEN l_suppkey % 4 END", "rank": "l_suppkey % 5", "release": "CASE l_orderkey % 6 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'OK' END",
-    "rendered": "l_suppkey % 3 > 0", "error_type": "CASE l_partkey % 7 WHEN 0 THEN 'recovered' WHEN 1 THEN '' END", "expectation": "CASE l_partkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' END",
+    "best": "concat('r', l_partkey % 3)", "agreeing": "l_suppkey % 3", "compared": "CASE WHEN l_partkey % 5 < 4 THEN l_partkey % 5 END",
+        "pairs": "CASE WHEN l_orderkey % 5 < 4 THEN l_orderkey % 5 END",
+    "disagreeing": "CASE WHEN l_suppkey % 7 < 6 THEN l_suppkey % 4 END", "rank": "l_suppkey % 5",
+        "release": "CASE l_orderkey % 6 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'OK' END",
+    "rendered": "l_suppkey % 3 > 0", "error_type": "CASE l_partkey % 7 WHEN 0 THEN 'recovered' WHEN 1 THEN '' END",
+        "expectation": "CASE l_partkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' END",
     "known": "l_partkey % 4 > 0", "primary": "CASE l_suppkey % 5 WHEN 0 THEN ' ' ELSE concat('r', l_suppkey % 3) END",
-    "review": "CASE l_orderkey % 5 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'GENERATED' WHEN 2 THEN 'NEEDS_REVIEW' END", "root_cause": "CASE WHEN l_partkey % 11 = 0 THEN 'FULL_CORPUS_BASELINE' ELSE 'FONT' END",
-    "reason": "CASE l_suppkey % 6 WHEN 0 THEN 'Auto-Classified' WHEN 1 THEN ' ' WHEN 2 THEN 'looks right' END", "notes": "CASE l_orderkey % 7 WHEN 0 THEN 'seen' WHEN 1 THEN 'promote to a reviewed contract' END",
-    "target_reason": "CASE WHEN l_partkey % 13 = 0 THEN 'the Baseline' END", "has_target": "l_partkey % 3 > 0", "impact": "CASE l_orderkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN ' ' END",
+    "review": "CASE l_orderkey % 5 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'GENERATED' WHEN 2 THEN 'NEEDS_REVIEW' END",
+        "root_cause": "CASE WHEN l_partkey % 11 = 0 THEN 'FULL_CORPUS_BASELINE' ELSE 'FONT' END",
+    "reason": "CASE l_suppkey % 6 WHEN 0 THEN 'Auto-Classified' WHEN 1 THEN ' ' WHEN 2 THEN 'looks right' END",
+        "notes": "CASE l_orderkey % 7 WHEN 0 THEN 'seen' WHEN 1 THEN 'promote to a reviewed contract' END",
+    "target_reason": "CASE WHEN l_partkey % 13 = 0 THEN 'the Baseline' END", "has_target": "l_partkey % 3 > 0",
+        "impact": "CASE l_orderkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN ' ' END",
     "category": "CASE l_suppkey % 3 WHEN 0 THEN 'mixed' WHEN 1 THEN 'none' END",
 }
 _ORACLES = [f"CASE (l_partkey + {i} * l_suppkey) % 5 WHEN 0 THEN 'OK' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'REFUSED' END" for i in range(1, 4)]
 _TIMES = {"elapsed_ms": "CASE WHEN l_partkey % 9 > 0 THEN l_suppkey % 300 END"}
 for _i, _r in enumerate(O.RENDERERS):
     _TIMES |= {
-        f"{_r}_ms": f"CASE WHEN (l_partkey + {_i}) % 4 > 0 THEN (l_suppkey + {_i} * l_partkey) % 90 END", f"{_r}_cached_ms": f"CASE WHEN (l_suppkey + {_i}) % 3 = 0 THEN l_partkey % 70 END",
+        f"{_r}_ms": f"CASE WHEN (l_partkey + {_i}) % 4 > 0 THEN (l_suppkey + {_i} * l_partkey) % 90 END",
+            f"{_r}_cached_ms": f"CASE WHEN (l_suppkey + {_i}) % 3 = 0 THEN l_partkey % 70 END",
         f"{_r}_hit": f"CASE (l_orderkey + {_i}) % 3 WHEN 0 THEN true WHEN 1 THEN false END",
     }
 
@@ -204,8 +218,10 @@ def visual_diff_category(spark, sf_dir):
 
 
 _VISUAL_INPUTS = {
-    "diff": "(l_partkey % 20) * 0.01", "mae": "l_suppkey % 30", "luminance": "(l_partkey + l_suppkey) % 40", "chroma": "l_orderkey % 25", "region": "l_partkey % 300", "region_width": "l_suppkey % 40",
-    "region_height": "l_linenumber", "region_density": "(l_orderkey % 10) * 0.1", "dark_balance": "(l_suppkey % 5) * 0.25", "pixels": "CASE WHEN l_linenumber % 2 = 0 THEN 9000 ELSE 20000 END",
+    "diff": "(l_partkey % 20) * 0.01", "mae": "l_suppkey % 30", "luminance": "(l_partkey + l_suppkey) % 40", "chroma": "l_orderkey % 25",
+        "region": "l_partkey % 300", "region_width": "l_suppkey % 40",
+    "region_height": "l_linenumber", "region_density": "(l_orderkey % 10) * 0.1", "dark_balance": "(l_suppkey % 5) * 0.25",
+        "pixels": "CASE WHEN l_linenumber % 2 = 0 THEN 9000 ELSE 20000 END",
 }
 
 
@@ -218,9 +234,12 @@ def failure_class(spark, sf_dir):
 
 _ERRORS = ("geometry", "limit", "encryption", "data", "parse", "overflow", "format", "unsupported", "io")
 _FAILURE_INPUTS = {
-    "phase": "CASE WHEN l_linenumber % 2 = 0 THEN 'open' ELSE 'render' END", "error": "CASE l_partkey % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ERRORS)) + " END",
-    "message": "CASE l_suppkey % 5 WHEN 0 THEN 'Password verification failed' WHEN 1 THEN 'bad ZLIB header' WHEN 2 THEN 'unsupported filter X' WHEN 3 THEN 'requiring a non-empty user password' ELSE 'failed' END",
-    "cause": "CASE l_orderkey % 4 WHEN 0 THEN 'compressed data' WHEN 1 THEN 'no such filter' END", "cause_kind": "CASE l_orderkey % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'unsupported' END",
+    "phase": "CASE WHEN l_linenumber % 2 = 0 THEN 'open' ELSE 'render' END",
+        "error": "CASE l_partkey % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ERRORS)) + " END",
+    "message": "CASE l_suppkey % 5 WHEN 0 THEN 'Password verification failed' WHEN 1 THEN 'bad ZLIB header' WHEN 2 THEN 'unsupported filter X' "
+        "WHEN 3 THEN 'requiring a non-empty user password' ELSE 'failed' END",
+    "cause": "CASE l_orderkey % 4 WHEN 0 THEN 'compressed data' WHEN 1 THEN 'no such filter' END",
+        "cause_kind": "CASE l_orderkey % 4 WHEN 0 THEN 'data' WHEN 1 THEN 'unsupported' END",
     "stack": "CASE l_suppkey % 11 WHEN 0 THEN 'at X.Filters.Y' WHEN 1 THEN 'at StreamDecompressor' ELSE 'at Z' END",
 }
 
@@ -238,7 +257,8 @@ def triage_partition(spark, sf_dir):
     from vellum.operators.records import triage
 
     part, listed = triage(F.col("status"), F.col("rendered"), F.col("oracles"), F.col("error_type"))
-    return _entries(spark, sf_dir).select(part.alias("part"), listed.alias("list"), "status").where("part IS NOT NULL").groupBy("part", "list", "status").agg(F.count("*").alias("n"))
+    return _entries(spark, sf_dir).select(part.alias("part"), listed.alias("list"), "status").where("part IS NOT NULL").groupBy("part", "list",
+        "status").agg(F.count("*").alias("n"))
 
 
 def scan_maps(spark, sf_dir):
@@ -247,7 +267,8 @@ def scan_maps(spark, sf_dir):
     passing = F.when(F.col("status").isin("PASS", "PASS_ONE"), "PASS").otherwise(F.col("status"))
     result = F.when(F.coalesce(F.col("result"), F.lit("UNKNOWN")) == "UNKNOWN", passing).otherwise(F.col("result"))
     return O.count_maps(e, {
-        "status": (every, F.col("status")), "result": (every, result), "category": (every, O.named(F.col("category"), "unclassified")), "impact": (bad, O.named(F.col("impact"), "unclassified")),
+        "status": (every, F.col("status")), "result": (every, result), "category": (every, O.named(F.col("category"), "unclassified")),
+            "impact": (bad, O.named(F.col("impact"), "unclassified")),
         "visual": (bad, O.named(F.col("category"), "unclassified")), "disagreement": (every, C.disagreement_bucket(F.col("pairs"), F.col("disagreeing"))),
     })
 
@@ -275,8 +296,10 @@ def review_clusters(spark, sf_dir):
     ladders = C.quality_ladders(m, m)
     ref = F.concat(F.lpad(F.col("path").cast("string"), 10, "0"), F.lit("#"), F.lpad(F.col("page").cast("string"), 2, "0"))
     rows = e.select(
-        ladders["review"].alias("review"), "root_cause", ladders["target_basis"].alias("target_basis"), O.named(F.col("primary"), "none").alias("target"), ladders["references"].alias("references"),
-        O.named(F.col("impact"), "none").alias("impact"), O.named(F.col("category"), "none").alias("category"), "best", F.when(F.col("known"), "known").otherwise("missing").alias("contract"), ref.alias("ref"), "path",
+        ladders["review"].alias("review"), "root_cause", ladders["target_basis"].alias("target_basis"),
+            O.named(F.col("primary"), "none").alias("target"), ladders["references"].alias("references"),
+        O.named(F.col("impact"), "none").alias("impact"), O.named(F.col("category"), "none").alias("category"), "best",
+            F.when(F.col("known"), "known").otherwise("missing").alias("contract"), ref.alias("ref"), "path",
     )
     return O.triage_clusters(rows, [c for c in rows.columns if c not in ("ref", "path")], F.col("ref"), "path")
 
@@ -300,16 +323,22 @@ def colour_metrics(spark, sf_dir):
     byte = lambda c: F.floor((F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c.cast("double"))) + 0.5) * 255)
     places = F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)
     z = pair.select("vec_id", "embedding", "other", F.explode(places).alias("i"))
-    rows = z.select("vec_id", *[byte(F.get(side, (3 * F.col("i") + k).cast("int"))).alias(f"{s}{c}") for s, side in (("a", "embedding"), ("b", "other")) for k, c in enumerate("rgb")])
+    rows = z.select("vec_id", *[byte(F.get(side, (3 * F.col("i") + k).cast("int"))).alias(f"{s}{c}") for s, side in (("a", "embedding"), ("b",
+        "other")) for k, c in enumerate("rgb")])
     return O.difference_metrics(rows, ["vec_id"])
 
 
 def responsiveness_rollup(spark, sf_dir):
     p = O.percentiles(_events(spark, sf_dir), ["user_id", "event_type"], "value", {"p90": 0.9})
-    return p.groupBy("user_id").agg(F.when(F.bool_or(F.col("p90") > 200), "Fail").when(F.bool_or(F.col("p90") > 120), "Warn").otherwise("Pass").alias("status"), F.max("p90").alias("worst"))
+    return p.groupBy("user_id").agg(F.when(F.bool_or(F.col("p90") > 200), "Fail").when(F.bool_or(F.col("p90") > 120),
+        "Warn").otherwise("Pass").alias("status"), F.max("p90").alias("worst"))
 
 
-QUERIES = {f.__name__: f for f in (scan_maps, scan_counts, render_hotspots, render_cache_counts, review_clusters, budget_keys, worst_contributor, colour_metrics, status_counts, scan_summary, expectation_join, contract_overlay, phase_hotspots, percentile_gate, corpus_hotspots_unpivot, workflow_summary, first_per_group, min_of_n, budget_gate, triage_clusters, pairwise_disagreement, centre_rank, majority_vote, image_metrics, ssim_global, top_nonpass, best_reference, lru_eviction, cache_trim, debounce_latest, prior_run_growth, visual_diff_category, failure_class, quality_ladders, triage_partition, responsiveness_rollup)}
+QUERIES = {f.__name__: f for f in (scan_maps, scan_counts, render_hotspots, render_cache_counts, review_clusters, budget_keys, worst_contributor,
+    colour_metrics, status_counts, scan_summary, expectation_join, contract_overlay, phase_hotspots, percentile_gate, corpus_hotspots_unpivot,
+        workflow_summary, first_per_group, min_of_n, budget_gate, triage_clusters, pairwise_disagreement, centre_rank, majority_vote, image_metrics,
+            ssim_global, top_nonpass, best_reference, lru_eviction, cache_trim, debounce_latest, prior_run_growth, visual_diff_category,
+                failure_class, quality_ladders, triage_partition, responsiveness_rollup)}
 
 _BAD = "CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90"
 _MIN = f"SELECT user_id, event_type, min(value) FILTER (NOT ({_BAD})) AS least, count_if(NOT ({_BAD})) AS runs, count_if({_BAD}) AS failures FROM events GROUP BY ALL"
@@ -326,13 +355,17 @@ def _select(columns: dict[str, str], source: str = "lineitem") -> str:
 
 
 _VISUAL = """CASE WHEN diff = 0 THEN 'none' WHEN diff <= 0.002 AND mae <= 2 THEN 'minor-noise-or-antialiasing' WHEN luminance <= 18 AND mae <= 24 THEN 'color-tone-or-texture'
-WHEN mae <= 12 AND chroma >= 12 AND dark_balance >= 0.75 THEN 'color-tone-or-texture' WHEN share >= 0.01 AND (region_density < 0.3 OR aspect >= 8) AND dark_balance >= 0.75 AND mae <= 20 THEN 'localized-linework-or-texture'
+WHEN mae <= 12 AND chroma >= 12 AND dark_balance >= 0.75 THEN 'color-tone-or-texture'
+WHEN share >= 0.01 AND (region_density < 0.3 OR aspect >= 8) AND dark_balance >= 0.75 AND mae <= 20 THEN 'localized-linework-or-texture'
 WHEN share >= 0.01 AND region_density >= 0.6 AND chroma >= 12 AND diff <= 0.35 THEN 'localized-color-or-image-content'
-WHEN share >= 0.01 AND region_density < 0.5 AND mae >= 8 THEN CASE WHEN pixels <= 10000 AND region < 100 AND dark_balance >= 0.5 THEN 'small-text-antialiasing' ELSE 'localized-text-or-geometry' END
+WHEN share >= 0.01 AND region_density < 0.5 AND mae >= 8 THEN CASE
+WHEN pixels <= 10000 AND region < 100 AND dark_balance >= 0.5 THEN 'small-text-antialiasing' ELSE 'localized-text-or-geometry' END
 WHEN pixels <= 10000 AND region < 100 AND diff >= 0.005 AND dark_balance >= 0.5 THEN 'small-text-antialiasing' WHEN share >= 0.01 AND mae >= 12 THEN 'localized-content-or-geometry'
 WHEN diff >= 0.08 AND mae >= 12 THEN 'structural-or-missing-content-candidate' ELSE 'mixed' END"""
-_IMPACT = """CASE WHEN kind = 'none' THEN 'none' WHEN kind IN ('minor-noise-or-antialiasing', 'small-text-antialiasing') THEN 'low' WHEN kind = 'color-tone-or-texture' AND mae <= 16 THEN 'low'
-WHEN kind IN ('color-tone-or-texture', 'localized-color-or-image-content', 'localized-linework-or-texture') THEN 'medium' WHEN kind = 'structural-or-missing-content-candidate' THEN 'high'
+_IMPACT = """CASE WHEN kind = 'none' THEN 'none' WHEN kind IN ('minor-noise-or-antialiasing', 'small-text-antialiasing') THEN 'low'
+WHEN kind = 'color-tone-or-texture' AND mae <= 16 THEN 'low'
+WHEN kind IN ('color-tone-or-texture', 'localized-color-or-image-content', 'localized-linework-or-texture') THEN 'medium'
+WHEN kind = 'structural-or-missing-content-candidate' THEN 'high'
 WHEN kind IN ('localized-text-or-geometry', 'localized-content-or-geometry') THEN CASE WHEN diff >= 0.03 THEN 'high' ELSE 'medium' END
 WHEN diff <= 0.01 AND mae <= 5 THEN 'low' WHEN diff >= 0.08 AND mae >= 16 THEN 'high' ELSE 'medium' END"""
 _LOCKED_SQL = "regexp_matches(said, 'password verification failed|requires a non-empty user password|requiring a non-empty user password')"
@@ -348,14 +381,21 @@ _DEGENERATE = "'MALFORMED_PDF', 'EMPTY_DOC', 'PASSWORD_REQUIRED', 'INVALID_PAGE_
 
 def _ladders(strict: bool) -> str:
     unknown = "WHEN NOT known THEN 'NEEDS_REVIEW'" if strict else ""
-    return f"""q AS (SELECT *, CASE {unknown} WHEN status = 'PASS' THEN 'PIXEL_EXACT' WHEN status = 'PASS_ONE' THEN 'MATCHES_ACCEPTED_REFERENCE' WHEN status = 'ALL_ORACLES_REFUSED' THEN 'REFERENCE_REFUSAL_ACCEPTED'
-  WHEN status IN ('RECOVERED_MALFORMED_CONTENT', 'RESOURCE_LIMIT', {_DEGENERATE}) THEN 'NON_RENDERABLE_ACCEPTED' WHEN status = 'DIFF' THEN 'FAIL' WHEN result = 'PASS' THEN 'GOOD_ENOUGH' ELSE 'FAIL' END AS quality FROM e),
-l AS (SELECT *, CASE WHEN status = 'PASS' THEN 'MATCHES_ALL_REQUIRED' WHEN status = 'PASS_ONE' THEN CASE WHEN trim("primary") <> '' AND best = "primary" THEN 'MATCHES_TARGET' WHEN agreeing = 1 THEN 'MATCHES_ONE_REFERENCE' ELSE 'MATCHES_SOME' END
+    return f"""q AS (SELECT *, CASE {unknown} WHEN status = 'PASS' THEN 'PIXEL_EXACT' WHEN status = 'PASS_ONE' THEN 'MATCHES_ACCEPTED_REFERENCE'
+WHEN status = 'ALL_ORACLES_REFUSED' THEN 'REFERENCE_REFUSAL_ACCEPTED'
+  WHEN status IN ('RECOVERED_MALFORMED_CONTENT', 'RESOURCE_LIMIT', {_DEGENERATE}) THEN 'NON_RENDERABLE_ACCEPTED' WHEN status = 'DIFF' THEN 'FAIL'
+WHEN result = 'PASS' THEN 'GOOD_ENOUGH' ELSE 'FAIL' END AS quality FROM e),
+l AS (SELECT *, CASE WHEN status = 'PASS' THEN 'MATCHES_ALL_REQUIRED' WHEN status = 'PASS_ONE' THEN CASE
+WHEN trim("primary") <> '' AND best = "primary" THEN 'MATCHES_TARGET' WHEN agreeing = 1 THEN 'MATCHES_ONE_REFERENCE' ELSE 'MATCHES_SOME' END
   WHEN status = 'DIFF' THEN 'MATCHES_NONE' ELSE 'NOT_COMPARABLE' END AS pixel_agreement,
-  CASE WHEN status = 'ALL_ORACLES_REFUSED' THEN 'REFS_REFUSE' WHEN {_RANK['compared']} = 0 THEN 'REFS_INCOMPLETE' WHEN disagreeing > 0 THEN 'REFS_DISAGREE' ELSE 'REFS_AGREE' END AS "references",
-  CASE WHEN status IN ({_DEGENERATE}) THEN 'MALFORMED_INPUT_POLICY' WHEN status IN ('RESOURCE_LIMIT', 'TIMEOUT') THEN 'RESOURCE_POLICY' WHEN status = 'ALL_ORACLES_REFUSED' THEN 'QUALITY_STANDARD' WHEN status = 'PASS_ONE' THEN 'REFERENCE_DISAGREEMENT' ELSE 'REFERENCE_CONSENSUS' END AS target_basis,
-  CASE status WHEN 'DIFF' THEN 'P1' WHEN 'PASS_ONE' THEN 'P2' ELSE 'NONE' END AS priority, CASE WHEN status = 'PASS' THEN 'HIGH' WHEN status = 'PASS_ONE' AND {_RANK['compared']} < 3 THEN 'LOW' ELSE 'MEDIUM' END AS confidence,
-  CASE WHEN status <> 'PASS_ONE' THEN 'NOT_APPLICABLE' WHEN release IN ('BLOCKED', 'FAIL') OR quality = 'FAIL' THEN 'REJECTED' WHEN NOT known THEN 'UNREVIEWED' WHEN review = 'REVIEWED' THEN 'ACCEPTED' WHEN review IN ('GENERATED', 'NEEDS_REVIEW') THEN 'UNREVIEWED'
+  CASE WHEN status = 'ALL_ORACLES_REFUSED' THEN 'REFS_REFUSE' WHEN {_RANK['compared']} = 0 THEN 'REFS_INCOMPLETE'
+WHEN disagreeing > 0 THEN 'REFS_DISAGREE' ELSE 'REFS_AGREE' END AS "references",
+  CASE WHEN status IN ({_DEGENERATE}) THEN 'MALFORMED_INPUT_POLICY' WHEN status IN ('RESOURCE_LIMIT', 'TIMEOUT') THEN 'RESOURCE_POLICY'
+WHEN status = 'ALL_ORACLES_REFUSED' THEN 'QUALITY_STANDARD' WHEN status = 'PASS_ONE' THEN 'REFERENCE_DISAGREEMENT' ELSE 'REFERENCE_CONSENSUS' END AS target_basis,
+  CASE status WHEN 'DIFF' THEN 'P1' WHEN 'PASS_ONE' THEN 'P2' ELSE 'NONE' END AS priority, CASE WHEN status = 'PASS' THEN 'HIGH'
+WHEN status = 'PASS_ONE' AND {_RANK['compared']} < 3 THEN 'LOW' ELSE 'MEDIUM' END AS confidence,
+  CASE WHEN status <> 'PASS_ONE' THEN 'NOT_APPLICABLE' WHEN release IN ('BLOCKED', 'FAIL') OR quality = 'FAIL' THEN 'REJECTED'
+WHEN NOT known THEN 'UNREVIEWED' WHEN review = 'REVIEWED' THEN 'ACCEPTED' WHEN review IN ('GENERATED', 'NEEDS_REVIEW') THEN 'UNREVIEWED'
     WHEN root_cause = 'FULL_CORPUS_BASELINE' OR regexp_matches(lower(concat_ws(' | ', reason, notes, target_reason)), 'baseline|auto-classified|promote to a reviewed contract') THEN 'UNREVIEWED' WHEN {_OUTLIER} OR NOT has_target THEN 'UNREVIEWED'
     WHEN trim(coalesce(reason, '')) = '' AND trim(coalesce(notes, '')) = '' THEN 'UNREVIEWED' ELSE 'ACCEPTED' END AS review_status, {_OUTLIER} AS outlier FROM q)"""
 
@@ -364,73 +404,112 @@ _ORACLE_LIST = "[" + ", ".join(_ORACLES) + "]"
 _ENTRIES = "e AS (" + _select(_ENTRY).replace("SELECT ", f"SELECT {_ORACLE_LIST} AS oracles, ", 1) + ")"
 _PASSING = "CASE WHEN status IN ('PASS', 'PASS_ONE') THEN 'PASS' ELSE status END"
 _PHASES = "t AS (" + _select(_TIMES) + "), p AS (" + " UNION ALL ".join(
-    [f"SELECT CASE WHEN {r}_hit THEN '{r}-cache-read' ELSE '{r}-render' END AS phase, {r}_ms AS ms FROM t UNION ALL SELECT '{r}-cached-original', {r}_cached_ms FROM t" for r in O.RENDERERS]
+    [f"SELECT CASE WHEN {r}_hit THEN '{r}-cache-read' ELSE '{r}-render' END AS phase, {r}_ms AS ms FROM t UNION ALL "
+        f"SELECT '{r}-cached-original', {r}_cached_ms FROM t" for r in O.RENDERERS]
     + [f"SELECT '{O.OVERHEAD}', CASE WHEN elapsed_ms IS NOT NULL THEN greatest(0, elapsed_ms - (" + " + ".join(f"coalesce({r}_ms, 0)" for r in O.RENDERERS) + ")) END FROM t"]
 ) + "), h AS (SELECT * FROM p WHERE ms IS NOT NULL)"
 _WORKLOAD = f"CASE WHEN starts_with(phase, 'own-render') THEN 'renderer.page-render' WHEN regexp_matches(phase, '^r[0-9]-') THEN 'reference.external-render' WHEN phase = '{O.OVERHEAD}' THEN 'corpus.compare-classify' ELSE 'unknown' END"
-_RGB = [f"CAST(floor((greatest(-0.5, least(0.5, CAST({s}[3 * i + {k + 1}] AS DOUBLE))) + 0.5) * 255) AS BIGINT) AS {t}{c}" for t, s in (("a", "mine"), ("b", "other")) for k, c in enumerate("rgb")]
+_RGB = [f"CAST(floor((greatest(-0.5, least(0.5, CAST({s}[3 * i + {k + 1}] AS DOUBLE))) + 0.5) * 255) AS BIGINT) AS {t}{c}" for t,
+    s in (("a", "mine"), ("b", "other")) for k, c in enumerate("rgb")]
 
 ORACLES = {
     "status_counts": "SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL",
     "scan_summary": f"SELECT count(*) AS pages, count(DISTINCT l_orderkey) AS files, count_if(s = 'PASS') AS passed, count_if(s = 'DIFF') AS different, count_if(s = 'FAIL') AS failed, max(l_discount) AS most_diff FROM (SELECT *, {_RESULT_SQL} AS s FROM lineitem)",
     "expectation_join": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pdf/' ELSE '' END || doc_id AS path FROM documents),
 e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'pdf/' ELSE '' END || doc_id AS path, CASE WHEN toxic = 1 THEN 'DIFF' WHEN quality = 0 THEN '*' ELSE 'PASS' END AS expected FROM labels),
-j AS (SELECT d.*, coalesce((SELECT expected FROM e WHERE e.path = d.path), (SELECT expected FROM e WHERE e.path = 'pdf/' || d.path), (SELECT expected FROM e WHERE d.path = 'pdf/' || e.path)) AS expected FROM d)
-SELECT doc_id, path, expected, CASE WHEN expected IS NULL THEN 'UNEXPECTED' WHEN expected = '*' OR expected = CASE WHEN doc_id % 5 = 0 THEN 'DIFF' ELSE 'PASS' END THEN 'PASS' ELSE 'MISMATCH' END AS result FROM j""",
-    "contract_overlay": "SELECT doc_id, CASE WHEN quality = 0 THEN 'junk' ELSE lang END AS lang, CASE WHEN toxic = 1 THEN 'toxic' ELSE source END AS source FROM documents LEFT JOIN labels USING (doc_id)",
+j AS (SELECT d.*, coalesce((SELECT expected FROM e WHERE e.path = d.path), (SELECT expected FROM e WHERE e.path = 'pdf/' || d.path), (SELECT expected
+FROM e WHERE d.path = 'pdf/' || e.path)) AS expected FROM d)
+SELECT doc_id, path, expected, CASE WHEN expected IS NULL THEN 'UNEXPECTED' WHEN expected = '*' OR expected = CASE WHEN doc_id % 5 = 0 THEN 'DIFF'
+ELSE 'PASS' END THEN 'PASS' ELSE 'MISMATCH' END AS result FROM j""",
+    "contract_overlay": "SELECT doc_id, CASE WHEN quality = 0 THEN 'junk' ELSE lang END AS lang, CASE WHEN toxic = 1 THEN 'toxic' "
+        "ELSE source END AS source FROM documents LEFT JOIN labels USING (doc_id)",
     "phase_hotspots": f"SELECT event_type, count(*) AS n, CAST(sum({_D.format('value')}) AS DOUBLE) AS total, round(CAST(sum({_D.format('value')}) AS DOUBLE) / count(*), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, round(CAST(sum({_D.format('value')}) AS DOUBLE) / CAST(sum(sum({_D.format('value')})) OVER () AS DOUBLE), 6) AS share FROM events GROUP BY event_type",
     "percentile_gate": "SELECT event_type, quantile_disc(value, 0.95) AS p95, max(value) AS most, quantile_disc(value, 0.95) <= 150 AND max(value) <= 450 AS ok FROM events GROUP BY event_type",
     "corpus_hotspots_unpivot": """WITH t AS (SELECT l_tax * 100 AS parse, l_discount * 100 AS text, CASE WHEN l_returnflag <> 'N' THEN l_quantity END AS render FROM lineitem),
 o AS (SELECT *, greatest(0.0, 40.0 - parse - text - coalesce(render, 0.0)) AS overhead FROM t)
-SELECT timer, count(*) AS n, CAST(sum(CAST(round(ms, 2) AS DECIMAL(20,2))) AS DOUBLE) AS total, max(round(ms, 2)) AS most FROM (UNPIVOT o ON parse, text, render, overhead INTO NAME timer VALUE ms) GROUP BY timer""",
+SELECT timer, count(*) AS n, CAST(sum(CAST(round(ms, 2) AS DECIMAL(20,2))) AS DOUBLE) AS total, max(round(ms, 2)) AS most
+FROM (UNPIVOT o ON parse, text, render, overhead INTO NAME timer VALUE ms) GROUP BY timer""",
     "workflow_summary": f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count_if({_BAD}) AS errors, CAST(sum({_D.format('value')}) AS DOUBLE) AS total, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "first_per_group": "SELECT user_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id",
     "min_of_n": _MIN,
-    "budget_gate": f"WITH m AS ({_MIN}), b AS (SELECT event_type, quantile_disc(value, 0.02) AS budget FROM events GROUP BY 1), v AS (SELECT event_type, least / budget AS ratio, CASE WHEN least IS NULL THEN 'SKIP' WHEN least / budget > 2.0 AND least - budget > 0.5 THEN 'FAIL' WHEN least / budget > 1.25 AND least - budget > 0.5 THEN 'WARN' ELSE 'PASS' END AS verdict FROM m JOIN b USING (event_type)) SELECT event_type, verdict, count(*) AS n, max(round(ratio, 6)) AS worst FROM v GROUP BY ALL",
-    "triage_clusters": f"WITH s AS (SELECT *, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '#' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS ref FROM lineitem WHERE {_RESULT_SQL} <> 'PASS') SELECT l_linestatus, l_returnflag, l_linenumber, count(*) AS n, count(DISTINCT l_orderkey) AS files, array_to_string((list(ref ORDER BY ref))[1:12], ',') AS refs FROM s GROUP BY ALL",
+    "budget_gate": f"WITH m AS ({_MIN}), b AS (SELECT event_type, quantile_disc(value, 0.02) AS budget FROM events GROUP BY 1), "
+        f"v AS (SELECT event_type, least / budget AS ratio, CASE WHEN least IS NULL THEN 'SKIP' "
+            f"WHEN least / budget > 2.0 AND least - budget > 0.5 THEN 'FAIL' WHEN least / budget > 1.25 AND least - budget > 0.5 THEN 'WARN' "
+                f"ELSE 'PASS' END AS verdict FROM m JOIN b USING (event_type)) SELECT event_type, verdict, count(*) AS n, max(round(ratio, 6)) AS worst FROM v GROUP BY ALL",
+    "triage_clusters": f"WITH s AS (SELECT *, lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '#' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS ref "
+        f"FROM lineitem WHERE {_RESULT_SQL} <> 'PASS') "
+            f"SELECT l_linestatus, l_returnflag, l_linenumber, count(*) AS n, count(DISTINCT l_orderkey) AS files, array_to_string((list(ref "
+                f"ORDER BY ref))[1:12], ',') AS refs FROM s GROUP BY ALL",
     "pairwise_disagreement": _PAIRS + " SELECT page, count(*) AS pairs, count_if(mae > 0.15) AS disagreeing, max(most) AS most FROM p GROUP BY page",
-    "centre_rank": _PAIRS + ", o AS (SELECT page, i AS item, mae FROM p UNION ALL SELECT page, j, mae FROM p), c AS (SELECT page, item, round(CAST(sum(CAST(mae AS DECIMAL(20,6))) AS DOUBLE) / count(*), 8) AS centre FROM o GROUP BY ALL) SELECT *, CAST(rank() OVER (PARTITION BY page ORDER BY centre) AS INTEGER) AS rank FROM c",
-    "majority_vote": _PAIRS + ", g AS (SELECT page, count(*) AS c, count_if(mae <= 0.15) AS a FROM p GROUP BY page) SELECT page, CASE WHEN c >= 2 AND 2 * a > c THEN 'PASS' WHEN a > 0 THEN 'PASS_ONE' ELSE 'DIFF' END AS vote FROM g",
-    "image_metrics": _SAMPLES + " SELECT vec_id, round(count_if(abs(x - y) > 16) / count(*), 6) AS diff_fraction, round(avg(abs(x - y)), 4) AS mae, round(sqrt(avg((x - y) * (x - y))), 4) AS rmse, max(abs(x - y)) AS most FROM s GROUP BY vec_id",
-    "ssim_global": _SAMPLES + " SELECT vec_id, count(*) AS n, round(CASE WHEN count(*) > 1 THEN (2 * avg(x) * avg(y) + 6.5025) * (2 * covar_samp(x, y) + 58.5225) / ((avg(x) * avg(x) + avg(y) * avg(y) + 6.5025) * (var_samp(x) + var_samp(y) + 58.5225)) ELSE 1.0 END, 4) AS ssim FROM s GROUP BY vec_id",
-    "top_nonpass": f"SELECT l_orderkey, l_linenumber, s AS status, l_partkey, l_suppkey FROM (SELECT *, {_RESULT_SQL} AS s FROM lineitem) WHERE s <> 'PASS' ORDER BY CASE WHEN s = 'FAIL' THEN 0 ELSE 1 END, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50",
-    "best_reference": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount NULLS LAST, l_tax, l_linenumber, l_suppkey) = 1",
-    "lru_eviction": f"SELECT event_id, user_id, round(CAST(r AS DOUBLE), 2) AS running, r <= 400 AS kept FROM (SELECT *, sum({_D.format('value')}) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS r FROM events)",
-    "cache_trim": f"SELECT user_id, count(*) AS entries, count_if(CAST(total AS DOUBLE) - CAST(r AS DOUBLE) + value > 300) AS deleted FROM (SELECT user_id, value, sum({_D.format('value')}) OVER (PARTITION BY user_id) AS total, sum({_D.format('value')}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS r FROM events WHERE event_type <> 'signup') GROUP BY user_id",
-    "debounce_latest": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 150000",
-    "prior_run_growth": "SELECT event_id, prior, CASE WHEN prior > 0 THEN round(value / prior - 1, 6) END AS growth FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prior FROM events)",
+    "centre_rank": _PAIRS + ", o AS (SELECT page, i AS item, mae FROM p UNION ALL SELECT page, j, mae FROM p), "
+        "c AS (SELECT page, item, round(CAST(sum(CAST(mae AS DECIMAL(20,6))) AS DOUBLE) / count(*), 8) AS centre FROM o GROUP BY ALL) "
+            "SELECT *, CAST(rank() OVER (PARTITION BY page ORDER BY centre) AS INTEGER) AS rank FROM c",
+    "majority_vote": _PAIRS + ", g AS (SELECT page, count(*) AS c, count_if(mae <= 0.15) AS a FROM p GROUP BY page) SELECT page, CASE "
+        "WHEN c >= 2 AND 2 * a > c THEN 'PASS' WHEN a > 0 THEN 'PASS_ONE' ELSE 'DIFF' END AS vote FROM g",
+    "image_metrics": _SAMPLES + " "
+        "SELECT vec_id, round(count_if(abs(x - y) > 16) / count(*), 6) AS diff_fraction, round(avg(abs(x - y)), 4) AS mae, round(sqrt(avg((x - y) * (x - y))), 4) AS rmse, max(abs(x - y)) AS most FROM s GROUP BY vec_id",
+    "ssim_global": _SAMPLES + " SELECT vec_id, count(*) AS n, round(CASE "
+        "WHEN count(*) > 1 THEN (2 * avg(x) * avg(y) + 6.5025) * (2 * covar_samp(x, y) + 58.5225) / ((avg(x) * avg(x) + avg(y) * avg(y) + 6.5025) * (var_samp(x) + var_samp(y) + 58.5225)) ELSE 1.0 END, 4) AS ssim FROM s GROUP BY vec_id",
+    "top_nonpass": f"SELECT l_orderkey, l_linenumber, s AS status, l_partkey, l_suppkey FROM (SELECT *, {_RESULT_SQL} AS s FROM lineitem) "
+        f"WHERE s <> 'PASS' ORDER BY CASE WHEN s = 'FAIL' THEN 0 ELSE 1 END, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 50",
+    "best_reference": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey "
+        "ORDER BY l_discount NULLS LAST, l_tax, l_linenumber, l_suppkey) = 1",
+    "lru_eviction": f"SELECT event_id, user_id, round(CAST(r AS DOUBLE), 2) AS running, r <= 400 AS kept "
+        f"FROM (SELECT *, sum({_D.format('value')}) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS r FROM events)",
+    "cache_trim": f"SELECT user_id, count(*) AS entries, count_if(CAST(total AS DOUBLE) - CAST(r AS DOUBLE) + value > 300) AS deleted "
+        f"FROM (SELECT user_id, value, sum({_D.format('value')}) OVER (PARTITION BY user_id) AS total, sum({_D.format('value')}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS r FROM events WHERE event_type <> 'signup') GROUP BY user_id",
+    "debounce_latest": "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) "
+        "WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 150000",
+    "prior_run_growth": "SELECT event_id, prior, CASE WHEN prior > 0 THEN round(value / prior - 1, 6) END AS growth "
+        "FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prior FROM events)",
     "visual_diff_category": f"""WITH v AS ({_select({n: f"CAST({x} AS DOUBLE)" for n, x in _VISUAL_INPUTS.items()})}), w AS (SELECT *, region / pixels AS share,
-CASE WHEN least(region_width, region_height) = 0 THEN 0 ELSE greatest(region_width, region_height) / least(region_width, region_height) END AS aspect FROM v), k AS (SELECT *, {_VISUAL} AS kind FROM w)
+CASE WHEN least(region_width, region_height) = 0 THEN 0 ELSE greatest(region_width, region_height) / least(region_width, region_height) END AS aspect
+FROM v), k AS (SELECT *, {_VISUAL} AS kind FROM w)
 SELECT kind, {_IMPACT} AS impact, count(*) AS n FROM k GROUP BY ALL""",
-    "failure_class": f"""WITH f AS ({_select(_FAILURE_INPUTS)}), g AS (SELECT *, lower(concat_ws(chr(10), message, cause)) AS said FROM f) SELECT phase, {_FAILURE} AS class, count(*) AS n FROM g GROUP BY ALL""",
-    "quality_ladders": f"""WITH {_ENTRIES}, {_ladders(True)}, p AS (SELECT *, CASE rank WHEN 0 THEN 'MATCHES_NONE' WHEN 1 THEN 'MATCHES_SOME' ELSE 'MATCHES_ALL_REQUIRED' END AS proposed FROM l)
+    "failure_class": f"""WITH f AS ({_select(_FAILURE_INPUTS)}), g AS (SELECT *, lower(concat_ws(chr(10), message, cause)) AS said FROM f)
+SELECT phase, {_FAILURE} AS class, count(*) AS n FROM g GROUP BY ALL""",
+    "quality_ladders": f"""WITH {_ENTRIES}, {_ladders(True)}, p AS (SELECT *, CASE rank WHEN 0 THEN 'MATCHES_NONE' WHEN 1 THEN 'MATCHES_SOME'
+ELSE 'MATCHES_ALL_REQUIRED' END AS proposed FROM l)
 SELECT quality, pixel_agreement, "references", target_basis, priority, confidence, review_status AS review, outlier,
 CASE WHEN status = 'PASS_ONE' AND proposed = 'MATCHES_NONE' THEN pixel_agreement WHEN status = 'PASS' AND proposed <> 'MATCHES_ALL_REQUIRED' THEN 'MATCHES_ALL_REQUIRED'
 WHEN status = 'DIFF' AND proposed NOT IN ('MATCHES_NONE', 'NOT_COMPARABLE') THEN 'MATCHES_NONE' ELSE proposed END AS settled, count(*) AS n FROM p GROUP BY ALL""",
-    "triage_partition": f"""WITH {_ENTRIES}, t AS (SELECT *, CASE WHEN rendered THEN 'rendered' WHEN list_contains(oracles, 'OK') THEN 'gap' ELSE 'refusal' END AS part FROM e WHERE status <> 'PASS')
-SELECT part, CASE WHEN part = 'refusal' AND status IN ('PASSWORD_REQUIRED', 'UNSUPPORTED_ENCRYPTED') THEN 'credential-blocked' WHEN part = 'rendered' AND status = 'DIFF' THEN 'disagrees'
+    "triage_partition": f"""WITH {_ENTRIES}, t AS (SELECT *, CASE WHEN rendered THEN 'rendered' WHEN list_contains(oracles, 'OK') THEN 'gap'
+ELSE 'refusal' END AS part FROM e WHERE status <> 'PASS')
+SELECT part, CASE WHEN part = 'refusal' AND status IN ('PASSWORD_REQUIRED', 'UNSUPPORTED_ENCRYPTED') THEN 'credential-blocked'
+WHEN part = 'rendered' AND status = 'DIFF' THEN 'disagrees'
 WHEN part = 'rendered' AND error_type <> '' THEN 'degraded' WHEN part = 'gap' THEN 'not to be pinned' END AS list, status, count(*) AS n FROM t GROUP BY ALL""",
-    "scan_maps": f"""WITH {_ENTRIES}, m AS (SELECT 'status' AS map, status AS key FROM e UNION ALL SELECT 'result', CASE WHEN coalesce(result, 'UNKNOWN') = 'UNKNOWN' THEN {_PASSING} ELSE result END FROM e
-UNION ALL SELECT 'category', coalesce(nullif(trim(category), ''), 'unclassified') FROM e UNION ALL SELECT 'impact', coalesce(nullif(trim(impact), ''), 'unclassified') FROM e WHERE status <> 'PASS'
+    "scan_maps": f"""WITH {_ENTRIES}, m AS (SELECT 'status' AS map, status AS key FROM e UNION ALL SELECT 'result', CASE
+WHEN coalesce(result, 'UNKNOWN') = 'UNKNOWN' THEN {_PASSING} ELSE result END FROM e
+UNION ALL SELECT 'category', coalesce(nullif(trim(category), ''), 'unclassified') FROM e UNION ALL
+SELECT 'impact', coalesce(nullif(trim(impact), ''), 'unclassified') FROM e WHERE status <> 'PASS'
 UNION ALL SELECT 'visual', coalesce(nullif(trim(category), ''), 'unclassified') FROM e WHERE status <> 'PASS'
-UNION ALL SELECT 'disagreement', CASE WHEN pairs IS NULL OR pairs <= 0 OR disagreeing IS NULL THEN 'unmeasured' WHEN disagreeing <= 0 THEN 'none' WHEN disagreeing >= pairs THEN 'all' ELSE 'some' END FROM e)
+UNION ALL SELECT 'disagreement', CASE WHEN pairs IS NULL OR pairs <= 0 OR disagreeing IS NULL THEN 'unmeasured' WHEN disagreeing <= 0 THEN 'none'
+WHEN disagreeing >= pairs THEN 'all' ELSE 'some' END FROM e)
 SELECT map, key, count(*) AS n FROM m GROUP BY ALL""",
     "scan_counts": f"""WITH {_ENTRIES} SELECT count_if(status <> 'PASS') AS nonpass, count_if(expectation = 'PASS') AS expected_pass, count_if(expectation = 'FAIL') AS expected_fail, count_if(status = 'DIFF') AS true_diff,
 count_if(status = 'PASS_ONE') AS pass_one FROM e""",
     "render_hotspots": f"""WITH {_PHASES} SELECT phase, count(*) AS n, CAST(sum(ms) AS DOUBLE) AS total, round(CAST(sum(ms) AS DOUBLE) / count(*), 4) AS mean, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS most,
 round(CAST(sum(ms) AS DOUBLE) / sum(sum(ms)) OVER (), 6) AS share, {_WORKLOAD} AS workload FROM h GROUP BY phase""",
-    "render_cache_counts": "WITH t AS (" + _select(_TIMES) + "), c AS (" + " UNION ALL ".join(f"SELECT '{r}' AS renderer, {r}_ms AS ms, {r}_hit AS hit FROM t" for r in O.RENDERERS) + ") SELECT renderer, CASE WHEN hit IS NULL THEN 'uncached' WHEN hit THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM c WHERE ms IS NOT NULL GROUP BY ALL",
+    "render_cache_counts": "WITH t AS (" + _select(_TIMES) + "), c AS (" + " "
+        "UNION ALL ".join(f"SELECT '{r}' AS renderer, {r}_ms AS ms, {r}_hit AS hit FROM t" for r in O.RENDERERS) + ") SELECT renderer, CASE "
+            "WHEN hit IS NULL THEN 'uncached' WHEN hit THEN 'hit' ELSE 'miss' END AS state, count(*) AS n FROM c WHERE ms IS NOT NULL GROUP BY ALL",
     "review_clusters": f"""WITH {_ENTRIES}, {_ladders(False)}, r AS (SELECT *, lpad(CAST(path AS VARCHAR), 10, '0') || '#' || lpad(CAST(page AS VARCHAR), 2, '0') AS ref FROM l WHERE status = 'PASS_ONE')
 SELECT review_status AS review, root_cause, target_basis, coalesce(nullif(trim("primary"), ''), 'none') AS target, "references", coalesce(nullif(trim(impact), ''), 'none') AS impact, coalesce(category, 'none') AS category, best,
 CASE WHEN known THEN 'known' ELSE 'missing' END AS contract, count(*) AS n, count(DISTINCT path) AS files, array_to_string((list(ref ORDER BY ref))[1:12], ',') AS refs FROM r GROUP BY ALL""",
-    "budget_keys": """WITH b AS (SELECT DISTINCT l_linenumber AS step, l_suppkey AS pdf FROM lineitem WHERE l_suppkey % 3 > 0), m AS (SELECT DISTINCT l_linenumber AS step, l_suppkey AS pdf FROM lineitem WHERE l_partkey % 7 > 0)
+    "budget_keys": """WITH b AS (SELECT DISTINCT l_linenumber AS step, l_suppkey AS pdf FROM lineitem WHERE l_suppkey % 3 > 0),
+m AS (SELECT DISTINCT l_linenumber AS step, l_suppkey AS pdf FROM lineitem WHERE l_partkey % 7 > 0)
 SELECT b.step, count(m.pdf) AS compared, coalesce(string_agg(CAST(b.pdf AS VARCHAR), ',' ORDER BY CAST(b.pdf AS VARCHAR)) FILTER (m.pdf IS NULL), '') AS missing FROM b LEFT JOIN m USING (step, pdf) GROUP BY b.step""",
-    "worst_contributor": f"""WITH m AS ({_MIN}), b AS (SELECT event_type, quantile_disc(value, 0.02) AS budget FROM events GROUP BY 1), v AS (SELECT event_type, user_id, round(least / budget, 6) AS ratio, least / budget > 2.0 AND least - budget > 0.5 AS bad FROM m JOIN b USING (event_type))
+    "worst_contributor": f"""WITH m AS ({_MIN}), b AS (SELECT event_type, quantile_disc(value, 0.02) AS budget FROM events GROUP BY 1),
+v AS (SELECT event_type, user_id, round(least / budget, 6) AS ratio, least / budget > 2.0 AND least - budget > 0.5 AS bad FROM m JOIN b USING (event_type))
 SELECT event_type, count(ratio) AS n, max(ratio) AS worst, arg_min(user_id, (-ratio, user_id)) FILTER (ratio IS NOT NULL) AS contributor, count_if(bad) AS failed FROM v GROUP BY event_type""",
-    "colour_metrics": f"""WITH v AS (SELECT b.vec_id, b.embedding AS mine, a.embedding AS other, unnest(range(len(b.embedding) // 3)) AS i FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-s AS (SELECT vec_id, {', '.join(_RGB)} FROM v), d AS (SELECT *, ar <> br OR ag <> bg OR ab <> bb AS differs, 0.299 * ar + 0.587 * ag + 0.114 * ab AS ya, 0.299 * br + 0.587 * bg + 0.114 * bb AS yb,
+    "colour_metrics": f"""WITH v AS (SELECT b.vec_id, b.embedding AS mine, a.embedding AS other, unnest(range(len(b.embedding) // 3)) AS i
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT vec_id, {', '.join(_RGB)} FROM v),
+d AS (SELECT *, ar <> br OR ag <> bg OR ab <> bb AS differs, 0.299 * ar + 0.587 * ag + 0.114 * ab AS ya, 0.299 * br + 0.587 * bg + 0.114 * bb AS yb,
 (abs((-0.168736 * ar - 0.331264 * ag + 0.5 * ab) - (-0.168736 * br - 0.331264 * bg + 0.5 * bb)) + abs((0.5 * ar - 0.418688 * ag - 0.081312 * ab) - (0.5 * br - 0.418688 * bg - 0.081312 * bb))) / 2 AS c FROM s),
 g AS (SELECT vec_id, count_if(differs) AS differing, avg(abs(ya - yb)) FILTER (differs) AS y, avg(c) FILTER (differs) AS c, count_if(ya < 128) AS da, count_if(yb < 128) AS db FROM d GROUP BY vec_id)
-SELECT vec_id, differing, round(CAST(coalesce(y, 0) AS DOUBLE), 4) AS luminance, round(CAST(coalesce(c, 0) AS DOUBLE), 4) AS chroma, round(CASE WHEN greatest(da, db) = 0 THEN 1.0 ELSE least(da, db) / greatest(da, db) END, 6) AS dark_balance FROM g""",
-    "responsiveness_rollup": "WITH p AS (SELECT user_id, event_type, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY ALL) SELECT user_id, CASE WHEN bool_or(p90 > 200) THEN 'Fail' WHEN bool_or(p90 > 120) THEN 'Warn' ELSE 'Pass' END AS status, max(p90) AS worst FROM p GROUP BY user_id",
+SELECT vec_id, differing, round(CAST(coalesce(y, 0) AS DOUBLE), 4) AS luminance, round(CAST(coalesce(c, 0) AS DOUBLE), 4) AS chroma, round(CASE
+WHEN greatest(da, db) = 0 THEN 1.0 ELSE least(da, db) / greatest(da, db) END, 6) AS dark_balance FROM g""",
+    "responsiveness_rollup": "WITH p AS (SELECT user_id, event_type, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY ALL) SELECT user_id, CASE "
+        "WHEN bool_or(p90 > 200) THEN 'Fail' WHEN bool_or(p90 > 120) THEN 'Warn' ELSE 'Pass' END AS status, max(p90) AS worst FROM p GROUP BY user_id",
 }

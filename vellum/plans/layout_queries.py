@@ -24,16 +24,19 @@ def _areas(spark, sf_dir):
 
 def words_from_letters(spark, sf_dir):
     w = L.words(_letters(spark, sf_dir))
-    return w.groupBy("doc_id", "page_no").agg(F.count("*").alias("words"), F.md5(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c", "word"))), lambda x: x["word"]))).alias("digest"))
+    return w.groupBy("doc_id", "page_no").agg(F.count("*").alias("words"),
+        F.md5(F.concat_ws("|", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c", "word"))), lambda x: x["word"]))).alias("digest"))
 
 
 def word_bbox(spark, sf_dir):
     w = L.words(_letters(spark, sf_dir))
-    return w.groupBy("doc_id").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"), F.max(F.col("right") - F.col("left")).alias("widest"), F.sum(F.col("right") - F.col("left")).alias("total"))
+    return w.groupBy("doc_id").agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"),
+        F.max("top").alias("top"), F.max(F.col("right") - F.col("left")).alias("widest"), F.sum(F.col("right") - F.col("left")).alias("total"))
 
 
 def column_bands(spark, sf_dir):
-    return L.column_bands(_letters(spark, sf_dir).where(~is_blank(F.col("value"))), ("doc_id", "line_no"), 3.0).groupBy("doc_id").agg(F.count("*").alias("bands"), F.max("band").alias("most"), F.sum(F.col("right") - F.col("left")).alias("width"))
+    return L.column_bands(_letters(spark, sf_dir).where(~is_blank(F.col("value"))), ("doc_id", "line_no"),
+        3.0).groupBy("doc_id").agg(F.count("*").alias("bands"), F.max("band").alias("most"), F.sum(F.col("right") - F.col("left")).alias("width"))
 
 
 def upper_median_width(spark, sf_dir):
@@ -46,7 +49,8 @@ def word_space_inference(spark, sf_dir):
 
 def letters_in_area(spark, sf_dir):
     at = L.with_areas(_letters(spark, sf_dir), _areas(spark, sf_dir)).where(L.removed_by("centre"))
-    return at.groupBy("doc_id", "area_id").agg(F.count("*").alias("n"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c", "value"))), lambda x: x["value"])).alias("text"))
+    return at.groupBy("doc_id", "area_id").agg(F.count("*").alias("n"),
+        F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("line_no", "c", "value"))), lambda x: x["value"])).alias("text"))
 
 
 def glyph_overlap_type(spark, sf_dir):
@@ -126,7 +130,8 @@ def _columns(spark, sf_dir):
     based = line.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     glyph = based.select("doc_id", "base", F.posexplode(F.split("line", "")).alias("c", "value"))
     row, left = (F.col("base") + F.floor(F.col("c") / 80)).cast("int"), (300 * (F.floor(F.col("c") / 40) % 2) + 6 * (F.col("c") % 40)).cast("int")
-    g = glyph.select("doc_id", F.floor(row / 50).cast("int").alias("page_no"), row.alias("line_no"), "c", "value", left.alias("left"), (left + 6).alias("right"), (800 - 12 * row).alias("bottom"))
+    g = glyph.select("doc_id", F.floor(row / 50).cast("int").alias("page_no"), row.alias("line_no"), "c", "value", left.alias("left"),
+        (left + 6).alias("right"), (800 - 12 * row).alias("bottom"))
     return g.withColumn("top", F.col("bottom") + 10)
 
 
@@ -139,7 +144,8 @@ def letter_match(spark, sf_dir):
     from vellum.sources.content import operators
 
     shown = operators(load(spark, sf_dir, "documents").select("doc_id", "text")).where("name = 'Tj'").select("doc_id", "page_no", "ix", "arg")
-    return L.matched_glyphs(shown, _letters(spark, sf_dir)).groupBy("doc_id", "page_no").agg(F.count("*").alias("found"), F.sum("n").alias("glyphs"), F.sum("first").alias("places"))
+    return L.matched_glyphs(shown, _letters(spark, sf_dir)).groupBy("doc_id", "page_no").agg(F.count("*").alias("found"), F.sum("n").alias("glyphs"),
+        F.sum("first").alias("places"))
 
 
 def redact_geometry(spark, sf_dir):
@@ -170,11 +176,14 @@ def redact_builder(spark, sf_dir):
     return ops_left.groupBy("doc_id").agg(F.count("*").alias("operators")).join(n, "doc_id", "left").select("doc_id", F.coalesce("letters", F.lit(0)).alias("letters"), "operators")
 
 
-QUERIES = {f.__name__: f for f in (crop_text, area_text, smart_join, space_degenerate, reading_order_columns, letter_match, redact_geometry, searchable_pages, redact_area, redact_builder, words_from_letters, word_bbox, column_bands, upper_median_width, word_space_inference, letters_in_area, glyph_overlap_type, removal_strategies, line_band_removal, hit_test, segment_runs, reading_order_simple, line_grouping, hidden_text_cover, rotate_rect)}
+QUERIES = {f.__name__: f for f in (crop_text, area_text, smart_join, space_degenerate, reading_order_columns, letter_match, redact_geometry,
+    searchable_pages, redact_area, redact_builder, words_from_letters, word_bbox, column_bands, upper_median_width, word_space_inference,
+        letters_in_area, glyph_overlap_type, removal_strategies, line_band_removal, hit_test, segment_runs, reading_order_simple, line_grouping, hidden_text_cover, rotate_rect)}
 
 _BLANK = r"regexp_matches(value, '^[ \t\n\r\f\v\x{a0}]$')"
 _WORDS = f"""WITH {LETTERS_SQL}, f AS (SELECT *, {_BLANK} AS blank, lag(right_x) OVER w AS pr, lag(bottom) OVER w AS pb, coalesce(lag({_BLANK}) OVER w, false) AS pblank FROM letters WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no, c)),
-g AS (SELECT *, sum(CASE WHEN blank OR pr IS NULL OR abs(bottom - pb) > 5 OR left_x - pr > 3 OR pblank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no, c ROWS UNBOUNDED PRECEDING) AS wid FROM f),
+g AS (SELECT *, sum(CASE WHEN blank OR pr IS NULL OR abs(bottom - pb) > 5 OR left_x - pr > 3 OR pblank THEN 1
+ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no, c ROWS UNBOUNDED PRECEDING) AS wid FROM f),
 words AS (SELECT doc_id, page_no, wid, min(line_no) AS line_no, min(c) AS c, string_agg(value, '' ORDER BY line_no, c) AS word, min(left_x) AS left_x, min(bottom) AS bottom, max(right_x) AS right_x, max(top) AS top FROM g WHERE NOT blank GROUP BY ALL)"""
 _AREAS = "areas AS (SELECT doc_id, 0 AS page_no, CAST(k AS INTEGER) AS area_id, (doc_id * 7) % 60 + 90 * k AS al, 700 - (doc_id * 5) % 40 + 50 * k AS ab, (doc_id * 7) % 60 + 90 * k + 75 AS ar, 700 - (doc_id * 5) % 40 + 50 * k + 33 AS at_y FROM documents, range(2) r(k))"
 _IN = f"WITH {LETTERS_SQL}, {_AREAS}, x AS (SELECT l.*, area_id, al, ab, ar, at_y FROM letters l JOIN areas a ON l.doc_id = a.doc_id AND l.page_no = a.page_no WHERE left_x < ar AND right_x > al AND bottom < at_y AND top > ab)"
@@ -192,45 +201,77 @@ WHERE NOT (top <= 400 + doc_id % 50 - 600 * page_no OR bottom >= 700 - doc_id %
 z AS (SELECT doc_id, area_id, line_no, string_agg(CASE WHEN left_x - before > 2.5 THEN ' ' ELSE '' END || value, '' ORDER BY c) AS line FROM y GROUP BY ALL)
 SELECT doc_id, area_id, trim(string_agg(line, chr(10) ORDER BY line_no), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS text FROM z GROUP BY ALL""",
     "smart_join": f"""WITH {LINES_SQL}, j AS (SELECT doc_id, line_no, CAST(line_no // 50 AS INTEGER) AS page_no, {_SPACED} AS text FROM lines WHERE length(line) > 0),
-d AS (SELECT *, 12 * (line_no - lag(line_no) OVER w) AS rise, {_ITEM} AS item FROM j WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)), m AS (SELECT doc_id, page_no, median(rise) AS usual FROM d GROUP BY ALL),
-t AS (SELECT doc_id, page_no, string_agg(CASE WHEN rise IS NULL THEN '' WHEN NOT item AND rise > 1.6 * usual THEN chr(10) || chr(10) ELSE chr(10) END || text, '' ORDER BY line_no) AS text FROM d JOIN m USING (doc_id, page_no) GROUP BY ALL)
+d AS (SELECT *, 12 * (line_no - lag(line_no) OVER w) AS rise, {_ITEM} AS item FROM j WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+m AS (SELECT doc_id, page_no, median(rise) AS usual FROM d GROUP BY ALL),
+t AS (SELECT doc_id, page_no, string_agg(CASE WHEN rise IS NULL THEN '' WHEN NOT item AND rise > 1.6 * usual THEN chr(10) || chr(10)
+ELSE chr(10) END || text, '' ORDER BY line_no) AS text FROM d JOIN m USING (doc_id, page_no) GROUP BY ALL)
 SELECT doc_id, page_no, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT *, regexp_replace(text, '(\\p{{L}})-\\n(\\p{{Ll}})', '\\1\\2', 'g') AS o FROM t)""",
     "space_degenerate": f"""WITH {LETTERS_SQL}, f AS (SELECT *, {_BLANK} AS blank, left_x - lag(left_x) OVER (PARTITION BY doc_id, line_no ORDER BY c) AS step FROM letters), m AS (SELECT doc_id, line_no, median(step) AS usual FROM f GROUP BY ALL)
-SELECT doc_id, line_no, count(*) AS glyphs, count_if(step > 1.5 * usual) AS spaces, true AS inferred FROM f JOIN m USING (doc_id, line_no) GROUP BY ALL HAVING count_if(blank) = 0""",
+SELECT doc_id, line_no, count(*) AS glyphs, count_if(step > 1.5 * usual) AS spaces, true AS inferred FROM f JOIN m USING (doc_id, line_no)
+GROUP BY ALL HAVING count_if(blank) = 0""",
     "reading_order_columns": f"""WITH {LINES_SQL}, b AS (SELECT *, CAST(coalesce(sum((length(line) + 79) // 80) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS base FROM lines WHERE length(line) > 0),
-g AS (SELECT doc_id, base, line, CAST(unnest(range(length(line))) AS INTEGER) AS c FROM b), h AS (SELECT doc_id, base + c // 80 AS row_no, (base + c // 80) // 50 AS page_no, c, substr(line, c + 1, 1) AS value, (c // 40) % 2 AS col, 300 * ((c // 40) % 2) + 6 * (c % 40) AS x FROM g),
+g AS (SELECT doc_id, base, line, CAST(unnest(range(length(line))) AS INTEGER) AS c FROM b),
+h AS (SELECT doc_id, base + c // 80 AS row_no, (base + c // 80) // 50 AS page_no, c, substr(line, c + 1, 1) AS value, (c // 40) % 2 AS col, 300 * ((c // 40) % 2) + 6 * (c % 40) AS x FROM g),
 r AS (SELECT doc_id, page_no, row_no, max(col) AS two, max(x) + 6 AS reach FROM h GROUP BY ALL),
 p AS (SELECT doc_id, page_no, max(reach) AS across, count(*) AS n, count_if(two = 1) AS nr, 12 * (max(row_no) - min(row_no)) AS tall, 12 * (max(row_no) FILTER (two = 1) - min(row_no) FILTER (two = 1)) AS right_tall FROM r GROUP BY ALL),
 q AS (SELECT r.*, two = 0 AND reach >= 0.6 * across AS spans, n >= 4 AND nr >= 3 AND right_tall >= 0.5 * tall AS gutter FROM r JOIN p USING (doc_id, page_no)),
 s AS (SELECT *, coalesce(count(*) FILTER (spans) OVER (PARTITION BY doc_id, page_no ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM q)
-SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, count(*) AS n, md5(string_agg(value, '' ORDER BY CASE WHEN gutter THEN seg ELSE 0 END, CASE WHEN gutter AND spans THEN 2 WHEN gutter THEN col ELSE 0 END, row_no, x)) AS digest FROM h JOIN s USING (doc_id, page_no, row_no) GROUP BY ALL""",
-    "redact_geometry": f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, regexp_replace(line, ' the ', '', 'gi') AS line FROM lines), t AS (SELECT doc_id, string_agg(line, '' ORDER BY line_no) AS o FROM l GROUP BY doc_id)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, count(*) AS n, md5(string_agg(value, '' ORDER BY CASE WHEN gutter THEN seg ELSE 0 END, CASE
+WHEN gutter AND spans THEN 2 WHEN gutter THEN col ELSE 0 END, row_no, x)) AS digest FROM h JOIN s USING (doc_id, page_no, row_no) GROUP BY ALL""",
+    "redact_geometry": f"""WITH {LINES_SQL}, l AS (SELECT doc_id, line_no, regexp_replace(line, ' the ', '', 'gi') AS line FROM lines),
+t AS (SELECT doc_id, string_agg(line, '' ORDER BY line_no) AS o FROM l GROUP BY doc_id)
 SELECT doc_id, length(o) AS n, md5(o) AS digest FROM t WHERE o <> ''""",
-    "searchable_pages": f"WITH {LETTERS_SQL}, p AS (SELECT doc_id, CAST(k AS INTEGER) AS page_no FROM documents, range(3) r(k)) SELECT page_no, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM p WHERE NOT EXISTS (SELECT 1 FROM letters l WHERE l.doc_id = p.doc_id AND l.page_no = p.page_no) GROUP BY page_no",
+    "searchable_pages": f"WITH {LETTERS_SQL}, p AS (SELECT doc_id, CAST(k AS INTEGER) AS page_no FROM documents, range(3) r(k)) "
+        f"SELECT page_no, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM p WHERE NOT EXISTS (SELECT 1 FROM letters l "
+            f"WHERE l.doc_id = p.doc_id AND l.page_no = p.page_no) GROUP BY page_no",
     "redact_area": _IN + f""", i AS (SELECT doc_id, CAST(line_no // 50 AS INTEGER) AS page_no, 10 * (line_no % 4) AS l, 795 - 12 * line_no AS b, 10 * (line_no % 4) + 120 AS r, 809 - 12 * line_no AS t FROM lines),
-m AS (SELECT i.doc_id, count(*) AS n FROM i WHERE EXISTS (SELECT 1 FROM areas a WHERE a.doc_id = i.doc_id AND a.page_no = i.page_no AND l < ar AND r > al AND b < at_y AND t > ab) GROUP BY 1)
+m AS (SELECT i.doc_id, count(*) AS n FROM i WHERE EXISTS (SELECT 1 FROM areas a
+WHERE a.doc_id = i.doc_id AND a.page_no = i.page_no AND l < ar AND r > al AND b < at_y AND t > ab) GROUP BY 1)
 SELECT doc_id, 'letters' AS kind, count(DISTINCT (line_no, c)) AS n FROM x WHERE {_FULL} GROUP BY doc_id UNION ALL SELECT doc_id, 'images', n FROM m""",
-    "redact_builder": f"""WITH {LETTERS_SQL}, {_AREAS}, k AS (SELECT doc_id, count(*) AS n FROM letters l WHERE value NOT IN ('e', 'E') AND NOT EXISTS (SELECT 1 FROM areas a WHERE a.doc_id = l.doc_id AND a.page_no = l.page_no AND left_x < ar AND right_x > al AND bottom < at_y AND top > ab AND {_CENTRE}) GROUP BY 1),
-o AS (SELECT doc_id, 12 + CASE WHEN EXISTS (SELECT 1 FROM areas a WHERE a.doc_id = x.doc_id AND a.page_no = CAST(line_no // 50 AS INTEGER) AND doc_id % 60 < ar AND doc_id % 60 + 120 > al AND 798 - 12 * line_no < at_y AND 808 - 12 * line_no > ab) THEN -2 ELSE 0 END
+    "redact_builder": f"""WITH {LETTERS_SQL}, {_AREAS}, k AS (SELECT doc_id, count(*) AS n FROM letters l
+WHERE value NOT IN ('e', 'E') AND NOT EXISTS (SELECT 1 FROM areas a
+WHERE a.doc_id = l.doc_id AND a.page_no = l.page_no AND left_x < ar AND right_x > al AND bottom < at_y AND top > ab AND {_CENTRE}) GROUP BY 1),
+o AS (SELECT doc_id, 12 + CASE WHEN EXISTS (SELECT 1 FROM areas a
+WHERE a.doc_id = x.doc_id AND a.page_no = CAST(line_no // 50 AS INTEGER) AND doc_id % 60 < ar AND doc_id % 60 + 120 > al AND 798 - 12 * line_no < at_y AND 808 - 12 * line_no > ab) THEN -2 ELSE 0 END
 + CASE WHEN true THEN 1 ELSE 0 END AS n FROM lines x)
 SELECT doc_id, coalesce(any_value(k.n), 0) AS letters, CAST(sum(o.n) AS BIGINT) AS operators FROM o LEFT JOIN k USING (doc_id) GROUP BY doc_id""",
     "words_from_letters": _WORDS + " SELECT doc_id, page_no, count(*) AS words, md5(string_agg(word, '|' ORDER BY line_no, c)) AS digest FROM words GROUP BY ALL",
-    "word_bbox": _WORDS + ' SELECT doc_id, min(left_x) AS "left", CAST(min(bottom) AS INTEGER) AS bottom, max(right_x) AS "right", CAST(max(top) AS INTEGER) AS top, max(right_x - left_x) AS widest, CAST(sum(right_x - left_x) AS BIGINT) AS total FROM words GROUP BY doc_id',
+    "word_bbox": _WORDS + ' '
+        'SELECT doc_id, min(left_x) AS "left", CAST(min(bottom) AS INTEGER) AS bottom, max(right_x) AS "right", CAST(max(top) AS INTEGER) AS top, max(right_x - left_x) AS widest, CAST(sum(right_x - left_x) AS BIGINT) AS total FROM words GROUP BY doc_id',
     "column_bands": f"""WITH {LETTERS_SQL}, f AS (SELECT *, max(right_x) OVER (PARTITION BY doc_id, line_no ORDER BY left_x, right_x, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM letters WHERE NOT {_BLANK}),
-g AS (SELECT *, sum(CASE WHEN reach IS NULL OR left_x - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY left_x, right_x, c ROWS UNBOUNDED PRECEDING) AS band FROM f),
-b AS (SELECT doc_id, line_no, band, min(left_x) AS l, max(right_x) AS r FROM g GROUP BY ALL) SELECT doc_id, count(*) AS bands, CAST(max(band) AS BIGINT) AS most, CAST(sum(r - l) AS BIGINT) AS width FROM b GROUP BY doc_id""",
-    "upper_median_width": _WORDS + ", s AS (SELECT doc_id, list(right_x - left_x ORDER BY right_x - left_x) AS v FROM words GROUP BY doc_id) SELECT doc_id, v[len(v) // 2 + 1] AS median, CAST(len(v) AS BIGINT) AS n FROM s",
-    "word_space_inference": f"WITH {LETTERS_SQL}, f AS (SELECT *, {_BLANK} AS blank, left_x - lag(right_x) OVER (PARTITION BY doc_id, line_no ORDER BY c) AS gap FROM letters), g AS (SELECT doc_id, line_no, count(*) AS glyphs, count_if(blank) AS blanks, count_if(gap > 2.5) AS gaps FROM f GROUP BY ALL) SELECT doc_id, line_no, glyphs, CASE WHEN blanks > 0 THEN blanks ELSE gaps END AS spaces, blanks = 0 AS inferred FROM g",
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR left_x - reach > 3 THEN 1
+ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY left_x, right_x, c ROWS UNBOUNDED PRECEDING) AS band FROM f),
+b AS (SELECT doc_id, line_no, band, min(left_x) AS l, max(right_x) AS r FROM g GROUP BY ALL)
+SELECT doc_id, count(*) AS bands, CAST(max(band) AS BIGINT) AS most, CAST(sum(r - l) AS BIGINT) AS width FROM b GROUP BY doc_id""",
+    "upper_median_width": _WORDS + ", s AS (SELECT doc_id, list(right_x - left_x ORDER BY right_x - left_x) AS v FROM words GROUP BY doc_id) "
+        "SELECT doc_id, v[len(v) // 2 + 1] AS median, CAST(len(v) AS BIGINT) AS n FROM s",
+    "word_space_inference": f"WITH {LETTERS_SQL}, f AS (SELECT *, {_BLANK} AS blank, left_x - lag(right_x) OVER (PARTITION BY doc_id, line_no "
+        f"ORDER BY c) AS gap FROM letters), g AS (SELECT doc_id, line_no, count(*) AS glyphs, count_if(blank) AS blanks, count_if(gap > 2.5) AS gaps "
+            f"FROM f GROUP BY ALL) SELECT doc_id, line_no, glyphs, CASE WHEN blanks > 0 THEN blanks ELSE gaps END AS spaces, blanks = 0 AS inferred FROM g",
     "letters_in_area": _IN + f" SELECT doc_id, area_id, count(*) AS n, string_agg(value, '' ORDER BY line_no, c) AS text FROM x WHERE {_CENTRE} GROUP BY ALL",
     "glyph_overlap_type": _IN + f" SELECT doc_id, area_id, CASE WHEN {_FULL} THEN 'Full' ELSE 'Partial' END AS kind, count(*) AS n FROM x GROUP BY ALL",
     "removal_strategies": _IN + f" SELECT doc_id, count(*) AS by_any, count_if({_FULL}) AS by_full, count_if({_CENTRE}) AS by_centre FROM x GROUP BY doc_id",
-    "line_band_removal": f"WITH {LETTERS_SQL}, {_AREAS}, l AS (SELECT doc_id, page_no, line_no, min(bottom) AS b, max(top) AS t, count(*) AS n FROM letters GROUP BY ALL) SELECT doc_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS glyphs FROM l WHERE NOT EXISTS (SELECT 1 FROM areas a WHERE a.doc_id = l.doc_id AND a.page_no = l.page_no AND l.t > ab - 1 AND l.b < at_y + 1) GROUP BY doc_id",
-    "hit_test": f"""WITH {LETTERS_SQL}, {_AREAS}, s AS (SELECT a.doc_id, a.page_no, area_id AS point_id, line_no, c, CASE WHEN al BETWEEN left_x AND right_x AND ab BETWEEN bottom AND top THEN -1.0
-ELSE CAST(40.0 * abs(ab - (bottom + top) / 2) + greatest(left_x - al, al - right_x, 0) AS DOUBLE) END AS score FROM areas a JOIN letters l ON a.doc_id = l.doc_id AND a.page_no = l.page_no)
+    "line_band_removal": f"WITH {LETTERS_SQL}, {_AREAS}, l AS (SELECT doc_id, page_no, line_no, min(bottom) AS b, max(top) AS t, count(*) AS n "
+        f"FROM letters GROUP BY ALL) SELECT doc_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS glyphs FROM l WHERE NOT EXISTS (SELECT 1 "
+            f"FROM areas a WHERE a.doc_id = l.doc_id AND a.page_no = l.page_no AND l.t > ab - 1 AND l.b < at_y + 1) GROUP BY doc_id",
+    "hit_test": f"""WITH {LETTERS_SQL}, {_AREAS}, s AS (SELECT a.doc_id, a.page_no, area_id AS point_id, line_no, c, CASE
+WHEN al BETWEEN left_x AND right_x AND ab BETWEEN bottom AND top THEN -1.0
+ELSE CAST(40.0 * abs(ab - (bottom + top) / 2) + greatest(left_x - al, al - right_x, 0) AS DOUBLE) END AS score FROM areas a
+JOIN letters l ON a.doc_id = l.doc_id AND a.page_no = l.page_no)
 SELECT doc_id, page_no, point_id, line_no, c, CAST(score AS DOUBLE) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, point_id ORDER BY score, line_no, c) = 1""",
-    "segment_runs": f"WITH {LETTERS_SQL}, f AS (SELECT *, regexp_matches(value, '^[aeiouAEIOU]$') AS keep FROM letters), g AS (SELECT *, CASE WHEN lag(keep) OVER w IS NULL OR lag(keep) OVER w <> keep THEN 1 ELSE 0 END AS nw FROM f WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY c)), h AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, line_no ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM g), r AS (SELECT doc_id, line_no, run, keep, max(c) - min(c) + 1 AS size FROM h GROUP BY ALL) SELECT doc_id, keep, count(*) AS runs, max(size) AS longest FROM r GROUP BY ALL",
-    "reading_order_simple": _WORDS + " SELECT doc_id, page_no, count(*) AS n, last(word ORDER BY top DESC, left_x, c) AS last_word, first(word ORDER BY top DESC, left_x, c) AS first_word FROM words GROUP BY ALL",
-    "hidden_text_cover": _WORDS + f", {_AREAS}, o AS (SELECT w.doc_id, w.line_no * 10000 + w.c AS ix, min((4 + 3 * area_id) * 10000) AS cover FROM words w JOIN areas a ON w.doc_id = a.doc_id AND w.page_no = a.page_no AND (4 + 3 * area_id) * 10000 > w.line_no * 10000 + w.c WHERE greatest(0, least(right_x, ar) - greatest(left_x, al)) * greatest(0, least(top, at_y) - greatest(bottom, ab)) / ((right_x - left_x) * (top - bottom)) >= 0.5 GROUP BY ALL) SELECT doc_id, CAST(cover AS INTEGER) AS hidden_by, count(*) AS n FROM o GROUP BY ALL",
-    "rotate_rect": f"""WITH {_AREAS}, t AS (SELECT *, 90 * (doc_id % 4) AS turn FROM areas), r AS (SELECT doc_id, area_id, turn, CASE turn WHEN 90 THEN 612 - at_y WHEN 180 THEN 612 - ar WHEN 270 THEN ab ELSE al END AS x1, CASE turn WHEN 90 THEN al WHEN 180 THEN 792 - at_y WHEN 270 THEN 792 - ar ELSE ab END AS y1, CASE turn WHEN 90 THEN 612 - ab WHEN 180 THEN 612 - al WHEN 270 THEN at_y ELSE ar END AS x2, CASE turn WHEN 90 THEN ar WHEN 180 THEN 792 - ab WHEN 270 THEN 792 - al ELSE at_y END AS y2 FROM t)
+    "segment_runs": f"WITH {LETTERS_SQL}, f AS (SELECT *, regexp_matches(value, '^[aeiouAEIOU]$') AS keep FROM letters), g AS (SELECT *, CASE "
+        f"WHEN lag(keep) OVER w IS NULL OR lag(keep) OVER w <> keep THEN 1 ELSE 0 END AS nw FROM f WINDOW w AS (PARTITION BY doc_id, line_no "
+            f"ORDER BY c)), h AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, line_no ORDER BY c ROWS UNBOUNDED PRECEDING) AS run FROM g), "
+                f"r AS (SELECT doc_id, line_no, run, keep, max(c) - min(c) + 1 AS size FROM h GROUP BY ALL) "
+                    f"SELECT doc_id, keep, count(*) AS runs, max(size) AS longest FROM r GROUP BY ALL",
+    "reading_order_simple": _WORDS + " SELECT doc_id, page_no, count(*) AS n, last(word ORDER BY top DESC, left_x, c) AS last_word, first(word "
+        "ORDER BY top DESC, left_x, c) AS first_word FROM words GROUP BY ALL",
+    "hidden_text_cover": _WORDS + f", {_AREAS}, o AS (SELECT w.doc_id, w.line_no * 10000 + w.c AS ix, min((4 + 3 * area_id) * 10000) AS cover "
+        f"FROM words w JOIN areas a ON w.doc_id = a.doc_id AND w.page_no = a.page_no AND (4 + 3 * area_id) * 10000 > w.line_no * 10000 + w.c "
+            f"WHERE greatest(0, least(right_x, ar) - greatest(left_x, al)) * greatest(0, least(top, at_y) - greatest(bottom, ab)) / ((right_x - left_x) * (top - bottom)) >= 0.5 GROUP BY ALL) SELECT doc_id, CAST(cover AS INTEGER) AS hidden_by, count(*) AS n FROM o GROUP BY ALL",
+    "rotate_rect": f"""WITH {_AREAS}, t AS (SELECT *, 90 * (doc_id % 4) AS turn FROM areas), r AS (SELECT doc_id, area_id, turn, CASE turn
+WHEN 90 THEN 612 - at_y WHEN 180 THEN 612 - ar WHEN 270 THEN ab ELSE al END AS x1, CASE turn WHEN 90 THEN al WHEN 180 THEN 792 - at_y
+WHEN 270 THEN 792 - ar ELSE ab END AS y1, CASE turn WHEN 90 THEN 612 - ab WHEN 180 THEN 612 - al WHEN 270 THEN at_y ELSE ar END AS x2, CASE turn
+WHEN 90 THEN ar WHEN 180 THEN 792 - ab WHEN 270 THEN 792 - al ELSE at_y END AS y2 FROM t)
 SELECT doc_id, area_id, turn, least(x1, x2) AS "left", least(y1, y2) AS bottom, greatest(x1, x2) AS "right", greatest(y1, y2) AS top FROM r""",
 }

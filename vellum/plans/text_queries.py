@@ -166,7 +166,8 @@ def word_wrap(spark, sf_dir):
 
 
 def bidi_order(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(_PAINTED))).otherwise(F.concat(F.col("conv_id").cast("string"), F.lit(_PAINTED))).alias("painted"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn",
+        F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(_PAINTED))).otherwise(F.concat(F.col("conv_id").cast("string"), F.lit(_PAINTED))).alias("painted"))
     out = T.in_logical_order(F.col("painted"))
     return c.select("conv_id", "turn", F.right(out, F.lit(len(_PAINTED))).alias("tail"), F.length(out).alias("size"))
 
@@ -179,8 +180,10 @@ def suggested_names(spark, sf_dir):
 
 def safe_copy_report(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    docs = d.select("doc_id", T.without_terms(F.col("text"), TERMS[:2]).alias("text"), (F.col("doc_id") % 5 == 0).cast("int").alias("skipped"), (F.col("doc_id") % 9).alias("info"), (F.col("doc_id") % 2 == 0).alias("xmp"), (F.col("doc_id") % 3).alias("attachments"))
-    asked = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(" The"), F.lit("the"), F.lit("ab"), F.lit("tion"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("x"), F.lit(" "))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("ung")))
+    docs = d.select("doc_id", T.without_terms(F.col("text"), TERMS[:2]).alias("text"), (F.col("doc_id") % 5 == 0).cast("int").alias("skipped"),
+        (F.col("doc_id") % 9).alias("info"), (F.col("doc_id") % 2 == 0).alias("xmp"), (F.col("doc_id") % 3).alias("attachments"))
+    asked = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(" The"), F.lit("the"), F.lit("ab"), F.lit("tion"))).when(F.col("doc_id") % 4 == 1,
+        F.array(F.lit("x"), F.lit(" "))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("ung")))
     hidden, images = d.where("doc_id % 7 = 0").select("doc_id", F.lit(2).alias("n")), d.where("doc_id % 6 = 0").select("doc_id", F.lit(1).alias("n"))
     return redact.safe_copy(docs, d.select("doc_id", F.explode(asked).alias("term")), hidden, images)
 
@@ -188,7 +191,10 @@ def safe_copy_report(spark, sf_dir):
 #: Hebrew words and a number in the order in which they are painted.
 _PAINTED = " םלוע 12.5 םולש"
 
-QUERIES = {f.__name__: f for f in (safe_copy_report, word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word, search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize, bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin, dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
+QUERIES = {f.__name__: f for f in (safe_copy_report, word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word,
+    search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize,
+        bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin,
+            dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
 
 _SUBSTRING = f"""WITH {LINES_SQL}, hits AS (SELECT doc_id, line_no, line, lower(line) AS low, instr(lower(line), 'tion') AS pos FROM lines WHERE contains(lower(line), 'tion')),
 spans AS (SELECT *, greatest(1, pos - 30) AS a, least(length(line), pos - 1 + 4 + 30) AS b FROM hits)"""
@@ -196,9 +202,11 @@ _BIGRAMS = "list_distinct([substr({0}, i, 2) FOR i IN range(1, length({0}))])"
 _TIER = f"""WITH n AS (SELECT doc_id, source, text, {_EDIT_SQL} AS other, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS a, lower(regexp_replace({_EDIT_SQL}, '[^A-Za-z0-9]', '', 'g')) AS b FROM documents),
 s AS (SELECT *, {_BIGRAMS.format('a')} AS x, {_BIGRAMS.format('b')} AS y FROM n),
 j AS (SELECT *, len(list_intersect(x, y)) AS both_n FROM s),
-m AS (SELECT *, CASE WHEN len(x) + len(y) - both_n = 0 THEN 1.0 ELSE both_n / (len(x) + len(y) - both_n) END AS sim, length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS lt, length(regexp_replace(other, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS lo FROM j),
+m AS (SELECT *, CASE WHEN len(x) + len(y) - both_n = 0 THEN 1.0
+ELSE both_n / (len(x) + len(y) - both_n) END AS sim, length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS lt, length(regexp_replace(other, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) AS lo FROM j),
 c AS (SELECT *, CASE WHEN lt = 0 THEN 1.0 ELSE lo / lt END AS cov FROM m),
-t AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 'Unverified' WHEN length(a) < 32 THEN 'Ok' WHEN least(cov, sim) < 0.5 THEN 'Severe' WHEN least(cov, sim) < 0.9 THEN 'Degraded' ELSE 'Ok' END AS tier, sim, cov FROM c)"""
+t AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 'Unverified' WHEN length(a) < 32 THEN 'Ok' WHEN least(cov, sim) < 0.5 THEN 'Severe'
+WHEN least(cov, sim) < 0.9 THEN 'Degraded' ELSE 'Ok' END AS tier, sim, cov FROM c)"""
 _MULTISET = """, k AS (SELECT id, side, w, count(*) AS n FROM tok GROUP BY ALL),
 p AS (SELECT id, w, coalesce(max(n) FILTER (side), 0) AS a, coalesce(max(n) FILTER (NOT side), 0) AS b FROM k GROUP BY ALL)
 SELECT id AS {0}, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS similarity FROM p GROUP BY id"""
@@ -211,47 +219,71 @@ ORACLES = {
 p AS (SELECT doc_id, x, CASE doc_id % 4 WHEN 0 THEN ['the', 'ab', 'tion'] WHEN 1 THEN ['x'] WHEN 2 THEN ['ung'] ELSE [] END AS terms FROM t),
 c AS (SELECT *, list_filter(terms, lambda w: length(w) >= 3) AS ch FROM p), r AS (SELECT *, CAST(len(list_filter(ch, lambda w: contains(x, w))) AS INTEGER) AS lft FROM c),
 s AS (SELECT doc_id, CAST(len(terms) AS INTEGER) AS previews, CAST(len(ch) AS INTEGER) AS checked, lft AS remaining, CAST(len(terms) - len(ch) AS INTEGER) AS short, CASE WHEN len(ch) = 0 THEN 'NotChecked' WHEN lft > 0 THEN 'Warning' ELSE 'Verified' END AS content,
-CASE WHEN doc_id % 7 = 0 THEN 'Warning' ELSE 'Verified' END AS hidden_text, CASE WHEN len(terms) = 0 THEN 'NotChecked' WHEN doc_id % 6 = 0 THEN 'Warning' ELSE 'Verified' END AS raster, doc_id % 9 AS info_scrubbed, doc_id % 2 = 0 AS had_xmp, doc_id % 3 AS attachments FROM r)
+CASE WHEN doc_id % 7 = 0 THEN 'Warning' ELSE 'Verified' END AS hidden_text, CASE WHEN len(terms) = 0 THEN 'NotChecked'
+WHEN doc_id % 6 = 0 THEN 'Warning' ELSE 'Verified' END AS raster, doc_id % 9 AS info_scrubbed, doc_id % 2 = 0 AS had_xmp, doc_id % 3 AS attachments FROM r)
 SELECT *, CAST((doc_id % 5 = 0)::INT + (content = 'Warning')::INT + (hidden_text = 'Warning')::INT + (raster = 'Warning')::INT AS INTEGER) AS warnings FROM s""",
     "word_wrap": """WITH RECURSIVE l AS (SELECT item_id, generate_subscripts(string_split(text, chr(10)), 1) AS ln, unnest(string_split(text, chr(10))) AS line FROM benchmark),
 w AS (SELECT item_id, ln, string_split(line, ' ') AS ws FROM l),
 f(item_id, ln, ws, i, done, cur) AS (SELECT item_id, ln, ws, 1, CAST([] AS VARCHAR[]), '' FROM w UNION ALL
-SELECT item_id, ln, ws, i + 1, CASE WHEN cur <> '' AND length(cur || ' ' || ws[i]) > 30 THEN list_append(done, cur) ELSE done END, CASE WHEN cur = '' OR length(cur || ' ' || ws[i]) > 30 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM f WHERE i <= len(ws)),
+SELECT item_id, ln, ws, i + 1, CASE WHEN cur <> '' AND length(cur || ' ' || ws[i]) > 30 THEN list_append(done, cur) ELSE done END, CASE
+WHEN cur = '' OR length(cur || ' ' || ws[i]) > 30 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM f WHERE i <= len(ws)),
 e AS (SELECT item_id, ln, CASE WHEN len(ws) = 1 AND ws[1] = '' THEN [''] WHEN cur = '' THEN done ELSE list_append(done, cur) END AS o FROM f WHERE i > len(ws)),
 a AS (SELECT item_id, flatten(list(o ORDER BY ln)) AS o FROM e GROUP BY item_id) SELECT item_id, CAST(len(o) AS INTEGER) AS lines, md5(array_to_string(o, '|')) AS digest FROM a""",
     "bidi_order": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ' עולם 12.5 שלום' ELSE right('שלום 12.5 עולם ' || conv_id, 15) END AS tail,
 CAST(length(CASE WHEN turn % 2 = 0 THEN text ELSE CAST(conv_id AS VARCHAR) END) + 15 AS INTEGER) AS size FROM conversations""",
     "suggested_names": """WITH s AS (SELECT s_suppkey, 'files/part ' || (s_suppkey % 3) || '.v2_REDACTED' AS stem, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier),
-p AS (SELECT s_suppkey, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS stem FROM s) SELECT s_suppkey, stem || '.pdf' AS path, stem || '_pages_1-' || (s_suppkey % 4) || '.pdf' AS subset FROM p""",
-    "search_substring": _SUBSTRING + " SELECT doc_id, line_no, CAST((length(low) - length(replace(low, 'tion', ''))) // 4 AS INTEGER) AS matches, (CASE WHEN a > 1 THEN '...' ELSE '' END) || substr(line, a, b - a + 1) || (CASE WHEN b < length(line) THEN '...' ELSE '' END) AS context FROM spans",
-    "search_overlapping": "SELECT * FROM (SELECT doc_id, CAST(len([i FOR i IN range(1, length(text) - 2) IF substr(text, i, 4) = 'erer']) AS INTEGER) AS matches FROM documents) WHERE matches > 0",
-    "search_whole_word": r"SELECT * FROM (SELECT doc_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') IF w = 'the']) AS INTEGER) AS words, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[ \t\n\r\f\v\x{a0}]+') IF w = 'the']) AS INTEGER) AS tokens FROM documents) WHERE words > 0",
-    "search_regex": "SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, 'th[a-z]{2,5}ing')) AS INTEGER) AS matches, regexp_extract(text, 'th[a-z]{2,5}ing') AS first FROM documents) WHERE matches > 0",
+p AS (SELECT s_suppkey, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS stem FROM s)
+SELECT s_suppkey, stem || '.pdf' AS path, stem || '_pages_1-' || (s_suppkey % 4) || '.pdf' AS subset FROM p""",
+    "search_substring": _SUBSTRING + " "
+        "SELECT doc_id, line_no, CAST((length(low) - length(replace(low, 'tion', ''))) // 4 AS INTEGER) AS matches, (CASE WHEN a > 1 THEN '...' "
+            "ELSE '' END) || substr(line, a, b - a + 1) || (CASE WHEN b < length(line) THEN '...' ELSE '' END) AS context FROM spans",
+    "search_overlapping": "SELECT * "
+        "FROM (SELECT doc_id, CAST(len([i FOR i IN range(1, length(text) - 2) IF substr(text, i, 4) = 'erer']) AS INTEGER) AS matches FROM documents) WHERE matches > 0",
+    "search_whole_word": r"SELECT * "
+        r"FROM (SELECT doc_id, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') IF w = 'the']) AS INTEGER) AS words, CAST(len([w FOR w IN regexp_split_to_array(lower(text), '[ \t\n\r\f\v\x{a0}]+') IF w = 'the']) AS INTEGER) AS tokens FROM documents) WHERE words > 0",
+    "search_regex": "SELECT * "
+        "FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, 'th[a-z]{2,5}ing')) AS INTEGER) AS matches, regexp_extract(text, 'th[a-z]{2,5}ing') AS first FROM documents) WHERE matches > 0",
     "search_word_bounds": f"""WITH {LINES_SQL}, parts AS (SELECT doc_id, line_no, string_split(lower(line), 'ing the ') AS p FROM lines WHERE contains(lower(line), 'ing the ')),
 m AS (SELECT doc_id, line_no, unnest([list_sum([length(x) FOR x IN p[1:i]]) + (i - 1) * 8 FOR i IN range(1, len(p))]) AS s FROM parts),
 ws AS (SELECT doc_id, line_no, string_split(line, ' ') AS p FROM lines), we AS (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM ws),
 w AS (SELECT doc_id, line_no, p[i] AS word, coalesce(list_sum([length(x) + 1 FOR x IN p[1:i - 1]]), 0) AS a FROM we WHERE p[i] <> '')
 SELECT m.doc_id, m.line_no, CAST(m.s AS INTEGER) AS match_start, min_by(word, a) AS first_word, max_by(word, a) AS last_word, CAST(min(a) AS INTEGER) AS left_c, CAST(max(a + length(word)) AS INTEGER) AS right_c
 FROM m JOIN w ON m.doc_id = w.doc_id AND m.line_no = w.line_no AND a < s + 8 AND a + length(word) > s GROUP BY ALL""",
-    "search_by_page": _SUBSTRING + " SELECT doc_id, CAST(line_no // 50 AS INTEGER) AS page_no, CAST(sum((length(low) - length(replace(low, 'tion', ''))) // 4) AS BIGINT) AS matches, count(*) AS lines FROM hits GROUP BY ALL",
-    "search_annotations_union": f"WITH {LINES_SQL} SELECT doc_id, CAST(sum((length(line) - length(replace(lower(line), 'toxic 1', ''))) // 7) AS BIGINT) AS matches, 'text' AS origin FROM lines WHERE contains(lower(line), 'toxic 1') GROUP BY ALL UNION ALL SELECT doc_id, 1, 'annotation' FROM labels WHERE toxic = 1",
-    "typographic_normalize": r"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, trim(regexp_replace(translate(text, '’‘ʼ′–—−', '''''''''---'), '[ \t\n\r\f\v\x{a0}]+', ' ', 'g'), ' ') AS o FROM documents)",
+    "search_by_page": _SUBSTRING + " "
+        "SELECT doc_id, CAST(line_no // 50 AS INTEGER) AS page_no, CAST(sum((length(low) - length(replace(low, 'tion', ''))) // 4) AS BIGINT) AS matches, count(*) AS lines FROM hits GROUP BY ALL",
+    "search_annotations_union": f"WITH {LINES_SQL} "
+        f"SELECT doc_id, CAST(sum((length(line) - length(replace(lower(line), 'toxic 1', ''))) // 7) AS BIGINT) AS matches, 'text' AS origin "
+            f"FROM lines WHERE contains(lower(line), 'toxic 1') GROUP BY ALL UNION ALL SELECT doc_id, 1, 'annotation' FROM labels WHERE toxic = 1",
+    "typographic_normalize": r"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest "
+        r"FROM (SELECT doc_id, trim(regexp_replace(translate(text, '’‘ʼ′–—−', '''''''''---'), '[ \t\n\r\f\v\x{a0}]+', ' ', 'g'), ' ') AS o FROM documents)",
     "fold_ascii": "SELECT doc_id, md5(text) AS digest FROM documents WHERE strlen(text) = length(text)",
-    "text_normalize": "SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS o FROM documents)",
+    "text_normalize": "SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest "
+        "FROM (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS o FROM documents)",
     "bigram_jaccard": _TIER + " SELECT doc_id, round(sim, 6) AS similarity FROM t",
     "coverage_ratio": _TIER + " SELECT doc_id, round(cov, 6) AS coverage FROM t",
     "confidence_tier": _TIER + " SELECT doc_id, source, tier FROM t",
-    "worst_tier": _TIER + " SELECT source, ['Ok', 'Unverified', 'Degraded', 'Severe'][max(list_position(['Ok', 'Unverified', 'Degraded', 'Severe'], tier))] AS worst, count(*) AS documents FROM t GROUP BY source",
-    "multiset_jaccard": r"WITH tok AS (SELECT * FROM (SELECT conv_id AS id, role = 'user' AS side, unnest(regexp_split_to_array(text, '[ \t\n\r\f\v\x{a0}]+')) AS w FROM conversations) WHERE w <> '')" + _MULTISET.format("conv_id"),
-    "line_jaccard": f"WITH tok AS (SELECT id, side, regexp_replace(w, '[ \\t\\n\\r\\f\\v\\x{{a0}}]+', '', 'g') AS w FROM (SELECT doc_id AS id, true AS side, unnest(string_split(text, chr(10))) AS w FROM documents UNION ALL SELECT doc_id, false, unnest(string_split({_EDIT_SQL}, chr(10))) FROM documents) WHERE regexp_replace(w, '[ \\t\\n\\r\\f\\v\\x{{a0}}]+', '', 'g') <> '')" + _MULTISET.format("doc_id"),
+    "worst_tier": _TIER + " "
+        "SELECT source, ['Ok', 'Unverified', 'Degraded', 'Severe'][max(list_position(['Ok', 'Unverified', 'Degraded', 'Severe'], tier))] AS worst, count(*) AS documents FROM t GROUP BY source",
+    "multiset_jaccard": r"WITH tok AS (SELECT * "
+        r"FROM (SELECT conv_id AS id, role = 'user' AS side, unnest(regexp_split_to_array(text, '[ \t\n\r\f\v\x{a0}]+')) AS w FROM conversations) "
+            r"WHERE w <> '')" + _MULTISET.format("conv_id"),
+    "line_jaccard": f"WITH tok AS (SELECT id, side, regexp_replace(w, '[ \\t\\n\\r\\f\\v\\x{{a0}}]+', '', 'g') AS w "
+        f"FROM (SELECT doc_id AS id, true AS side, unnest(string_split(text, chr(10))) AS w FROM documents UNION ALL "
+            f"SELECT doc_id, false, unnest(string_split({_EDIT_SQL}, chr(10))) FROM documents) "
+                f"WHERE regexp_replace(w, '[ \\t\\n\\r\\f\\v\\x{{a0}}]+', '', 'g') <> '')" + _MULTISET.format("doc_id"),
     "trim_punct_antijoin": r"""WITH t AS (SELECT conv_id, turn, lower(trim(unnest(regexp_split_to_array(text, '[ \t\n\r\f\v\x{a0}]+')), '.,:;!?"''()[]')) AS word FROM conversations),
 v AS (SELECT DISTINCT lower(trim(unnest(regexp_split_to_array(text, '[ \t\n\r\f\v\x{a0}]+')), '.,:;!?"''()[]')) AS word FROM benchmark)
 SELECT conv_id, turn, word, count(*) AS n FROM t WHERE word <> '' AND word NOT IN (SELECT word FROM v) GROUP BY ALL""",
-    "dehyphenate": r"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, regexp_replace(replace(text, 'tion ', 'tion-' || chr(10)), '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS o FROM documents)",
-    "list_marker": f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, regexp_extract(line, '^ *([•·‣◦*⁃∙\\-–—]|[0-9]{{1,3}}[.)]|\\p{{L}}[.)])(?: |$)', 1) AS marker FROM lines) WHERE marker <> ''",
+    "dehyphenate": r"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest "
+        r"FROM (SELECT doc_id, regexp_replace(replace(text, 'tion ', 'tion-' || chr(10)), '(\p{L})-\n(\p{Ll})', '\1\2', 'g') AS o FROM documents)",
+    "list_marker": f"WITH {LINES_SQL} SELECT * "
+        f"FROM (SELECT doc_id, line_no, regexp_extract(line, '^ *([•·‣◦*⁃∙\\-–—]|[0-9]{{1,3}}[.)]|\\p{{L}}[.)])(?: |$)', 1) AS marker FROM lines) WHERE marker <> ''",
     "error_cluster": "SELECT substr(regexp_replace(event_type || ' 12 failed for user ' || user_id || ' with ' || props, '[0-9]+', 'N', 'g'), 1, 66) AS message, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
-    "redact_terms": f"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest FROM (SELECT doc_id, trim({_TERMS_SQL}, ' ' || chr(9) || chr(10) || chr(13)) AS o FROM (SELECT doc_id, text AS x FROM documents))",
-    "redact_verify_remaining": f"WITH o AS (SELECT {_BARE.format(_TERMS_SQL)} AS x FROM (SELECT text AS x FROM documents)), t AS (SELECT x AS once, {_BARE.format(_TERMS_SQL)} AS twice FROM o) SELECT {_LEFT}, count(*) AS documents FROM t",
-    "redact_carriers": f"SELECT doc_id, nullif({_CARRY.format('source')}, '') AS info, CASE WHEN {_CARRY.format('lang')} = '' THEN '[redacted]' ELSE {_CARRY.format('lang')} END AS title, nullif({_CARRY.format('text')}, '') AS note FROM documents",
+    "redact_terms": f"SELECT doc_id, CAST(length(o) AS INTEGER) AS size, md5(o) AS digest "
+        f"FROM (SELECT doc_id, trim({_TERMS_SQL}, ' ' || chr(9) || chr(10) || chr(13)) AS o FROM (SELECT doc_id, text AS x FROM documents))",
+    "redact_verify_remaining": f"WITH o AS (SELECT {_BARE.format(_TERMS_SQL)} AS x FROM (SELECT text AS x FROM documents)), "
+        f"t AS (SELECT x AS once, {_BARE.format(_TERMS_SQL)} AS twice FROM o) SELECT {_LEFT}, count(*) AS documents FROM t",
+    "redact_carriers": f"SELECT doc_id, nullif({_CARRY.format('source')}, '') AS info, CASE WHEN {_CARRY.format('lang')} = '' THEN '[redacted]' "
+        f"ELSE {_CARRY.format('lang')} END AS title, nullif({_CARRY.format('text')}, '') AS note FROM documents",
     "redact_counts": "SELECT term, CAST(sum(len(regexp_extract_all(lower(text), term))) AS BIGINT) AS matches, count_if(contains(lower(text), term)) AS documents FROM documents, (SELECT unnest(['the', 'ung', 'tion', 'que']) AS term) GROUP BY term",
 }

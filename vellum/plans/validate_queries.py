@@ -28,14 +28,16 @@ def _docs(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Lines of orders with their place among those of the order."""
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("node_id")).agg(F.max("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"))
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").cast("long").alias("node_id")).agg(F.max("l_partkey").alias("part"), F.max("l_suppkey").alias("supp"))
 
 
 def _nodes(spark, sf_dir):
     kind = F.get(F.array(*map(F.lit, KINDS)), F.pmod("part", F.lit(len(KINDS))).cast("int"))
     up = F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2))
     return _lines(spark, sf_dir).select(
-        "doc_id", "node_id", up.alias("parent_id"), kind.alias("kind"), F.when(F.col("supp") % 3 == 0, F.lit("a picture")).alias("alt"), F.when(F.col("supp") % 5 == 0, F.lit(" ")).alias("actual")
+        "doc_id", "node_id", up.alias("parent_id"), kind.alias("kind"), F.when(F.col("supp") % 3 == 0, F.lit("a picture")).alias("alt"),
+            F.when(F.col("supp") % 5 == 0, F.lit(" ")).alias("actual")
     )
 
 
@@ -99,19 +101,23 @@ def confidence_policy(spark, sf_dir):
 
 
 def inherited_boxes(spark, sf_dir):
-    nodes = _lines(spark, sf_dir).select("doc_id", "node_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2)).alias("parent_id"), F.when(F.col("part") % 3 == 0, F.col("part")).alias("box"))
+    nodes = _lines(spark, sf_dir).select("doc_id", "node_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2)).alias("parent_id"),
+        F.when(F.col("part") % 3 == 0, F.col("part")).alias("box"))
     return V.inherited(nodes, "box").select("doc_id", "node_id", F.coalesce("value", F.lit(612)).alias("box"))
 
 
 def field_tree(spark, sf_dir):
-    nodes = _lines(spark, sf_dir).select("doc_id", "node_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2)).alias("parent_id"), F.when(F.col("part") % 4 > 0, F.concat(F.lit("f"), F.col("node_id").cast("string"))).alias("title"))
+    nodes = _lines(spark, sf_dir).select("doc_id", "node_id", F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2)).alias("parent_id"),
+        F.when(F.col("part") % 4 > 0, F.concat(F.lit("f"), F.col("node_id").cast("string"))).alias("title"))
     return V.field_names(nodes)
 
 
 def action_chain(spark, sf_dir):
     kind = F.get(F.array(*map(F.lit, ("GoTo", "URI", "Named"))), (F.col("part") % 3).cast("int"))
-    a = _lines(spark, sf_dir).select("doc_id", F.col("node_id").alias("action_id"), F.when(F.col("node_id") == 1, F.lit("O")).alias("trigger"), kind.alias("kind"), F.when(F.col("node_id") == 5, F.lit(2)).otherwise(F.col("node_id") + 1).alias("next_id"))
-    return V.action_chains(a).groupBy("doc_id", "trigger").agg(F.count("*").alias("steps"), F.concat_ws(">", F.transform(F.sort_array(F.collect_list(F.struct("step", "kind"))), lambda x: x["kind"])).alias("kinds"))
+    a = _lines(spark, sf_dir).select("doc_id", F.col("node_id").alias("action_id"), F.when(F.col("node_id") == 1, F.lit("O")).alias("trigger"),
+        kind.alias("kind"), F.when(F.col("node_id") == 5, F.lit(2)).otherwise(F.col("node_id") + 1).alias("next_id"))
+    return V.action_chains(a).groupBy("doc_id", "trigger").agg(F.count("*").alias("steps"),
+        F.concat_ws(">", F.transform(F.sort_array(F.collect_list(F.struct("step", "kind"))), lambda x: x["kind"])).alias("kinds"))
 
 
 QUERIES = {
@@ -129,23 +135,31 @@ _LINES = "ln AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS no
 _NODES = f"""{_LINES},
 docs AS (SELECT o_orderkey AS doc_id, o_orderkey % 3 > 0 AS marked, o_orderkey % 5 > 0 AS lang, o_orderkey % 4 > 0 OR o_orderkey % 8 = 0 AS title, o_orderkey % 7 > 0 AS shows, o_orderkey % 11 > 0 AS has_tree FROM orders),
 raw AS (SELECT doc_id, node_id, CASE WHEN node_id > 1 THEN node_id // 2 END AS parent_id, {_KINDS}[part % {len(KINDS)} + 1] AS raw, supp % 3 = 0 AS alt FROM ln),
-up(doc_id, node_id, depth) AS (SELECT doc_id, node_id, 0 FROM raw WHERE parent_id IS NULL UNION ALL SELECT r.doc_id, r.node_id, depth + 1 FROM raw r JOIN up u ON r.doc_id = u.doc_id AND r.parent_id = u.node_id),
-n AS (SELECT r.*, depth, doc_id % 2 = 0 AS has_roles, CASE WHEN doc_id % 2 = 0 THEN CASE raw WHEN 'Chapter' THEN 'H1' WHEN 'Row' THEN 'TR' ELSE raw END ELSE raw END AS kind FROM raw r JOIN up USING (doc_id, node_id)),
+up(doc_id, node_id, depth) AS (SELECT doc_id, node_id, 0 FROM raw WHERE parent_id IS NULL UNION ALL SELECT r.doc_id, r.node_id, depth + 1 FROM raw r
+JOIN up u ON r.doc_id = u.doc_id AND r.parent_id = u.node_id),
+n AS (SELECT r.*, depth, doc_id % 2 = 0 AS has_roles, CASE WHEN doc_id % 2 = 0 THEN CASE raw WHEN 'Chapter' THEN 'H1' WHEN 'Row' THEN 'TR'
+ELSE raw END ELSE raw END AS kind FROM raw r JOIN up USING (doc_id, node_id)),
 n2 AS (SELECT *, raw NOT IN ({_STANDARD}) AND NOT (has_roles AND raw IN ('Chapter', 'Title', 'Row', 'Loop', 'Loop2')) AS unmapped FROM n)"""
 _HEADS = """h AS (SELECT *, CASE WHEN kind = 'H' THEN 0 ELSE CAST(substr(kind, 2, 1) AS INTEGER) END AS level FROM own WHERE regexp_matches(kind, '^H[1-6]?$')),
 hl AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY node_id) AS before FROM h WHERE level > 0),
 hs AS (SELECT doc_id, count_if((before IS NULL AND level <> 1) OR level > before + 1) AS skips FROM hl GROUP BY doc_id),
-heads AS (SELECT h.doc_id, count(*) AS n, CAST(CASE WHEN count_if(level = 0) BETWEEN 1 AND count(*) - 1 THEN 1 ELSE coalesce(any_value(skips), 0) END AS BIGINT) AS bad FROM h LEFT JOIN hs USING (doc_id) GROUP BY h.doc_id)"""
-_TABLES = """k AS (SELECT t.doc_id, t.node_id, c.node_id AS kid, c.kind AS kid_kind FROM own t JOIN own c ON c.doc_id = t.doc_id AND c.parent_id = t.node_id WHERE t.kind = 'Table'),
-rw AS (SELECT doc_id, node_id, kid FROM k WHERE kid_kind = 'TR' UNION ALL SELECT k.doc_id, k.node_id, c.node_id FROM k JOIN own c ON c.doc_id = k.doc_id AND c.parent_id = k.kid WHERE kid_kind IN ('THead', 'TBody', 'TFoot') AND c.kind = 'TR'),
+heads AS (SELECT h.doc_id, count(*) AS n, CAST(CASE WHEN count_if(level = 0) BETWEEN 1 AND count(*) - 1 THEN 1
+ELSE coalesce(any_value(skips), 0) END AS BIGINT) AS bad FROM h LEFT JOIN hs USING (doc_id) GROUP BY h.doc_id)"""
+_TABLES = """k AS (SELECT t.doc_id, t.node_id, c.node_id AS kid, c.kind AS kid_kind FROM own t
+JOIN own c ON c.doc_id = t.doc_id AND c.parent_id = t.node_id WHERE t.kind = 'Table'),
+rw AS (SELECT doc_id, node_id, kid FROM k WHERE kid_kind = 'TR' UNION ALL SELECT k.doc_id, k.node_id, c.node_id FROM k
+JOIN own c ON c.doc_id = k.doc_id AND c.parent_id = k.kid WHERE kid_kind IN ('THead', 'TBody', 'TFoot') AND c.kind = 'TR'),
 tp AS (SELECT doc_id, node_id, 'unexpected child ' || kid_kind AS problem FROM k WHERE kid_kind NOT IN ('TR', 'THead', 'TBody', 'TFoot', 'Caption')
   UNION ALL SELECT doc_id, node_id, 'no rows' FROM own t WHERE kind = 'Table' AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.doc_id = t.doc_id AND rw.node_id = t.node_id)
   UNION ALL SELECT rw.doc_id, rw.node_id, 'no cell ' || c.kind FROM rw JOIN own c ON c.doc_id = rw.doc_id AND c.parent_id = rw.kid WHERE c.kind NOT IN ('TH', 'TD'))"""
 _LISTS = """pl AS (SELECT c.*, u.kind AS up_kind FROM own c LEFT JOIN own u ON u.doc_id = c.doc_id AND u.node_id = c.parent_id),
-bl AS (SELECT l.doc_id, 1 AS n, CASE WHEN coalesce(count_if(c.kind = 'LI'), 0) = 0 THEN 1 ELSE 0 END + coalesce(count_if(c.kind NOT IN ('LI', 'Caption')), 0) AS bad FROM own l LEFT JOIN own c ON c.doc_id = l.doc_id AND c.parent_id = l.node_id WHERE l.kind = 'L' GROUP BY l.doc_id, l.node_id
+bl AS (SELECT l.doc_id, 1 AS n, CASE WHEN coalesce(count_if(c.kind = 'LI'), 0) = 0 THEN 1
+ELSE 0 END + coalesce(count_if(c.kind NOT IN ('LI', 'Caption')), 0) AS bad FROM own l LEFT
+JOIN own c ON c.doc_id = l.doc_id AND c.parent_id = l.node_id WHERE l.kind = 'L' GROUP BY l.doc_id, l.node_id
   UNION ALL SELECT doc_id, 1, 1 FROM pl WHERE kind = 'LI' AND coalesce(up_kind, '') <> 'L'),
 ls AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM bl GROUP BY doc_id),
-lb AS (SELECT doc_id, count(*) AS n, count_if(NOT EXISTS (SELECT 1 FROM own b WHERE b.doc_id = pl.doc_id AND b.parent_id = pl.node_id AND b.kind = 'LBody')) AS bad FROM pl WHERE kind = 'LI' AND up_kind = 'L' GROUP BY doc_id)"""
+lb AS (SELECT doc_id, count(*) AS n, count_if(NOT EXISTS (SELECT 1 FROM own b
+WHERE b.doc_id = pl.doc_id AND b.parent_id = pl.node_id AND b.kind = 'LBody')) AS bad FROM pl WHERE kind = 'LI' AND up_kind = 'L' GROUP BY doc_id)"""
 _ALL = f"WITH RECURSIVE {_NODES}, own AS (SELECT * FROM n2)"
 _OWN = f"WITH RECURSIVE {_NODES}, own AS (SELECT n2.* FROM n2 JOIN docs USING (doc_id) WHERE has_tree)"
 
@@ -167,11 +181,14 @@ ORACLES = {
 um AS (SELECT doc_id, count(DISTINCT raw) AS bad FROM own WHERE unmapped GROUP BY doc_id), lo AS (SELECT doc_id, count(*) AS bad FROM ln WHERE part % 9 = 0 GROUP BY doc_id),
 fi AS (SELECT doc_id, count(*) AS n, count_if(NOT alt) AS bad FROM own WHERE kind = 'Figure' GROUP BY doc_id),
 ta AS (SELECT doc_id, count(*) AS n, (SELECT count(*) FROM tp WHERE tp.doc_id = own.doc_id) AS bad FROM own WHERE kind = 'Table' GROUP BY doc_id),
-r(rule, status, problems) AS (SELECT 'Marked', {_plain('marked')} FROM docs UNION ALL SELECT 'StructTreeRoot', {_plain('has_tree')} FROM docs UNION ALL SELECT 'Lang', {_plain('lang')} FROM docs
+r(rule, status, problems) AS (SELECT 'Marked', {_plain('marked')} FROM docs UNION ALL SELECT 'StructTreeRoot', {_plain('has_tree')} FROM docs
+UNION ALL SELECT 'Lang', {_plain('lang')} FROM docs
 UNION ALL SELECT 'Title', {_plain('title')} FROM docs UNION ALL SELECT 'DisplayDocTitle', {_plain('shows')} FROM docs
 UNION ALL SELECT 'RoleMap', {_if_tree('um.bad')} FROM docs LEFT JOIN um USING (doc_id) UNION ALL SELECT 'Content-Tagged', {_if_tree('lo.bad')} FROM docs LEFT JOIN lo USING (doc_id)
-UNION ALL SELECT 'Figure-Alt', {_status('fi.bad', 'fi.n')} FROM docs LEFT JOIN fi USING (doc_id) UNION ALL SELECT 'Heading-Order', {_status('heads.bad', 'heads.n')} FROM docs LEFT JOIN heads USING (doc_id)
-UNION ALL SELECT 'Table-Structure', {_status('ta.bad', 'ta.n')} FROM docs LEFT JOIN ta USING (doc_id) UNION ALL SELECT 'List-Structure', {_status('ls.bad', 'ls.n')} FROM docs LEFT JOIN ls USING (doc_id)
+UNION ALL SELECT 'Figure-Alt', {_status('fi.bad', 'fi.n')} FROM docs LEFT JOIN fi USING (doc_id) UNION ALL
+SELECT 'Heading-Order', {_status('heads.bad', 'heads.n')} FROM docs LEFT JOIN heads USING (doc_id)
+UNION ALL SELECT 'Table-Structure', {_status('ta.bad', 'ta.n')} FROM docs LEFT JOIN ta USING (doc_id) UNION ALL
+SELECT 'List-Structure', {_status('ls.bad', 'ls.n')} FROM docs LEFT JOIN ls USING (doc_id)
 UNION ALL SELECT 'List-ItemBody', {_status('lb.bad', 'lb.n')} FROM docs JOIN lb USING (doc_id))
 SELECT rule, status, count(*) AS documents, CAST(sum(problems) AS BIGINT) AS problems FROM r GROUP BY ALL""",
     "heading_rules": f"{_ALL}, {_HEADS} SELECT doc_id, n, bad FROM heads",
@@ -182,19 +199,28 @@ SELECT doc_id, array_to_string(p[1:2], '; ') || CASE WHEN len(p) > 2 THEN '; +'
     "archive_rules": """SELECT s_suppkey AS doc_id, rule, CASE WHEN ok THEN 'Pass' ELSE 'Fail' END AS status FROM supplier, LATERAL (VALUES
  ('XmpPdfaId', s_suppkey % 4 > 0 AND s_suppkey % 3 = 1 AND s_suppkey % 5 > 0), ('OutputIntent', s_suppkey % 2 = 0), ('TrailerId', s_suppkey % 6 > 0)) r(rule, ok)""",
     "permission_guard": """WITH o AS (SELECT o_orderkey AS k, o_orderkey * 37 % 4096 AS m, unnest(['extract', 'modify', 'fill', 'assemble', 'view']) AS action FROM orders),
-p AS (SELECT *, CASE action WHEN 'extract' THEN m & 16 > 0 WHEN 'modify' THEN m & 8 > 0 WHEN 'fill' THEN m & 32 > 0 OR m & 256 > 0 WHEN 'assemble' THEN m & 1024 > 0 ELSE true END AS ok FROM o)
-SELECT action, CASE WHEN ok THEN 'allowed' WHEN action = 'extract' AND k % 2 = 0 AND m & 512 > 0 THEN 'allowed for accessibility' WHEN k % 5 = 0 THEN 'overridden' ELSE 'blocked' END AS outcome, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM p GROUP BY ALL""",
+p AS (SELECT *, CASE action WHEN 'extract' THEN m & 16 > 0 WHEN 'modify' THEN m & 8 > 0 WHEN 'fill' THEN m & 32 > 0 OR m & 256 > 0
+WHEN 'assemble' THEN m & 1024 > 0 ELSE true END AS ok FROM o)
+SELECT action, CASE WHEN ok THEN 'allowed' WHEN action = 'extract' AND k % 2 = 0 AND m & 512 > 0 THEN 'allowed for accessibility'
+WHEN k % 5 = 0 THEN 'overridden' ELSE 'blocked' END AS outcome, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM p GROUP BY ALL""",
     "page_range_check": """WITH n AS (SELECT l_orderkey AS doc_id, count(*) AS pages, max(l_suppkey) % 9 - 1 AS p FROM lineitem GROUP BY 1)
 SELECT doc_id, 'PAGE_OUT_OF_RANGE: ' || p || ' is outside 1..' || pages AS error FROM n WHERE p < 1 OR p > pages""",
-    "confidence_policy": """SELECT CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'refuse' ELSE 'warn' END WHEN o_orderkey % 3 = 2 AND o_orderkey % 7 > 0 THEN 'refuse' WHEN o_orderkey % 3 > 0 THEN 'warn' ELSE 'proceed' END AS outcome,
+    "confidence_policy": """SELECT CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'refuse' ELSE 'warn' END
+WHEN o_orderkey % 3 = 2 AND o_orderkey % 7 > 0 THEN 'refuse' WHEN o_orderkey % 3 > 0 THEN 'warn' ELSE 'proceed' END AS outcome,
 count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""",
-    "inherited_boxes": f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, node_id, CASE WHEN node_id > 1 THEN node_id // 2 END AS parent_id, CASE WHEN part % 3 = 0 THEN part END AS box FROM ln),
-w(doc_id, node_id, up, box) AS (SELECT doc_id, node_id, parent_id, box FROM t UNION ALL SELECT w.doc_id, w.node_id, t.parent_id, t.box FROM w JOIN t ON t.doc_id = w.doc_id AND t.node_id = w.up WHERE w.box IS NULL)
+    "inherited_boxes": f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, node_id, CASE WHEN node_id > 1 THEN node_id // 2 END AS parent_id, CASE
+WHEN part % 3 = 0 THEN part END AS box FROM ln),
+w(doc_id, node_id, up, box) AS (SELECT doc_id, node_id, parent_id, box FROM t UNION ALL SELECT w.doc_id, w.node_id, t.parent_id, t.box FROM w
+JOIN t ON t.doc_id = w.doc_id AND t.node_id = w.up WHERE w.box IS NULL)
 SELECT doc_id, node_id, CAST(coalesce(max(box), 612) AS BIGINT) AS box FROM w GROUP BY ALL""",
-    "field_tree": f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, node_id, CASE WHEN node_id > 1 THEN node_id // 2 END AS parent_id, CASE WHEN part % 4 > 0 THEN 'f' || node_id ELSE '' END AS title FROM ln),
+    "field_tree": f"""WITH RECURSIVE {_LINES}, t AS (SELECT doc_id, node_id, CASE WHEN node_id > 1 THEN node_id // 2 END AS parent_id, CASE
+WHEN part % 4 > 0 THEN 'f' || node_id ELSE '' END AS title FROM ln),
 w(doc_id, node_id, full_name) AS (SELECT doc_id, node_id, title FROM t WHERE parent_id IS NULL UNION ALL
-SELECT t.doc_id, t.node_id, CASE WHEN title = '' THEN full_name WHEN full_name = '' THEN title ELSE full_name || '.' || title END FROM t JOIN w ON t.doc_id = w.doc_id AND t.parent_id = w.node_id) SELECT * FROM w""",
-    "action_chain": f"""WITH RECURSIVE {_LINES}, a AS (SELECT doc_id, node_id AS id, CASE WHEN node_id = 5 THEN 2 ELSE node_id + 1 END AS nxt, ['GoTo', 'URI', 'Named'][part % 3 + 1] AS kind FROM ln),
-w(doc_id, step, nxt, kind, seen) AS (SELECT doc_id, 0, nxt, kind, [id] FROM a WHERE id = 1 UNION ALL SELECT a.doc_id, step + 1, a.nxt, a.kind, list_append(seen, a.id) FROM a JOIN w ON a.doc_id = w.doc_id AND a.id = w.nxt WHERE NOT list_contains(seen, a.id))
+SELECT t.doc_id, t.node_id, CASE WHEN title = '' THEN full_name WHEN full_name = '' THEN title ELSE full_name || '.' || title END FROM t
+JOIN w ON t.doc_id = w.doc_id AND t.parent_id = w.node_id) SELECT * FROM w""",
+    "action_chain": f"""WITH RECURSIVE {_LINES}, a AS (SELECT doc_id, node_id AS id, CASE WHEN node_id = 5 THEN 2
+ELSE node_id + 1 END AS nxt, ['GoTo', 'URI', 'Named'][part % 3 + 1] AS kind FROM ln),
+w(doc_id, step, nxt, kind, seen) AS (SELECT doc_id, 0, nxt, kind, [id] FROM a WHERE id = 1 UNION ALL
+SELECT a.doc_id, step + 1, a.nxt, a.kind, list_append(seen, a.id) FROM a JOIN w ON a.doc_id = w.doc_id AND a.id = w.nxt WHERE NOT list_contains(seen, a.id))
 SELECT doc_id, 'O' AS "trigger", count(*) AS steps, string_agg(kind, '>' ORDER BY step) AS kinds FROM w GROUP BY doc_id""",
 }
