@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter, winnow
-from vellum.llm.common import table
+from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, winnow
+from vellum.llm.common import table, written
 
 
 def _vocabulary(name: str) -> str:
@@ -58,6 +58,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of the current policy over the stored ledger."""
+    stored = written(quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")), "ledger")
+    return quality_rules.verdicts(stored, quality_rules.POLICIES[quality_rules.CURRENT])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -69,7 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 #: SQL for those of them that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_quality_rules": quality_rules.SQL}
