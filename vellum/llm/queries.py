@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, html_extract, mpeg_audio, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, winnow
+from vellum.llm import bpe, html_extract, lloyd, mpeg_audio, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, winnow
 from vellum.llm.common import table, written
 
 
@@ -64,6 +64,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(stored, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -76,7 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 #: SQL for those of them that SQL can express.
-ORACLES: dict[str, str] = {"op11_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op11_quality_rules": quality_rules.SQL, "op13_centroid_clustering": lloyd.SQL}
