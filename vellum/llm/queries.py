@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, html_extract, lloyd, mpeg_audio, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, winnow
+from vellum.llm import alignment, bpe, html_extract, lloyd, mpeg_audio, ngram_join, packing, quality, quality_rules, suffix_dedup, toxicity, url_filter, winnow
 from vellum.llm.common import table, written
 
 
@@ -64,6 +64,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(stored, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
