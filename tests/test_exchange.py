@@ -92,3 +92,136 @@ def test_calculator_that_cannot_run(spark):
         assert values(spark, program, inputs, 1) == [None], program
     assert values(spark, "{ 3 mul }", (0.9,), 1, 0, 1) == [1] and values(spark, "{ 3 mul }", (9.0,), 1, domain=[(0, 2)]) == [6]
     assert values(spark, "{ 2 }", (None,), 1) == [2] and values(spark, "{ 2 mul }", (None,), 1) == [None]
+
+
+def chains(spark, certs, signers, anchors=("root",)):
+    from vellum.operators.trust import trust
+
+    c = spark.createDataFrame(certs, "cert string, subject string, issuer string, valid_from int, valid_to int, is_ca boolean")
+    s = spark.createDataFrame([(i, *x) for i, x in enumerate(signers)], "sig int, cert string, at int")
+    rows = trust(s, c, spark.createDataFrame([(a,) for a in anchors], "cert string")).orderBy("sig").collect()
+    return [(r.status, r.root, r.links, r.details) for r in rows]
+
+
+def test_trust_states(spark):
+    certs = [
+        ("root", "R", "R", 0, 99, True), ("mid", "M", "R", 0, 50, True), ("leaf", "L", "M", 10, 40, False), ("odd", "O", "O", 0, 99, True), ("under_odd", "U", "O", 0, 99, False), ("alone", "A", "nobody", 0, 99, False),
+        ("c1", "C1", "C2", 0, 99, True), ("c2", "C2", "C1", 0, 99, True), ("by_leaf", "B", "L", 0, 99, False), ("nameless", None, "R", 0, 99, False), ("mid2", "M", "nobody", 0, 99, True),
+    ]
+    got = chains(spark, certs, [("leaf", 20), ("leaf", 45), ("leaf", 60), ("root", 1), ("under_odd", 1), ("alone", 1), ("c1", 1), ("by_leaf", 20), ("nameless", 1), ("gone", 1), ("leaf", 20), (None, 1)])
+    assert got == [
+        ("Trusted", "R", 3, ""), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Trusted", "R", 1, ""), ("Untrusted", "O", 2, "root not trusted"),
+        ("Untrusted", None, 1, "issuer not found"), ("Untrusted", None, 2, "chain leads back to itself"), ("Untrusted", "R", 4, "issuer is no authority"), ("Indeterminate", None, None, ""), ("Indeterminate", None, None, ""), ("Trusted", "R", 3, ""),
+        ("Indeterminate", None, None, ""),
+    ]
+    assert chains(spark, certs, [("leaf", 20)], anchors=()) == [("Untrusted", "R", 3, "root not trusted")]
+    long = [(f"x{i}", f"X{i}", f"X{i + 1}", 0, 99, True) for i in range(40)]
+    assert chains(spark, long, [("x0", 1)]) == [("Untrusted", None, 16, "chain too long")]
+
+
+def test_name_trees(spark):
+    from vellum.operators import nametree as N
+
+    nodes = spark.createDataFrame(
+        [(1, "r", None, 0, None, None), (1, "b", "r", 1, "m", "z"), (1, "a", "r", 0, "a", "f"), (1, "a2", "a", 0, "c", "f"), (1, "a", "a2", 0, "a", "z"), (2, "r", None, 0, None, None)],
+        "doc_id long, node string, parent string, place int, low string, high string",
+    )
+    entries = spark.createDataFrame(
+        [(1, "a", 0, "ab", 10), (1, "a2", 0, "cd", 11), (1, "b", 0, "mn", 12), (1, "b", 1, "cd", 13), (1, "b", 2, None, 14), (1, "r", 0, "zz", 15), (1, "lost", 0, "q", 16)], "doc_id long, node string, place int, name string, value long"
+    )
+    rows = N.listed(nodes, entries).orderBy("doc_id", "path", "place").collect()
+    assert [(r.name, r.value) for r in rows] == [("zz", 15), ("ab", 10), ("cd", 11), ("mn", 12), ("cd", 13)]
+    asked = spark.createDataFrame([(1, "cd"), (1, "mn"), (1, "no"), (3, "cd")], "doc_id long, name string")
+    assert {(r.doc_id, r.name): r.value for r in N.looked_up(asked, nodes, entries).collect()} == {(1, "cd"): 11, (1, "mn"): 12, (1, "no"): None, (3, "cd"): None}
+    attached = spark.createDataFrame([(1, 0, 10), (2, 1, 12), (2, 0, 11), (2, 2, 99)], "doc_id long, place int, value long")
+    specs = spark.createDataFrame([(10, "ü", "u", "d", "m", 1), (11, None, "f", None, None, 2), (12, None, None, None, None, 3)], "value long, uf string, f string, description string, mime string, size long")
+    got = N.embedded_files(nodes, entries, attached, specs).orderBy("doc_id", "number").collect()
+    assert [(r.doc_id, r.key, r.file_name, r.size) for r in got] == [(1, "ab", "ü", 1), (1, "cd", "f", 2), (1, "mn", None, 3), (2, "_AF_0", "f", 2), (2, "_AF_1", None, 3)]
+
+
+def test_packets(spark):
+    from vellum.operators.nametree import packet
+
+    rdf = '<rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:xmp="x" xmp:CreateDate="2020" xmp:CreatorTool="T"><dc:title xmlns:dc="d"><rdf:Alt><rdf:li xml:lang="x-default">A &amp; B</rdf:li><rdf:li>C</rdf:li></rdf:Alt></dc:title></rdf:Description><rdf:Description xmlns:p="p"><p:Keywords>k</p:Keywords><xmp:CreateDate xmlns:xmp="x">2021</xmp:CreateDate></rdf:Description></rdf:RDF>'
+    texts = [f'﻿<?xpacket begin="" id="x"?><x:xmpmeta xmlns:x="a">{rdf}</x:xmpmeta><?xpacket end="w"?>', "<x:xmpmeta><open>", "", None, "<other/>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, xml string").select("i", packet(F.col("xml")).alias("p")).orderBy("i").collect()
+    p = rows[0].p
+    assert (p.title, p.tool, p.created, p.keywords, p.creators, p.part) == ("A & B", "T", "2020", "k", None, None)
+    assert [r.p for r in rows[1:]] == [None] * 4
+
+
+def test_codespaces():
+    from vellum.functions.codespaces import UNKNOWN, CharacterMap
+
+    mixed = CharacterMap([(b"\x00", b"\x80"), (b"\x81\x40", b"\x9f\xfc"), (b"\xa0", b"\xdf"), (b"\xe0\x40", b"\xfc\xfc")], [(b"\x41", b"\x43", "a"), (b"\x81\x40", b"\x81\x50", "あ"), (b"\x81\x45", b"\x81\x46", "fi"), (b"\xa0", b"\xa0", "\U0001f600")])
+    assert mixed.cut(b"A\x81\x40\xa0\xe0\x41") == [b"A", b"\x81\x40", b"\xa0", b"\xe0\x41"]
+    assert mixed.cut(b"\x81\xffA") == [b"\x81\xff", b"A"]  # each byte must be in its range; the first one claims the width
+    assert mixed.cut(b"\xfd\x81") == [b"\xfd", b"\x81"] and mixed.cut(b"") == []
+    assert mixed.decode(b"AC\x81\x40\x81\x42\x81\x45\x81\x46\x81\x47\xa0") == ("acあえfifjか\U0001f600"[:2] + "あ" + chr(ord("あ") + 2) + "fi" + "fj" + chr(ord("あ") + 7) + "\U0001f600", 8, 0)
+    assert mixed.decode(b"DA\xfd") == (UNKNOWN + "a" + UNKNOWN, 3, 2)
+    assert CharacterMap([], []).cut(b"\x00A\x01") == [b"\x00A", b"\x01"]
+
+
+def glyph_lines(spark, rows):
+    from vellum.operators import bidi
+
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id int, ix int, value string, x double, y double")
+    out = bidi.lines_read(bidi.reading_order(df, ["doc_id"]), ["doc_id"]).orderBy("line").collect()
+    return [r.text for r in out]
+
+
+def painted(text, y=0.0, step=6.0, x=0.0):
+    return [(c, x + step * i, y) for i, c in enumerate(text)]
+
+
+def test_right_to_left_by_geometry(spark):
+    assert glyph_lines(spark, painted("םולש")) == ["שלום"]
+    assert glyph_lines(spark, painted("שלום", step=-6.0, x=99.0)) == ["שלום"]
+    assert glyph_lines(spark, painted("הנס 30 רמע")) == ["עמר 30 סנה"]
+    assert glyph_lines(spark, painted("הנס 12.5, רמע")) == ["עמר ,12.5 סנה"]
+    assert glyph_lines(spark, painted("abc רמע 30 xyz")) == ["abc עמר 30 xyz"]
+    assert glyph_lines(spark, painted("plain 12")) == ["plain 12"] and glyph_lines(spark, painted("12.5")) == ["12.5"]
+    assert glyph_lines(spark, painted("(םולש).")) == ["(שלום)."]
+    # a mark stays behind its letter; lines go on within five points of the glyph before
+    assert glyph_lines(spark, [("ב", 0.0, 0.0), ("ּ", 3.0, 0.0), ("א", 6.0, 4.0), ("ג", 12.0, 20.0), ("ד", 18.0, 20.0)]) == ["אבּ", "דג"]
+    assert glyph_lines(spark, [(None, 0.0, 0.0), ("א", 6.0, 0.0), ("ב", 12.0, 0.0)]) == ["בא"]
+
+
+def test_split_by_outline(spark):
+    from vellum.operators.organise import split_by_outline
+
+    pages = spark.createDataFrame([(d, p) for d in (1, 2) for p in range(6)], "doc int, page int")
+    outline = spark.createDataFrame([(1, 5, None, "B", 3), (1, 6, None, "late", 3), (1, 7, 5, "nested", 4), (1, 8, None, "gone", 99), (1, 9, None, "none", None)], "doc int, node int, parent int, title string, page int")
+    rows = split_by_outline(pages, outline, "doc", "page").orderBy("doc", "page").collect()
+    assert [(r.part, r.title, r.place) for r in rows] == [(0, None, 0), (0, None, 1), (0, None, 2), (1, "B", 0), (1, "B", 1), (1, "B", 2), *[(0, None, i) for i in range(6)]]
+
+
+def test_pruned_objects(spark):
+    from vellum.operators.trees import pruned
+
+    objects = spark.createDataFrame([(i, f"o{i}") for i in (3, 5, 9, 20, 30)], "id long, body string")
+    refs = spark.createDataFrame([(3, 9, 0), (9, 3, 0), (9, 77, 1), (20, 30, 0), (9, 30, 2), (77, 5, 0)], "src long, dst long, place int")
+    kept, ends = pruned(objects, refs, spark.createDataFrame([(3,), (88,)], "id long"))
+    assert sorted((r.id, r.body, r.number) for r in kept.collect()) == [(3, "o3", 1), (9, "o9", 2), (30, "o30", 3)]
+    assert sorted(ends.collect()) == [(1, 2, 0), (2, 1, 0), (2, 3, 2)]
+
+
+def test_text_index_takes_each_page_once(spark, tmp_path):
+    from vellum.streaming import text_index as I
+
+    src, path, marks = str(tmp_path / "src"), str(tmp_path / "index"), str(tmp_path / "marks")
+    schema = "doc_id long, page_no int, text string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda m=marks: I.indexed(spark.readStream.schema(schema).parquet(src), path, m).awaitTermination()
+    assert I.read_index(spark, path).count() == 0
+    put([(1, 0, "Straße and word"), (1, 1, None), (2, 0, "word WORD")])
+    run()
+    put([(1, 0, "other text"), (3, 0, "new word")])
+    run()
+    index = I.read_index(spark, path)
+    state = sorted((r.doc_id, r.page_no, r.text, tuple(r.words)) for r in index.collect())
+    assert state == [(1, 0, "Straße and word", ("straße", "and", "word")), (1, 1, "", ()), (2, 0, "word WORD", ("word", "word")), (3, 0, "new word", ("new", "word"))]
+    # the last batch again, as after a failure between its write and its commit; then all of the source again
+    I.add_batch(spark.createDataFrame([(1, 0, "other text"), (3, 0, "new word")], schema), 1, path)
+    assert sorted((r.doc_id, r.page_no, r.text, tuple(r.words)) for r in I.read_index(spark, path).collect()) == state
+    assert {(r.doc_id, r.page_no): r.hits for r in I.found(I.read_index(spark, path), "Word").collect()} == {(1, 0): 1, (2, 0): 2, (3, 0): 1}

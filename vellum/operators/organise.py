@@ -86,6 +86,21 @@ def split_at(page: str, boundaries: Sequence[int], count: Column) -> Column:
     return part
 
 
+def split_by_outline(pages: DataFrame, outline: DataFrame, doc: str, page: str) -> DataFrame:
+    """(doc, page, part, title, place): parts start where a top title of the document's outline (doc, node, parent, title, page) points to.
+
+    Titles without a page, or with one that the document doesn't have, and nested titles start no part; of titles of one page the first by node names the part.
+    Pages before the first title are a part without a title, as is a document without titles.  Pages find the last start before them (an as-of
+    join, by a window over the document's pages and starts).
+    """
+    top = outline.where("parent IS NULL AND page >= 0").groupBy(doc, F.col("page").alias(page)).agg(F.min(F.struct("node", "title")).alias("_top"))
+    w = Window.partitionBy(doc).orderBy(page)
+    both = pages.select(doc, page).join(top, [doc, page], "left")
+    starts = (F.col("_top").isNotNull() | (F.row_number().over(w) == 1)).cast("int")
+    both = both.withColumns({"part": (F.sum(starts).over(w) - 1).cast("int"), "title": F.last("_top", ignorenulls=True).over(w)["title"]})
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(doc, "part").orderBy(page)) - 1).drop("_top")
+
+
 def placed(pages: DataFrame, doc: str, page: str, key: Column) -> DataFrame:
     """Pages renumbered by a key, ties by their page."""
     return pages.withColumn("_k", key).withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("_k", page)) - 1).drop("_k")

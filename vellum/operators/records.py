@@ -99,11 +99,6 @@ def commands(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(registry.withColumnRenamed("id", key)), key, "left").withColumn("known", F.col("title").isNotNull())
 
 
-def embedded(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, name) of the files that documents hold."""
-    return docs.select("doc_id", F.posexplode("names").alias("place", "name"))
-
-
 def stamp_position(anchor: Column, width: Column, height: Column, size: Column, margin: float = 36.0) -> tuple[Column, Column]:
     """Where a page number of a width goes, by its anchor (top or bottom, then left, centre or right)."""
     x = F.when(anchor.endswith("left"), margin).when(anchor.endswith("centre"), (width - size) / 2).otherwise(width - margin - size)
@@ -176,22 +171,6 @@ def ordered_text(parts: DataFrame, keys: Sequence[str], order: str, text: str, s
     return parts.groupBy(*keys).agg(F.concat_ws(sep, held).alias("text"))
 
 
-def decoded(codes: DataFrame, ranges: DataFrame, code: str) -> DataFrame:
-    """Codes (hexadecimal) with the text that ranges (first, last, target: UTF-16 in hexadecimal) make of them; others as the replacement character.
-
-    A range's last unit counts up with its codes, so a single code is a range of one.  A code is matched with ranges of
-    its own length by its leading bytes, an equi-join; a map's ranges don't cross the last byte.
-    """
-    head, last = F.expr(f"left({code}, length({code}) - 2)"), F.conv(F.right(code, F.lit(2)), 16, 10).cast("int")
-    r = ranges.select(F.expr("left(first, length(first) - 2)").alias("_head"), F.conv(F.right("first", F.lit(2)), 16, 10).cast("int").alias("_low"),
-        F.conv(F.right("last", F.lit(2)), 16, 10).cast("int").alias("_high"), F.col("target").alias("_target"))
-    rows = codes.withColumn("_code_head", head).withColumn("_last", last)
-    on = (rows["_code_head"] == r["_head"]) & (rows["_last"] >= r["_low"]) & (rows["_last"] <= r["_high"])
-    stem, unit = F.expr("left(_target, length(_target) - 4)"), F.conv(F.right("_target", F.lit(4)), 16, 10).cast("int") + F.col("_last") - F.col("_low")
-    text = F.decode(F.unhex(F.concat(stem, F.lpad(F.hex(unit.cast("long")), 4, "0"))), "UTF-16BE")
-    return rows.join(r, on, "left").select(*codes.columns, F.coalesce(text, F.lit("\ufffd")).alias("text"))
-
-
 def rgb_of_cmyk(c: Column, m: Column, y: Column, k: Column) -> tuple[Column, Column, Column]:
     return (1 - c) * (1 - k), (1 - m) * (1 - k), (1 - y) * (1 - k)
 

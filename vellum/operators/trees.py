@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.sources.scratch import discard, written
@@ -58,8 +58,44 @@ def reachable(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     return seen
 
 
+def pruned(objects: DataFrame, references: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects that the roots (id) lead to, with ``number`` from 1 on without gaps in the order of their old ids, and their references (src, dst, place) in new numbers.
+
+    A reference to an object that isn't there is left out, so none dangles.  Numbers are running totals in two steps: no task sees all objects.
+    """
+    from vellum.operators.organise import running_total
+
+    there = objects.select("id")
+    alive = references.join(there.withColumnRenamed("id", "src"), "src", "left_semi").join(there.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    kept = objects.join(reachable(alive, roots.join(there, "id", "left_semi")), "id", "left_semi")
+    kept = written(kept, "kept")
+    before = running_total(kept.withColumn("_one", F.lit(1)), "id", "_one", "_before")
+    numbered = written(kept.join(before, "id").withColumn("number", (F.col("_before") + 1).cast("long")).drop("_before"), "numbered")
+    discard(kept)
+    new = numbered.select("id", "number")
+    ends = alive.join(new.select(F.col("id").alias("src"), F.col("number").alias("_src")), "src").join(new.select(F.col("id").alias("dst"), F.col("number").alias("_dst")), "dst")
+    return numbered, ends.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "place")
+
+
+def top_regions(cells: DataFrame, most: int = 10) -> DataFrame:
+    """(grid, rank, left, right, low, high, pixels, delta, mean) of the ``most`` greatest components of each grid's cells (grid, x, y, delta): by cells, then by the sum of their deltas, then by place."""
+    labels = grid_labels(cells).select("grid", "x", "y", "label")
+    held = cells.groupBy("grid", "x", "y").agg(F.max("delta").alias("delta")).join(labels, ["grid", "x", "y"])
+    box = held.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("pixels"), F.sum("delta").alias("delta"))
+    rank = F.row_number().over(Window.partitionBy("grid").orderBy(F.desc("pixels"), F.desc("delta"), "label"))
+    return box.withColumn("rank", rank).where(F.col("rank") <= most).select("grid", "rank", "left", "right", "low", "high", "pixels", "delta", (F.col("delta") / F.col("pixels")).alias("mean"))
+
+
 def grid_components(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """Boxes and densities of 4-neighbour components of cells (grid, x, y): labels go to neighbours until none changes."""
+    """Boxes and densities of 4-neighbour components of cells (grid, x, y)."""
+    label = grid_labels(cells, rounds)
+    box = label.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("cells"))
+    area = (F.col("right") - F.col("left") + 1) * (F.col("high") - F.col("low") + 1)
+    return box.select("grid", "left", "right", "low", "high", "cells", F.round(F.col("cells") / area, 6).alias("density"))
+
+
+def grid_labels(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(grid, x, y, label): the least place in the component of each cell: labels go to neighbours until none changes."""
     start = written(cells.select("grid", "x", "y").distinct().withColumn("label", F.struct("y", "x")), "labels")
     moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
     label = start
@@ -76,6 +112,4 @@ def grid_components(cells: DataFrame, rounds: int = 10_000) -> DataFrame:
         label = new
         if new.where("moved").isEmpty():
             break
-    box = label.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("cells"))
-    area = (F.col("right") - F.col("left") + 1) * (F.col("high") - F.col("low") + 1)
-    return box.select("grid", "left", "right", "low", "high", "cells", F.round(F.col("cells") / area, 6).alias("density"))
+    return label

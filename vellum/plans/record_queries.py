@@ -125,13 +125,6 @@ def structure_text(spark, sf_dir):
     return out.where("element LIKE 'p%'").select("doc_id", "element", F.md5("text").alias("digest"), F.length("text").alias("size"))
 
 
-def cmap_decode(spark, sf_dir):
-    codes = load(spark, sf_dir, "part").select("p_partkey", F.hex(F.concat(F.char((F.col("p_partkey") % 26 + 65).cast("int")),
-        F.char((F.col("p_partkey") % 7 + 97).cast("int")))).alias("code"))
-    ranges = spark.createDataFrame([("4161", "4163", "00C4"), ("4264", "4264", "00660069"), ("5A61", "5A67", "0430")], "first string, last string, target string")
-    return R.decoded(codes, ranges, "code").select("p_partkey", "code", "text")
-
-
 def xref_first_wins(spark, sf_dir):
     from vellum.sources.readers import first_definitions
 
@@ -258,13 +251,6 @@ def report_rows(spark, sf_dir):
     return json_rows(s)
 
 
-def embedded_files(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier")
-    names = F.array(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")), F.concat(F.lit("b"), F.col("s_nationkey").cast("string")))
-    held = s.select(F.col("s_suppkey").alias("doc_id"), F.slice(names, 1, (F.col("s_suppkey") % 3).cast("int")).alias("names"))
-    return R.embedded(held)
-
-
 def rotate_pages(spark, sf_dir):
     p = load(spark, sf_dir, "conversations")
     return p.select("conv_id", "turn", P.turned(F.col("turn") * 90, 270).alias("right_of"), P.turned(F.col("turn") * -90, 180).alias("over"))
@@ -287,8 +273,8 @@ def image_info(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (scrubbed_metadata, report_rows, manifest_selection, named_destinations, link_targets, field_filters, page_spaces,
-    matrix_boxes, tint_functions, command_lookup, signature_gap, embedded_files, page_selection, recent_files, validation_rules, subset_conformance,
-        marked_content_depth, form_autodetect, bates_position, segment_count_merge, orphan_widgets, destination_resolve, structure_text, cmap_decode,
+    matrix_boxes, tint_functions, command_lookup, signature_gap, page_selection, recent_files, validation_rules, subset_conformance,
+        marked_content_depth, form_autodetect, bates_position, segment_count_merge, orphan_widgets, destination_resolve, structure_text,
             xref_first_wins, near_white_fill, placeholder_strip, path_normalise, split_names, wall_budgets, agreement_class, rotate_pages,
                 form_name_dedupe, strong_rtl, image_info)}
 
@@ -337,10 +323,6 @@ WHEN known AND fit IN ('FitR', 'XYZ') AND params > 1 THEN k END AS DOUBLE) AS y,
     "structure_text": f"""WITH {LINES_SQL}, g AS (SELECT doc_id, line_no // 50 AS page_no, line_no // 5 AS grp, string_agg(line, '|' ORDER BY -line_no) AS t FROM lines GROUP BY ALL),
 p AS (SELECT doc_id, 'p' || page_no AS element, string_agg(t, '|' ORDER BY grp) AS t FROM g GROUP BY ALL)
 SELECT doc_id, element, md5(t) AS digest, CAST(length(t) AS INTEGER) AS size FROM p""",
-    "cmap_decode": """WITH c AS (SELECT p_partkey, p_partkey % 26 + 65 AS a, p_partkey % 7 + 97 AS b FROM part)
-SELECT p_partkey, upper(hex(chr(CAST(a AS INTEGER)) || chr(CAST(b AS INTEGER)))) AS code, CASE
-WHEN a = 65 AND b <= 99 THEN chr(CAST(196 + b - 97 AS INTEGER)) WHEN a = 66 AND b = 100 THEN 'fi' WHEN a = 90 THEN chr(CAST(1072 + b - 97 AS INTEGER))
-ELSE chr(65533) END AS text FROM c""",
     "xref_first_wins": "SELECT l_orderkey AS object_id, l_linenumber * 1000000 + l_suppkey * 100000000 + l_partkey AS section, l_partkey "
         "FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_suppkey * 100000000 + l_partkey) = 1",
     "near_white_fill": "SELECT l_tax, l_discount, count_if((1 - l_tax) >= 0.95 AND (1 - l_discount) >= 0.95) AS white, count(*) AS n FROM lineitem GROUP BY ALL",
@@ -384,9 +366,6 @@ SELECT CASE WHEN k % 23 = 0 THEN 'expected exactly four numbers' WHEN a = 0.5 TH
 WHEN b < 0 OR c < 0 OR d < 0 THEN 'offsets and lengths must be non-negative' WHEN a <> 0 THEN 'first range must start at byte 0'
 WHEN b > 500 OR c > 500 OR d > 500 - c THEN 'range extends beyond end of file' WHEN a + b > c THEN 'ranges overlap'
 WHEN NOT (gf = b AND gt = c) THEN 'the value does not match the gap' END AS error, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM r GROUP BY 1""",
-    "embedded_files": "SELECT doc_id, name, CAST(place AS INTEGER) AS place "
-        "FROM (SELECT s_suppkey AS doc_id, unnest(range(s_suppkey % 3)) AS place, s_suppkey AS k, s_nationkey AS n "
-            "FROM supplier) x, LATERAL (SELECT CASE place WHEN 0 THEN 'a' || k ELSE 'b' || n END AS name) y",
     "rotate_pages": "SELECT conv_id, turn, (turn * 90 + 270) % 360 AS right_of, (((turn * -90 + 180) % 360) + 360) % 360 AS over FROM conversations",
     "form_name_dedupe": "SELECT conv_id, turn, CASE WHEN n > 1 THEN role || '_' || n ELSE role END AS unique_name "
         "FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)",

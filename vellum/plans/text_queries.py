@@ -165,13 +165,6 @@ def word_wrap(spark, sf_dir):
     return w.select("item_id", F.size("w").alias("lines"), F.md5(F.concat_ws("|", "w")).alias("digest"))
 
 
-def bidi_order(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn",
-        F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(_PAINTED))).otherwise(F.concat(F.col("conv_id").cast("string"), F.lit(_PAINTED))).alias("painted"))
-    out = T.in_logical_order(F.col("painted"))
-    return c.select("conv_id", "turn", F.right(out, F.lit(len(_PAINTED))).alias("tail"), F.length(out).alias("size"))
-
-
 def suggested_names(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("files/part "), (F.col("s_suppkey") % 3).cast("string"), F.lit(".v2.pdf")).alias("path"))
     out = R.numbered_names(s.withColumn("path", R.suggested_name(F.col("path"), "REDACTED")), "path", "s_suppkey")
@@ -188,10 +181,7 @@ def safe_copy_report(spark, sf_dir):
     return redact.safe_copy(docs, d.select("doc_id", F.explode(asked).alias("term")), hidden, images)
 
 
-#: Hebrew words and a number in the order in which they are painted.
-_PAINTED = " םלוע 12.5 םולש"
-
-QUERIES = {f.__name__: f for f in (safe_copy_report, word_wrap, bidi_order, suggested_names, search_substring, search_overlapping, search_whole_word,
+QUERIES = {f.__name__: f for f in (safe_copy_report, word_wrap, suggested_names, search_substring, search_overlapping, search_whole_word,
     search_regex, search_word_bounds, search_by_page, search_annotations_union, typographic_normalize, fold_ascii, fold_unicode, text_normalize,
         bigram_jaccard, coverage_ratio, confidence_tier, worst_tier, multiset_jaccard, line_jaccard, seq_agreement_lcs, trim_punct_antijoin,
             dehyphenate, list_marker, error_cluster, redact_terms, redact_verify_remaining, redact_carriers, redact_counts)}
@@ -229,8 +219,6 @@ SELECT item_id, ln, ws, i + 1, CASE WHEN cur <> '' AND length(cur || ' ' || ws[i
 WHEN cur = '' OR length(cur || ' ' || ws[i]) > 30 THEN ws[i] ELSE cur || ' ' || ws[i] END FROM f WHERE i <= len(ws)),
 e AS (SELECT item_id, ln, CASE WHEN len(ws) = 1 AND ws[1] = '' THEN [''] WHEN cur = '' THEN done ELSE list_append(done, cur) END AS o FROM f WHERE i > len(ws)),
 a AS (SELECT item_id, flatten(list(o ORDER BY ln)) AS o FROM e GROUP BY item_id) SELECT item_id, CAST(len(o) AS INTEGER) AS lines, md5(array_to_string(o, '|')) AS digest FROM a""",
-    "bidi_order": """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ' עולם 12.5 שלום' ELSE right('שלום 12.5 עולם ' || conv_id, 15) END AS tail,
-CAST(length(CASE WHEN turn % 2 = 0 THEN text ELSE CAST(conv_id AS VARCHAR) END) + 15 AS INTEGER) AS size FROM conversations""",
     "suggested_names": """WITH s AS (SELECT s_suppkey, 'files/part ' || (s_suppkey % 3) || '.v2_REDACTED' AS stem, row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY s_suppkey) AS n FROM supplier),
 p AS (SELECT s_suppkey, stem || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS stem FROM s)
 SELECT s_suppkey, stem || '.pdf' AS path, stem || '_pages_1-' || (s_suppkey % 4) || '.pdf' AS subset FROM p""",
