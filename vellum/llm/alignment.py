@@ -21,7 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import remember, small_batches, written
 
 #: Segments that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 200_000, 64
+MEMO, MEMO_CHARS = 600_000, 64
 #: Characters in a chunk of documents with a dictionary of its own (a longer text is a chunk).
 CHUNK = 4_000_000
 #: Groups whose text is longer than this are known by its hash.
@@ -42,18 +42,6 @@ _CUT = re.compile("(?<=[^\\s▁])(?= )")
 _ODD = re.compile("[\\s▁] | $")
 
 
-class Segment(NamedTuple):
-    """Groups of a segment as their texts, and all of them joined."""
-
-    joined: bytes
-    groups: list[str]
-    n_a: int
-    n_b: int
-
-
-NOTHING = Segment(b"", [], 0, 0)
-
-
 def _byte_level() -> dict[str, int]:
     """The character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -78,8 +66,11 @@ class Aligner:
         self.a_bytes: dict[int, bytes] = {i: bytes(byte[c] for c in t) for t, i in tokens.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_len = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
+        self.b_len = [len(x) for x in self.b_bytes]
+        self.names = [str(i) for i in range(max(len(self.a_len), len(self.b_len)))]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.memo: dict[str, Segment | None] = {}
+        self.memo: dict[str, bytes | None] = {}
 
     def split(self, text: str) -> list[str]:
         """``" " + text`` as segments, each of which starts with a space."""
@@ -93,38 +84,41 @@ class Aligner:
             parts[-2:] = [parts[-2] + parts[-1]]
         return parts
 
-    def groups(self, a: list[int], b: list[int]) -> list[str]:
-        """The texts ``a1,a2|b1`` of the groups of ids over the same bytes."""
-        out, i, j, end_a, end_b, from_i, from_j = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                end_b += len(self.b_bytes[b[j]])
+    def _name(self, ids: list[int]) -> str:
+        return self.names[ids[0]] if len(ids) == 1 else ",".join([self.names[x] for x in ids])
+
+    def groups(self, a: list[int], b: list[int]) -> str:
+        """The groups of ids over the same bytes as ``a1,a2|b1``, joined by semicolons."""
+        if len(a) == 1 or len(b) == 1:
+            return f"{self._name(a)}|{self._name(b)}"
+        out, i, j, from_i, from_j, ahead = [], 0, 0, 0, 0, 0
+        a_len, b_len = self.a_len, self.b_len
+        for x in a:
+            ahead += a_len[x]
+            i += 1
+            while ahead > 0:
+                ahead -= b_len[b[j]]
                 j += 1
-            if end_a == end_b:
-                out.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
+            if not ahead:
+                out.append(f"{self._name(a[from_i:i])}|{self._name(b[from_j:j])}")
                 from_i, from_j = i, j
-        return out
+        return ";".join(out)
 
-    def learn(self, segments: list[str]) -> list[Segment | None]:
+    def learn(self, segments: list[str]) -> list[bytes | None]:
         """The groups of segments; None where the bytes of A's or B's tokens aren't the segment's."""
-        out: list[Segment | None] = []
-        for s, e, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.b.encode([s[1:] for s in segments], num_threads=1), strict=True):
+        out: list[bytes | None] = []
+        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for s, e, b in zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.b.encode([s[1:] for s in segments], num_threads=1), strict=True):
             a, raw = e.ids, s.encode()
-            if b"".join([self.a_bytes.get(x, b"") for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw:
-                found = self.groups(a, b)
-                out.append(Segment(";".join(found).encode(), found, len(a), len(b)))
-            else:
-                out.append(None)
+            whole = b"".join(map(b_of, b)) == raw and b"".join(map(a_of, a)) == raw
+            out.append(self.groups(a, b).encode() if whole else None)
         return out
 
-    def texts(self, batch: list[str | None]) -> Iterator[list[Segment]]:
-        """The segments of each text; none of a text without tokens."""
+    def texts(self, batch: list[str | None]) -> Iterator[list[bytes]]:
+        """The groups of each text by segments, as the memo holds them; none of a text without tokens."""
+        if len(self.memo) > MEMO:  # the older half goes
+            self.memo = dict(islice(self.memo.items(), MEMO // 2, None))
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
         split = [self.split(t) if t else [] for t in batch]
         new = list(set().union(*split).difference(memo))
         memo.update(zip(new, self.learn(new), strict=True))
@@ -138,6 +132,9 @@ class Aligner:
             if len(s) > MEMO_CHARS:
                 del memo[s]
 
+    def forget(self) -> None:
+        self.memo = {}
+
 
 @lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -175,40 +172,49 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by place."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
 def interned(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table of two kinds of rows: documents with the numbers of their groups, and each chunk's dictionary."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
-        remember("alignment", both.memo.clear)
+        remember("alignment", both.forget)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, stop in _chunks(texts):
-                rows: dict[str, list] = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-                numbers, counts, number, freq, docs = [], [], {}, Counter(), Counter()
+                numbers, counts, hashes, number, within = [], [], [], {}, {}
                 for found in both.texts(texts[start:stop]):
-                    n_a, n_b = sum(s.n_a for s in found), sum(s.n_b for s in found)
-                    own: Counter[int] = Counter()
-                    times = Counter(map(id, found))  # segments of a batch are the memo's own objects
-                    for s in {id(s): s for s in found}.values():
-                        for g in s.groups:
-                            own[number.setdefault(g, len(number))] += times[id(s)]
-                    total = own.total()
-                    # no two tokens of a group end together but the last, so a group of m and n ids has m + n - 1 links
-                    for k, v in zip(rows, (n_a, n_b, total, n_a + n_b - total, hashlib.sha256(b";".join([s.joined for s in found])).hexdigest() if found else ""), strict=True):
-                        rows[k].append(v)
+                    own: dict[int, int] = {}
+                    for s, times in Counter(found).items():
+                        if (places := within.get(s)) is None:
+                            places = within[s] = [number.setdefault(g, len(number)) for g in s.split(b";")]
+                        for x in places:
+                            own[x] = own.get(x, 0) + times
                     numbers.append(np.fromiter(own.keys(), np.int32, len(own)))
                     counts.append(np.fromiter(own.values(), np.int32, len(own)))
-                    freq.update(own)
-                    docs.update(own.keys())
+                    hashes.append(hashlib.sha256(b";".join(found)).hexdigest() if found else "")
+                groups = [g.decode() for g in number]
                 n, m = stop - start, len(number)
-                known = {"chunk": pa.array([chunk] * n), "is_doc": pa.array([True] * n), "id": ids.slice(start, n), "numbers": pa.array(numbers, _FIELDS.field("numbers").type), "counts": pa.array(counts, _FIELDS.field("counts").type)}
-                yield _batch(n, known | rows)
+                # ids of each group, occurrences of each document and of the chunk
+                ids_a = np.fromiter((g.partition("|")[0].count(",") + 1 for g in groups), np.int64, m)
+                ids_b = np.fromiter((g.partition("|")[2].count(",") + 1 for g in groups), np.int64, m)
+                flat, times = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+                of = np.repeat(np.arange(n), [len(x) for x in numbers])
+                n_a, n_b, total = (_added(of, times * x, n) for x in (ids_a[flat], ids_b[flat], 1))
+                known = {"chunk": [chunk] * n, "is_doc": [True] * n, "id": ids.slice(start, n), "numbers": pa.array(numbers, _FIELDS.field("numbers").type), "counts": pa.array(counts, _FIELDS.field("counts").type)}
+                # no two tokens of a group end together but the last, so a group of m and n ids has m + n - 1 links
+                yield _batch(n, known | {"n_a": n_a, "n_b": n_b, "n_groups": total, "n_links": n_a + n_b - total, "groups_sha256": hashes})
                 if m:
-                    keys = [g if len(g) <= KEY else hashlib.sha256(g.encode()).hexdigest() for g in number]
-                    yield _batch(m, {"chunk": [chunk] * m, "is_doc": [False] * m, "number": list(number.values()), "key": keys, "ids": [g if len(g) > KEY else None for g in number], "freq": [freq[x] for x in number.values()], "docs": [docs[x] for x in number.values()]})
+                    keys = [g if len(g) <= KEY else hashlib.sha256(g.encode()).hexdigest() for g in groups]
+                    yield _batch(m, {"chunk": [chunk] * m, "is_doc": [False] * m, "number": np.arange(m, dtype=np.int32), "key": keys, "ids": [g if len(g) > KEY else None for g in groups], "freq": _added(flat, times, m), "docs": np.bincount(flat, minlength=m)})
                 chunk += 1
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -265,11 +271,8 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
         lengths = docs["numbers"].combine_chunks().value_lengths().to_numpy()
         flat = lambda c: docs[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(docs.num_rows), lengths)
-        sums = []
-        for each in (best, total):
-            s = np.zeros(docs.num_rows, np.int64)
-            np.add.at(s, of, flat("counts").astype(np.int64) * each[flat("numbers")])
-            sums.append(pa.array(s))
+        times, number = flat("counts").astype(np.int64), flat("numbers")
+        sums = [pa.array(_added(of, times * each[number], docs.num_rows)) for each in (best, total)]
         return docs.drop_columns(["chunk", "numbers", "counts"]).append_column("n_best", sums[0]).append_column("count_sum", sums[1])
 
     schema = "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
