@@ -8,9 +8,12 @@ Labelled rows of both classes in the training folds then set the scale of the
 scores (Platt scaling), so that they are probabilities.
 
 Features are shares of neighbouring character classes, repetition of words and
-lines, word shapes and compressibility; all come from the text alone.  The
-network is fitted on bounded samples (``POSITIVES``, ``UNLABELLED``), picked by
-a hash of the id; every text is scored.
+lines, word shapes and compressibility; all come from the text alone.  Labelled
+rows are a bounded sample (``LABELLED`` of each label, by a hash of the id).
+Unlabelled text counts as a whole: its rows are added up in cells (rows on the
+same sides of ten random planes), which stand for them in the risk with their numbers, means and
+spreads are those of all rows, and the prior comes from a histogram of all
+scores.  Every text is scored.
 
 A null text is an empty one, and is scored like one.  Rows with the same text
 have the same score; a table without positives gives every text the score 0.5.
@@ -19,7 +22,7 @@ have the same score; a table without positives gives every text the score 0.5.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +32,13 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import small_batches, texts
 
-#: Labelled rows, and rows without a label, that the fit may use at most.
-LABELLED, UNLABELLED = 8_000, 8_000
-HIDDEN, ROUNDS, BATCH, RATE, SEED = 16, 60, 512, 0.01, 20
+#: Labelled rows of each label that the fit may use at most.
+LABELLED = 8_000
+#: Rows without a label are summed up in cells, two to the power of this many for each half of them, and their scores in this many bins.
+PLANES, BINS = 10, 2048
+HIDDEN, ROUNDS, BATCH, RATE, SEED = 16, 60, 128, 0.01, 20
+#: Fits whose mean is the model.
+FITS = 5
 THRESHOLD = 0.3
 
 #: Character classes of bytes: small and capital letters, digits, spaces, line ends, stops, commas, calls, quotes, signs, bars, beyond ASCII.
@@ -93,16 +100,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, rounds: int = ROUNDS) -> Model:
-    """Minimises  prior R+(positive) + max(0, R-(unlabelled) - prior R-(positive))  with the sigmoid loss."""
+@dataclass
+class Cells:
+    """Rows without a label, summed up: by cell their number and the mean of their features; over all rows, mean and spread."""
+
+    count: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    centre: np.ndarray
+
+    @property
+    def rows(self) -> float:
+        return float(self.count.sum())
+
+
+def cells_of(count: np.ndarray, total: np.ndarray, squares: np.ndarray) -> Cells:
+    """Cells from counts, sums by cell, and the sum of squares over all rows."""
+    n = max(float(count.sum()), 1.0)
+    centre = total.sum(0) / n
+    return Cells(count, total / np.maximum(count, 1)[:, None], np.sqrt(np.maximum(squares / n - centre**2, 0)), centre)
+
+
+def rows_as_cells(x: np.ndarray) -> Cells:
+    """Each row a cell of its own: for few rows."""
+    return Cells(np.ones(len(x)), x.astype(np.float64), x.std(0), x.mean(0))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: Cells | np.ndarray, prior: float, seed: int = SEED, rounds: int = ROUNDS) -> Model:
+    """Minimises  prior R+(positive) + max(0, R-(unlabelled) - prior R-(positive))  with the sigmoid loss; a cell weighs as its rows."""
+    u = unlabelled if isinstance(unlabelled, Cells) else rows_as_cells(unlabelled)
     rng = np.random.default_rng(seed)
-    both = np.concatenate((positive, unlabelled))
-    mean, spread = both.mean(0), both.std(0) + 1e-3
-    d = both.shape[1]
+    # of positives and unlabelled rows together
+    n_p, n_u = len(positive), u.rows
+    mean = (positive.sum(0) + n_u * u.centre) / (n_p + n_u)
+    second_moment = ((positive.astype(np.float64) ** 2).sum(0) + n_u * (u.spread**2 + u.centre**2)) / (n_p + n_u)
+    spread = np.sqrt(np.maximum(second_moment - mean**2, 0)) + 1e-3
+    d = positive.shape[1]
     p = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    xp, xu = ((x - mean) / spread for x in (positive, unlabelled))
-    turns = max(1, max(len(xp), len(xu)) // BATCH)
+    full = np.flatnonzero(u.count)
+    xp, xu, weight = (positive - mean) / spread, (u.mean[full] - mean) / spread, u.count[full] / max(n_u, 1)
+    turns = max(1, max(len(xp), len(xu)) // BATCH, min(8, len(xp), len(xu)))
     for _ in range(rounds):
         for a, b in zip(np.array_split(rng.permutation(len(xp)), turns), np.array_split(rng.permutation(len(xu)), turns), strict=True):
             if not len(a) or not len(b):
@@ -112,34 +150,54 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
             g = h @ p[2] + p[3]
             s = _sigmoid(g)  # the loss as a negative; 1 - s as a positive
             slope = s * (1 - s)
-            n = len(a)
-            negative_risk = s[n:].mean() - prior * s[:n].mean()
+            n, w = len(a), weight[b] / weight[b].sum()
+            negative_risk = s[n:] @ w - prior * s[:n].mean()
             grad = np.zeros_like(g)
             if negative_risk >= 0:
                 grad[:n] = -2 * prior * slope[:n] / n
-                grad[n:] = slope[n:] / len(b)
+                grad[n:] = slope[n:] * w
             else:  # the estimate is below zero, that is, overfitted: step back from it
                 grad[:n] = prior * slope[:n] / n
-                grad[n:] = -slope[n:] / len(b)
+                grad[n:] = -slope[n:] * w
             back = np.outer(grad, p[2]) * (1 - h * h)
             grads = [x.T @ back + 1e-4 * p[0], back.sum(0), h.T @ grad + 1e-4 * p[2], grad.sum(keepdims=True)]
             step += 1
             for i, v in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * v
                 second[i] = 0.999 * second[i] + 0.001 * v * v
-                p[i] = p[i] - RATE * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                p[i] = p[i] - RATE * (1 - 0.95 * step / (rounds * turns + 1)) * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     return Model(mean, spread, p[0], p[1], p[2], float(p[3][0]), prior=prior)
 
 
+def fit_mean(positive: np.ndarray, unlabelled: Cells | np.ndarray, prior: float, fits: int = FITS) -> Model:
+    """The mean of several fits from different starts, as one network."""
+    ms = [fit_nnpu(positive, unlabelled, prior, SEED + i) for i in range(fits)]
+    return Model(ms[0].mean, ms[0].spread, np.concatenate([m.w1 for m in ms], axis=1), np.concatenate([m.b1 for m in ms]), np.concatenate([m.w2 for m in ms]) / fits, sum(m.b2 for m in ms) / fits, prior=prior)
+
+
+def prior_of(positive: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> float:
+    """The share of positives among rows whose scores are counted by bin, from scores of positives that the scorer hasn't seen."""
+    n = counts.sum()
+    if not len(positive) or not n:
+        return 0.5
+    above = counts[::-1].cumsum()[::-1]  # rows in this bin or a higher one
+    cuts = np.clip(np.searchsorted(edges, np.quantile(positive, np.linspace(0, 0.9, 46)), "left"), 0, len(counts) - 1)
+    scores = np.searchsorted(edges, positive, "right")
+    ratio = [(above[c] / n + 1 / np.sqrt(n)) / max(np.mean(scores >= c), 1e-9) for c in cuts]
+    return float(np.clip(min(ratio), 0.05, 0.99))
+
+
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED) -> float:
     """The share of positives among the unlabelled, from scores on halves that the scorer hasn't seen."""
     m = fit_nnpu(positive[::2], unlabelled[::2], 0.5, seed, max(5, ROUNDS // 4))
     p, u = m.raw(positive[1::2]), m.raw(unlabelled[1::2])
-    if not len(p) or not len(u):
-        return 0.5
-    cuts = np.quantile(p, np.linspace(0, 0.9, 46))
-    ratio = [(np.mean(u >= c) + 1 / np.sqrt(len(u))) / max(np.mean(p >= c), 1e-9) for c in cuts]
-    return float(np.clip(min(ratio), 0.05, 0.99))
+    edges = bins(p)
+    return prior_of(p, edges, np.bincount(np.searchsorted(edges, u, "right"), minlength=len(edges) + 1))
+
+
+def bins(scores: np.ndarray) -> np.ndarray:
+    """Edges of bins that scores fall into, fine where positives are."""
+    return np.unique(np.quantile(scores, np.linspace(0, 1, BINS))) if len(scores) else np.zeros(1)
 
 
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
@@ -169,23 +227,17 @@ def held_out(id_col: str = "doc_id", folds: int = 5, rest: int = 0) -> Column:
     return F.coalesce(_in_fold(id_col, folds) == rest, F.lit(False))
 
 
-def gather(docs: DataFrame, labels: DataFrame, label: str, features_of: Callable[[str], np.ndarray], width: int, folds: int, rest: int, most: int, unlabelled: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (-1: none) of bounded samples of the training folds.
+def gather(docs: DataFrame, labels: DataFrame, label: str, features_of: Callable[[str], np.ndarray], width: int, folds: int, rest: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of bounded samples of the training folds.
 
-    At most ``most`` rows of each label, and ``unlabelled`` of the documents
-    without one, are picked by a hash of the id; only their ids (a few tens of
+    At most ``most`` rows of each label are picked by a hash of the id; only their ids (a few tens of
     thousands) are broadcast, and only their features reach the driver.
     """
     small_batches(docs.sparkSession)
     ids = labels.where(~held_out(id_col, folds, rest)).where(F.col(label).isNotNull()).select(id_col, F.col(label).cast("int").alias("_y"))
     order = F.xxhash64(id_col, F.lit(SEED))
     picked = [ids.where(F.col("_y") == v).groupBy(id_col).agg(F.max("_y").alias("_y")).orderBy(order, id_col).limit(most) for v in (0, 1)]
-    if unlabelled:
-        free = docs.select(id_col).join(labels.select(id_col), id_col, "left_anti").where(F.col(id_col).isNotNull()).where(~held_out(id_col, folds, rest))
-        picked.append(free.select(id_col, F.lit(-1).alias("_y")).distinct().orderBy(order, id_col).limit(unlabelled))
-    chosen = picked[0]
-    for x in picked[1:]:
-        chosen = chosen.unionByName(x)
+    chosen = picked[0].unionByName(picked[1])
 
     @F.pandas_udf("binary")
     def packed(batch: pd.Series) -> pd.Series:
@@ -197,15 +249,97 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, features_of: Callable
     return x, np.array([r[0] for r in rows], np.int64)
 
 
+def _free(docs: DataFrame, labels: DataFrame, folds: int, rest: int, id_col: str, text_col: str) -> DataFrame:
+    """(half, text) of all documents of the training folds without a label, halved by a hash of the id."""
+    free = docs.where(F.col(id_col).isNotNull()).where(~held_out(id_col, folds, rest)).join(labels.select(id_col).distinct(), id_col, "left_anti")
+    return free.select(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(2)).cast("int").alias("half"), F.col(text_col).alias("text"))
+
+
+def summed(free: DataFrame, centre: np.ndarray, scale: np.ndarray, planes: int = PLANES) -> tuple[Cells, Cells]:
+    """All rows of (half, text) as cells: those on the same sides of ``planes`` random planes are one.
+
+    A task adds its rows up, so no more than its cells are shuffled; the driver gets two tables of 2 to the power of ``planes`` rows.
+    """
+    small_batches(free.sparkSession)
+    turn = np.random.default_rng(SEED).normal(0, 1, (len(centre), planes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
+        for b in batches:
+            x = np.stack([features(t) for t in texts(b["text"])]).astype(np.float64) if len(b) else np.zeros((0, len(centre)))
+            cell = ((x - centre) / scale @ turn > 0) @ (1 << np.arange(planes))
+            half = b["half"].to_numpy()
+            for h in (0, 1):
+                for c in np.unique(cell[half == h]).tolist():
+                    rows = x[(half == h) & (cell == c)]
+                    at = held.setdefault((h, c), [0, np.zeros(x.shape[1])])
+                    at[0] += len(rows)
+                    at[1] += rows.sum(0)
+                squares = held.setdefault((h, -1), [0, np.zeros(x.shape[1])])
+                squares[1] += (x[half == h] ** 2).sum(0)
+        yield pd.DataFrame([(h, c, n, v.tolist()) for (h, c), (n, v) in held.items()], columns=["half", "cell", "n", "total"])
+
+    parts = free.mapInPandas(run, "half int, cell int, n long, total array<double>")
+    total = F.array(*[F.sum(F.col("total")[i]) for i in range(len(centre))])
+    rows = parts.groupBy("half", "cell").agg(F.sum("n").alias("n"), total.alias("total")).collect()
+    out = []
+    for h in (0, 1):
+        count, sums, squares = np.zeros(1 << planes), np.zeros((1 << planes, len(centre))), np.zeros(len(centre))
+        for r in rows:
+            if r.half == h and r.cell >= 0:
+                count[r.cell], sums[r.cell] = r.n, r.total
+            elif r.half == h:
+                squares = np.array(r.total)
+        out.append(cells_of(count, sums, squares))
+    return out[0], out[1]
+
+
+def score_counts(free: DataFrame, model: Model, edges: np.ndarray) -> np.ndarray:
+    """How many rows of (half, text) have scores in each bin, counted in the tasks first."""
+    small_batches(free.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(edges) + 1, np.int64)
+        for b in batches:
+            if len(b):
+                scores = model.raw(np.stack([features(t) for t in texts(b["text"])]))
+                counts += np.bincount(np.searchsorted(edges, scores, "right"), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bin": at.astype(np.int32), "n": counts[at]})
+
+    out = np.zeros(len(edges) + 1, np.int64)
+    for r in free.mapInPandas(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r.bin] = r.n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits prior, network and scale; None where there are no positives or nothing is unlabelled."""
-    x, y = gather(docs, labels, label, features, N_FEATURES, folds, rest, LABELLED, UNLABELLED, id_col, text_col)
-    # where every row has a label, labelled rows of both classes stand for unlabelled text
-    positive, unlabelled = x[y == 1], x[y == -1] if (y == -1).any() else x
-    if not len(positive) or not len(unlabelled):
+    """Fits prior, network and scale; None where there are no positives or nothing is unlabelled.
+
+    Labelled rows are a bounded sample; of unlabelled ones all count: their means, spreads and risk through cells, and the prior through the
+    scores of one half under a model of the other.
+    """
+    x, y = gather(docs, labels, label, features, N_FEATURES, folds, rest, LABELLED, id_col, text_col)
+    positive = x[y == 1]
+    if not len(positive):
         return None
-    prior = estimate_prior(positive, unlabelled)
-    return calibrate(fit_nnpu(positive, unlabelled, prior), x[y >= 0], y[y >= 0])
+    free = _free(docs, labels, folds, rest, id_col, text_col)
+    seen, unseen = summed(free, x.mean(0).astype(np.float64), x.std(0) + 1e-3)
+    if seen.rows and unseen.rows:
+        half = fit_nnpu(positive[::2], seen, 0.5, SEED, max(5, ROUNDS // 4))
+        scores = half.raw(positive[1::2])
+        edges = bins(scores)
+        prior = prior_of(scores, edges, score_counts(free.where("half = 1"), half, edges))
+        n = seen.count + unseen.count
+        rows = max(seen.rows + unseen.rows, 1)
+        centre = (seen.rows * seen.centre + unseen.rows * unseen.centre) / rows
+        moment = (seen.rows * (seen.spread**2 + seen.centre**2) + unseen.rows * (unseen.spread**2 + unseen.centre**2)) / rows
+        mean = (seen.mean * seen.count[:, None] + unseen.mean * unseen.count[:, None]) / np.maximum(n, 1)[:, None]
+        unlabelled: Cells | np.ndarray = Cells(n, mean, np.sqrt(np.maximum(moment - centre**2, 0)), centre)
+    else:
+        # where (nearly) every row has a label, labelled rows of both classes stand for unlabelled text
+        prior, unlabelled = estimate_prior(positive, x), x
+    return calibrate(fit_mean(positive, unlabelled, prior), x[y >= 0], y[y >= 0])
 
 
 def score(model: Model | None, text_col: str = "text") -> Column:
