@@ -24,10 +24,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import discard, remember, small_batches, texts, written
@@ -37,8 +38,8 @@ from vellum.llm.quality import SEED, held_out
 LABELLED = 12_000
 #: Toxic texts that hold a candidate at least.
 LEAST = 3
-#: Letters of a term from which it is matched with one error.
-FUZZY_FROM = 5
+#: Letters of a term from which it is matched with one error, and with two.
+FUZZY_FROM, TWICE_FROM = 5, 8
 #: Lengths of beginnings that may be terms.
 STEMS = (4, 5, 6, 7)
 #: Words on either side of a hit that are its context.
@@ -50,6 +51,9 @@ MEMO = 400_000
 _OPEN, _CLOSE = "\"'«„“‘‹‚”(", "\"'»”“’›‘)"
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _PART = re.compile(r"[^\W_]+")
+#: Signs that are written for letters (fixed values).
+_LOOKS = str.maketrans("0134578@$!|", "oieastbasii")
+_SIGN = re.compile(r"[0134578@$!|]")
 
 
 def forms(chunk: str) -> list[str]:
@@ -58,13 +62,27 @@ def forms(chunk: str) -> list[str]:
     if not core:
         return []
     parts = _PART.findall(core)
-    return parts if parts == [core] or len(core) > 40 else [core, *parts]
+    return parts if parts == [core] else [core, *parts]
+
+
+def disguised(chunk: str) -> list[str]:
+    """What is meant by a run in which signs stand for letters, or marks between single letters: words of letters alone."""
+    out = []
+    bare = chunk.strip(".,;:?()[]{}\"'«»„“”‘’")
+    if not bare.isalpha() and any(map(str.isalpha, bare)) and _SIGN.search(bare):
+        word = bare.rstrip("!").translate(_LOOKS)
+        if word.isalpha():
+            out.append(word)
+    parts = _PART.findall(chunk)
+    if len(parts) > 2 and all(len(x) == 1 for x in parts):
+        out.append("".join(parts).translate(_LOOKS))
+    return [w for w in out if w.isalpha() and len(w) >= 3]
 
 
 class Levenshtein:
-    """A Levenshtein automaton of at most one error, as a parametric automaton.
+    """A Levenshtein automaton of one or two errors, of which two swapped neighbours are one, as a parametric automaton.
 
-    States are sets of (characters of the word read, errors), normalised to the
+    States are sets of (characters of the word read, errors, whether the first of two swapped letters was just read), normalised to the
     least place; the next state depends on which of the next characters of the
     word equal the letter read, so transitions are shared by all words.
     """
@@ -75,32 +93,44 @@ class Levenshtein:
         self.word, self.errors = word, errors
 
     def start(self) -> tuple[int, frozenset]:
-        return 0, frozenset({(0, 0)})
+        return 0, frozenset({(0, 0, False)})
 
     def step(self, state: tuple[int, frozenset], letter: str) -> tuple[int, frozenset] | None:
         base, places = state
-        near = tuple(c == letter for c in self.word[base : base + 2 * self.errors + 2])
+        near = tuple(c == letter for c in self.word[base : base + 3 * self.errors + 2])
         key = (places, near, self.errors)
         if key not in self._moves:
             out = set()
-            for i, e in places:
-                if i < len(near) and near[i]:
-                    out.add((i + 1, e))
+            for i, e, swapped in places:
+                if swapped:
+                    if i < len(near) and near[i]:
+                        out.add((i + 2, e, False))
+                    continue
+                for skip in range(self.errors - e + 1):  # letters of the word are missing
+                    if i + skip < len(near) and near[i + skip]:
+                        out.add((i + skip + 1, e + skip, False))
                 if e < self.errors:
-                    out.add((i, e + 1))  # the letter is one too many
+                    out.add((i, e + 1, False))  # the letter is one too many
                     if i < len(near):
-                        out.add((i + 1, e + 1))  # another letter stands here
+                        out.add((i + 1, e + 1, False))  # another letter stands here
                     if i + 1 < len(near) and near[i + 1]:
-                        out.add((i + 2, e + 1))  # a letter of the word is missing
-            out = {(i, e) for i, e in out if not any(f < e and abs(i - j) <= e - f for j, f in out)}
-            low = min((i for i, _ in out), default=0)
-            self._moves[key] = (low, frozenset((i - low, e) for i, e in out)) if out else None
+                        out.add((i, e + 1, True))
+            out = {(i, e, t) for i, e, t in out if t or not any(f < e and abs(i - j) <= e - f for j, f, u in out if not u)}
+            low = min((i for i, _, _ in out), default=0)
+            self._moves[key] = (low, frozenset((i - low, e, t) for i, e, t in out)) if out else None
         move = self._moves[key]
         return None if move is None else (base + move[0], move[1])
 
     def accepts(self, state: tuple[int, frozenset]) -> bool:
         base, places = state
-        return any(len(self.word) - base - i <= self.errors - e for i, e in places)
+        return any(not t and len(self.word) - base - i <= self.errors - e for i, e, t in places)
+
+
+def _by_length(parts: Iterator[str]) -> dict[int, set[str]]:
+    out: dict[int, set[str]] = {}
+    for x in parts:
+        out.setdefault(len(x), set()).add(x)
+    return out
 
 
 class Lexicon:
@@ -118,17 +148,33 @@ class Lexicon:
                 for c in t:
                     node = node.setdefault(c, {})
                 node[""] = t
-        # one error leaves the first or the last half of a term as it is
-        halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t in self.words if len(t) >= FUZZY_FROM]
-        self.heads = {n: {a for a, _ in halves if len(a) == n} for n in {len(a) for a, _ in halves}}
-        self.tails = {n: {b for _, b in halves if len(b) == n} for n in {len(b) for _, b in halves}}
-
-    def within_one(self, form: str) -> str | None:
-        """The term nearest to ``form``, at one error: the trie's walk through the automaton; least in order of ties."""
-        if len(form) < FUZZY_FROM - 1 or not (any(form[:n] in s for n, s in self.heads.items()) or any(form[-n:] in s for n, s in self.tails.items())):
-            return None
-        automaton, found = Levenshtein(form), []
-        stack = [(self.trie, automaton.start())]
+        # one error leaves the first or the last half of a term as it is, but for two letters that are swapped in its middle
+        fuzzy = [t for t in self.words if len(t) >= FUZZY_FROM]
+        self.heads, self.tails, self.middles = _by_length(t[: len(t) // 2] for t in fuzzy), _by_length(t[len(t) // 2 :] for t in fuzzy), {}
+        for t in fuzzy:
+            n = len(t) // 2
+            self.middles.setdefault(len(t), set()).add(t[: n - 1] + t[n + 1 :])
+        # two errors leave a third as it is, at most two places from its own
+        self.twice: dict = {}
+        twice = [t for t in fuzzy if len(t) >= TWICE_FROM]
+        for t in twice:
+            node = self.twice
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = t
+        cut = lambda t: (len(t) // 3, len(t) - len(t) // 3)
+        self.firsts, self.lasts = _by_length(t[: cut(t)[0]] for t in twice), _by_length(t[cut(t)[1] :] for t in twice)
+        self.between: dict[tuple[int, int], set[str]] = {}
+        for t in twice:
+            a, b = cut(t)
+            for shift in range(-2, 3):
+                self.between.setdefault((a + shift, b - a), set()).add(t[a:b])
+        self.longest = max(map(len, fuzzy), default=0)
+
+    def _walk(self, trie: dict, form: str, errors: int) -> str | None:
+        """The least term that the automaton of ``form`` accepts, by going through both at once."""
+        automaton, found = Levenshtein(form, errors), []
+        stack = [(trie, automaton.start())]
         while stack:
             node, state = stack.pop()
             for c, below in node.items():
@@ -139,6 +185,19 @@ class Lexicon:
                     stack.append((below, after))
         return min(found, default=None)
 
+    def nearest(self, form: str) -> str | None:
+        """The term nearest to ``form``: at one error, else, of long terms, at two; least in order of ties."""
+        n = len(form)
+        if not FUZZY_FROM - 1 <= n <= self.longest + 2:
+            return None
+        near = None
+        if any(form[:k] in s for k, s in self.heads.items()) or any(form[-k:] in s for k, s in self.tails.items()) or form[: n // 2 - 1] + form[n // 2 + 1 :] in self.middles.get(n, ()):
+            near = self._walk(self.trie, form, 1)
+        if near is None and n >= TWICE_FROM - 2 and self.twice:
+            if any(form[:k] in s for k, s in self.firsts.items()) or any(form[-k:] in s for k, s in self.lasts.items()) or any(form[a : a + k] in s for (a, k), s in self.between.items()):
+                near = self._walk(self.twice, form, 2)
+        return near
+
     def match(self, form: str) -> tuple[str, float, bool] | None:
         """(term, weight, whether it is misspelled) of a form in small letters."""
         w = self.words.get(form)
@@ -150,7 +209,7 @@ class Lexicon:
                 return form[:n] + "*", w, False
         if form in self.exempt:
             return None
-        near = self.within_one(form)
+        near = self.nearest(form)
         return None if near is None else (near, self.words[near], True)
 
 
@@ -183,6 +242,11 @@ class Finder:
             m = self.lexicon.match(form)
             if m and (best is None or (m[2], -m[1]) < (best[2], -best[1])):
                 best = (*m, form)
+        if best is None:
+            for form in disguised(chunk):
+                m = self.lexicon.match(form)
+                if m and form not in self.lexicon.exempt and (best is None or -m[1] < -best[1]):
+                    best = (m[0], m[1], True, form)
         return best
 
     def find(self, text: str) -> tuple[int, list[Hit]]:
@@ -207,16 +271,29 @@ class Finder:
                     before, after = chunks[max(0, j - WINDOW) : j], chunks[j + 1 : j + 1 + WINDOW]
                     opened = c[0] in _OPEN or any(x[0] in _OPEN for x in before)
                     closed = c[-1] in _CLOSE or c.rstrip(".,;:!?")[-1:] in _CLOSE or any(x.rstrip(".,;:!?")[-1:] in _CLOSE for x in after)
-                    out.append(Hit(m[0], m[3], m[1], m[2], opened and closed, [_EDGE.sub("", x) for x in before + after]))
+                    around = [_EDGE.sub("", x) for two in zip_longest(reversed(before), after) for x in two if x]  # the nearest first
+                    out.append(Hit(m[0], m[3], m[1], m[2], opened and closed, around))
         return len(chunks), out
 
 
+#: Weights of the gate before anything is learnt: bias, marks on both sides, what the words around tell.
+GATE = (-3.0, 4.5, 1.0)
+
+
+@dataclass
+class Context:
+    """What tells quotation from abuse: words that came with hits in clean texts (above 0) or in toxic ones, and the weights of the gate."""
+
+    words: dict[str, float] = field(default_factory=dict)
+    gate: tuple[float, float, float] = GATE
+
+
 @dataclass
 class Model:
     """The lexicon, the words of contexts, and the weights of the regression."""
 
     lexicon: Lexicon
-    context: dict[str, float] = field(default_factory=dict)
+    context: Context = field(default_factory=lambda: Context())
     weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
     bias: float = -40.0
 
@@ -224,13 +301,33 @@ class Model:
 N_FEATURES = 6
 
 
-def quotation(hit: Hit, context: dict[str, float]) -> float:
+def signs(hit: Hit, context: Context) -> tuple[float, float, float]:
+    """What the gate looks at: 1, whether marks stand on both sides, and what the words around tell, of which near ones count more."""
+    told = sum(context.words.get(w, 0.0) / (1 + d // 4) for d, w in enumerate(hit.around))
+    return 1.0, float(hit.marked), max(-3.0, min(3.0, told))
+
+
+def quotation(hit: Hit, context: Context) -> float:
     """The probability that a hit is quoted rather than meant: 0 to 1."""
-    told = sum(context.get(w, 0.0) for w in hit.around)
-    return 1 / (1 + math.exp(min(40.0, max(-40.0, 4.0 - 5.0 * hit.marked - told))))
+    return 1 / (1 + math.exp(-min(40.0, max(-40.0, sum(g * x for g, x in zip(context.gate, signs(hit, context), strict=True))))))
 
 
-def features(words: int, hits: list[Hit], context: dict[str, float]) -> np.ndarray:
+def fit_gate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pull: float = 2.0) -> tuple[float, float, float]:
+    """The gate from hits in clean (1) and toxic (0) texts: a logistic regression that is pulled to ``GATE``, which stays where hits tell nothing.
+
+    Marks and words that speak for quotation never speak against it.
+    """
+    b = np.array(GATE)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
+        grad = x.T @ (weight * (p - y)) + pull * (b - np.array(GATE))
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + pull * np.eye(3)
+        move = np.linalg.solve(hess, grad)
+        b = b - move * min(1.0, 2.0 / max(2.0, float(np.abs(move).max())))
+    return float(b[0]), max(float(b[1]), 1.0), max(float(b[2]), 0.0)
+
+
+def features(words: int, hits: list[Hit], context: Context) -> np.ndarray:
     abuse = fuzzy = quoted = best = 0.0
     for h in hits:
         q = quotation(h, context)
@@ -274,7 +371,7 @@ def _counted(sample: DataFrame, counter, schema: str = "word string, toxic long,
 
 def _terms_of(text: str) -> set[str]:
     """The distinct forms of a text with their beginnings."""
-    words = {f for c in set(fold(text).split()) for f in forms(c) if 3 <= len(f) <= 40}
+    words = {f for c in set(fold(text).split()) for f in forms(c) if len(f) >= 3}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -337,6 +434,42 @@ def choose_terms(found: dict[str, tuple[int, float]], held: list[set[str]], n_to
     return terms | {o: v for o, v in whole_words.items() if any(o[:k] in stems for k in STEMS if k < len(o))}
 
 
+def learn_context(sample: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) -> Context:
+    """Words around hits, and the gate.
+
+    A word tells something only if it stands around hits of clean texts twice as often as it stands in clean texts at all: what is common everywhere, as
+    articles are, says nothing about quotation.  Each text's hits weigh as one in the gate.
+    """
+
+    def near_hits():
+        finder = Finder(lexicon)
+        return lambda text: {w for h in finder.find(text)[1] for w in h.around if w and not lexicon.match(w)} | ({""} if finder.find(text)[1] else set())
+
+    near = {r.word: (r.toxic, r.clean) for r in _counted(sample, near_hits).where("clean >= 3 OR word = ''").collect()}
+    hit_toxic, hit_clean = near.pop("", (0, 0))
+    known = frozenset(near)
+    plain = {r.word: r.clean for r in _counted(sample, lambda: lambda text: known.intersection(_EDGE.sub("", c) for c in set(fold(text).split()))).collect()} if known else {}
+    words = {}
+    for w, (toxic, clean) in sorted(near.items()):
+        told = math.log((clean + 0.5) / (hit_clean + 1)) - math.log((toxic + 0.5) / (hit_toxic + 1))
+        if clean / max(hit_clean, 1) >= 2 * plain.get(w, 0) / n_clean and abs(told) > 1:
+            words[w] = max(-2.0, min(2.0, told))
+    context = Context(words)
+
+    @F.pandas_udf("array<array<double>>")
+    def seen(batch: pd.Series) -> pd.Series:
+        finder = Finder(lexicon)
+        return pd.Series([[list(signs(h, context)) for h in finder.find(t)[1]] for t in texts(batch)])
+
+    # a text's hits of equal signs are counted in its task; the sample bounds the texts, three signs the rows of each
+    hits = sample.select("_y", F.explode(seen("_t")).alias("x"), F.xxhash64("_t").alias("h")).groupBy("_y", "x", "h").agg(F.count("*").alias("n"))
+    hits = hits.withColumn("n", F.col("n") / F.sum("n").over(Window.partitionBy("h"))).groupBy("_y", "x").agg(F.sum("n").alias("n"))
+    rows = sorted((r._y, list(r.x), r.n) for r in hits.collect())
+    if rows and hit_clean:
+        context.gate = fit_gate(np.array([x for _, x, _ in rows]), np.array([1.0 - y for y, _, _ in rows]), np.array([n for *_, n in rows]))
+    return context
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Learns the lexicon, exemptions, contexts and weights; None without labels of both kinds."""
     small_batches(docs.sparkSession)
@@ -358,13 +491,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
     exempt = own.select("word").collect()
     lexicon = Lexicon(lexicon.terms, frozenset(r.word for r in exempt))
 
-    def near_hits():
-        finder = Finder(lexicon)
-        return lambda text: {w for h in finder.find(text)[1] for w in h.around if w and not lexicon.match(w)}
-
-    # words that came with hits in clean texts speak for quotation; without such texts there are none
-    told = _counted(sample, near_hits).where("clean >= 5").withColumn("w", -odds).where("abs(w) > 1").collect()
-    context = {r.word: max(-2.0, min(2.0, r.w)) for r in told}
+    context = learn_context(sample, lexicon, n_toxic, n_clean)
 
     @F.pandas_udf("array<double>")
     def vector(batch: pd.Series) -> pd.Series:
@@ -379,14 +506,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, rest: int = 1, id_
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method; hits never speak against toxicity."""
+    """Ridge logistic regression by Newton's method; hits never speak against toxicity, and quoted ones never for it."""
     order = np.lexsort((*x.T, y))
     x, y = x[order], y[order]
     a = np.column_stack((x, np.ones(len(x))))
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
     free = np.ones(a.shape[1], bool)
     b = np.zeros(a.shape[1])
-    for _ in range(3):
+    for _ in range(x.shape[1] + 1):
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a @ b, -40, 40)))
             grad = a.T @ (p - y) + penalty @ b
@@ -396,7 +523,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.nda
             b = b - move * min(1.0, 4.0 / max(4.0, float(np.abs(move).max())))
             if np.abs(move).max() < 1e-8:
                 break
-        wrong = (b[:-1] < 0) & (np.arange(len(b) - 1) != 2)
+        quoted = np.arange(len(b) - 1) == 2
+        wrong = np.where(quoted, b[:-1] > 0, b[:-1] < 0)
         if not wrong.any():
             break
         free[:-1] &= ~wrong
