@@ -225,3 +225,78 @@ def test_text_index_takes_each_page_once(spark, tmp_path):
     I.add_batch(spark.createDataFrame([(1, 0, "other text"), (3, 0, "new word")], schema), 1, path)
     assert sorted((r.doc_id, r.page_no, r.text, tuple(r.words)) for r in I.read_index(spark, path).collect()) == state
     assert {(r.doc_id, r.page_no): r.hits for r in I.found(I.read_index(spark, path), "Word").collect()} == {(1, 0): 1, (2, 0): 2, (3, 0): 1}
+
+
+def glyph_rows(rows):
+    return [(1, 0, line, c, v, 6 * c, 800 - 12 * line, 6 * c + 6, 810 - 12 * line, hidden) for line, (text, hidden) in enumerate(rows) for c, v in enumerate(text)]
+
+
+def redact(spark, lines, carriers, term, **more):
+    from vellum.operators.redact import redact_document
+
+    schema = "doc_id long, page_no int, line_no int, c int, value string, left int, bottom int, right int, top int, hidden boolean"
+    letters = spark.createDataFrame(glyph_rows([x if isinstance(x, tuple) else (x, False) for x in lines]), schema)
+    ops = spark.createDataFrame([(1, 0, i, "Tj", x if isinstance(x, str) else x[0]) for i, x in enumerate(lines)], "doc_id long, page_no int, ix int, name string, arg string")
+    held = spark.createDataFrame([(1, k, i, t) for i, (k, t) in enumerate(carriers)], "doc_id long, carrier string, place int, text string")
+    out = redact_document(letters, ops, held, term, **more)
+    page = "".join(r.value for r in out.letters.orderBy("line_no", "c").collect())
+    report = out.report.first()
+    return page, [r.arg for r in out.ops.orderBy("ix").collect()], {r.place: r.text for r in out.carriers.collect()}, (report.matches, report.operators, report.carriers)
+
+
+def test_redaction_reaches_every_carrier(spark):
+    carriers = [("info", "Ann Smith"), ("packet", "<t>by SMITH</t>"), ("outline", "smith"), ("annotation", "Smith"), ("annotation", None), ("info", "nobody")]
+    page, ops, left, done = redact(spark, ["call Smith now", "no one", "SMITH"], carriers, "smith")
+    assert page == "call  nowno one" and ops == ["no one"] and done == (2, 2, 4)
+    assert left == {0: "Ann", 1: "<t>by </t>", 2: "[redacted]", 4: None, 5: "nobody"}
+
+
+def test_redaction_modes(spark):
+    lines = ["call Smith now", "smith"]
+    page, ops, left, done = redact(spark, lines, [("info", "smith Smith")], "Smith", case_sensitive=True)
+    assert page == "call  nowsmith" and ops == ["smith"] and left == {0: "smith"} and done == (1, 1, 1)
+    assert redact(spark, ["plain"], [("info", "Smith")], "Smith")[2:] == ({}, (0, 0, 1))  # a term that only a carrier has
+    assert redact(spark, ["ab ab"], [("info", "ab")], "ab")[2:] == ({0: "ab"}, (2, 1, 0))  # too short for carriers
+    assert redact(spark, lines, [("info", "Smith")], "Smith", scrub=False)[2] == {0: "Smith"}
+    assert redact(spark, lines, [("info", "Smith")], "")[3] == (0, 0, 0)
+    # a removal that brings the term together anew is found by a later pass
+    page, _, _, done = redact(spark, ["xSmiSmithth y"], [], "smith")
+    assert "smith" not in page.lower() and done[0] >= 1
+    # hidden layers: searched or not
+    assert redact(spark, [("Smith", True), "other"], [], "Smith")[0] == "other"
+    assert redact(spark, [("Smith", True), "other"], [], "Smith", hidden_layers=False)[::3] == ("Smithother", (0, 0, 0))
+
+
+def test_contracts_by_path(spark):
+    from vellum.operators.corpus import contract_pages
+
+    pages = spark.createDataFrame([("a.x", 1), ("c/b.x", 1), ("o\\c.x", 1), ("o/d.x", 1), ("a.x", 2)], "path string, page int").withColumn("q", F.lit("own"))
+    contracts = spark.createDataFrame([("c/a.x", 1, "A"), ("b.x", 1, "B"), ("o/c.x", 1, " "), ("d.x", 1, "D")], "path string, page int, q string")
+    rows = {(r.path, r.page): (r.q, r.contract_status) for r in contract_pages(pages, contracts, "path", "page", "c/", ["q"]).collect()}
+    assert rows == {("a.x", 1): ("A", "APPLIED"), ("c/b.x", 1): ("B", "APPLIED"), ("o\\c.x", 1): ("own", "APPLIED"), ("o/d.x", 1): ("own", "MISSING"), ("a.x", 2): ("own", "MISSING")}
+    strict = contract_pages(pages, contracts, "path", "page", "c/", ["q"], strict=True)
+    assert strict.where("contract_status = 'MISSING' AND q = 'NEEDS_REVIEW'").count() == 2
+
+
+def test_pages_move_down(spark):
+    from vellum.operators.organise import shifted
+
+    pages = spark.createDataFrame([(1, p) for p in range(6)], "doc int, page int")
+    order = lambda chosen, down: [r.page for r in shifted(pages, "doc", "page", F.col("page").isin(*chosen), down=down).orderBy("place").collect()]
+    assert order([1, 2], True) == [0, 3, 1, 2, 4, 5] and order([4, 5], True) == [0, 1, 2, 3, 4, 5] and order([0, 5], True) == [1, 0, 2, 3, 4, 5]
+    assert order([1, 2], False) == [1, 2, 0, 3, 4, 5]
+
+
+def test_colours(spark):
+    from vellum.functions import colour
+
+    one = lambda *cs: [round(v, 3) for v in spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cs)]).first()]
+    lit = lambda *xs: [F.lit(float(x)) for x in xs]
+    assert one(*colour.process_rgb(*lit(0, 1, 0, 0))) == [0.925, 0.0, 0.549] and one(*colour.process_rgb(*lit(0, 0, 0, 0))) == [1, 1, 1]
+    assert one(*colour.plain_rgb(*lit(0, 1, 0, 0.25))) == [0.75, 0, 0.75]
+    assert all(abs(v - 1) < 0.005 for v in one(*colour.lab_rgb(*lit(100, 0, 0)))) and one(*colour.lab_rgb(*lit(0, 0, 0))) == [0, 0, 0]
+    assert one(*colour.indexed(F.lit(9), [(0.0, 1.0), (0.5, 0.25)])) == [0.5, 0.25]
+    # bilinear between the corners 0, 1, 2, 3, and held at the edges
+    square = [(0.0,), (1.0,), (2.0,), (3.0,)]
+    assert one(*colour.sampled(lit(0.5, 0.5), [2, 2], square)) == [1.5] and one(*colour.sampled(lit(9, 0), [2, 2], square)) == [1] and one(*colour.sampled(lit(0.25, 1), [2, 2], square)) == [2.25]
+    assert one(*colour.sampled(lit(0.3), [1], [(0.7,)])) == [0.7]

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from vellum.plans import content_queries, corpus_queries, exchange_queries, layout_queries, organise_queries, record_queries, text_queries, validate_queries
+from vellum.plans import content_queries, corpus_queries, document_queries, exchange_queries, layout_queries, organise_queries, record_queries, text_queries, validate_queries
 
 SMALL = "/root/testdata/sf0.001"
-MODULES = (text_queries, corpus_queries, layout_queries, organise_queries, record_queries, content_queries, validate_queries, exchange_queries)
+MODULES = (text_queries, corpus_queries, layout_queries, organise_queries, record_queries, content_queries, validate_queries, exchange_queries, document_queries)
 PAIRS = [(name, f, m.ORACLES.get(name)) for m in MODULES for name, f in m.QUERIES.items()]
 
 

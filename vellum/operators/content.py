@@ -76,6 +76,14 @@ def without_area(ops: DataFrame, areas: DataFrame) -> DataFrame:
     return ops.join(a, on, "left_anti")
 
 
+def without_contained(ops: DataFrame, areas: DataFrame) -> DataFrame:
+    """Operators whose box no area of their page holds whole, edges included; one without a box stays."""
+    a = _areas(areas).withColumnsRenamed({c: f"_{c}" for c in _PAGE})
+    holds = (F.col("left") >= F.col("a_left")) & (F.col("right") <= F.col("a_right")) & (F.col("bottom") >= F.col("a_bottom")) & (F.col("top") <= F.col("a_top"))
+    on = (ops["doc_id"] == a["_doc_id"]) & (ops["page_no"] == a["_page_no"]) & F.coalesce(holds, F.lit(False))
+    return ops.join(a, on, "left_anti")
+
+
 def with_state(ops: DataFrame) -> DataFrame:
     """Operators with the state that they meet: matrix (a to f), inherited ``mark``, ``artifact`` and all ``marks`` around them.
 

@@ -220,6 +220,24 @@ def lookup_with_fallback(df: DataFrame, expected: DataFrame, path: str, prefix:
     return out.select(*df.columns, F.coalesce("_x_value", "_y_value", "_z_value").alias(value))
 
 
+def contract_pages(df: DataFrame, contracts: DataFrame, path: str, page: str, prefix: str, columns: Sequence[str], strict: bool = False) -> DataFrame:
+    """Columns replaced by those of a page's contract where it says something, with ``contract_status`` (APPLIED or MISSING).
+
+    A contract is found by path and page; a path without a folder also with ``prefix`` before it, and a path that has the prefix also without it.  Backslashes
+    are slashes.  With ``strict``, columns of a page without a contract are NEEDS_REVIEW.  Three equi-joins on small keys: a contract's columns travel as one struct.
+    """
+    asked = df.withColumn("_p", F.replace(F.col(path), F.lit("\\"), F.lit("/")))
+    asked = asked.withColumn("_longer", F.when(~F.contains("_p", F.lit("/")), F.concat(F.lit(prefix), "_p"))).withColumn("_shorter", F.when(F.startswith("_p", F.lit(prefix)), F.substr("_p", F.lit(len(prefix) + 1))))
+    over = contracts.select(F.col(path).alias("_k"), F.col(page).alias("_n"), F.struct(*columns).alias("_c"))
+    for key, name in (("_p", "_0"), ("_longer", "_1"), ("_shorter", "_2")):
+        side = over.select(F.col("_k").alias(f"_k{name}"), F.col("_n").alias(f"_n{name}"), F.col("_c").alias(name))
+        asked = asked.join(side, (asked[key] == side[f"_k{name}"]) & (asked[page] == side[f"_n{name}"]), "left").drop(f"_k{name}", f"_n{name}")
+    asked = asked.withColumn("_c", F.coalesce("_0", "_1", "_2"))
+    missing = F.col("_c").isNull()
+    said = {c: F.when(missing & F.lit(strict), "NEEDS_REVIEW").otherwise(F.coalesce(F.nullif(F.trim(F.col(f"_c.{c}")), F.lit("")), c)) for c in columns}
+    return asked.select(*[said[c].alias(c) if c in said else F.col(c) for c in df.columns], F.when(missing, "MISSING").otherwise("APPLIED").alias("contract_status"))
+
+
 def cover_with(df: DataFrame, overlay: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Columns replaced by those of an overlay where it says something (not null, not blank)."""
     over = overlay.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -280,16 +280,19 @@ def unread_pages(pages: DataFrame, letters: DataFrame, force: bool = False) -> D
     return pages if force else pages.join(letters.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
 
 
-def without_term(letters: DataFrame, term: str, strategy: str = "any", passes: int = 10) -> DataFrame:
-    """Glyphs that are left when a term is redacted from their pages, whatever its case.
+def redacted(letters: DataFrame, term: str, strategy: str = "any", passes: int = 10, case_sensitive: bool = False, hidden_layers: bool = True) -> DataFrame:
+    """Glyphs with ``gone`` (removed with the term) and ``matches`` (of their page, on its first glyph, else 0).
 
     Each pass finds the term in a page's text and removes the glyphs that the box around each match touches (any), holds
     (full) or whose centre it has (centre); a removal may bring a term together anew, so passes go on until none is
-    found.  Where a pass removes nothing, or too many were needed, whole lines that still hold the term go.
+    found.  Where a pass removes nothing, or too many were needed, whole lines that still hold the term go.  Without ``hidden_layers``, glyphs
+    whose ``hidden`` column is true aren't searched, but go where they stand in a match's box.
     """
-    needle = term.lower()
+    fold = (lambda v: v) if case_sensitive else (lambda v: v.lower() if len(v.lower()) == 1 else v[:1])  # a letter whose small form is longer would shift places
+    needle = term if case_sensitive else term.lower()
+    has_layers = "hidden" in letters.columns and not hidden_layers
 
-    def matches(text: str) -> list[int]:
+    def places(text: str) -> list[int]:
         out, at = [], text.find(needle)
         while at >= 0:
             out.append(at)
@@ -297,37 +300,48 @@ def without_term(letters: DataFrame, term: str, strategy: str = "any", passes: i
         return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line_no", "c"], kind="stable")
+        pdf = pdf.sort_values(["line_no", "c"], kind="stable").reset_index(drop=True)
+        gone, total = np.zeros(len(pdf), bool), 0
+        left, bottom, right, top = (pdf[c].to_numpy(float) for c in _BOX)
+        small, line = np.array([fold(v) for v in pdf["value"]], object), pdf["line_no"].to_numpy()
+        seen = ~pdf["hidden"].fillna(False).to_numpy(bool) if has_layers else np.ones(len(pdf), bool)
         for _ in range(passes if needle else 0):
-            # a letter whose small form is longer would shift places, so it counts as itself
-            small = "".join(v.lower() if len(v.lower()) == 1 else v[:1] for v in pdf["value"])
-            found = matches(small)
+            at = np.flatnonzero(seen & ~gone)
+            found = places("".join(small[at]))
             if not found:
                 break
-            left, bottom, right, top = (pdf[c].to_numpy(float) for c in _BOX)
-            gone = np.zeros(len(pdf), bool)
-            for at in found:
-                s = slice(at, at + len(needle))
+            total += len(found)
+            now = np.zeros(len(pdf), bool)
+            for f in found:
+                s = at[f : f + len(needle)]
                 a, b, c, d = left[s].min(), bottom[s].min(), right[s].max(), top[s].max()
                 if strategy == "any":
-                    gone |= (left < c) & (right > a) & (bottom < d) & (top > b)
+                    now |= (left < c) & (right > a) & (bottom < d) & (top > b)
                 elif strategy == "full":
-                    gone |= (left >= a) & (right <= c) & (bottom >= b) & (top <= d)
+                    now |= (left >= a) & (right <= c) & (bottom >= b) & (top <= d)
                 else:
                     x, y = (left + right) / 2, (bottom + top) / 2
-                    gone |= (x >= a) & (x <= c) & (y >= b) & (y <= d)
-            if not gone.any():
+                    now |= (x >= a) & (x <= c) & (y >= b) & (y <= d)
+            if not (now & ~gone).any():
                 break
-            pdf = pdf[~gone]
-        if needle and len(pdf):
-            text = pdf.groupby("line_no")["value"].agg("".join)
-            pdf = pdf[~pdf["line_no"].isin(text.index[text.str.lower().str.contains(needle, regex=False)])]
-        return pdf
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in letters.schema)
+            gone |= now
+        if needle and not gone.all():
+            at = np.flatnonzero(seen & ~gone)
+            text = pd.Series(small[at]).groupby(line[at]).agg("".join)
+            held = text.index[text.str.contains(needle, regex=False)]
+            total += int(sum(text[k].count(needle) for k in held)) if not places("".join(small[at])) else 0
+            gone |= seen & np.isin(line, held)
+        return pdf.assign(gone=gone, matches=np.where(np.arange(len(pdf)) == 0, total, 0).astype(np.int64))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in letters.schema) + ", gone boolean, matches long"
     return letters.groupBy("doc_id", "page_no").applyInPandas(run, schema)
 
 
+def without_term(letters: DataFrame, term: str, strategy: str = "any", passes: int = 10, case_sensitive: bool = False) -> DataFrame:
+    """Glyphs that are left when a term is redacted from their pages."""
+    return redacted(letters, term, strategy, passes, case_sensitive).where("NOT gone").drop("gone", "matches")
+
+
 def median_width(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key).agg(upper_median("width").alias("median"), F.count("*").alias("n"))
 

@@ -122,8 +122,13 @@ def moved(pages: DataFrame, doc: str, page: str, start: int, to: int) -> DataFra
     return placed(pages.withColumn("_n", n), doc, page, key).drop("_n")
 
 
-def shifted(pages: DataFrame, doc: str, page: str, selected: Column) -> DataFrame:
-    """Selected pages moved one place up; a run at the top stays, a run below swaps with the page above it."""
+def shifted(pages: DataFrame, doc: str, page: str, selected: Column, down: bool = False) -> DataFrame:
+    """Selected pages moved one place up (or down); a run at that end stays, another one swaps with the page beside it."""
+    if down:  # the same, seen from the last page
+        back = pages.withColumn("_sel", selected).withColumn(page, -F.col(page))
+        turned = shifted(back, doc, page, F.col("_sel")).drop("_sel")
+        n = F.count("*").over(Window.partitionBy(doc))
+        return turned.withColumns({"place": (n - 1 - F.col("place")).cast("int"), page: -F.col(page)})
     w = Window.partitionBy(doc).orderBy(page)
     flagged = pages.withColumn("_s", selected)
     run = F.sum((~F.col("_s")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -99,6 +99,20 @@ def commands(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(registry.withColumnRenamed("id", key)), key, "left").withColumn("known", F.col("title").isNotNull())
 
 
+def image_facts(pixels: DataFrame, key: str, region: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(key, pixels, mean_red, mean_green, mean_blue, mean_alpha, dark, transparent, not_white) of pixels (key, x, y, red, green, blue, alpha) in a region (left, top, right, bottom).
+
+    Dark is a luminance under 64, transparent an alpha under 255; white is 250 and more in all colours, and opaque.
+    """
+    if region:
+        left, top, right, bottom = region
+        pixels = pixels.where((F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom))
+    light = F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114
+    white = (F.least("red", "green", "blue") >= 250) & (F.col("alpha") >= 255)
+    means = [(F.sum(c) / F.count("*")).alias(f"mean_{c}") for c in ("red", "green", "blue", "alpha")]
+    return pixels.groupBy(key).agg(F.count("*").alias("pixels"), *means, F.count_if(light < 64).alias("dark"), F.count_if(F.col("alpha") < 255).alias("transparent"), F.count_if(~white).alias("not_white"))
+
+
 def stamp_position(anchor: Column, width: Column, height: Column, size: Column, margin: float = 36.0) -> tuple[Column, Column]:
     """Where a page number of a width goes, by its anchor (top or bottom, then left, centre or right)."""
     x = F.when(anchor.endswith("left"), margin).when(anchor.endswith("centre"), (width - size) / 2).otherwise(width - margin - size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,46 @@ class Redaction:
         return letters, ops
 
 
+class RedactedDocuments(NamedTuple):
+    """What is left of documents: glyphs, operators, carriers (doc_id, carrier, place, text); and what was done: (doc_id, matches, operators, carriers)."""
+
+    letters: DataFrame
+    ops: DataFrame
+    carriers: DataFrame
+    report: DataFrame
+
+
+#: What stands where a carrier of a kind loses all of its text; other kinds go.
+PLACEHOLDER = {"outline": "[redacted]"}
+#: Letters of a term from which it is taken out of what travels with a document.
+LEAST_SCRUBBED = 3
+
+
+def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, term: str, strategy: str = "any", case_sensitive: bool = False, hidden_layers: bool = True, scrub: bool = True) -> RedactedDocuments:
+    """A term taken out of documents in one act: of their pages, of the operators that show it, and of all that travels with them.
+
+    Glyphs go as in ``layout.redacted``; operators whose text holds the term go with hidden layers included; ``carriers`` are rows of any kind (info, packet,
+    outline, annotation): their texts lose the term, also where no page has it.  A carrier that becomes empty goes, but for an outline title, which says that
+    it was redacted.  Terms of under three letters are taken out of pages alone, as they'd spoil other texts.  An empty term changes nothing.
+    """
+    marked = layout.redacted(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers)
+    shown = content.find_text(ops, term, not case_sensitive) if hidden_layers else ops.limit(0)
+    left_ops = ops.join(shown.select("doc_id", "ix"), ["doc_id", "ix"], "left_anti")
+    cut = T.without_terms(F.col("text"), [term], not case_sensitive)
+    hit = F.coalesce(F.regexp_count("text", F.lit(("" if case_sensitive else "(?iu)") + T.quoted(term))) > 0, F.lit(False)) if term else F.lit(False)
+    scrubs = hit & F.lit(scrub and len(term) >= LEAST_SCRUBBED)
+    instead = F.coalesce(*[F.when(F.col("carrier") == k, v) for k, v in PLACEHOLDER.items()])
+    judged = carriers.withColumn("_hit", scrubs).withColumn("text", F.when(F.col("_hit"), F.coalesce(F.nullif(cut, F.lit("")), instead)).otherwise(F.col("text")))
+    kept = judged.where("NOT (_hit AND text IS NULL)").drop("_hit")
+    done = [
+        marked.groupBy("doc_id").agg(F.sum("matches").alias("matches")).select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")),
+        shown.groupBy("doc_id").agg(F.count("*").alias("operators")).select("doc_id", F.lit(0).alias("matches"), "operators", F.lit(0).alias("carriers")),
+        judged.groupBy("doc_id").agg(F.count_if("_hit").alias("carriers")).select("doc_id", F.lit(0).alias("matches"), F.lit(0).alias("operators"), "carriers"),
+    ]
+    report = done[0].unionByName(done[1]).unionByName(done[2]).groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("matches", "operators", "carriers")])
+    return RedactedDocuments(marked.where("NOT gone").drop("gone", "matches"), left_ops, kept, report)
+
+
 #: Characters that a term has to have to be looked for in a copy.
 LEAST_PREVIEW = 3
 
