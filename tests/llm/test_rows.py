@@ -117,3 +117,32 @@ def test_deep_pages_keep_their_menus_apart():
         page = "<html><body>" + "<div>" * depth + inner + "</div>" * depth + "</body></html>"
         assert "Home" not in html_extract.extract([page], model)[0]
     assert "kept" in html_extract.extract(["<body><article><div/><p>" + "These words are kept, as a slash closes nothing in a page. " * 4 + "</p></article></body>"], model)[0]
+
+
+LONG_P = "A long paragraph with many words, that goes on for a while. " * 5
+
+
+def test_odd_markup_and_short_pages():
+    model = html_extract.trained()
+    text = lambda page: html_extract.extract([page], model)[0]
+    # a quote that isn't closed ends nothing, and no markup is left
+    assert text('<article><p>Start of it all.</p><p title="abc>Text here</p><p>More text, of words.</p></article>') == "Start of it all.\nText here\nMore text, of words."
+    assert text('<p>a <b title="x > y < z">bold</b> <i data-a=\'>\'>c</i></p>') == "a bold c" and text("<p>x and more <p") == "x and more"
+    # short pages and pages without a wrapper are whole
+    assert text("<html><body><p>Hello world.</p></body></html>") == "Hello world." and text("<p>only one para</p>") == "only one para"
+    assert text("<h1>Title only</h1><p>One.</p><p>Two.</p>") == "Title only\nOne.\nTwo."
+    long = LONG_P.strip()
+    assert text(f"<div><h1>Head line here</h1><p>{LONG_P}</p><p>x &lt;b&gt; &amp;amp; 3</p><p>{LONG_P}</p></div>") == f"Head line here\n{long}\nx <b> &amp; 3\n{long}"
+    assert text(f"<html><body><h1>Head line</h1><p>{LONG_P}</p></body></html>") == f"Head line\n{long}"
+    assert text(f'<article><p>{LONG_P}</p><p>See <a href="/x">this</a></p><p><a href="/y">All link</a></p></article>') == f"{long}\nSee this\nAll link"
+    menu = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>'
+    assert text(f"<html><body>{menu}<h1>Head line</h1><p>{LONG_P}</p><p>Short.</p><footer>&copy; Me 2020. All rights.</footer></body></html>") == f"Head line\n{long}\nShort."
+
+
+@pytest.mark.parametrize("junk", ['<b " ', '<b ="', "</b ", "<! ", "<b <", "<a href=\"x' ", "<!--", "<svg/>"])
+def test_parser_is_linear(junk):
+    import time
+
+    began = time.process_time()
+    html_extract.parse(junk * 100_000 + "<p>end</p>")
+    assert time.process_time() - began < 3

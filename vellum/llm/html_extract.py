@@ -36,9 +36,12 @@ from vellum.llm import boosting
 from vellum.llm.common import small_batches, texts
 
 #: Pages that the trees are trained on, and the seed of their layouts.
-TRAINING, SEED = 400, 4
+TRAINING, SEED = 400, 6
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>""", re.S)
+# A quoted value counts only behind an equals sign, if it is closed before the next "<" or in front of a blank or the tag's end; a tag that another one cuts short ends there.
+# No part is tried twice, so a page of any signs is read in a time in proportion to its length.
+_QUOTED = r"""=\s*+(?:"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!(?!--)[^>]*+>?|<\?[^>]*+>?|</[a-zA-Z][^<>]*+>?|<[a-zA-Z](?:[^<>="']|{_QUOTED}|[="'])*+>?""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*")
@@ -183,11 +186,16 @@ def parse(page: str) -> Node:
     return root
 
 
-N_FEATURES = len(_KINDS) + 2 * len(_GROUPS) + 6 + 20
+N_FEATURES = len(_KINDS) + 2 * len(_GROUPS) + 6 + 21
 _KIND_AT = {k: i for i, k in enumerate(_KINDS)}
 _ABOVE = {"nav": 0, "header": 1, "footer": 2, "aside": 3, "form": 4, "article": 5, "main": 5}
 
 
+def _level(tag: str) -> int:
+    """6 for a title of the first rank down to 1, 0 for other elements."""
+    return 7 - int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0
+
+
 def vectors(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
     """All nodes below the root in page order, the place of each one's parent (-1: the root), and their features."""
     nodes: list[Node] = []
@@ -252,7 +260,7 @@ def vectors(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
         chars, linked, elements, texts_, paragraphs, stops, longest = sums[i]
         x[i, base + 2 * len(_GROUPS) + 6 : -4] = (
             depth, place, n, place / n, np.log1p(chars), linked / (chars + 1), np.log1p(elements), np.log1p(texts_), np.log1p(paragraphs), chars / (elements + 1) / 100,
-            100 * stops / (chars + 20), np.log1p(longest), chars / total, seen / blocks, np.log1p(chars / (texts_ + 1)), node.tag in _NEVER,
+            100 * stops / (chars + 20), np.log1p(longest), chars / total, seen / blocks, np.log1p(chars / (texts_ + 1)), node.tag in _NEVER, _level(nodes[parents[i]].tag if node.tag == "#" and parents[i] >= 0 else node.tag),
         )
         seen += node.tag == "#"
     return nodes, parents, x
@@ -344,20 +352,30 @@ def make_page(rng: random.Random) -> str:
                 parts.append("<table>" + "".join(f"<tr><td>{mark(words(1, 3))}</td><td>{mark(words(1, 3))}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>")
             elif r < 0.23:
                 parts.append(box("aside", "ad advert related promo sponsored", f"<p>{sentences(1, 2)}</p>"))
+            elif r < 0.31:
+                parts.append(paragraph(mark(words(1, 5) + rng.choice([".", "", "!"]))))
+            elif r < 0.34:
+                parts.append(f'<p>{mark(words(1, 2))} <a href="/{rng.randint(1, 99)}">{words(1, 3)}</a></p>')
             else:
                 parts.append(paragraph(mark(sentences(1, rng.choice([1, 2, 4, 10])))))
         return "".join(parts)
 
     article = body()
-    if not plain and rng.random() < 0.8:
+    bare = rng.random()
+    if bare < 0.2:  # no wrapper: the text stands among the page's other parts
+        pass
+    elif not plain and rng.random() < 0.8:
         article = f"<article>{article}</article>"
     else:
         article = f'<div class="{rng.choice("content post-body entry-content main story x1".split())}">{article}</div>' if not plain else f"<div>{article}</div>"
-    if rng.random() < 0.3:
+    if bare < 0.1:  # nothing but the text, or hardly a page
+        return article if bare < 0.03 else f"<html><body>{article}</body></html>" if bare < 0.07 else f"<html><head><title>{words(2, 5)}</title></head><body><div>{article}</div></body></html>"
+    if rng.random() < 0.3 and bare >= 0.2:
         article = f"<main>{article}</main>" if not plain else f"<div>{article}</div>"
     head = [box("nav", "nav menu navbar navigation", links(3, 8))] if rng.random() < 0.9 else []
     if rng.random() < 0.4:
-        head.append(box("header", "header masthead banner topbar", f"{words(1, 4)} <a href='/'>{words(1, 2)}</a>"))
+        name = words(1, 4) if rng.random() < 0.8 else f"<h1>{words(1, 3)}</h1>"
+        head.append(box("header", "header masthead banner topbar", f"{name} <a href='/'>{words(1, 2)}</a>"))
     if rng.random() < 0.5:
         ad = f'<div class="{rng.choice("ad ads advert promo sponsored".split())}">{sentences(1, 2)}</div>'
         head.append(ad)
