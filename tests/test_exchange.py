@@ -300,3 +300,38 @@ def test_colours(spark):
     square = [(0.0,), (1.0,), (2.0,), (3.0,)]
     assert one(*colour.sampled(lit(0.5, 0.5), [2, 2], square)) == [1.5] and one(*colour.sampled(lit(9, 0), [2, 2], square)) == [1] and one(*colour.sampled(lit(0.25, 1), [2, 2], square)) == [2.25]
     assert one(*colour.sampled(lit(0.3), [1], [(0.7,)])) == [0.7]
+
+
+def test_lists_of_pages_and_passwords(spark, tmp_path):
+    import pytest
+
+    from vellum.sources import readers as R
+
+    put = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    pages = R.page_manifest(spark, put("p", "path\tpage\n# note\n\na\\b.x\t0\n a/b.x \t 0 \nc.x\t12\tmore\n"))
+    assert sorted(map(tuple, pages.collect())) == [("a/b.x", 0), ("c.x", 12)]
+    words = R.passwords(spark, put("w", "a.x\t first \nb.x\t\na.x\tlast #1\n"))
+    assert sorted(map(tuple, words.collect())) == [("a.x", "last #1"), ("b.x", "")]
+    for name, text, read in (("q", "a.x\n", R.page_manifest), ("r", "a.x\t-1\n", R.page_manifest), ("s", "a.x\tone\n", R.page_manifest), ("t", "\tpw\n", R.passwords)):
+        with pytest.raises(Exception, match="not a"):
+            read(spark, put(name, text)).collect()
+
+
+def test_reports(spark):
+    import json
+
+    from vellum.sources import sinks as S
+
+    rows = spark.createDataFrame([(1, "b", 2.0), (1, "a", None), (2, None, 0.5)], "doc int, name string, v double")
+    got = {r.doc: json.loads(r.json) for r in S.envelopes(rows, "doc", "scan", {"n": F.count("*"), "named": F.count("name")}).collect()}
+    assert got[1] == {"schemaVersion": 1, "kind": "scan", "document": 1, "totals": {"n": 2, "named": 2}, "results": [{"name": "a", "v": None}, {"name": "b", "v": 2.0}]}
+    pages = spark.createDataFrame([("p", 1, "OK"), ("q", 1, "OK"), ("s", 1, "OK")], "path string, page int, status string")
+    refs = spark.createDataFrame(
+        [("p", 1, "y", "OK", True, 0.2, 0.1, 1.0, None), ("p", 1, "x", "OK", False, 0.2, 0.1, 2.0, None), ("p", 1, "w", "ERROR", False, 0.0, 0.0, 0.0, None), ("p", 1, "v", "OK", True, None, 0.0, 0.0, None), ("q", 1, "z", "ERROR", False, 0.1, 0.1, 0.1, 0.1)],
+        "path string, page int, name string, status string, passed boolean, diff double, mae double, rmse double, ssim double",
+    )
+    out = {r.path: (r.references, r.passing, r.best_name, r.best_rmse) for r in S.benchmark_rows(pages, refs).collect()}
+    assert out == {"p": (4, 2, "x", 2.0), "q": (1, 0, None, None), "s": (0, 0, None, None)}
+    assert [r.line for r in S.csv_lines(spark.createDataFrame([('a "q", b', 0.5, None, 7), (None, 1e-7, 2.0, None)], "s string, x double, y double, n int")).collect()] == ['"a ""q"", b",0.5,,7', '"",0,2,']
+    text = S.benchmark_report("Run", {"Pages": "3"}, {"Checks": pages.orderBy("path").limit(1)})
+    assert text.startswith("# Run\n\n- Pages: `3`\n\n## Checks\n\n| path | page | status |\n") and "| p | 1 | OK |" in text

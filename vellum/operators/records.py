@@ -36,12 +36,6 @@ def recent(df: DataFrame, key: str, pinned: Column, ts: str, most: int = 20) ->
     return df.groupBy(key).agg(F.max(ts).alias("last"), F.bool_or(pinned).alias("pinned")).orderBy(F.desc("pinned"), F.desc("last"), key).limit(most)
 
 
-def rule_results(docs: DataFrame, doc: str, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """(doc, rule, status) for rules given as (applies, holds): NotApplicable, Pass or Fail."""
-    found = [F.struct(F.lit(n).alias("rule"), F.when(~applies, "NotApplicable").when(holds, "Pass").otherwise("Fail").alias("status")) for n, (applies, holds) in rules.items()]
-    return docs.select(doc, F.explode(F.array(*found)).alias("r")).select(doc, "r.rule", "r.status")
-
-
 def conformant(results: DataFrame, doc: str) -> DataFrame:
     return results.groupBy(doc).agg((~F.bool_or(F.col("status") == "Fail")).alias("conformant"), F.count_if(F.col("status") == "Fail").alias("failures"))
 

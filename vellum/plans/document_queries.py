@@ -78,7 +78,28 @@ def colour_tables(spark, sf_dir):
     return t.select("d", "t", "q", *[F.round(c, 5).alias(f"{n}_{i}") for n, cs in groups.items() for i, c in enumerate(cs)])
 
 
-QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables)}
+def report_envelopes(spark, sf_dir):
+    """A report for each order over its lines."""
+    from vellum.sources.sinks import envelopes
+
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))
+    return envelopes(rows, "l_orderkey", "lines", {"lines": F.count("*"), "flagged": F.count("flag")})
+
+
+def benchmark_lines(spark, sf_dir):
+    """CSV lines of pages (orders) with their best reference (a line of the order)."""
+    from vellum.sources.sinks import benchmark_rows, csv_lines
+
+    pages = load(spark, sf_dir, "orders").select(F.concat(F.lit('a "b"/'), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 3).alias("page"), F.col("o_orderstatus").alias("status"))
+    r = load(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit('a "b"/'), F.col("l_orderkey").cast("string")).alias("path"), (F.col("l_orderkey") % 3).alias("page"), F.concat(F.lit("r"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("name"),
+        F.when(F.col("l_linestatus") == "O", "OK").otherwise("FAILED").alias("status"), (F.col("l_quantity") > 25).alias("passed"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_discount")).alias("diff"), F.col("l_tax").alias("mae"),
+        (F.col("l_quantity") / 8).alias("rmse"), F.lit(None).cast("double").alias("ssim"),
+    )
+    return csv_lines(benchmark_rows(pages, r))
+
+
+QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines)}
 
 _INK = {"c": "d * 10", "m": "t * 12.5", "y": "q / 50", "k": "t"}
 
@@ -114,6 +135,8 @@ _AT = "least(2, greatest(0, CAST(round_even(q / 12 - 1, 0) AS INT)))"
 _CUT = "trim(replace({0}, ' and ', ''), ' ' || chr(9) || chr(10) || chr(13))"
 _BYTE = "CAST(floor((greatest(-0.25, least(0.25, CAST(embedding[p * 4 + {0}] AS DOUBLE))) + 0.25) * 510) AS INT)"
 
+_SHORT = r"regexp_replace(regexp_replace(printf('%.6f', {0}), '(\.\d*?)0+$', '\1'), '\.$', '')"
+
 ORACLES = {
     "redact_document": f"""WITH {LETTERS_SQL},
 l AS (SELECT doc_id, line_no, line, replace(line, ' and ', '') AS kept, (length(line) - length(replace(line, ' and ', ''))) // 5 AS n FROM lines),
@@ -135,6 +158,13 @@ WHERE NOT coalesce(page_no = 0 AND l >= 0 AND r <= 170 AND b >= 500 - doc_id % 5
 x AS (SELECT vec_id, {_BYTE.format(1)} AS r, {_BYTE.format(2)} AS g, {_BYTE.format(3)} AS b, CASE WHEN CAST(embedding[p * 4 + 4] AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 ELSE {_BYTE.format(4)} END AS a FROM e)
 SELECT vec_id, count(*) AS pixels, round(sum(r) / count(*), 6) AS mean_red, round(sum(g) / count(*), 6) AS mean_green, round(sum(b) / count(*), 6) AS mean_blue, round(sum(a) / count(*), 6) AS mean_alpha,
   count_if(0.299 * r + 0.587 * g + 0.114 * b < 64) AS dark, count_if(a < 255) AS transparent, count_if(least(r, g, b) < 250 OR a < 255) AS not_white FROM x GROUP BY vec_id""",
+    "report_envelopes": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS f FROM lineitem)
+SELECT l_orderkey, '{"schemaVersion":1,"kind":"lines","document":' || l_orderkey || ',"totals":{"lines":' || count(*) || ',"flagged":' || count(f) || '},"results":[' ||
+  string_agg('{"l_linenumber":' || n || ',"l_partkey":' || p || ',"flag":' || coalesce('"' || f || '"', 'null') || '}', ',' ORDER BY n, p, f NULLS FIRST) || ']}' AS json FROM l GROUP BY l_orderkey""",
+    "benchmark_lines": f"""WITH r AS (SELECT l_orderkey AS k, 'r' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, l_linestatus = 'O' AS ok, l_quantity > 25 AS passed, CASE WHEN l_partkey % 4 > 0 THEN l_discount END AS diff, l_tax AS mae, l_quantity / 8 AS rmse FROM lineitem),
+g AS (SELECT k, count(*) AS n, count_if(passed) AS p FROM r GROUP BY k), b AS (SELECT * FROM r WHERE ok QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(diff, 'inf'::DOUBLE), mae, name) = 1)
+SELECT '"a ""b""/' || o_orderkey || '",' || o_orderkey % 3 || ',"' || o_orderstatus || '",' || coalesce(n, 0) || ',' || coalesce(p, 0) || ',"' || coalesce(b.name, '') || '",' || coalesce({_SHORT.format('b.diff')}, '') || ',' || coalesce({_SHORT.format('b.mae')}, '') || ',' || coalesce({_SHORT.format('b.rmse')}, '') || ',' AS line
+FROM orders LEFT JOIN g ON g.k = o_orderkey LEFT JOIN b ON b.k = o_orderkey""",
     "colour_tables": "SELECT d, t, q, "
     + ", ".join(
         f"round(CAST({v} AS DOUBLE), 5) + CAST(0 AS DOUBLE) AS {n}"

@@ -29,24 +29,6 @@ def manifest_selection(spark, sf_dir):
         F.lit("all")).unionByName(R.manifest_pages(n, "conv_id", "n", named, "first").withColumn("mode", F.lit("first")))
 
 
-def _rules(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    every = F.lit(True)
-    return R.rule_results(p, "doc_id", {
-        "Lang": (every, F.col("html").rlike('<html lang="[a-z]')), "Title": (every, F.col("html").rlike("<title>[^<]")),
-            "List-Structure": (F.col("html").contains("<li>"), F.col("html").rlike("<[uo]l>")),
-        "Closed": (every, F.col("html").endswith("</html>")), "Figure-Alt": (F.col("html").contains("<img"), F.col("html").contains("alt=")),
-    })
-
-
-def validation_rules(spark, sf_dir):
-    return _rules(spark, sf_dir)
-
-
-def subset_conformance(spark, sf_dir):
-    return R.conformant(_rules(spark, sf_dir), "doc_id")
-
-
 def marked_content_depth(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"),
         F.posexplode(F.regexp_extract_all("html", F.lit("<(/?)(?:ul|li|article|nav|body)[ >]"), 0)).alias("ix", "tag"))
@@ -273,15 +255,11 @@ def image_info(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (scrubbed_metadata, report_rows, manifest_selection, named_destinations, link_targets, field_filters, page_spaces,
-    matrix_boxes, tint_functions, command_lookup, signature_gap, page_selection, recent_files, validation_rules, subset_conformance,
+    matrix_boxes, tint_functions, command_lookup, signature_gap, page_selection, recent_files,
         marked_content_depth, form_autodetect, bates_position, segment_count_merge, orphan_widgets, destination_resolve, structure_text,
             xref_first_wins, near_white_fill, placeholder_strip, path_normalise, split_names, wall_budgets, agreement_class, rotate_pages,
                 form_name_dedupe, strong_rtl, image_info)}
 
-_RULES = """rules AS (SELECT page_id AS doc_id, r.rule, CASE WHEN NOT applies THEN 'NotApplicable' WHEN holds THEN 'Pass' ELSE 'Fail' END AS status FROM pages, LATERAL (VALUES
- ('Lang', true, regexp_matches(html, '<html lang="[a-z]')), ('Title', true, regexp_matches(html, '<title>[^<]')), ('List-Structure', contains(html, '<li>'), regexp_matches(html, '<[uo]l>')),
- ('Closed', true, ends_with(html, '</html>')), ('Figure-Alt', contains(html, '<img'), contains(html, 'alt='))) r(rule, applies, holds))"""
-
 ORACLES = {
     "scrubbed_metadata": """WITH t AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE left(n_name, 7) END AS term FROM nation)
 SELECT lang, CAST(NULL AS VARCHAR) AS source, count(*) AS n, 'documents' AS kind FROM documents GROUP BY lang UNION ALL
@@ -292,8 +270,6 @@ SELECT min(term), NULL, 1, 'term' FROM t WHERE length(term) >= 3 GROUP BY lower(
         "SELECT conv_id, CAST(p AS INTEGER) AS page_number, 'sample' AS mode FROM n, (SELECT unnest([1, 2, 5, 20]) AS p) WHERE p <= n UNION ALL "
             "SELECT conv_id, CAST(unnest(range(1, n + 1)) AS INTEGER), 'all' FROM n",
     "recent_files": "SELECT user_id, user_id % 10 = 0 AS pinned FROM events GROUP BY user_id ORDER BY pinned DESC, max(ts) DESC, user_id LIMIT 20",
-    "validation_rules": f"WITH {_RULES} SELECT doc_id, rule, status FROM rules",
-    "subset_conformance": f"WITH {_RULES} SELECT doc_id, NOT bool_or(status = 'Fail') AS conformant, count_if(status = 'Fail') AS failures FROM rules GROUP BY doc_id",
     "marked_content_depth": "WITH t AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '<(/?)(?:ul|li|article|nav|body)[ >]')) AS tag, generate_subscripts(regexp_extract_all(html, '<(/?)(?:ul|li|article|nav|body)[ >]'), 1) AS ix FROM pages), d AS (SELECT doc_id, ix, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ix) AS depth FROM t) SELECT doc_id, CAST(max(depth) AS BIGINT) AS deepest, CAST(arg_max(depth, ix) AS BIGINT) AS left_open FROM d GROUP BY doc_id",
     "form_autodetect": """WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 = 1 AS line, l_suppkey % 30 AS x, l_partkey % 90 AS y, l_partkey % 90 - 10 AS w, l_suppkey % 30 - 4 AS h, CASE WHEN l_linenumber % 4 = 0 THEN 2 ELSE 1 END AS m, 10 * l_linenumber AS f, l_linenumber * 1000000 + l_partkey AS ix FROM lineitem),
 b AS (SELECT doc_id, line, ix, CASE WHEN line THEN least(x, w) ELSE m * x + least(0, m * w) END + 5 AS l, CASE WHEN line THEN least(y, h)

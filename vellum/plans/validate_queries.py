@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.operators import records as R
 from vellum.operators import validate as V
 from vellum.sources.tables import load
 
@@ -53,6 +54,16 @@ def accessible_rules(spark, sf_dir):
     return V.accessible(_docs(spark, sf_dir), _resolved(spark, sf_dir), loose).groupBy("rule", "status").agg(F.count("*").alias("documents"), F.sum("problems").alias("problems"))
 
 
+def validation_rules(spark, sf_dir):
+    """The twelve rules for each document."""
+    loose = _lines(spark, sf_dir).where("part % 9 = 0")
+    return V.accessible(_docs(spark, sf_dir), _resolved(spark, sf_dir), loose)
+
+
+def subset_conformance(spark, sf_dir):
+    return R.conformant(validation_rules(spark, sf_dir), "doc_id")
+
+
 def heading_rules(spark, sf_dir):
     return V.heading_findings(_resolved(spark, sf_dir))
 
@@ -123,7 +134,7 @@ def action_chain(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        accessible_rules, heading_rules, table_report, list_rules, tree_depths, archive_rules, permission_guard, page_range_check, confidence_policy, inherited_boxes,
+        accessible_rules, validation_rules, subset_conformance, heading_rules, table_report, list_rules, tree_depths, archive_rules, permission_guard, page_range_check, confidence_policy, inherited_boxes,
         field_tree, action_chain,
     )
 }
@@ -176,21 +187,25 @@ def _if_tree(bad: str) -> str:
     return f"CASE WHEN NOT has_tree THEN 'NotChecked' WHEN coalesce({bad}, 0) = 0 THEN 'Pass' ELSE 'Fail' END, CASE WHEN has_tree THEN coalesce({bad}, 0) ELSE 0 END"
 
 
-ORACLES = {
-    "accessible_rules": f"""{_OWN}, {_HEADS}, {_TABLES}, {_LISTS},
+#: The twelve rules of each document.
+_TWELVE = f"""{_OWN}, {_HEADS}, {_TABLES}, {_LISTS},
 um AS (SELECT doc_id, count(DISTINCT raw) AS bad FROM own WHERE unmapped GROUP BY doc_id), lo AS (SELECT doc_id, count(*) AS bad FROM ln WHERE part % 9 = 0 GROUP BY doc_id),
 fi AS (SELECT doc_id, count(*) AS n, count_if(NOT alt) AS bad FROM own WHERE kind = 'Figure' GROUP BY doc_id),
 ta AS (SELECT doc_id, count(*) AS n, (SELECT count(*) FROM tp WHERE tp.doc_id = own.doc_id) AS bad FROM own WHERE kind = 'Table' GROUP BY doc_id),
-r(rule, status, problems) AS (SELECT 'Marked', {_plain('marked')} FROM docs UNION ALL SELECT 'StructTreeRoot', {_plain('has_tree')} FROM docs
-UNION ALL SELECT 'Lang', {_plain('lang')} FROM docs
-UNION ALL SELECT 'Title', {_plain('title')} FROM docs UNION ALL SELECT 'DisplayDocTitle', {_plain('shows')} FROM docs
-UNION ALL SELECT 'RoleMap', {_if_tree('um.bad')} FROM docs LEFT JOIN um USING (doc_id) UNION ALL SELECT 'Content-Tagged', {_if_tree('lo.bad')} FROM docs LEFT JOIN lo USING (doc_id)
-UNION ALL SELECT 'Figure-Alt', {_status('fi.bad', 'fi.n')} FROM docs LEFT JOIN fi USING (doc_id) UNION ALL
-SELECT 'Heading-Order', {_status('heads.bad', 'heads.n')} FROM docs LEFT JOIN heads USING (doc_id)
-UNION ALL SELECT 'Table-Structure', {_status('ta.bad', 'ta.n')} FROM docs LEFT JOIN ta USING (doc_id) UNION ALL
-SELECT 'List-Structure', {_status('ls.bad', 'ls.n')} FROM docs LEFT JOIN ls USING (doc_id)
-UNION ALL SELECT 'List-ItemBody', {_status('lb.bad', 'lb.n')} FROM docs JOIN lb USING (doc_id))
-SELECT rule, status, count(*) AS documents, CAST(sum(problems) AS BIGINT) AS problems FROM r GROUP BY ALL""",
+r(doc_id, rule, status, problems) AS (SELECT doc_id, 'Marked', {_plain('marked')} FROM docs UNION ALL SELECT doc_id, 'StructTreeRoot', {_plain('has_tree')} FROM docs
+UNION ALL SELECT doc_id, 'Lang', {_plain('lang')} FROM docs
+UNION ALL SELECT doc_id, 'Title', {_plain('title')} FROM docs UNION ALL SELECT doc_id, 'DisplayDocTitle', {_plain('shows')} FROM docs
+UNION ALL SELECT doc_id, 'RoleMap', {_if_tree('um.bad')} FROM docs LEFT JOIN um USING (doc_id) UNION ALL SELECT doc_id, 'Content-Tagged', {_if_tree('lo.bad')} FROM docs LEFT JOIN lo USING (doc_id)
+UNION ALL SELECT doc_id, 'Figure-Alt', {_status('fi.bad', 'fi.n')} FROM docs LEFT JOIN fi USING (doc_id) UNION ALL
+SELECT doc_id, 'Heading-Order', {_status('heads.bad', 'heads.n')} FROM docs LEFT JOIN heads USING (doc_id)
+UNION ALL SELECT doc_id, 'Table-Structure', {_status('ta.bad', 'ta.n')} FROM docs LEFT JOIN ta USING (doc_id) UNION ALL
+SELECT doc_id, 'List-Structure', {_status('ls.bad', 'ls.n')} FROM docs LEFT JOIN ls USING (doc_id)
+UNION ALL SELECT doc_id, 'List-ItemBody', {_status('lb.bad', 'lb.n')} FROM docs JOIN lb USING (doc_id))"""
+
+ORACLES = {
+    "accessible_rules": f"{_TWELVE} SELECT rule, status, count(*) AS documents, CAST(sum(problems) AS BIGINT) AS problems FROM r GROUP BY ALL",
+    "validation_rules": f"{_TWELVE} SELECT doc_id, rule, status, problems FROM r",
+    "subset_conformance": f"{_TWELVE} SELECT doc_id, NOT bool_or(status = 'Fail') AS conformant, count_if(status = 'Fail') AS failures FROM r GROUP BY doc_id",
     "heading_rules": f"{_ALL}, {_HEADS} SELECT doc_id, n, bad FROM heads",
     "table_report": f"""{_ALL}, {_TABLES}, o AS (SELECT doc_id, list(problem ORDER BY node_id, problem) AS p FROM tp GROUP BY doc_id)
 SELECT doc_id, array_to_string(p[1:2], '; ') || CASE WHEN len(p) > 2 THEN '; +' || (len(p) - 2) || ' more' ELSE '' END AS report FROM o""",

@@ -18,6 +18,31 @@ def expectations(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("page_number", F.col("page_number").cast("int")).where("path IS NOT NULL AND page_number >= 0 AND expected_status IS NOT NULL")
 
 
+def _listed(spark: SparkSession, path: str, columns: tuple[str, str]) -> DataFrame:
+    """Two columns of a tab-separated list, as they stand; comments, blank lines and a header are skipped, a line with one column is an error."""
+    line = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
+    parts = F.split("value", "\t", -1)
+    rows = line.select("value", F.trim(F.get(parts, F.lit(0))).alias(columns[0]), F.get(parts, F.lit(1)).alias(columns[1])).where(f"lower({columns[0]}) <> 'path'")
+    wrong = F.col(columns[1]).isNull() | (F.col(columns[0]) == "")
+    checked = rows.where(F.when(wrong, F.raise_error(F.concat(F.lit("not a path and a value: "), "value"))).otherwise(True).cast("boolean"))
+    return checked.select(F.replace(columns[0], F.lit("\\"), F.lit("/")).alias(columns[0]), columns[1])
+
+
+def page_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_number) of the pages that a list names, each once; a number that is none, or below 0, is an error."""
+    rows = _listed(spark, path, ("path", "page_number"))
+    number = F.trim("page_number").try_cast("int")
+    wrong = F.coalesce(number < 0, F.lit(True))
+    ok = F.when(wrong, F.raise_error(F.concat(F.lit("not a page number: "), "page_number"))).otherwise(True).cast("boolean")
+    return rows.where(ok).select("path", number.alias("page_number")).distinct()
+
+
+def passwords(spark: SparkSession, path: str) -> DataFrame:
+    """(path, password) as they stand, blanks included; a list is one file, and of a path that it names twice the later line counts."""
+    numbered = _listed(spark, path, ("path", "password")).withColumn("_line", F.monotonically_increasing_id())
+    return numbered.groupBy("path").agg(F.max_by("password", "_line").alias("password"))
+
+
 def contracts(spark: SparkSession, path: str) -> DataFrame:
     """One row for each page of each contract; a (path, page) that stands there twice is an error."""
     schema = "Path string, Source string, Owner string, RootCause string, ReviewStatus string, Confidence string, Pages map<string, struct<ExpectedRawStatus:string, ReleaseStatus:string, QualityStatus:string, PixelAgreement:string, ReferenceSituation:string>>"
