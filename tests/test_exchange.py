@@ -335,3 +335,15 @@ def test_reports(spark):
     assert [r.line for r in S.csv_lines(spark.createDataFrame([('a "q", b', 0.5, None, 7), (None, 1e-7, 2.0, None)], "s string, x double, y double, n int")).collect()] == ['"a ""q"", b",0.5,,7', '"",0,2,']
     text = S.benchmark_report("Run", {"Pages": "3"}, {"Checks": pages.orderBy("path").limit(1)})
     assert text.startswith("# Run\n\n- Pages: `3`\n\n## Checks\n\n| path | page | status |\n") and "| p | 1 | OK |" in text
+
+
+def test_written_tables_are_released(spark):
+    from vellum.sources import scratch
+
+    scratch.release(spark)
+    kept, gone = (scratch.written(spark.range(5), "release") for _ in range(2))
+    scratch.discard(gone)
+    path = spark._jvm.org.apache.hadoop.fs.Path(kept._scratch_path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert kept.count() == 5 and files.exists(path)
+    assert scratch.release(spark) == 1 and not files.exists(path) and scratch.release(spark) == 0

@@ -27,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+#: Written tables that are still there, by application.
+_WRITTEN: dict[str, set[str]] = {}
+
+
 #: While it is on, a query's shuffle files go when the query ends, and not only when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,12 +52,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every written table of this application, and says how many: for a session that goes on after the results it wants were collected or written.
+
+    Frames that were made of them can't be read any more.
+    """
+    paths = sorted(_WRITTEN.get(spark.sparkContext.applicationId, set()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again: all that came of them is written itself."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t._scratch_path)
