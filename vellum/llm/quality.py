@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, texts
+from vellum.llm.common import discard, small_batches, texts, written
 
 #: Labelled rows of each label that the fit may use at most.
 LABELLED = 8_000
@@ -239,24 +239,36 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, features_of: Callable
     picked = [ids.where(F.col("_y") == v).groupBy(id_col).agg(F.max("_y").alias("_y")).orderBy(order, id_col).limit(most) for v in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
 
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("_y", id_col, _packed(features_of)(text_col).alias("_x")).collect()
+    rows.sort(key=lambda r: (r[1], r[2]))
+    x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.float32).reshape(-1, width)
+    return x, np.array([r[0] for r in rows], np.int64)
+
+
+def _packed(features_of: Callable[[str], np.ndarray]) -> Callable[[str], Column]:
+    """Features of a text column as bytes."""
+
     @F.pandas_udf("binary")
     def packed(batch: pd.Series) -> pd.Series:
         return pd.Series([features_of(t).astype(np.float32).tobytes() for t in texts(batch)])
 
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("_y", id_col, packed(text_col).alias("_x")).collect()
-    rows.sort(key=lambda r: (r[1], r[2]))
-    x = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.float32).reshape(-1, width)
-    return x, np.array([r[0] for r in rows], np.int64)
+    return packed
 
 
 def _free(docs: DataFrame, labels: DataFrame, folds: int, rest: int, id_col: str, text_col: str) -> DataFrame:
-    """(half, text) of all documents of the training folds without a label, halved by a hash of the id."""
-    free = docs.where(F.col(id_col).isNotNull()).where(~held_out(id_col, folds, rest)).join(labels.select(id_col).distinct(), id_col, "left_anti")
-    return free.select(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(2)).cast("int").alias("half"), F.col(text_col).alias("text"))
+    """(half, x) of all documents of the training folds without a label, halved by a hash of the id: features, as texts would be far more to move."""
+    small_batches(docs.sparkSession)
+    asked = docs.where(F.col(id_col).isNotNull()).where(~held_out(id_col, folds, rest)).select(id_col, _packed(features)(text_col).alias("x"))
+    free = asked.join(labels.select(id_col).distinct(), id_col, "left_anti")
+    return free.select(F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(2)).cast("int").alias("half"), "x")
+
+
+def _matrix(batch: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, batch)), np.float32).reshape(-1, width)
 
 
 def summed(free: DataFrame, centre: np.ndarray, scale: np.ndarray, planes: int = PLANES) -> tuple[Cells, Cells]:
-    """All rows of (half, text) as cells: those on the same sides of ``planes`` random planes are one.
+    """All rows of (half, x) as cells: those on the same sides of ``planes`` random planes are one.
 
     A task adds its rows up, so no more than its cells are shuffled; the driver gets two tables of 2 to the power of ``planes`` rows.
     """
@@ -266,7 +278,7 @@ def summed(free: DataFrame, centre: np.ndarray, scale: np.ndarray, planes: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list] = {}
         for b in batches:
-            x = np.stack([features(t) for t in texts(b["text"])]).astype(np.float64) if len(b) else np.zeros((0, len(centre)))
+            x = _matrix(b["x"], len(centre)).astype(np.float64)
             cell = ((x - centre) / scale @ turn > 0) @ (1 << np.arange(planes))
             half = b["half"].to_numpy()
             for h in (0, 1):
@@ -295,14 +307,14 @@ def summed(free: DataFrame, centre: np.ndarray, scale: np.ndarray, planes: int =
 
 
 def score_counts(free: DataFrame, model: Model, edges: np.ndarray) -> np.ndarray:
-    """How many rows of (half, text) have scores in each bin, counted in the tasks first."""
+    """How many rows of (half, x) have scores in each bin, counted in the tasks first."""
     small_batches(free.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(len(edges) + 1, np.int64)
         for b in batches:
             if len(b):
-                scores = model.raw(np.stack([features(t) for t in texts(b["text"])]))
+                scores = model.raw(_matrix(b["x"], len(model.mean)))
                 counts += np.bincount(np.searchsorted(edges, scores, "right"), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"bin": at.astype(np.int32), "n": counts[at]})
@@ -323,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     positive = x[y == 1]
     if not len(positive):
         return None
-    free = _free(docs, labels, folds, rest, id_col, text_col)
+    free = written(_free(docs, labels, folds, rest, id_col, text_col), "features")
     seen, unseen = summed(free, x.mean(0).astype(np.float64), x.std(0) + 1e-3)
     if seen.rows and unseen.rows:
         half = fit_nnpu(positive[::2], seen, 0.5, SEED, max(5, ROUNDS // 4))
@@ -339,6 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     else:
         # where (nearly) every row has a label, labelled rows of both classes stand for unlabelled text
         prior, unlabelled = estimate_prior(positive, x), x
+    discard(free)
     return calibrate(fit_mean(positive, unlabelled, prior), x[y >= 0], y[y >= 0])
 
 
