@@ -78,6 +78,23 @@ def colour_tables(spark, sf_dir):
     return t.select("d", "t", "q", *[F.round(c, 5).alias(f"{n}_{i}") for n, cs in groups.items() for i, c in enumerate(cs)])
 
 
+#: Letters of texts, what stands for them (pointed and joined forms, wide letters, hard spaces, ligatures), and what folding makes of those.
+_DISGUISED = {"a": ("\u05d0\u05b8", "\u05d0"), "e": ("\ufe8d", "\u0627"), "i": ("\uff49", "i"), "o": ("o\u00ad", "o"), "u": ("\ufb01", "fi"), " ": ("\u00a0", " "), "n": ("\u0645\u064e", "\u0645"), "t": ("t\u200d", "t"), "s": ("e\u0301", "\u00e9")}
+
+
+def fold_disguised(spark, sf_dir):
+    """Texts in small letters whose letters are disguised, folded: the rows differ from what is read."""
+    text = F.lower("text")
+    # the values hold letters that are replaced, too, so each one goes by a sign of its own first
+    for k, a in enumerate(_DISGUISED):
+        text = F.replace(text, F.lit(a), F.lit(chr(0xE000 + k)))
+    for k, (b, _) in enumerate(_DISGUISED.values()):
+        text = F.replace(text, F.lit(chr(0xE000 + k)), F.lit(b))
+    d = load(spark, sf_dir, "documents").select("doc_id", text.alias("seen"))
+    out = T.folded(F.col("seen"))
+    return d.select("doc_id", F.length("seen").alias("seen_size"), F.length(out).alias("size"), F.md5(out).alias("digest"))
+
+
 def report_envelopes(spark, sf_dir):
     """A report for each order over its lines."""
     from vellum.sources.sinks import envelopes
@@ -99,7 +116,7 @@ def benchmark_lines(spark, sf_dir):
     return csv_lines(benchmark_rows(pages, r))
 
 
-QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines)}
+QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines, fold_disguised)}
 
 _INK = {"c": "d * 10", "m": "t * 12.5", "y": "q / 50", "k": "t"}
 
@@ -135,6 +152,18 @@ _AT = "least(2, greatest(0, CAST(round_even(q / 12 - 1, 0) AS INT)))"
 _CUT = "trim(replace({0}, ' and ', ''), ' ' || chr(9) || chr(10) || chr(13))"
 _BYTE = "CAST(floor((greatest(-0.25, least(0.25, CAST(embedding[p * 4 + {0}] AS DOUBLE))) + 0.25) * 510) AS INT)"
 
+
+
+def _exchanged(which: int) -> str:
+    """The text with each letter replaced by what stands for it, or by what that is folded to."""
+    out = "lower(text)"
+    for k, a in enumerate(_DISGUISED):
+        out = f"replace({out}, '{a}', chr({0xE000 + k}))"
+    for k, pair in enumerate(_DISGUISED.values()):
+        out = f"replace({out}, chr({0xE000 + k}), '{pair[which]}')"
+    return out
+
+
 _SHORT = r"regexp_replace(regexp_replace(printf('%.6f', {0}), '(\.\d*?)0+$', '\1'), '\.$', '')"
 
 ORACLES = {
@@ -158,6 +187,8 @@ WHERE NOT coalesce(page_no = 0 AND l >= 0 AND r <= 170 AND b >= 500 - doc_id % 5
 x AS (SELECT vec_id, {_BYTE.format(1)} AS r, {_BYTE.format(2)} AS g, {_BYTE.format(3)} AS b, CASE WHEN CAST(embedding[p * 4 + 4] AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 ELSE {_BYTE.format(4)} END AS a FROM e)
 SELECT vec_id, count(*) AS pixels, round(sum(r) / count(*), 6) AS mean_red, round(sum(g) / count(*), 6) AS mean_green, round(sum(b) / count(*), 6) AS mean_blue, round(sum(a) / count(*), 6) AS mean_alpha,
   count_if(0.299 * r + 0.587 * g + 0.114 * b < 64) AS dark, count_if(a < 255) AS transparent, count_if(least(r, g, b) < 250 OR a < 255) AS not_white FROM x GROUP BY vec_id""",
+    "fold_disguised": f"""SELECT doc_id, CAST(length({_exchanged(0)}) AS INT) AS seen_size, CAST(length({_exchanged(1)}) AS INT) AS size, md5({_exchanged(1)}) AS digest
+FROM documents""",
     "report_envelopes": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS f FROM lineitem)
 SELECT l_orderkey, '{"schemaVersion":1,"kind":"lines","document":' || l_orderkey || ',"totals":{"lines":' || count(*) || ',"flagged":' || count(f) || '},"results":[' ||
   string_agg('{"l_linenumber":' || n || ',"l_partkey":' || p || ',"flag":' || coalesce('"' || f || '"', 'null') || '}', ',' ORDER BY n, p, f NULLS FIRST) || ']}' AS json FROM l GROUP BY l_orderkey""",
