@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import colour
 from vellum.functions import text as T
-from vellum.operators import content, corpus, layout, organise, records, redact
+from vellum.operators import audit, content, corpus, layout, organise, records, redact
 from vellum.sources import content as drawn
 from vellum.sources.tables import LETTERS_SQL, letters, load
 
@@ -63,6 +63,16 @@ def image_channels(spark, sf_dir):
     return out.select("vec_id", "pixels", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("mean_")], "dark", "transparent", "not_white")
 
 
+def ink_pages(spark, sf_dir):
+    """First pages whose glyphs are ink, against the same without some letters, in tiles of 32 x 32 at the usual share of ink."""
+    g = letters(load(spark, sf_dir, "documents")).where("page_no = 0").select(F.col("doc_id").alias("grid"), (F.col("left") % 640).alias("x"), (F.col("bottom") % 650).alias("y"), "value")
+    want = g.select("grid", "x", "y").distinct()
+    lost = F.when(F.col("grid") % 4 == 0, F.lit(True)).when(F.col("grid") % 4 == 1, F.col("value").isin("e", "t", "a")).otherwise(F.col("y") < 300)
+    have = g.where(~lost).select("grid", "x", "y").distinct()
+    pages = want.select("grid").distinct().select("grid", F.lit(640).alias("width"), F.lit(650).alias("height"), F.when(F.col("grid") % 3 == 0, "DIFF").otherwise("PASS").alias("status"))
+    return audit.ink_tiles(pages, have, want)
+
+
 #: A grid of 3 x 2 x 2 samples of two outputs.
 _GRID = [((i * 5 % 11) / 10, 1 - (i * 3 % 7) / 6) for i in range(12)]
 _TABLE = ((1.0, 0.0, 0.0), (0.0, 0.5, 1.0), (0.25, 0.25, 0.25))
@@ -116,7 +126,7 @@ def benchmark_lines(spark, sf_dir):
     return csv_lines(benchmark_rows(pages, r))
 
 
-QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines, fold_disguised)}
+QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines, fold_disguised, ink_pages)}
 
 _INK = {"c": "d * 10", "m": "t * 12.5", "y": "q / 50", "k": "t"}
 
@@ -187,6 +197,13 @@ WHERE NOT coalesce(page_no = 0 AND l >= 0 AND r <= 170 AND b >= 500 - doc_id % 5
 x AS (SELECT vec_id, {_BYTE.format(1)} AS r, {_BYTE.format(2)} AS g, {_BYTE.format(3)} AS b, CASE WHEN CAST(embedding[p * 4 + 4] AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 ELSE {_BYTE.format(4)} END AS a FROM e)
 SELECT vec_id, count(*) AS pixels, round(sum(r) / count(*), 6) AS mean_red, round(sum(g) / count(*), 6) AS mean_green, round(sum(b) / count(*), 6) AS mean_blue, round(sum(a) / count(*), 6) AS mean_alpha,
   count_if(0.299 * r + 0.587 * g + 0.114 * b < 64) AS dark, count_if(a < 255) AS transparent, count_if(least(r, g, b) < 250 OR a < 255) AS not_white FROM x GROUP BY vec_id""",
+    "ink_pages": f"""WITH {LETTERS_SQL}, g AS (SELECT doc_id AS grid, left_x % 640 AS x, ((bottom % 650) + 650) % 650 AS y, value FROM letters WHERE page_no = 0),
+w AS (SELECT DISTINCT grid, x, y FROM g), h AS (SELECT DISTINCT grid, x, y FROM g WHERE NOT CASE grid % 4 WHEN 0 THEN true WHEN 1 THEN value IN ('e', 't', 'a') ELSE y < 300 END),
+a AS (SELECT grid, x // 20 AS tx, y // 20 AS ty, count(*) / any_value(20 * least(20, 650 - y // 20 * 20)) >= 0.005 AS want FROM w GROUP BY ALL),
+b AS (SELECT grid, x // 20 AS tx, y // 20 AS ty, count(*) / any_value(20 * least(20, 650 - y // 20 * 20)) >= 0.005 AS have FROM h GROUP BY ALL),
+j AS (SELECT coalesce(a.grid, b.grid) AS grid, coalesce(want, false) AS want, coalesce(have, false) AS have FROM a FULL JOIN b ON a.grid = b.grid AND a.tx = b.tx AND a.ty = b.ty),
+c AS (SELECT grid, count_if(want) AS inked, count_if(want AND NOT have) AS missing, count_if(NOT want AND have) AS extra FROM j GROUP BY grid)
+SELECT *, CASE WHEN grid % 3 = 0 THEN 'DIFF' WHEN inked >= 3 AND missing = inked THEN 'MISSING_CONTENT' ELSE 'PASS' END AS status FROM c""",
     "fold_disguised": f"""SELECT doc_id, CAST(length({_exchanged(0)}) AS INT) AS seen_size, CAST(length({_exchanged(1)}) AS INT) AS size, md5({_exchanged(1)}) AS digest
 FROM documents""",
     "report_envelopes": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS f FROM lineitem)
