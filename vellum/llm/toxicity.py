@@ -50,6 +50,8 @@ MEMO = 400_000
 
 _OPEN, _CLOSE = "\"'«„“‘‹‚”(", "\"'»”“’›‘)"
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+#: What may stand around a word.
+_MARKS = ".,;:!?()[]{}\"'«»„“”‘’-–—%&*$#|"
 _PART = re.compile(r"[^\W_]+")
 #: Signs that are written for letters (fixed values).
 _LOOKS = str.maketrans("0134578@$!|", "oieastbasii")
@@ -126,55 +128,43 @@ class Levenshtein:
         return any(not t and len(self.word) - base - i <= self.errors - e for i, e, t in places)
 
 
-def _by_length(parts: Iterator[str]) -> dict[int, set[str]]:
-    out: dict[int, set[str]] = {}
-    for x in parts:
-        out.setdefault(len(x), set()).add(x)
+def _tries(pairs: Iterator[tuple[str, str]]) -> dict[str, dict]:
+    """By key, the trie of the terms that have it."""
+    out: dict[str, dict] = {}
+    for key, term in pairs:
+        node = out.setdefault(key, {})
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
     return out
 
 
 class Lexicon:
-    """Terms with weights in a trie.  A term that ends in ``*`` stands for all words that begin with it."""
+    """Terms with weights in tries.  A term that ends in ``*`` stands for all words that begin with it.
+
+    An error or two leave a part of a term as it is, and tries are kept by that part, so a form meets the terms only that it shares one with.  One error
+    leaves the first or the last letters (two; three of terms of seven letters and more), two leave the first three, the last three, or those between, at most one
+    place from their own.
+    """
 
     def __init__(self, terms: dict[str, float], exempt: frozenset[str] = frozenset()) -> None:
         self.terms, self.exempt = terms, exempt
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.stem_lengths = sorted({len(s) for s in self.stems})
-        self.trie: dict = {}
-        for t in self.words:
-            if len(t) >= FUZZY_FROM:
-                node = self.trie
-                for c in t:
-                    node = node.setdefault(c, {})
-                node[""] = t
-        # one error leaves the first or the last half of a term as it is, but for two letters that are swapped in its middle
         fuzzy = [t for t in self.words if len(t) >= FUZZY_FROM]
-        self.heads, self.tails, self.middles = _by_length(t[: len(t) // 2] for t in fuzzy), _by_length(t[len(t) // 2 :] for t in fuzzy), {}
-        for t in fuzzy:
-            n = len(t) // 2
-            self.middles.setdefault(len(t), set()).add(t[: n - 1] + t[n + 1 :])
-        # two errors leave a third as it is, at most two places from its own
-        self.twice: dict = {}
-        twice = [t for t in fuzzy if len(t) >= TWICE_FROM]
-        for t in twice:
-            node = self.twice
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-        cut = lambda t: (len(t) // 3, len(t) - len(t) // 3)
-        self.firsts, self.lasts = _by_length(t[: cut(t)[0]] for t in twice), _by_length(t[cut(t)[1] :] for t in twice)
-        self.between: dict[tuple[int, int], set[str]] = {}
-        for t in twice:
-            a, b = cut(t)
-            for shift in range(-2, 3):
-                self.between.setdefault((a + shift, b - a), set()).add(t[a:b])
+        short, long, twice = [t for t in fuzzy if len(t) < 7], [t for t in fuzzy if len(t) >= 7], [t for t in fuzzy if len(t) >= TWICE_FROM]
+        self.head2, self.tail2 = _tries((t[:2], t) for t in short), _tries((t[-2:], t) for t in short)
+        self.head3, self.tail3 = _tries((t[:3], t) for t in long), _tries((t[-3:], t) for t in long)
+        self.twice_head, self.twice_tail = _tries((t[:3], t) for t in twice), _tries((t[-3:], t) for t in twice)
+        # of terms of eight letters only two stand between
+        self.middle2, self.middle3 = _tries((t[3:5], t) for t in twice if len(t) == 8), _tries((t[3:6], t) for t in twice if len(t) > 8)
         self.longest = max(map(len, fuzzy), default=0)
 
-    def _walk(self, trie: dict, form: str, errors: int) -> str | None:
-        """The least term that the automaton of ``form`` accepts, by going through both at once."""
+    def _walk(self, tries: list[dict | None], form: str, errors: int) -> str | None:
+        """The least term that the automaton of ``form`` accepts, by going through it and the tries at once."""
         automaton, found = Levenshtein(form, errors), []
-        stack = [(trie, automaton.start())]
+        stack = [(trie, automaton.start()) for trie in tries if trie]
         while stack:
             node, state = stack.pop()
             for c, below in node.items():
@@ -190,12 +180,20 @@ class Lexicon:
         n = len(form)
         if not FUZZY_FROM - 1 <= n <= self.longest + 2:
             return None
-        near = None
-        if any(form[:k] in s for k, s in self.heads.items()) or any(form[-k:] in s for k, s in self.tails.items()) or form[: n // 2 - 1] + form[n // 2 + 1 :] in self.middles.get(n, ()):
-            near = self._walk(self.trie, form, 1)
-        if near is None and n >= TWICE_FROM - 2 and self.twice:
-            if any(form[:k] in s for k, s in self.firsts.items()) or any(form[-k:] in s for k, s in self.lasts.items()) or any(form[a : a + k] in s for (a, k), s in self.between.items()):
-                near = self._walk(self.twice, form, 2)
+        head, tail = form[:3], form[-3:]
+        tries = [self.head3.get(head), self.tail3.get(tail)]
+        if n <= 7:
+            tries += [self.head2.get(form[:2]), self.tail2.get(form[-2:])]
+        near = self._walk(tries, form, 1) if any(tries) else None
+        if near is None and n >= TWICE_FROM - 2:
+            tries = [self.twice_head.get(head), self.twice_tail.get(tail), self.middle3.get(form[2:5]), self.middle3.get(form[3:6]), self.middle3.get(form[4:7])]
+            # two swapped letters of which one stands in the middle
+            tries += [self.middle3.get(form[2:3] + form[4:6]), self.middle3.get(form[2:4] + form[5:6]), self.middle3.get(form[3:5] + form[6:7]), self.middle3.get(form[4:6] + form[7:8]), self.middle3.get(form[2:7:2])]
+            if n <= 10:
+                tries += [self.middle2.get(form[2:4]), self.middle2.get(form[3:5]), self.middle2.get(form[4:6])]
+                tries += [self.middle2.get(form[2:3] + form[4:5]), self.middle2.get(form[3:4] + form[5:6]), self.middle2.get(form[4:5] + form[6:7]), self.middle2.get(form[2:6:3])]
+            if any(tries):
+                near = self._walk(tries, form, 2)
         return near
 
     def match(self, form: str) -> tuple[str, float, bool] | None:
@@ -237,6 +235,10 @@ class Finder:
         self.hits: dict[str, tuple] = {}
 
     def look(self, chunk: str) -> tuple | None:
+        core = chunk.strip(_MARKS)
+        if core.isalpha():
+            m = self.lexicon.match(core)
+            return (*m, core) if m else None
         best = None
         for form in forms(chunk):
             m = self.lexicon.match(form)
@@ -258,7 +260,7 @@ class Finder:
         chunks = fold(text).split()
         for c in set(chunks) - self.clean:
             if c not in self.hits:
-                m = self.look(c)
+                m = None if c.strip(_MARKS) in self.clean else self.look(c)
                 if m is None:
                     self.clean.add(c)
                 else:
