@@ -71,6 +71,7 @@ def test_lines_in_the_order_in_which_they_are_read():
     assert T.logical_order("הנס 30 רמע") == "עמר 30 סנה"
     assert T.logical_order("הנס 12.5, רמע") == "עמר ,12.5 סנה"
     assert T.logical_order("abc רמע 30 xyz") == "abc עמר 30 xyz"
+    assert T.logical_order("\u05d1\u05bc\u05d0") == "\u05d0\u05d1\u05bc"  # a mark stays behind its letter
     assert T.logical_order("plain 12") == "plain 12" and T.logical_order("") == "" and T.logical_order(None) is None
     assert T.folded_letters(["e", "\u0301", "x", "", "\u0301"]) == ["é", "", "x\u0301", "", ""] and T.folded_letters(["\ufb01"]) == ["fi"]
 

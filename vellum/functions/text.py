@@ -161,12 +161,14 @@ def _bidi_class(c: str) -> str:
     return "N" if c.isspace() or unicodedata.category(c)[0] in "PS" else "O"
 
 
-#: What keeps its order in a run that turns: a number, with single separators between its digits.
-_ISLAND = re.compile(r"\d+(?:[.,:/+-]\d+)*|.", re.S)
+#: What keeps its order in a run that turns: a number, with single separators between its digits, and a letter with its marks.
+_ISLAND = re.compile("\\d+(?:[.,:/+-]\\d+)*|.[\u0300-\u036f\u0591-\u05bd\u05bf\u05c1-\u05c2\u05c4-\u05c5\u05c7\u0610-\u061a\u064b-\u065f\u0670]*", re.S)
 
 
 def logical_order(text: str | None) -> str | None:
-    """A line in the order in which it was painted, with its right-to-left runs turned to the order in which they are read.
+    """A line that is known to be in the order in which it was painted, with its right-to-left runs turned to the order in which they are read.
+
+    Plain texts are in that order already; where it isn't known, glyphs tell (``operators.bidi``).
 
     A run goes from one strong letter to another with neutral signs between.  Where nothing on the line is strong the
     other way, numbers belong to runs, too, and keep their own order.
@@ -183,16 +185,6 @@ def logical_order(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def _logical_batches(text: pd.Series) -> pd.Series:
-    return text.map(logical_order, na_action="ignore")
-
-
-def in_logical_order(text: Column) -> Column:
-    """``logical_order`` of a column; Python sees only texts with right-to-left letters."""
-    return F.when(has_rtl(text), _logical_batches(F.when(has_rtl(text), text))).otherwise(text)
-
-
 def folded_letters(values: list[str | None]) -> list[str]:
     """Each letter folded by itself; one that opens with a combining mark joins the last letter that isn't empty."""
     out: list[str] = []
