@@ -48,7 +48,8 @@ def test_what_is_not_taken(spark):
 
 def test_export_of_an_import_is_its_source(spark):
     rows = [
-        {"page": 0, "subtype": "Highlight", "rect": [1.0, 2.0, 3.5, 4.0], "color": [1.0, 0.0, 0.2], "flags": 4, "name": "a&b", "title": "T \"q\"", "quads": [float(i) for i in range(16)], "contents": "line\none\t<x> é \U0001f389"},
+        {"page": 0, "subtype": "Highlight", "rect": [1.0, 2.0, 3.5, 4.0], "color": [1.0, 0.0, 0.2], "flags": 4, "name": "a&b", "title": "T \"q\"",
+            "quads": [float(i) for i in range(16)], "contents": "line\none\t<x> é \U0001f389"},
         {"page": 2, "subtype": "Ink", "rect": [1.0, 1.0, 3.0, 2.123456], "color": [0.0, 0.0, 0.0], "flags": 68, "width": 2.0, "style": "S", "strokes": [[1.0, 1.0, 3.0, 2.123456]]},
         {"page": 1, "subtype": "Text", "rect": [0.0, 0.0, 1.0, 1.0], "flags": 4, "icon": "Note", "open": True, "opacity": 0.25},
         {"page": 1, "subtype": "FreeText", "rect": [0.0, 0.0, 1.0, 1.0], "flags": 4, "width": 0.0, "style": "S", "quadding": 2, "appearance": "1 0 0 rg /F 8 Tf", "contents": "y"},
@@ -76,19 +77,26 @@ def values(spark, program, inputs, n, low=-1e9, high=1e9, **more):
 
 def test_calculator_words(spark):
     cases = [
-        ("{ 2 mul 1 add }", (3.0,), [7]), ("{ exch sub }", (3.0, 10.0), [7]), ("{ dup mul }", (4.0,), [16]), ("{ div }", (1.0, 0.0), [0]), ("{ div }", (1.0, 4.0), [0.25]), ("{ idiv }", (-7.0, 2.0), [-3]),
-        ("{ mod }", (-7.0, 3.0), [-1]), ("{ mod }", (7.0, 0.0), [0]), ("{ sqrt }", (-4.0,), [0]), ("{ sin }", (90.0,), [1]), ("{ cos }", (180.0,), [-1]), ("{ atan }", (-1.0, 0.0), [270]), ("{ atan }", (1.0, 1.0), [45]),
-        ("{ 3 1 roll }", (1.0, 2.0, 3.0), [3, 1, 2]), ("{ 3 -1 roll }", (1.0, 2.0, 3.0), [2, 3, 1]), ("{ 2 copy }", (1.0, 2.0), [1, 2, 1, 2]), ("{ 1 index }", (5.0, 6.0), [5, 6, 5]), ("{ 1 1 add copy add }", (5.0, 6.0), [5, 6, 11]),
-        ("{ dup 0.5 lt { 2 mul } { pop 1 } ifelse }", (0.25,), [0.5]), ("{ dup 0.5 lt { 2 mul } { pop 1 } ifelse }", (0.75,), [1]), ("{ dup 0 lt { neg } if }", (-3.0,), [3]), ("{ true { 4 } { 5 6 } ifelse }", (), [4]),
-        ("{ 5 3 and 5 3 or 5 3 xor 1 3 bitshift 16 -2 bitshift }", (), [1, 7, 6, 8, 4]), ("{ 1 not 5 not }", (), [0, -6]), ("{ 2.5 round -2.5 round -2.7 truncate -2.2 ceiling -2.2 floor 3.9 cvi }", (), [3, -2, -2, -2, -3, 3]),
-        ("{ 2 10 exp 100 log 1 ln }", (), [1024, 2, 0]), ("{ 1 2 eq 1 2 ne 1 2 le 1 2 gt 2 2 ge }", (), [0, 1, 1, 0, 1]), ("{ 16#ff % a comment }\n }", (), [255]), ("dup 3 1 roll", (1.0, 2.0), [2, 1, 2]),
+        ("{ 2 mul 1 add }", (3.0,), [7]), ("{ exch sub }", (3.0, 10.0), [7]), ("{ dup mul }", (4.0,), [16]), ("{ div }", (1.0, 0.0), [0]), ("{ div }", (1.0, 4.0), [0.25]),
+            ("{ idiv }", (-7.0, 2.0), [-3]),
+        ("{ mod }", (-7.0, 3.0), [-1]), ("{ mod }", (7.0, 0.0), [0]), ("{ sqrt }", (-4.0,), [0]), ("{ sin }", (90.0,), [1]), ("{ cos }", (180.0,), [-1]),
+            ("{ atan }", (-1.0, 0.0), [270]), ("{ atan }", (1.0, 1.0), [45]),
+        ("{ 3 1 roll }", (1.0, 2.0, 3.0), [3, 1, 2]), ("{ 3 -1 roll }", (1.0, 2.0, 3.0), [2, 3, 1]), ("{ 2 copy }", (1.0, 2.0), [1, 2, 1, 2]),
+            ("{ 1 index }", (5.0, 6.0), [5, 6, 5]), ("{ 1 1 add copy add }", (5.0, 6.0), [5, 6, 11]),
+        ("{ dup 0.5 lt { 2 mul } { pop 1 } ifelse }", (0.25,), [0.5]), ("{ dup 0.5 lt { 2 mul } { pop 1 } ifelse }", (0.75,), [1]), ("{ dup 0 lt { neg } if }", (-3.0,), [3]),
+            ("{ true { 4 } { 5 6 } ifelse }", (), [4]),
+        ("{ 5 3 and 5 3 or 5 3 xor 1 3 bitshift 16 -2 bitshift }", (), [1, 7, 6, 8, 4]), ("{ 1 not 5 not }", (), [0, -6]),
+            ("{ 2.5 round -2.5 round -2.7 truncate -2.2 ceiling -2.2 floor 3.9 cvi }", (), [3, -2, -2, -2, -3, 3]),
+        ("{ 2 10 exp 100 log 1 ln }", (), [1024, 2, 0]), ("{ 1 2 eq 1 2 ne 1 2 le 1 2 gt 2 2 ge }", (), [0, 1, 1, 0, 1]), ("{ 16#ff % a comment }\n }", (), [255]),
+            ("dup 3 1 roll", (1.0, 2.0), [2, 1, 2]),
     ]
     for program, inputs, want in cases:
         assert values(spark, program, inputs, len(want)) == want, program
 
 
 def test_calculator_that_cannot_run(spark):
-    for program, inputs in [("{ add }", (1.0,)), ("{ nothing }", (1.0,)), ("{ copy }", (1.0, 1.0)), ("{ 9 index }", (1.0,)), ("{ 1.5 copy }", (1.0,)), ("{ dup { pop } if }", (1.0,)), ("{ if }", (1.0,)), ("{ { 1 }", (1.0,)), ("{ pop }", (1.0,)), ("{ -1 ln }", (1.0,))]:
+    for program, inputs in [("{ add }", (1.0,)), ("{ nothing }", (1.0,)), ("{ copy }", (1.0, 1.0)), ("{ 9 index }", (1.0,)), ("{ 1.5 copy }", (1.0,)),
+        ("{ dup { pop } if }", (1.0,)), ("{ if }", (1.0,)), ("{ { 1 }", (1.0,)), ("{ pop }", (1.0,)), ("{ -1 ln }", (1.0,))]:
         assert values(spark, program, inputs, 1) == [None], program
     assert values(spark, "{ 3 mul }", (0.9,), 1, 0, 1) == [1] and values(spark, "{ 3 mul }", (9.0,), 1, domain=[(0, 2)]) == [6]
     assert values(spark, "{ 2 }", (None,), 1) == [2] and values(spark, "{ 2 mul }", (None,), 1) == [None]
@@ -105,13 +113,17 @@ def chains(spark, certs, signers, anchors=("root",)):
 
 def test_trust_states(spark):
     certs = [
-        ("root", "R", "R", 0, 99, True), ("mid", "M", "R", 0, 50, True), ("leaf", "L", "M", 10, 40, False), ("odd", "O", "O", 0, 99, True), ("under_odd", "U", "O", 0, 99, False), ("alone", "A", "nobody", 0, 99, False),
+        ("root", "R", "R", 0, 99, True), ("mid", "M", "R", 0, 50, True), ("leaf", "L", "M", 10, 40, False), ("odd", "O", "O", 0, 99, True), ("under_odd", "U", "O", 0, 99, False),
+            ("alone", "A", "nobody", 0, 99, False),
         ("c1", "C1", "C2", 0, 99, True), ("c2", "C2", "C1", 0, 99, True), ("by_leaf", "B", "L", 0, 99, False), ("nameless", None, "R", 0, 99, False), ("mid2", "M", "nobody", 0, 99, True),
     ]
-    got = chains(spark, certs, [("leaf", 20), ("leaf", 45), ("leaf", 60), ("root", 1), ("under_odd", 1), ("alone", 1), ("c1", 1), ("by_leaf", 20), ("nameless", 1), ("gone", 1), ("leaf", 20), (None, 1)])
+    got = chains(spark, certs,
+        [("leaf", 20), ("leaf", 45), ("leaf", 60), ("root", 1), ("under_odd", 1), ("alone", 1), ("c1", 1), ("by_leaf", 20), ("nameless", 1), ("gone", 1), ("leaf", 20), (None, 1)])
     assert got == [
-        ("Trusted", "R", 3, ""), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Trusted", "R", 1, ""), ("Untrusted", "O", 2, "root not trusted"),
-        ("Untrusted", None, 1, "issuer not found"), ("Untrusted", None, 2, "chain leads back to itself"), ("Untrusted", "R", 4, "issuer is no authority"), ("Indeterminate", None, None, ""), ("Indeterminate", None, None, ""), ("Trusted", "R", 3, ""),
+        ("Trusted", "R", 3, ""), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Untrusted", "R", 3, "certificate not valid at the time"), ("Trusted", "R", 1, ""),
+            ("Untrusted", "O", 2, "root not trusted"),
+        ("Untrusted", None, 1, "issuer not found"), ("Untrusted", None, 2, "chain leads back to itself"), ("Untrusted", "R", 4, "issuer is no authority"),
+            ("Indeterminate", None, None, ""), ("Indeterminate", None, None, ""), ("Trusted", "R", 3, ""),
         ("Indeterminate", None, None, ""),
     ]
     assert chains(spark, certs, [("leaf", 20)], anchors=()) == [("Untrusted", "R", 3, "root not trusted")]
@@ -127,14 +139,16 @@ def test_name_trees(spark):
         "doc_id long, node string, parent string, place int, low string, high string",
     )
     entries = spark.createDataFrame(
-        [(1, "a", 0, "ab", 10), (1, "a2", 0, "cd", 11), (1, "b", 0, "mn", 12), (1, "b", 1, "cd", 13), (1, "b", 2, None, 14), (1, "r", 0, "zz", 15), (1, "lost", 0, "q", 16)], "doc_id long, node string, place int, name string, value long"
+        [(1, "a", 0, "ab", 10), (1, "a2", 0, "cd", 11), (1, "b", 0, "mn", 12), (1, "b", 1, "cd", 13), (1, "b", 2, None, 14), (1, "r", 0, "zz", 15), (1, "lost", 0, "q", 16)],
+            "doc_id long, node string, place int, name string, value long"
     )
     rows = N.listed(nodes, entries).orderBy("doc_id", "path", "place").collect()
     assert [(r.name, r.value) for r in rows] == [("zz", 15), ("ab", 10), ("cd", 11), ("mn", 12), ("cd", 13)]
     asked = spark.createDataFrame([(1, "cd"), (1, "mn"), (1, "no"), (3, "cd")], "doc_id long, name string")
     assert {(r.doc_id, r.name): r.value for r in N.looked_up(asked, nodes, entries).collect()} == {(1, "cd"): 11, (1, "mn"): 12, (1, "no"): None, (3, "cd"): None}
     attached = spark.createDataFrame([(1, 0, 10), (2, 1, 12), (2, 0, 11), (2, 2, 99)], "doc_id long, place int, value long")
-    specs = spark.createDataFrame([(10, "ü", "u", "d", "m", 1), (11, None, "f", None, None, 2), (12, None, None, None, None, 3)], "value long, uf string, f string, description string, mime string, size long")
+    specs = spark.createDataFrame([(10, "ü", "u", "d", "m", 1), (11, None, "f", None, None, 2), (12, None, None, None, None, 3)],
+        "value long, uf string, f string, description string, mime string, size long")
     got = N.embedded_files(nodes, entries, attached, specs).orderBy("doc_id", "number").collect()
     assert [(r.doc_id, r.key, r.file_name, r.size) for r in got] == [(1, "ab", "ü", 1), (1, "cd", "f", 2), (1, "mn", None, 3), (2, "_AF_0", "f", 2), (2, "_AF_1", None, 3)]
 
@@ -153,7 +167,8 @@ def test_packets(spark):
 def test_codespaces():
     from vellum.functions.codespaces import UNKNOWN, CharacterMap
 
-    mixed = CharacterMap([(b"\x00", b"\x80"), (b"\x81\x40", b"\x9f\xfc"), (b"\xa0", b"\xdf"), (b"\xe0\x40", b"\xfc\xfc")], [(b"\x41", b"\x43", "a"), (b"\x81\x40", b"\x81\x50", "あ"), (b"\x81\x45", b"\x81\x46", "fi"), (b"\xa0", b"\xa0", "\U0001f600")])
+    mixed = CharacterMap([(b"\x00", b"\x80"), (b"\x81\x40", b"\x9f\xfc"), (b"\xa0", b"\xdf"), (b"\xe0\x40", b"\xfc\xfc")],
+        [(b"\x41", b"\x43", "a"), (b"\x81\x40", b"\x81\x50", "あ"), (b"\x81\x45", b"\x81\x46", "fi"), (b"\xa0", b"\xa0", "\U0001f600")])
     assert mixed.cut(b"A\x81\x40\xa0\xe0\x41") == [b"A", b"\x81\x40", b"\xa0", b"\xe0\x41"]
     assert mixed.cut(b"\x81\xffA") == [b"\x81\xff", b"A"]  # each byte must be in its range; the first one claims the width
     assert mixed.cut(b"\xfd\x81") == [b"\xfd", b"\x81"] and mixed.cut(b"") == []
@@ -191,7 +206,8 @@ def test_split_by_outline(spark):
     from vellum.operators.organise import split_by_outline
 
     pages = spark.createDataFrame([(d, p) for d in (1, 2) for p in range(6)], "doc int, page int")
-    outline = spark.createDataFrame([(1, 5, None, "B", 3), (1, 6, None, "late", 3), (1, 7, 5, "nested", 4), (1, 8, None, "gone", 99), (1, 9, None, "none", None)], "doc int, node int, parent int, title string, page int")
+    outline = spark.createDataFrame([(1, 5, None, "B", 3), (1, 6, None, "late", 3), (1, 7, 5, "nested", 4), (1, 8, None, "gone", 99), (1, 9, None, "none", None)],
+        "doc int, node int, parent int, title string, page int")
     rows = split_by_outline(pages, outline, "doc", "page").orderBy("doc", "page").collect()
     assert [(r.part, r.title, r.place) for r in rows] == [(0, None, 0), (0, None, 1), (0, None, 2), (1, "B", 0), (1, "B", 1), (1, "B", 2), *[(0, None, i) for i in range(6)]]
 
@@ -327,12 +343,14 @@ def test_reports(spark):
     assert got[1] == {"schemaVersion": 1, "kind": "scan", "document": 1, "totals": {"n": 2, "named": 2}, "results": [{"name": "a", "v": None}, {"name": "b", "v": 2.0}]}
     pages = spark.createDataFrame([("p", 1, "OK"), ("q", 1, "OK"), ("s", 1, "OK")], "path string, page int, status string")
     refs = spark.createDataFrame(
-        [("p", 1, "y", "OK", True, 0.2, 0.1, 1.0, None), ("p", 1, "x", "OK", False, 0.2, 0.1, 2.0, None), ("p", 1, "w", "ERROR", False, 0.0, 0.0, 0.0, None), ("p", 1, "v", "OK", True, None, 0.0, 0.0, None), ("q", 1, "z", "ERROR", False, 0.1, 0.1, 0.1, 0.1)],
+        [("p", 1, "y", "OK", True, 0.2, 0.1, 1.0, None), ("p", 1, "x", "OK", False, 0.2, 0.1, 2.0, None), ("p", 1, "w", "ERROR", False, 0.0, 0.0, 0.0, None),
+            ("p", 1, "v", "OK", True, None, 0.0, 0.0, None), ("q", 1, "z", "ERROR", False, 0.1, 0.1, 0.1, 0.1)],
         "path string, page int, name string, status string, passed boolean, diff double, mae double, rmse double, ssim double",
     )
     out = {r.path: (r.references, r.passing, r.best_name, r.best_rmse) for r in S.benchmark_rows(pages, refs).collect()}
     assert out == {"p": (4, 2, "x", 2.0), "q": (1, 0, None, None), "s": (0, 0, None, None)}
-    assert [r.line for r in S.csv_lines(spark.createDataFrame([('a "q", b', 0.5, None, 7), (None, 1e-7, 2.0, None)], "s string, x double, y double, n int")).collect()] == ['"a ""q"", b",0.5,,7', '"",0,2,']
+    assert [r.line for r in S.csv_lines(spark.createDataFrame([('a "q", b', 0.5, None, 7), (None, 1e-7, 2.0, None)],
+        "s string, x double, y double, n int")).collect()] == ['"a ""q"", b",0.5,,7', '"",0,2,']
     text = S.benchmark_report("Run", {"Pages": "3"}, {"Checks": pages.orderBy("path").limit(1)})
     assert text.startswith("# Run\n\n- Pages: `3`\n\n## Checks\n\n| path | page | status |\n") and "| p | 1 | OK |" in text
 

@@ -78,14 +78,18 @@ def _shift(x: Column, by: Column) -> Column:
 UNARY: dict[str, Callable[[Column], Column]] = {
     "abs": F.abs, "neg": lambda x: -x, "ceiling": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": lambda x: F.floor(x + 0.5).cast("double"),
     "truncate": _toward_zero, "cvi": _toward_zero, "cvr": lambda x: x, "sqrt": lambda x: F.sqrt(F.when(x > 0, x).otherwise(0.0)), "sin": lambda x: F.sin(F.radians(x)),
-    "cos": lambda x: F.cos(F.radians(x)), "ln": lambda x: F.when(x > 0, F.ln(x)), "log": lambda x: F.when(x > 0, F.log10(x)), "not": lambda x: F.when(x.isin(0.0, 1.0), 1 - x).otherwise(F.bitwise_not(_whole(x)).cast("double")),
+    "cos": lambda x: F.cos(F.radians(x)), "ln": lambda x: F.when(x > 0, F.ln(x)), "log": lambda x: F.when(x > 0, F.log10(x)),
+        "not": lambda x: F.when(x.isin(0.0, 1.0), 1 - x).otherwise(F.bitwise_not(_whole(x)).cast("double")),
 }
 BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "div": lambda x, y: F.when(y == 0, 0.0).otherwise(F.try_divide(x, y)),
-    "idiv": lambda x, y: F.when(y == 0, 0.0).otherwise(_toward_zero(F.try_divide(_toward_zero(x), _toward_zero(y)))), "mod": lambda x, y: F.when(y == 0, 0.0).otherwise(x - y * _toward_zero(F.try_divide(x, y))),
-    "exp": lambda x, y: F.pow(x, y), "atan": lambda x, y: (lambda d: F.when(d < 0, d + 360).otherwise(d))(F.degrees(F.atan2(x, y))), "eq": lambda x, y: _truth(x == y), "ne": lambda x, y: _truth(x != y),
+    "idiv": lambda x, y: F.when(y == 0, 0.0).otherwise(_toward_zero(F.try_divide(_toward_zero(x), _toward_zero(y)))), "mod": lambda x,
+        y: F.when(y == 0, 0.0).otherwise(x - y * _toward_zero(F.try_divide(x, y))),
+    "exp": lambda x, y: F.pow(x, y), "atan": lambda x, y: (lambda d: F.when(d < 0, d + 360).otherwise(d))(F.degrees(F.atan2(x, y))), "eq": lambda x, y: _truth(x == y),
+        "ne": lambda x, y: _truth(x != y),
     "lt": lambda x, y: _truth(x < y), "le": lambda x, y: _truth(x <= y), "gt": lambda x, y: _truth(x > y), "ge": lambda x, y: _truth(x >= y),
-    "and": lambda x, y: _whole(x).bitwiseAND(_whole(y)).cast("double"), "or": lambda x, y: _whole(x).bitwiseOR(_whole(y)).cast("double"), "xor": lambda x, y: _whole(x).bitwiseXOR(_whole(y)).cast("double"), "bitshift": _shift,
+    "and": lambda x, y: _whole(x).bitwiseAND(_whole(y)).cast("double"), "or": lambda x, y: _whole(x).bitwiseOR(_whole(y)).cast("double"), "xor": lambda x,
+        y: _whole(x).bitwiseXOR(_whole(y)).cast("double"), "bitshift": _shift,
 }
 
 
@@ -108,7 +112,8 @@ def _number(x: float) -> Value:
 
 def _folded(word: str, args: Sequence[float]) -> float | None:
     """Arithmetic on known numbers, for counts that a program computes."""
-    plain = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "neg": lambda x: -x, "abs": abs, "cvi": lambda x: float(int(x)), "cvr": float, "truncate": lambda x: float(int(x))}
+    plain = {"add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y, "neg": lambda x: -x, "abs": abs, "cvi": lambda x: float(int(x)), "cvr": float,
+        "truncate": lambda x: float(int(x))}
     return plain[word](*args) if word in plain else None
 
 

@@ -14,7 +14,8 @@ def _levels(roots: DataFrame, kids: DataFrame, on: Column, keep: list[str], deep
     out = level
     for _ in range(deepest):
         below = level.alias("above").join(kids.alias("kid"), on).where("NOT array_contains(above.trail, kid.kid_node)")
-        down = below.select(*[f"above.{k}" for k in keep], F.col("kid.kid_node").alias("node"), F.concat("above.path", F.array("kid.kid_place")).alias("path"), F.concat("above.trail", F.array("kid.kid_node")).alias("trail"))
+        down = below.select(*[f"above.{k}" for k in keep], F.col("kid.kid_node").alias("node"), F.concat("above.path", F.array("kid.kid_place")).alias("path"),
+            F.concat("above.trail", F.array("kid.kid_node")).alias("trail"))
         level = written(down, "names")
         if level.isEmpty():
             discard(level)
@@ -59,7 +60,8 @@ def embedded_files(nodes: DataFrame, entries: DataFrame, attached: DataFrame, sp
     files = specs.select("value", F.coalesce("uf", "f").alias("file_name"), "description", "mime", "size")
     tree = listed(nodes, entries).join(files, "value")
     have = tree.select("doc_id").distinct()
-    older = attached.join(have, "doc_id", "left_anti").join(files, "value").select("doc_id", F.array().cast("array<int>").alias("path"), "place", F.lit(None).cast("string").alias("name"), "file_name", "description", "mime", "size")
+    older = attached.join(have, "doc_id", "left_anti").join(files, "value").select("doc_id", F.array().cast("array<int>").alias("path"), "place",
+        F.lit(None).cast("string").alias("name"), "file_name", "description", "mime", "size")
     rows = tree.select(older.columns).unionByName(older)
     # a document's files are few against its pages: one list for each
     held = F.sort_array(F.collect_list(F.struct("path", "place", "name", "file_name", "description", "mime", "size")))
@@ -88,7 +90,8 @@ def packet(xml: Column) -> Column:
     return F.when(
         x["_bad"].isNull() & x["RDF"].isNotNull(),
         F.struct(
-            F.get(first(lambda d: d["title"]["Alt"]["li"]), F.lit(0)).alias("title"), first(lambda d: d["creator"]["Seq"]["li"]).alias("creators"), F.get(first(lambda d: d["description"]["Alt"]["li"]), F.lit(0)).alias("description"),
+            F.get(first(lambda d: d["title"]["Alt"]["li"]), F.lit(0)).alias("title"), first(lambda d: d["creator"]["Seq"]["li"]).alias("creators"),
+                F.get(first(lambda d: d["description"]["Alt"]["li"]), F.lit(0)).alias("description"),
             first(lambda d: d["subject"]["Bag"]["li"]).alias("subjects"), first(lambda d: d["Keywords"]).alias("keywords"), simple("Producer").alias("producer"), simple("CreatorTool").alias("tool"),
             simple("CreateDate").alias("created"), simple("ModifyDate").alias("modified"), simple("part").alias("part"), simple("conformance").alias("conformance"),
         ),

@@ -81,7 +81,8 @@ def top_regions(cells: DataFrame, most: int = 10) -> DataFrame:
     """(grid, rank, left, right, low, high, pixels, delta, mean) of the ``most`` greatest components of each grid's cells (grid, x, y, delta): by cells, then by the sum of their deltas, then by place."""
     labels = grid_labels(cells).select("grid", "x", "y", "label")
     held = cells.groupBy("grid", "x", "y").agg(F.max("delta").alias("delta")).join(labels, ["grid", "x", "y"])
-    box = held.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("pixels"), F.sum("delta").alias("delta"))
+    box = held.groupBy("grid", "label").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.min("y").alias("low"), F.max("y").alias("high"), F.count("*").alias("pixels"),
+        F.sum("delta").alias("delta"))
     rank = F.row_number().over(Window.partitionBy("grid").orderBy(F.desc("pixels"), F.desc("delta"), "label"))
     return box.withColumn("rank", rank).where(F.col("rank") <= most).select("grid", "rank", "left", "right", "low", "high", "pixels", "delta", (F.col("delta") / F.col("pixels")).alias("mean"))
 

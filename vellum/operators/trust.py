@@ -45,7 +45,8 @@ def trust(signers: DataFrame, certificates: DataFrame, anchors: DataFrame, longe
         joined = onward.join(issuers, "name", "left")
         back = F.array_contains("chain", F.coalesce("tip", F.lit("")))
         wrong = F.col("wrong").bitwiseOR(timed()).bitwiseOR(_bit(~F.col("is_ca"), _AUTHORITY)).bitwiseOR(_bit(F.col("tip").isNull(), _PARTIAL)).bitwiseOR(_bit(back, _CYCLE))
-        step = written(joined.select("cert", "at", "tip", "subject", "issuer", "anchor", F.concat("chain", F.array("tip")).alias("chain"), wrong.alias("wrong"), (F.col("tip").isNull() | back).alias("over")), "chain")
+        step = written(joined.select("cert", "at", "tip", "subject", "issuer", "anchor", F.concat("chain", F.array("tip")).alias("chain"), wrong.alias("wrong"),
+            (F.col("tip").isNull() | back).alias("over")), "chain")
         ends.append(step.where("over").select("cert", "at", F.lit(None).cast("string").alias("root"), F.lit(n).alias("links"), "wrong"))
         tables += [level, step]
         level = step.where("NOT over")
@@ -57,7 +58,8 @@ def trust(signers: DataFrame, certificates: DataFrame, anchors: DataFrame, longe
     every = ends[0]
     for e in ends[1:]:
         every = every.unionByName(e)
-    best = every.groupBy("cert", "at").agg(F.min(F.struct(F.bit_count("wrong").alias("n"), F.col("root").isNull().alias("open"), "links", F.coalesce("root", F.lit("")).alias("root_name"), "wrong")).alias("b"))
+    best = every.groupBy("cert",
+        "at").agg(F.min(F.struct(F.bit_count("wrong").alias("n"), F.col("root").isNull().alias("open"), "links", F.coalesce("root", F.lit("")).alias("root_name"), "wrong")).alias("b"))
     best = written(best, "trust")
     discard(*{t._scratch_path: t for t in (*tables, c)}.values())
     found = signers.join(best, ["cert", "at"], "left")

@@ -19,13 +19,15 @@ def redact_document(spark, sf_dir):
     named = lambda kind, text: F.struct(F.lit(kind).alias("carrier"), text.alias("text"))
     held = F.array(
         named("info", F.concat("source", F.lit(" and "), "lang")), named("packet", F.concat(F.lit("<x>"), "lang", F.lit(" And "), "source", F.lit("</x>"))),
-        named("outline", F.when(F.col("doc_id") % 3 == 0, " and ").otherwise(F.substring_index("text", "\n", 1))), named("annotation", F.when(F.col("doc_id") % 5 == 0, " and ").otherwise(F.col("text"))),
+        named("outline", F.when(F.col("doc_id") % 3 == 0, " and ").otherwise(F.substring_index("text", "\n", 1))),
+            named("annotation", F.when(F.col("doc_id") % 5 == 0, " and ").otherwise(F.col("text"))),
     )
     carriers = docs.select("doc_id", F.posexplode(held).alias("place", "c")).select("doc_id", "c.carrier", "place", "c.text")
     done = redact.redact_document(letters(docs), drawn.operators(docs.select("doc_id", "text")), carriers, _TERM, case_sensitive=True)
     pages = done.letters.groupBy("doc_id").agg(F.count("*").alias("glyphs"), F.md5(layout._joined("line_no", "c", "value")).alias("digest"))
     ops = done.ops.groupBy("doc_id").agg(F.count_if(F.contains("arg", F.lit(_TERM))).alias("left_operators"))
-    left = done.carriers.groupBy("doc_id").agg(F.count("*").alias("left_carriers"), F.sum(F.regexp_count("text", F.lit(T.quoted(_TERM)))).cast("long").alias("left_terms"), F.max(F.when(F.col("carrier") == "outline", F.left("text", F.lit(40)))).alias("outline"))
+    left = done.carriers.groupBy("doc_id").agg(F.count("*").alias("left_carriers"), F.sum(F.regexp_count("text", F.lit(T.quoted(_TERM)))).cast("long").alias("left_terms"),
+        F.max(F.when(F.col("carrier") == "outline", F.left("text", F.lit(40)))).alias("outline"))
     return done.report.join(pages, "doc_id", "left").join(ops, "doc_id", "left").join(left, "doc_id", "left")
 
 
@@ -35,7 +37,8 @@ def contract_pages(spark, sf_dir):
     path = lambda n: F.concat(F.when(n % 3 == 0, "corpus/").when(n % 3 == 1, "other\\").otherwise(""), F.lit("f"), n.cast("string"))
     pages = load(spark, sf_dir, "part").select(k.alias("id"), path(k).alias("path"), (k % 4).alias("page"), F.lit("PASS").alias("release"), F.col("p_brand").alias("quality"))
     named = F.concat(F.when(k % 3 == 1, "other/").when((k % 3 == 2) & (k % 5 < 3), "corpus/").when((k % 3 == 0) & (k % 5 < 3), "corpus/").otherwise(""), F.lit("f"), k.cast("string"))
-    contracts = load(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(named.alias("path"), (k % 4).alias("page"), F.when(k % 2 == 0, "KNOWN").alias("release"), F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit("q"), k.cast("string"))).alias("quality"))
+    contracts = load(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(named.alias("path"), (k % 4).alias("page"), F.when(k % 2 == 0, "KNOWN").alias("release"),
+        F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit("q"), k.cast("string"))).alias("quality"))
     columns = ["release", "quality"]
     loose = corpus.contract_pages(pages, contracts, "path", "page", "corpus/", columns).withColumn("strict", F.lit(False))
     return loose.unionByName(corpus.contract_pages(pages, contracts, "path", "page", "corpus/", columns, strict=True).withColumn("strict", F.lit(True))).drop("page")
@@ -48,7 +51,8 @@ def move_pages_down(spark, sf_dir):
 
 def operators_not_contained(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    areas = docs.select("doc_id", F.lit(0).alias("page_no"), F.lit(0.0).alias("left"), (F.lit(500) - F.col("doc_id") % 50 * 7).cast("double").alias("bottom"), F.lit(170.0).alias("right"), F.lit(760.0).alias("top"))
+    areas = docs.select("doc_id", F.lit(0).alias("page_no"), F.lit(0.0).alias("left"), (F.lit(500) - F.col("doc_id") % 50 * 7).cast("double").alias("bottom"),
+        F.lit(170.0).alias("right"), F.lit(760.0).alias("top"))
     left = content.without_contained(drawn.operators(docs), areas)
     return left.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("name") == "Tj").alias("texts"), F.sum("ix").alias("places"))
 
@@ -58,7 +62,8 @@ def image_channels(spark, sf_dir):
     byte = lambda v: F.floor((F.greatest(F.lit(-0.25), F.least(F.lit(0.25), v.cast("double"))) + 0.25) * 510).cast("int")
     at = lambda n: F.get("embedding", F.col("p") * 4 + n)
     p = load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
-    p = p.select("vec_id", (F.col("p") % 4).alias("x"), F.floor(F.col("p") / 4).alias("y"), byte(at(0)).alias("red"), byte(at(1)).alias("green"), byte(at(2)).alias("blue"), F.when(at(3) > 0.1, 255).otherwise(byte(at(3))).alias("alpha"))
+    p = p.select("vec_id", (F.col("p") % 4).alias("x"), F.floor(F.col("p") / 4).alias("y"), byte(at(0)).alias("red"), byte(at(1)).alias("green"), byte(at(2)).alias("blue"),
+        F.when(at(3) > 0.1, 255).otherwise(byte(at(3))).alias("alpha"))
     out = records.image_facts(p, "vec_id", (0, 0, 4, 3))
     return out.select("vec_id", "pixels", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("mean_")], "dark", "transparent", "not_white")
 
@@ -89,7 +94,8 @@ def colour_tables(spark, sf_dir):
 
 
 #: Letters of texts, what stands for them (pointed and joined forms, wide letters, hard spaces, ligatures), and what folding makes of those.
-_DISGUISED = {"a": ("\u05d0\u05b8", "\u05d0"), "e": ("\ufe8d", "\u0627"), "i": ("\uff49", "i"), "o": ("o\u00ad", "o"), "u": ("\ufb01", "fi"), " ": ("\u00a0", " "), "n": ("\u0645\u064e", "\u0645"), "t": ("t\u200d", "t"), "s": ("e\u0301", "\u00e9")}
+_DISGUISED = {"a": ("\u05d0\u05b8", "\u05d0"), "e": ("\ufe8d", "\u0627"), "i": ("\uff49", "i"), "o": ("o\u00ad", "o"), "u": ("\ufb01", "fi"), " ": ("\u00a0", " "),
+    "n": ("\u0645\u064e", "\u0645"), "t": ("t\u200d", "t"), "s": ("e\u0301", "\u00e9")}
 
 
 def fold_disguised(spark, sf_dir):
@@ -117,16 +123,20 @@ def benchmark_lines(spark, sf_dir):
     """CSV lines of pages (orders) with their best reference (a line of the order)."""
     from vellum.sources.sinks import benchmark_rows, csv_lines
 
-    pages = load(spark, sf_dir, "orders").select(F.concat(F.lit('a "b"/'), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 3).alias("page"), F.col("o_orderstatus").alias("status"))
+    pages = load(spark, sf_dir, "orders").select(F.concat(F.lit('a "b"/'), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 3).alias("page"),
+        F.col("o_orderstatus").alias("status"))
     r = load(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit('a "b"/'), F.col("l_orderkey").cast("string")).alias("path"), (F.col("l_orderkey") % 3).alias("page"), F.concat(F.lit("r"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("name"),
-        F.when(F.col("l_linestatus") == "O", "OK").otherwise("FAILED").alias("status"), (F.col("l_quantity") > 25).alias("passed"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_discount")).alias("diff"), F.col("l_tax").alias("mae"),
+        F.concat(F.lit('a "b"/'), F.col("l_orderkey").cast("string")).alias("path"), (F.col("l_orderkey") % 3).alias("page"),
+            F.concat(F.lit("r"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("name"),
+        F.when(F.col("l_linestatus") == "O", "OK").otherwise("FAILED").alias("status"), (F.col("l_quantity") > 25).alias("passed"),
+            F.when(F.col("l_partkey") % 4 > 0, F.col("l_discount")).alias("diff"), F.col("l_tax").alias("mae"),
         (F.col("l_quantity") / 8).alias("rmse"), F.lit(None).cast("double").alias("ssim"),
     )
     return csv_lines(benchmark_rows(pages, r))
 
 
-QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines, fold_disguised, ink_pages)}
+QUERIES = {f.__name__: f for f in (redact_document, contract_pages, move_pages_down, operators_not_contained, image_channels, colour_tables, report_envelopes, benchmark_lines,
+    fold_disguised, ink_pages)}
 
 _INK = {"c": "d * 10", "m": "t * 12.5", "y": "q / 50", "k": "t"}
 
@@ -145,7 +155,8 @@ def _grid(o: int) -> str:
     return " + ".join(corners)
 
 
-_XYZ = {n: f"(CASE WHEN {t} > 0.206897 THEN power({t}, 3) ELSE ({t} - 16.0 / 116) / 7.787 END * {w})" for n, t, w in (("x", "((d * 800 - 40) / 500 + (q * 2 + 16) / 116)", 0.96422), ("y", "((q * 2 + 16) / 116)", 1.0), ("z", "((q * 2 + 16) / 116 - (t * 900 - 30) / 200)", 0.82521))}
+_XYZ = {n: f"(CASE WHEN {t} > 0.206897 THEN power({t}, 3) ELSE ({t} - 16.0 / 116) / 7.787 END * {w})" for n, t,
+    w in (("x", "((d * 800 - 40) / 500 + (q * 2 + 16) / 116)", 0.96422), ("y", "((q * 2 + 16) / 116)", 1.0), ("z", "((q * 2 + 16) / 116 - (t * 900 - 30) / 200)", 0.82521))}
 
 
 def _lab(i: int) -> str:
@@ -180,12 +191,15 @@ ORACLES = {
     "redact_document": f"""WITH {LETTERS_SQL},
 l AS (SELECT doc_id, line_no, line, replace(line, ' and ', '') AS kept, (length(line) - length(replace(line, ' and ', ''))) // 5 AS n FROM lines),
 g AS (SELECT doc_id, string_agg(kept, '' ORDER BY line_no) AS o, CAST(sum(n) AS BIGINT) AS matches, CAST(count_if(n > 0) AS BIGINT) AS operators FROM l GROUP BY doc_id),
-d AS (SELECT doc_id, source || ' and ' || lang AS info, CASE WHEN doc_id % 3 = 0 THEN ' and ' ELSE string_split(text, chr(10))[1] END AS outline, CASE WHEN doc_id % 5 = 0 THEN ' and ' ELSE text END AS note FROM documents)
-SELECT g.doc_id, matches, operators, CAST(1 + CAST(contains(outline, ' and ') AS INT) + CAST(contains(note, ' and ') AS INT) AS BIGINT) AS carriers, CASE WHEN o <> '' THEN length(o) END AS glyphs, CASE WHEN o <> '' THEN md5(o) END AS digest,
+d AS (SELECT doc_id, source || ' and ' || lang AS info, CASE WHEN doc_id % 3 = 0 THEN ' and ' ELSE string_split(text, chr(10))[1] END AS outline, CASE WHEN doc_id % 5 = 0 THEN
+  ' and ' ELSE text END AS note FROM documents)
+SELECT g.doc_id, matches, operators, CAST(1 + CAST(contains(outline, ' and ') AS INT) + CAST(contains(note, ' and ') AS INT) AS BIGINT) AS carriers, CASE WHEN o <> '' THEN
+  length(o) END AS glyphs, CASE WHEN o <> '' THEN md5(o) END AS digest,
   CAST(0 AS BIGINT) AS left_operators, CAST(3 + CASE WHEN contains(note, ' and ') AND {_CUT.format('note')} = '' THEN 0 ELSE 1 END AS BIGINT) AS left_carriers, CAST(0 AS BIGINT) AS left_terms,
   left(CASE WHEN contains(outline, ' and ') THEN coalesce(nullif({_CUT.format('outline')}, ''), '[redacted]') ELSE outline END, 40) AS outline
 FROM g JOIN d USING (doc_id)""",
-    "contract_pages": """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'corpus/' WHEN 1 THEN 'other\\' ELSE '' END || 'f' || p_partkey AS path, p_brand AS b, p_partkey % 7 <> 0 AS found FROM part), s AS (SELECT *, unnest([true, false]) AS strict FROM p)
+    "contract_pages": """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'corpus/' WHEN 1 THEN 'other\\' ELSE '' END || 'f' || p_partkey AS path, p_brand AS b,
+  p_partkey % 7 <> 0 AS found FROM part), s AS (SELECT *, unnest([true, false]) AS strict FROM p)
 SELECT k AS id, path, CASE WHEN found THEN CASE WHEN k % 2 = 0 THEN 'KNOWN' ELSE 'PASS' END WHEN strict THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS release,
   CASE WHEN found THEN CASE WHEN k % 11 = 0 THEN b ELSE 'q' || k END WHEN strict THEN 'NEEDS_REVIEW' ELSE b END AS quality, CASE WHEN found THEN 'APPLIED' ELSE 'MISSING' END AS contract_status, strict FROM s""",
     "move_pages_down": """WITH c AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
@@ -194,8 +208,10 @@ SELECT conv_id, turn, CAST(CASE WHEN turn % 3 = 0 THEN CASE WHEN turn >= 3 THEN
 SELECT doc_id, count(*) AS n, count_if(name = 'Tj') AS texts, CAST(sum(ix) AS BIGINT) AS places FROM operators
 WHERE NOT coalesce(page_no = 0 AND l >= 0 AND r <= 170 AND b >= 500 - doc_id % 50 * 7 AND t <= 760, false) GROUP BY doc_id""",
     "image_channels": f"""WITH e AS (SELECT vec_id, embedding, unnest(range(12)) AS p FROM embeddings),
-x AS (SELECT vec_id, {_BYTE.format(1)} AS r, {_BYTE.format(2)} AS g, {_BYTE.format(3)} AS b, CASE WHEN CAST(embedding[p * 4 + 4] AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 ELSE {_BYTE.format(4)} END AS a FROM e)
-SELECT vec_id, count(*) AS pixels, round(sum(r) / count(*), 6) AS mean_red, round(sum(g) / count(*), 6) AS mean_green, round(sum(b) / count(*), 6) AS mean_blue, round(sum(a) / count(*), 6) AS mean_alpha,
+x AS (SELECT vec_id, {_BYTE.format(1)} AS r, {_BYTE.format(2)} AS g, {_BYTE.format(3)} AS b, CASE WHEN CAST(embedding[p * 4 + 4] AS DOUBLE) > CAST(0.1 AS DOUBLE) THEN 255 ELSE
+  {_BYTE.format(4)} END AS a FROM e)
+SELECT vec_id, count(*) AS pixels, round(sum(r) / count(*), 6) AS mean_red, round(sum(g) / count(*), 6) AS mean_green, round(sum(b) / count(*), 6) AS mean_blue, round(sum(a) /
+  count(*), 6) AS mean_alpha,
   count_if(0.299 * r + 0.587 * g + 0.114 * b < 64) AS dark, count_if(a < 255) AS transparent, count_if(least(r, g, b) < 250 OR a < 255) AS not_white FROM x GROUP BY vec_id""",
     "ink_pages": f"""WITH {LETTERS_SQL}, g AS (SELECT doc_id AS grid, left_x % 640 AS x, ((bottom % 650) + 650) % 650 AS y, value FROM letters WHERE page_no = 0),
 w AS (SELECT DISTINCT grid, x, y FROM g), h AS (SELECT DISTINCT grid, x, y FROM g WHERE NOT CASE grid % 4 WHEN 0 THEN true WHEN 1 THEN value IN ('e', 't', 'a') ELSE y < 300 END),
@@ -209,9 +225,12 @@ FROM documents""",
     "report_envelopes": """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS p, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS f FROM lineitem)
 SELECT l_orderkey, '{"schemaVersion":1,"kind":"lines","document":' || l_orderkey || ',"totals":{"lines":' || count(*) || ',"flagged":' || count(f) || '},"results":[' ||
   string_agg('{"l_linenumber":' || n || ',"l_partkey":' || p || ',"flag":' || coalesce('"' || f || '"', 'null') || '}', ',' ORDER BY n, p, f NULLS FIRST) || ']}' AS json FROM l GROUP BY l_orderkey""",
-    "benchmark_lines": f"""WITH r AS (SELECT l_orderkey AS k, 'r' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, l_linestatus = 'O' AS ok, l_quantity > 25 AS passed, CASE WHEN l_partkey % 4 > 0 THEN l_discount END AS diff, l_tax AS mae, l_quantity / 8 AS rmse FROM lineitem),
-g AS (SELECT k, count(*) AS n, count_if(passed) AS p FROM r GROUP BY k), b AS (SELECT * FROM r WHERE ok QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(diff, 'inf'::DOUBLE), mae, name) = 1)
-SELECT '"a ""b""/' || o_orderkey || '",' || o_orderkey % 3 || ',"' || o_orderstatus || '",' || coalesce(n, 0) || ',' || coalesce(p, 0) || ',"' || coalesce(b.name, '') || '",' || coalesce({_SHORT.format('b.diff')}, '') || ',' || coalesce({_SHORT.format('b.mae')}, '') || ',' || coalesce({_SHORT.format('b.rmse')}, '') || ',' AS line
+    "benchmark_lines": f"""WITH r AS (SELECT l_orderkey AS k, 'r' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name, l_linestatus = 'O' AS ok, l_quantity > 25 AS
+  passed, CASE WHEN l_partkey % 4 > 0 THEN l_discount END AS diff, l_tax AS mae, l_quantity / 8 AS rmse FROM lineitem),
+g AS (SELECT k, count(*) AS n, count_if(passed) AS p FROM r GROUP BY k), b AS (SELECT * FROM r WHERE ok QUALIFY row_number() OVER (PARTITION BY k ORDER BY coalesce(diff,
+  'inf'::DOUBLE), mae, name) = 1)
+SELECT '"a ""b""/' || o_orderkey || '",' || o_orderkey % 3 || ',"' || o_orderstatus || '",' || coalesce(n, 0) || ',' || coalesce(p, 0) || ',"' || coalesce(b.name, '') || '",' ||
+  coalesce({_SHORT.format('b.diff')}, '') || ',' || coalesce({_SHORT.format('b.mae')}, '') || ',' || coalesce({_SHORT.format('b.rmse')}, '') || ',' AS line
 FROM orders LEFT JOIN g ON g.k = o_orderkey LEFT JOIN b ON b.k = o_orderkey""",
     "colour_tables": "SELECT d, t, q, "
     + ", ".join(

@@ -28,8 +28,10 @@ def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page": (F.col("place") - 1).cast("int"), "subtype": k, "rect": F.array(x, y, x2, y2), "color": of(("Highlight", "Square"), F.col("l_discount") * 5, F.col("l_tax") * 5, F.lit(0.25)),
         "interior": of(("Square",), F.lit(0.0), F.lit(1.0), F.lit(0.2)), "flags": F.when(F.col("place") % 3 == 0, 4 + 128).otherwise(4), "name": F.concat_ws("-", F.lit("n"), "doc_id", "place"),
         "width": F.when(k.isin("Square", "Ink"), 2.5), "style": F.when(k == "Square", "D"), "dashes": of(("Square",), F.lit(3.0), F.lit(1.5)), "quads": of(("Highlight",), x, y2, x2, y2, x, y, x2, y),
-        "line": of(("Line",), x2, y, x, y2), "vertices": of(("Polygon",), x, y, x2, y, x2, y2), "strokes": F.when(k == "Ink", F.array(F.array(x, y, x2, y2), F.array(x, y2, x2, y))), "icon": F.when(k == "Text", "Help"),
-        "open": F.when(k == "Text", F.col("place") % 2 == 0), "quadding": F.when(k == "FreeText", (F.col("place") % 3).cast("int")), "appearance": F.when(k == "FreeText", "0 0.5 1 rg /Helv 9.5 Tf"), "contents": F.when(~k.isin("Ink", "Line"), text),
+        "line": of(("Line",), x2, y, x, y2), "vertices": of(("Polygon",), x, y, x2, y, x2, y2),
+            "strokes": F.when(k == "Ink", F.array(F.array(x, y, x2, y2), F.array(x, y2, x2, y))), "icon": F.when(k == "Text", "Help"),
+        "open": F.when(k == "Text", F.col("place") % 2 == 0), "quadding": F.when(k == "FreeText", (F.col("place") % 3).cast("int")),
+            "appearance": F.when(k == "FreeText", "0 0.5 1 rg /Helv 9.5 Tf"), "contents": F.when(~k.isin("Ink", "Line"), text),
     }
     fields = [own.get(n.split()[0], F.lit(None)).cast(n.split(" ", 1)[1]).alias(n.split()[0]) for n in A.FIELDS.split(", ")]
     return t.select("doc_id", "place", *fields)
@@ -44,8 +46,10 @@ def xfdf_import(spark, sf_dir):
     rows = A.imported(files, files.select("doc_id", F.lit(5).alias("n_pages")))
     scaled = lambda c: F.array_join(F.transform(c, lambda v: F.rint(v * 255).cast("int").cast("string")), ",")
     return rows.select(
-        "doc_id", "place", "element", "page", "subtype", A.numbers(F.col("rect")).alias("rect"), scaled(F.col("color")).alias("color"), scaled(F.col("interior")).alias("interior"), "flags", "name", A.number(F.col("width")).alias("width"),
-        "style", A.numbers(F.col("dashes")).alias("dashes"), A.numbers(F.col("quads")).alias("quads"), A.numbers(F.col("line")).alias("line"), A.numbers(F.col("vertices")).alias("vertices"), A.numbers(F.flatten("strokes")).alias("strokes"),
+        "doc_id", "place", "element", "page", "subtype", A.numbers(F.col("rect")).alias("rect"), scaled(F.col("color")).alias("color"),
+            scaled(F.col("interior")).alias("interior"), "flags", "name", A.number(F.col("width")).alias("width"),
+        "style", A.numbers(F.col("dashes")).alias("dashes"), A.numbers(F.col("quads")).alias("quads"), A.numbers(F.col("line")).alias("line"),
+            A.numbers(F.col("vertices")).alias("vertices"), A.numbers(F.flatten("strokes")).alias("strokes"),
         "icon", "open", "quadding", scaled(F.col("letter_color")).alias("letter_color"), A.number(F.col("letter_size")).alias("letter_size"), "contents", "skipped",
     )
 
@@ -82,19 +86,23 @@ def _certificates(spark, sf_dir):
 
 
 def signature_trust(spark, sf_dir):
-    signers = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sig"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 10_000_000).otherwise(0)).cast("string").alias("cert"), (F.col("o_orderkey") % 25).alias("at"))
+    signers = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sig"),
+        (F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 10_000_000).otherwise(0)).cast("string").alias("cert"), (F.col("o_orderkey") % 25).alias("at"))
     certs = _certificates(spark, sf_dir)
     return trust.trust(signers, certs, certs.where("cert IN ('1', '2')"))
 
 
 def _files(spark, sf_dir):
     """Files of suppliers in the trees of their nations: leaves of four, knots of three leaves, a root; every third nation has the older list."""
-    s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"), F.concat(F.lit("f"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("name"))
+    s = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"), F.col("s_suppkey").alias("k"),
+        F.concat(F.lit("f"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("name"))
     tree = s.where("doc_id % 3 <> 0").withColumns({"leaf": F.floor(F.col("k") / 4).cast("int"), "knot": F.floor(F.col("k") / 12).cast("int")})
     limits = [F.min("name").alias("low"), F.max("name").alias("high")]
-    leaf = tree.groupBy("doc_id", "leaf", "knot").agg(*limits).select("doc_id", F.concat(F.lit("L"), "leaf").alias("node"), F.concat(F.lit("K"), "knot").alias("parent"), F.col("leaf").alias("place"), "low", "high")
+    leaf = tree.groupBy("doc_id", "leaf", "knot").agg(*limits).select("doc_id", F.concat(F.lit("L"), "leaf").alias("node"), F.concat(F.lit("K"), "knot").alias("parent"),
+        F.col("leaf").alias("place"), "low", "high")
     knot = tree.groupBy("doc_id", "knot").agg(*limits).select("doc_id", F.concat(F.lit("K"), "knot").alias("node"), F.lit("root").alias("parent"), F.col("knot").alias("place"), "low", "high")
-    root = tree.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"))
+    root = tree.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("place"),
+        F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"))
     nodes = root.unionByName(knot).unionByName(leaf)
     entries = tree.select("doc_id", F.concat(F.lit("L"), "leaf").alias("node"), (F.col("k") % 4).cast("int").alias("place"), "name", F.col("k").alias("value"))
     attached = s.where("doc_id % 3 = 0 OR k % 5 = 0").select("doc_id", F.col("k").cast("int").alias("place"), F.col("k").alias("value"))
@@ -111,7 +119,8 @@ def embedded_files(spark, sf_dir):
 
 def name_lookup(spark, sf_dir):
     nodes, entries, _ = _files(spark, sf_dir)
-    wanted = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("f"), F.lpad((F.col("s_suppkey") + F.col("s_suppkey") % 2).cast("string"), 9, "0")).alias("name"))
+    wanted = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_id"),
+        F.concat(F.lit("f"), F.lpad((F.col("s_suppkey") + F.col("s_suppkey") % 2).cast("string"), 9, "0")).alias("name"))
     return nametree.looked_up(wanted, nodes, entries)
 
 
@@ -121,7 +130,8 @@ def metadata_packet(spark, sf_dir):
     whole = F.concat(
         F.lit('<?xpacket begin="﻿" id="p"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" '
               'xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmp:CreatorTool="'), F.col("source"),
-        F.lit('"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">'), title, F.lit("</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq><rdf:li>"), F.col("source"), F.lit("</rdf:li><rdf:li>"), F.col("lang"),
+        F.lit('"><dc:title><rdf:Alt><rdf:li xml:lang="x-default">'), title, F.lit("</rdf:li></rdf:Alt></dc:title><dc:creator><rdf:Seq><rdf:li>"), F.col("source"),
+            F.lit("</rdf:li><rdf:li>"), F.col("lang"),
         F.lit('</rdf:li></rdf:Seq></dc:creator></rdf:Description><rdf:Description rdf:about="" xmlns:pdf="http://ns.adobe.com/pdf/1.3/" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"><pdf:Producer>made</pdf:Producer><pdfaid:part>2</pdfaid:part>'
               "</rdf:Description></rdf:RDF></x:xmpmeta>"), F.lit('<?xpacket end="w"?>'),
     )
@@ -140,7 +150,8 @@ def utf8_map() -> C.CharacterMap:
 
 
 def cmap_decode(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat(F.encode("text", "utf-8"), F.lit(b"\xff\xe2\x82"))).otherwise(F.encode("text", "utf-8")).alias("raw"))
+    d = load(spark, sf_dir, "documents").select("doc_id",
+        F.when(F.col("doc_id") % 4 == 1, F.concat(F.encode("text", "utf-8"), F.lit(b"\xff\xe2\x82"))).otherwise(F.encode("text", "utf-8")).alias("raw"))
     return d.select("doc_id", C.decoded(F.col("raw"), utf8_map()).alias("d")).select("doc_id", "d.text", "d.codes", "d.unknown")
 
 
@@ -152,14 +163,16 @@ def bidi_order(spark, sf_dir):
     g = letters(load(spark, sf_dir, "documents"))
     value = F.translate(F.lower("value"), "abcdefghijklmnopqrst", _HEBREW)
     value = F.when(F.col("line_no") % 3 == 2, value).otherwise(F.regexp_replace(value, "[uvwxyzóíáéúñüöäßçèêâàôîûùë]", "1"))
-    g = g.select("doc_id", "page_no", "line_no", (F.col("line_no").cast("long") * 1_000_000 + F.col("c")).alias("ix"), value.alias("value"), F.when(F.col("line_no") % 2 == 0, F.col("left")).otherwise(-F.col("left")).alias("x"), F.col("bottom").alias("y"))
+    g = g.select("doc_id", "page_no", "line_no", (F.col("line_no").cast("long") * 1_000_000 + F.col("c")).alias("ix"), value.alias("value"),
+        F.when(F.col("line_no") % 2 == 0, F.col("left")).otherwise(-F.col("left")).alias("x"), F.col("bottom").alias("y"))
     return bidi.lines_read(bidi.reading_order(g, ["doc_id", "page_no"]), ["doc_id", "page_no"])
 
 
 def split_by_outline(spark, sf_dir):
     p = load(spark, sf_dir, "conversations")
     above = F.when(F.col("turn") % 3 == 2, F.col("turn") - 1)
-    outline = p.where("conv_id % 5 <> 0 AND turn % 3 <> 0").select("conv_id", (F.col("turn") * 10).alias("node"), above.alias("parent"), F.concat("role", F.lit(" "), "turn").alias("title"), (F.col("turn") + F.col("conv_id") % 2).alias("page"))
+    outline = p.where("conv_id % 5 <> 0 AND turn % 3 <> 0").select("conv_id", (F.col("turn") * 10).alias("node"), above.alias("parent"),
+        F.concat("role", F.lit(" "), "turn").alias("title"), (F.col("turn") + F.col("conv_id") % 2).alias("page"))
     return organise.split_by_outline(p, outline, "conv_id", "turn")
 
 
@@ -180,7 +193,8 @@ def top_regions(spark, sf_dir):
     return trees.top_regions(cells, 3).select("grid", "rank", "left", "right", "low", "high", "pixels", "delta", F.round("mean", 6).alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (xfdf_export, xfdf_import, calculator_functions, signature_trust, embedded_files, name_lookup, metadata_packet, cmap_decode, bidi_order, split_by_outline, pruned_objects, top_regions)}
+QUERIES = {f.__name__: f for f in (xfdf_export, xfdf_import, calculator_functions, signature_trust, embedded_files, name_lookup, metadata_packet, cmap_decode, bidi_order,
+    split_by_outline, pruned_objects, top_regions)}
 
 _NUMBER = r"regexp_replace(CAST(CAST(round({0}, 6) AS DECIMAL(24, 6)) AS VARCHAR), '\.?0+$', '')"
 
@@ -192,14 +206,17 @@ def _list(*values: str) -> str:
 _BYTE = "lpad(upper(printf('%x', CAST(round_even({0} * 255, 0) AS BIGINT))), 2, '0')"
 _ANNOTATIONS = f"""a AS (
   SELECT *, x + 50.25 AS x2, y + 20 AS y2, 'n-' || doc_id || '-' || place AS name, place - 1 AS page, rf || ' & <' || ls || '>' AS said FROM (
-    SELECT l_orderkey AS doc_id, l_linenumber AS place, l_partkey % 8 AS kind, (l_suppkey % 100) * 1.5 AS x, l_quantity * 8 AS y, l_discount * 5 AS r, l_tax * 5 AS g, l_returnflag AS rf, l_linestatus AS ls FROM lineitem)),
-n AS (SELECT *, {_NUMBER.format("x")} AS nx, {_NUMBER.format("y")} AS ny, {_NUMBER.format("x2")} AS nx2, {_NUMBER.format("y2")} AS ny2, CASE kind WHEN 1 THEN 'highlight' WHEN 2 THEN 'square' WHEN 3 THEN 'ink' WHEN 4 THEN 'text' WHEN 5 THEN 'freetext' WHEN 6 THEN 'line' WHEN 7 THEN 'polygon' END AS tag,
+    SELECT l_orderkey AS doc_id, l_linenumber AS place, l_partkey % 8 AS kind, (l_suppkey % 100) * 1.5 AS x, l_quantity * 8 AS y, l_discount * 5 AS r, l_tax * 5 AS g, l_returnflag
+  AS rf, l_linestatus AS ls FROM lineitem)),
+n AS (SELECT *, {_NUMBER.format("x")} AS nx, {_NUMBER.format("y")} AS ny, {_NUMBER.format("x2")} AS nx2, {_NUMBER.format("y2")} AS ny2, CASE kind WHEN 1 THEN 'highlight' WHEN 2
+  THEN 'square' WHEN 3 THEN 'ink' WHEN 4 THEN 'text' WHEN 5 THEN 'freetext' WHEN 6 THEN 'line' WHEN 7 THEN 'polygon' END AS tag,
   CASE WHEN kind IN (1, 2) THEN '#' || {_BYTE.format("r")} || {_BYTE.format("g")} || '40' END AS color FROM a),
 x AS (SELECT *, '<' || tag || ' page="' || page || '" rect="' || nx || ',' || ny || ',' || nx2 || ',' || ny2 || '"' || coalesce(' color="' || color || '"', '')
   || CASE WHEN kind = 2 THEN ' interior-color="#00FF33"' ELSE '' END || ' flags="print' || CASE WHEN place % 3 = 0 THEN ',locked' ELSE '' END || '" name="' || name || '"'
   || CASE WHEN kind IN (2, 3) THEN ' width="2.5"' ELSE '' END || CASE WHEN kind = 2 THEN ' style="dash" dashes="3,1.5"' ELSE '' END
   || CASE kind WHEN 1 THEN ' coords="' || concat_ws(',', nx, ny2, nx2, ny2, nx, ny, nx2, ny) || '"' WHEN 6 THEN ' start="' || nx2 || ',' || ny || '" end="' || nx || ',' || ny2 || '"'
-    WHEN 7 THEN ' vertices="' || nx || ',' || ny || ';' || nx2 || ',' || ny || ';' || nx2 || ',' || ny2 || '"' WHEN 4 THEN ' icon="Help" open="' || CASE WHEN place % 2 = 0 THEN 'yes' ELSE 'no' END || '"'
+    WHEN 7 THEN ' vertices="' || nx || ',' || ny || ';' || nx2 || ',' || ny || ';' || nx2 || ',' || ny2 || '"' WHEN 4 THEN ' icon="Help" open="' || CASE WHEN place % 2 = 0 THEN
+  'yes' ELSE 'no' END || '"'
     WHEN 5 THEN CASE place % 3 WHEN 1 THEN ' justification="centered"' WHEN 2 THEN ' justification="right"' ELSE '' END ELSE '' END || '>'
   || CASE kind WHEN 3 THEN '<inklist><gesture>' || nx || ',' || ny || ';' || nx2 || ',' || ny2 || '</gesture><gesture>' || nx || ',' || ny2 || ';' || nx2 || ',' || ny || '</gesture></inklist>'
     WHEN 5 THEN '<defaultappearance>0 0.5 1 rg /Helv 9.5 Tf</defaultappearance>' ELSE '' END
@@ -208,7 +225,8 @@ _ORDERED = "row_number() OVER (PARTITION BY doc_id ORDER BY page, place, xml)"
 
 _TRUST = """WITH RECURSIVE c AS (
   SELECT CAST(c_custkey AS VARCHAR) AS cert, CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 'S' || (c_custkey - 1) ELSE 'S' || c_custkey END AS subject,
-    CASE WHEN c_custkey < 4 THEN 'S' || c_custkey WHEN c_custkey % 29 = 0 THEN 'nobody' WHEN c_custkey % 31 = 0 THEN 'S' || (c_custkey + 1) WHEN c_custkey % 31 = 1 THEN 'S' || (c_custkey - 1) ELSE 'S' || (c_custkey // 4) END AS issuer,
+    CASE WHEN c_custkey < 4 THEN 'S' || c_custkey WHEN c_custkey % 29 = 0 THEN 'nobody' WHEN c_custkey % 31 = 0 THEN 'S' || (c_custkey + 1) WHEN c_custkey % 31 = 1 THEN 'S' ||
+  (c_custkey - 1) ELSE 'S' || (c_custkey // 4) END AS issuer,
     c_custkey % 7 AS lo, 18 + c_custkey % 13 AS hi, c_custkey % 17 <> 3 AS ca, c_custkey IN (1, 2) AS anchor FROM customer),
 s AS (SELECT o_orderkey AS sig, CAST(o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 10000000 ELSE 0 END AS VARCHAR) AS cert, o_orderkey % 25 AS t FROM orders),
 w AS (
@@ -216,37 +234,50 @@ w AS (
   FROM (SELECT DISTINCT cert, t FROM s) s JOIN c USING (cert) WHERE subject IS NOT NULL AND issuer IS NOT NULL
   UNION ALL
   SELECT w.cert, w.t, c.cert, c.subject, c.issuer, c.anchor, list_append(w.chain, c.cert), w.wrong | CASE WHEN w.t < lo OR w.t > hi THEN 1 ELSE 0 END | CASE WHEN NOT ca THEN 2 ELSE 0 END
-    | CASE WHEN c.cert IS NULL THEN 4 ELSE 0 END | CASE WHEN list_contains(w.chain, c.cert) THEN 16 ELSE 0 END, CASE WHEN c.cert IS NULL OR list_contains(w.chain, c.cert) THEN w.n ELSE w.n + 1 END, c.cert IS NULL OR list_contains(w.chain, c.cert)
+    | CASE WHEN c.cert IS NULL THEN 4 ELSE 0 END | CASE WHEN list_contains(w.chain, c.cert) THEN 16 ELSE 0 END, CASE WHEN c.cert IS NULL OR list_contains(w.chain, c.cert) THEN w.n
+  ELSE w.n + 1 END, c.cert IS NULL OR list_contains(w.chain, c.cert)
   FROM w LEFT JOIN (SELECT * FROM c WHERE issuer IS NOT NULL) c ON c.subject = w.issuer WHERE NOT stop AND w.subject <> w.issuer AND w.n < 17),
 e AS (SELECT cert, t, CASE WHEN NOT stop THEN subject ELSE '' END AS root, n, wrong | CASE WHEN NOT stop AND NOT anchor THEN 8 ELSE 0 END AS wrong FROM w WHERE stop OR subject = issuer),
 b AS (SELECT cert, t, min(struct_pack(k := bit_count(CAST(wrong AS INT)), o := root = '', n := n, root := root, wrong := wrong)) AS b FROM e GROUP BY cert, t)
 SELECT sig, CASE WHEN b IS NULL THEN 'Indeterminate' WHEN b.wrong = 0 THEN 'Trusted' ELSE 'Untrusted' END AS status, nullif(b.root, '') AS root, CAST(b.n AS INT) AS links,
-  CASE WHEN b IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN b.wrong & 1 > 0 THEN 'certificate not valid at the time' END, CASE WHEN b.wrong & 2 > 0 THEN 'issuer is no authority' END, CASE WHEN b.wrong & 4 > 0 THEN 'issuer not found' END,
+  CASE WHEN b IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN b.wrong & 1 > 0 THEN 'certificate not valid at the time' END, CASE WHEN b.wrong & 2 > 0 THEN
+  'issuer is no authority' END, CASE WHEN b.wrong & 4 > 0 THEN 'issuer not found' END,
     CASE WHEN b.wrong & 8 > 0 THEN 'root not trusted' END, CASE WHEN b.wrong & 16 > 0 THEN 'chain leads back to itself' END], lambda x: x IS NOT NULL), '; ') END AS details
 FROM s LEFT JOIN b USING (cert, t)"""
 
 _RUNS = f"""WITH {LETTERS_SQL},
 g AS (SELECT doc_id, page_no, line_no, c AS pos_x, CASE WHEN line_no % 3 = 2 THEN h ELSE regexp_replace(h, '[uvwxyzóíáéúñüöäßçèêâàôîûùë]', '1') END AS v
   FROM (SELECT *, translate(lower(value), 'abcdefghijklmnopqrst', '{_HEBREW}') AS h FROM letters)),
-k AS (SELECT *, CASE WHEN regexp_matches(v, '^[א-ת]$') THEN 'R' WHEN regexp_matches(v, '^[0-9]$') THEN 'D' WHEN regexp_matches(v, '^[\\s\\p{{Z}}\\p{{P}}\\p{{S}}]$') THEN 'N' ELSE 'O' END AS k, regexp_matches(v, '^[.,:/+-]$') AS sep FROM g),
-d AS (SELECT *, bool_and(k <> 'O') OVER (PARTITION BY doc_id, line_no) AS digits, lag(k) OVER l AS b1, lag(k, 2) OVER l AS b2, lag(sep) OVER l AS s1, lead(k) OVER l AS a1 FROM k WINDOW l AS (PARTITION BY doc_id, line_no ORDER BY pos_x)),
+k AS (SELECT *, CASE WHEN regexp_matches(v, '^[א-ת]$') THEN 'R' WHEN regexp_matches(v, '^[0-9]$') THEN 'D' WHEN regexp_matches(v, '^[\\s\\p{{Z}}\\p{{P}}\\p{{S}}]$') THEN 'N' ELSE
+  'O' END AS k, regexp_matches(v, '^[.,:/+-]$') AS sep FROM g),
+d AS (SELECT *, bool_and(k <> 'O') OVER (PARTITION BY doc_id, line_no) AS digits, lag(k) OVER l AS b1, lag(k, 2) OVER l AS b2, lag(sep) OVER l AS s1, lead(k) OVER l AS a1 FROM k
+  WINDOW l AS (PARTITION BY doc_id, line_no ORDER BY pos_x)),
 m AS (SELECT *, k = 'R' OR digits AND k = 'D' AS member, digits AND coalesce(k = 'D' AND (b1 = 'D' OR s1 AND b2 = 'D') OR sep AND b1 = 'D' AND a1 = 'D', false) AS glued FROM d),
 r AS (SELECT *, count_if(NOT member AND k <> 'N') OVER l AS run, count_if(NOT glued) OVER l AS block FROM m WINDOW l AS (PARTITION BY doc_id, line_no ORDER BY pos_x)),
-f AS (SELECT *, min(CASE WHEN member THEN pos_x END) OVER w AS f, max(CASE WHEN member THEN pos_x END) OVER w AS t, bool_or(k = 'R') OVER w AS any_r FROM r WINDOW w AS (PARTITION BY doc_id, line_no, run)),
+f AS (SELECT *, min(CASE WHEN member THEN pos_x END) OVER w AS f, max(CASE WHEN member THEN pos_x END) OVER w AS t, bool_or(k = 'R') OVER w AS any_r FROM r WINDOW w AS (PARTITION
+  BY doc_id, line_no, run)),
 t AS (SELECT *, coalesce(any_r AND t > f AND line_no % 2 = 0 AND pos_x BETWEEN f AND t, false) AS turns FROM f),
 p AS (SELECT *, CASE WHEN turns THEN f + t - max(pos_x) OVER (PARTITION BY doc_id, line_no, run, block, turns) + pos_x - min(pos_x) OVER (PARTITION BY doc_id, line_no, run, block, turns) ELSE pos_x END AS pos FROM t)"""
 
 ORACLES = {
     "xfdf_export": f"""WITH {_ANNOTATIONS}
-SELECT doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<xfdf xml:space="preserve" xmlns="http://ns.adobe.com/xfdf/">' || chr(10) || '<annots>' || chr(10) || string_agg(xml, '' ORDER BY page, place, xml)
+SELECT doc_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<xfdf xml:space="preserve" xmlns="http://ns.adobe.com/xfdf/">' || chr(10) || '<annots>' || chr(10) ||
+  string_agg(xml, '' ORDER BY page, place, xml)
   || '</annots>' || chr(10) || '</xfdf>' AS xfdf FROM x GROUP BY doc_id""",
-    "xfdf_import": f"""WITH {_ANNOTATIONS}, o AS (SELECT *, CAST({_ORDERED} - 1 AS INT) AS ord, page < 5 AS ok, CAST(round_even(r * 255, 0) AS INT) AS r8, CAST(round_even(g * 255, 0) AS INT) AS g8 FROM x)
-SELECT doc_id, ord AS place, tag AS element, CAST(page AS INT) AS page, CASE kind WHEN 1 THEN 'Highlight' WHEN 2 THEN 'Square' WHEN 3 THEN 'Ink' WHEN 4 THEN 'Text' WHEN 5 THEN 'FreeText' WHEN 6 THEN 'Line' ELSE 'Polygon' END AS subtype,
-  CASE WHEN ok THEN concat_ws(',', nx, ny, nx2, ny2) END AS rect, CASE WHEN ok AND kind IN (1, 2) THEN concat_ws(',', r8, g8, 64) WHEN ok AND kind = 3 THEN '0,0,0' END AS color, CASE WHEN ok AND kind = 2 THEN '0,255,51' END AS interior,
-  CASE WHEN ok THEN CAST(4 + CASE WHEN place % 3 = 0 THEN 128 ELSE 0 END AS INT) END AS flags, CASE WHEN ok THEN name END AS name, CASE WHEN ok AND kind IN (2, 3) THEN '2.5' WHEN ok AND kind = 5 THEN '0' END AS width,
-  CASE WHEN ok AND kind = 2 THEN 'D' WHEN ok AND kind IN (3, 5) THEN 'S' END AS style, CASE WHEN ok AND kind = 2 THEN '3,1.5' END AS dashes, CASE WHEN ok AND kind = 1 THEN concat_ws(',', nx, ny2, nx2, ny2, nx, ny, nx2, ny) END AS quads,
-  CASE WHEN ok AND kind = 6 THEN concat_ws(',', nx2, ny, nx, ny2) END AS line, CASE WHEN ok AND kind = 7 THEN concat_ws(',', nx, ny, nx2, ny, nx2, ny2) END AS vertices, CASE WHEN ok AND kind = 3 THEN concat_ws(',', nx, ny, nx2, ny2, nx, ny2, nx2, ny) END AS strokes,
-  CASE WHEN ok AND kind = 4 THEN 'Help' END AS icon, CASE WHEN ok AND kind = 4 THEN place % 2 = 0 END AS open, CASE WHEN ok AND kind = 5 THEN CAST(place % 3 AS INT) END AS quadding, CASE WHEN ok AND kind = 5 THEN '0,128,255' END AS letter_color,
+    "xfdf_import": f"""WITH {_ANNOTATIONS}, o AS (SELECT *, CAST({_ORDERED} - 1 AS INT) AS ord, page < 5 AS ok, CAST(round_even(r * 255, 0) AS INT) AS r8, CAST(round_even(g * 255,
+  0) AS INT) AS g8 FROM x)
+SELECT doc_id, ord AS place, tag AS element, CAST(page AS INT) AS page, CASE kind WHEN 1 THEN 'Highlight' WHEN 2 THEN 'Square' WHEN 3 THEN 'Ink' WHEN 4 THEN 'Text' WHEN 5 THEN
+  'FreeText' WHEN 6 THEN 'Line' ELSE 'Polygon' END AS subtype,
+  CASE WHEN ok THEN concat_ws(',', nx, ny, nx2, ny2) END AS rect, CASE WHEN ok AND kind IN (1, 2) THEN concat_ws(',', r8, g8, 64) WHEN ok AND kind = 3 THEN '0,0,0' END AS color,
+  CASE WHEN ok AND kind = 2 THEN '0,255,51' END AS interior,
+  CASE WHEN ok THEN CAST(4 + CASE WHEN place % 3 = 0 THEN 128 ELSE 0 END AS INT) END AS flags, CASE WHEN ok THEN name END AS name, CASE WHEN ok AND kind IN (2, 3) THEN '2.5' WHEN
+  ok AND kind = 5 THEN '0' END AS width,
+  CASE WHEN ok AND kind = 2 THEN 'D' WHEN ok AND kind IN (3, 5) THEN 'S' END AS style, CASE WHEN ok AND kind = 2 THEN '3,1.5' END AS dashes, CASE WHEN ok AND kind = 1 THEN
+  concat_ws(',', nx, ny2, nx2, ny2, nx, ny, nx2, ny) END AS quads,
+  CASE WHEN ok AND kind = 6 THEN concat_ws(',', nx2, ny, nx, ny2) END AS line, CASE WHEN ok AND kind = 7 THEN concat_ws(',', nx, ny, nx2, ny, nx2, ny2) END AS vertices, CASE WHEN
+  ok AND kind = 3 THEN concat_ws(',', nx, ny, nx2, ny2, nx, ny2, nx2, ny) END AS strokes,
+  CASE WHEN ok AND kind = 4 THEN 'Help' END AS icon, CASE WHEN ok AND kind = 4 THEN place % 2 = 0 END AS open, CASE WHEN ok AND kind = 5 THEN CAST(place % 3 AS INT) END AS
+  quadding, CASE WHEN ok AND kind = 5 THEN '0,128,255' END AS letter_color,
   CASE WHEN ok AND kind = 5 THEN '9.5' END AS letter_size, CASE WHEN ok AND kind NOT IN (3, 6) THEN said END AS contents, CASE WHEN NOT ok THEN 'page ' || page || ' out of range' END AS skipped FROM o""",
     "calculator_functions": "SELECT x, y, q, "
     + ", ".join(f"round(CAST({'NULL' if v == 'NULL' else f'greatest(-1000, least(1000, {v}))'} AS DOUBLE), 6) AS {name}_{i}" for name, _, sql in _PROGRAMS for i, v in enumerate(sql))
@@ -261,11 +292,13 @@ SELECT doc_id, number, coalesce(key, '_AF_' || number) AS key, CASE WHEN k % 2 =
 SELECT w.doc_id, 'f' || lpad(CAST(k AS VARCHAR), 9, '0') AS name, s_suppkey AS value FROM w LEFT JOIN supplier s ON s.s_suppkey = k AND s.s_nationkey = w.doc_id AND w.doc_id % 3 <> 0""",
     "metadata_packet": """WITH d AS (SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS line, doc_id % 10 <> 3 AS ok FROM documents)
 SELECT doc_id, ok AS read, CASE WHEN ok THEN line END AS title, CASE WHEN ok THEN source || '|' || lang END AS creators, CASE WHEN ok THEN 'made' END AS producer, CASE WHEN ok THEN source END AS tool, CASE WHEN ok THEN '2' END AS part FROM d""",
-    "cmap_decode": """SELECT doc_id, text || CASE WHEN doc_id % 4 = 1 THEN chr(65533) || chr(65533) ELSE '' END AS text, CAST(length(text) + CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 0 END AS BIGINT) AS codes,
+    "cmap_decode": """SELECT doc_id, text || CASE WHEN doc_id % 4 = 1 THEN chr(65533) || chr(65533) ELSE '' END AS text, CAST(length(text) + CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 0
+  END AS BIGINT) AS codes,
   CAST(length(text) - length(replace(text, chr(65533), '')) + CASE WHEN doc_id % 4 = 1 THEN 2 ELSE 0 END AS BIGINT) AS unknown FROM documents""",
     "bidi_order": f"""{_RUNS}
 SELECT doc_id, page_no, CAST(dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS INT) AS line, string_agg(v, '' ORDER BY pos) AS text FROM p GROUP BY doc_id, page_no, line_no""",
-    "split_by_outline": """WITH top AS (SELECT conv_id, turn + conv_id % 2 AS turn, arg_min(role || ' ' || turn, turn) AS title FROM conversations WHERE conv_id % 5 <> 0 AND turn % 3 = 1 GROUP BY 1, 2),
+    "split_by_outline": """WITH top AS (SELECT conv_id, turn + conv_id % 2 AS turn, arg_min(role || ' ' || turn, turn) AS title FROM conversations WHERE conv_id % 5 <> 0 AND turn
+  % 3 = 1 GROUP BY 1, 2),
 b AS (SELECT c.conv_id, c.turn, t.title, t.title IS NOT NULL OR row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) = 1 AS starts FROM conversations c LEFT JOIN top t USING (conv_id, turn)),
 p AS (SELECT conv_id, turn, CAST(count_if(starts) OVER w - 1 AS INT) AS part, last_value(title IGNORE NULLS) OVER w AS title FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, part, title, CAST(row_number() OVER (PARTITION BY conv_id, part ORDER BY turn) - 1 AS INT) AS place FROM p""",
@@ -277,7 +310,8 @@ SELECT a.number AS src, CAST(place AS INT) AS place, b.number AS dst FROM e JOIN
   SELECT vec_id AS grid, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE v > 0.05),
 w AS (SELECT grid, x, y, y * 8 + x AS root FROM c UNION SELECT c.grid, c.x, c.y, w.root FROM w JOIN c ON c.grid = w.grid AND abs(c.x - w.x) + abs(c.y - w.y) = 1),
 l AS (SELECT grid, x, y, min(root) AS label FROM w GROUP BY ALL),
-b AS (SELECT grid, label, min(x) AS "left", max(x) AS "right", min(y) AS low, max(y) AS high, count(*) AS pixels, CAST(sum(delta) AS BIGINT) AS delta FROM l JOIN c USING (grid, x, y) GROUP BY grid, label),
+b AS (SELECT grid, label, min(x) AS "left", max(x) AS "right", min(y) AS low, max(y) AS high, count(*) AS pixels, CAST(sum(delta) AS BIGINT) AS delta FROM l JOIN c USING (grid, x,
+  y) GROUP BY grid, label),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY grid ORDER BY pixels DESC, delta DESC, label) AS INT) AS rank FROM b)
 SELECT grid, rank, CAST("left" AS INT) AS "left", CAST("right" AS INT) AS "right", low, high, pixels, delta, round(delta / pixels, 6) AS mean FROM k WHERE rank <= 3""",
 }

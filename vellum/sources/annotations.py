@@ -121,7 +121,8 @@ def exported(annotations: DataFrame, doc: str = "doc_id", order: str = "place")
 
 #: Elements that stand within annotations or around them; any other one is an annotation.
 _PARTS = "xfdf|annots|contents|contents-richtext|inklist|gesture|defaultappearance|defaultstyle|appearance|popup|fields|field|value|f|ids|body|p|span|data"
-_ATTRIBUTES = ("page", "rect", "color", "interior-color", "flags", "name", "title", "subject", "date", "creationdate", "opacity", "width", "style", "dashes", "coords", "start", "end", "vertices", "icon", "open", "justification")
+_ATTRIBUTES = ("page", "rect", "color", "interior-color", "flags", "name", "title", "subject", "date", "creationdate", "opacity", "width", "style", "dashes", "coords", "start",
+    "end", "vertices", "icon", "open", "justification")
 _SCHEMA = (
     "annots struct<annot:array<struct<_element:string,"
     + ",".join(f"`_{a}`:string" for a in _ATTRIBUTES)
@@ -188,8 +189,10 @@ def imported(files: DataFrame, pages: DataFrame, doc: str = "doc_id", text: str
     t = F.regexp_replace(t, rf"<(?!(?:{_PARTS})[\s/>])([A-Za-z][\w.-]*)", '<annot element="$1"')
     t = F.regexp_replace(t, rf"</(?!(?:{_PARTS})\s*>)[A-Za-z][\w.-]*\s*>", "</annot>")
     root = F.lower(F.regexp_extract(F.col(text), r"^\s*(?:<\?[^>]*\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1))
-    read = files.where(F.col(text).isNotNull()).select(doc, root.alias("_root"), F.from_xml(t, _SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}).alias("_x"))
-    wrong = F.when(F.col("_root") != "xfdf", F.concat(F.lit("not an xfdf text: "), F.when(F.col("_root") == "", "(none)").otherwise(F.col("_root")))).when(F.col("_x._bad").isNotNull(), "not well formed")
+    read = files.where(F.col(text).isNotNull()).select(doc, root.alias("_root"),
+        F.from_xml(t, _SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}).alias("_x"))
+    wrong = F.when(F.col("_root") != "xfdf",
+        F.concat(F.lit("not an xfdf text: "), F.when(F.col("_root") == "", "(none)").otherwise(F.col("_root")))).when(F.col("_x._bad").isNotNull(), "not well formed")
     read = read.withColumn("_wrong", wrong)
     rows = read.select(doc, "_wrong", F.posexplode_outer(F.when(F.col("_wrong").isNull(), F.col("_x.annots.annot"))).alias("place", "a")).where("a IS NOT NULL OR _wrong IS NOT NULL")
     a = lambda n: F.col("a")[f"_{n}"]
@@ -199,7 +202,8 @@ def imported(files: DataFrame, pages: DataFrame, doc: str = "doc_id", text: str
     contents, filled = F.col("a.contents"), lambda x: F.when(F.trim(x) != "", x)
     strokes = F.filter(F.transform(F.col("a.inklist.gesture"), lambda g: F.coalesce(parsed_numbers(g), F.array().cast("array<double>"))), lambda s: F.size(s) >= 4)
     strokes = F.transform(strokes, lambda s: F.slice(s, F.lit(1), (F.floor(F.size(s) / 2) * 2).cast("int")))
-    rows = rows.select(doc, "place", "a", "_wrong", tag.alias("_tag"), kind.alias("subtype"), page.alias("page"), _normal(parsed_numbers(a("rect"))).alias("_rect"), start.alias("_start"), end.alias("_end"), vertices.alias("_vertices"), F.when(kind == "Ink", strokes).alias("strokes"))
+    rows = rows.select(doc, "place", "a", "_wrong", tag.alias("_tag"), kind.alias("subtype"), page.alias("page"), _normal(parsed_numbers(a("rect"))).alias("_rect"),
+        start.alias("_start"), end.alias("_end"), vertices.alias("_vertices"), F.when(kind == "Ink", strokes).alias("strokes"))
     rows = rows.join(pages.select(doc, "n_pages"), doc, "left")
     k, lacks = F.col("subtype"), lambda c, n: F.coalesce(F.size(c), F.lit(0)) < n
     own_box = k.isin("Line", "Polygon", "PolyLine", "Ink")
@@ -224,15 +228,20 @@ def imported(files: DataFrame, pages: DataFrame, doc: str = "doc_id", text: str
     color = F.coalesce(parsed_color(a("color")), *[F.when(k == s, F.array(*map(F.lit, v))) for s, v in plain.items()])
     width = F.coalesce(parsed_number(a("width")), F.when(k.isin("Square", "Circle"), 1.0).when(k == "Ink", 2.0).when(k == "FreeText", 0.0))
     dashes = parsed_numbers(a("dashes"))
-    style = F.coalesce(_chosen(F.replace(F.lower(F.trim(a("style"))), F.lit("beveled"), F.lit("bevelled")), {v: s for s, v in STYLES.items()}), F.when(dashes.isNotNull(), "D").when(width.isNotNull(), "S"))
+    style = F.coalesce(_chosen(F.replace(F.lower(F.trim(a("style"))), F.lit("beveled"), F.lit("bevelled")), {v: s for s, v in STYLES.items()}),
+        F.when(dashes.isNotNull(), "D").when(width.isNotNull(), "S"))
     where = F.lower(F.trim(a("justification")))
     letters, size = appearance(F.coalesce(F.col("a.defaultappearance"), F.lit("")))
     nonempty = lambda n: F.when(a(n) != "", a(n))
     values = {
-        "page": F.col("page"), "subtype": k, "rect": rect, "color": color, "interior": F.when(k.isin("Square", "Circle", "Polygon"), parsed_color(a("interior-color"))), "flags": F.coalesce(parsed_flags(a("flags")), F.lit(4)),
-        "name": nonempty("name"), "title": filled(a("title")), "subject": nonempty("subject"), "date": nonempty("date"), "creationdate": nonempty("creationdate"), "opacity": _clamped(parsed_number(a("opacity"))), "width": width,
-        "style": style, "dashes": dashes, "quads": quads, "line": line, "vertices": vertices, "strokes": F.col("strokes"), "icon": F.when(k == "Text", F.coalesce(filled(a("icon")), F.lit("Note"))).when(k == "Stamp", filled(a("icon"))),
-        "open": F.when(k == "Text", F.coalesce(F.lower(a("open")) == "yes", F.lit(False))), "quadding": F.when(k == "FreeText", F.when(where.isin("centered", "center", "1"), 1).when(where.isin("right", "2"), 2).otherwise(0)),
+        "page": F.col("page"), "subtype": k, "rect": rect, "color": color, "interior": F.when(k.isin("Square", "Circle", "Polygon"), parsed_color(a("interior-color"))),
+            "flags": F.coalesce(parsed_flags(a("flags")), F.lit(4)),
+        "name": nonempty("name"), "title": filled(a("title")), "subject": nonempty("subject"), "date": nonempty("date"), "creationdate": nonempty("creationdate"),
+            "opacity": _clamped(parsed_number(a("opacity"))), "width": width,
+        "style": style, "dashes": dashes, "quads": quads, "line": line, "vertices": vertices, "strokes": F.col("strokes"),
+            "icon": F.when(k == "Text", F.coalesce(filled(a("icon")), F.lit("Note"))).when(k == "Stamp", filled(a("icon"))),
+        "open": F.when(k == "Text", F.coalesce(F.lower(a("open")) == "yes", F.lit(False))),
+            "quadding": F.when(k == "FreeText", F.when(where.isin("centered", "center", "1"), 1).when(where.isin("right", "2"), 2).otherwise(0)),
         "appearance": F.when(k == "FreeText", F.col("a.defaultappearance")), "contents": F.when(contents != "", contents),
     }
     taken = F.col("skipped").isNull()

@@ -64,7 +64,8 @@ def recognised_words(spark: SparkSession, path: str, dpi: float = 300.0, page_he
     f = F.split("value", "\t", -1)
     rows = spark.read.text(path).where(F.size(f) >= 12).where(F.get(f, F.lit(0)) == "5").where(F.trim(F.get(f, F.lit(11))) != "")
     n = lambda i: F.get(f, F.lit(i)).cast("double") * 72 / dpi
-    return rows.select(F.get(f, F.lit(11)).alias("text"), n(6).alias("left"), (page_height - n(7) - n(9)).alias("bottom"), (n(6) + n(8)).alias("right"), (page_height - n(7)).alias("top"), (F.get(f, F.lit(10)).cast("double") / 100).alias("confidence"))
+    return rows.select(F.get(f, F.lit(11)).alias("text"), n(6).alias("left"), (page_height - n(7) - n(9)).alias("bottom"), (n(6) + n(8)).alias("right"),
+        (page_height - n(7)).alias("top"), (F.get(f, F.lit(10)).cast("double") / 100).alias("confidence"))
 
 
 def form_feed_pages(texts: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
