@@ -268,6 +268,11 @@ SELECT o_orderkey, valid, valid AND c + d = size AS covers FROM v""",
         "WHEN outcome NOT IN ('cleared', 'no such field') THEN 'old' END AS value, CASE "
             "WHEN kind = 'button' AND outcome IN ('set', 'cleared') THEN coalesce(v, 'Off') END AS state, outcome FROM o",
     "form_fill_result": _FILL + ' SELECT count_if(outcome IN (\'set\', \'cleared\')) AS "set", count_if(outcome NOT IN (\'set\', \'cleared\', \'kept\')) AS errors FROM o',
+    "connected_components": f"""WITH RECURSIVE {_CELLS},
+w AS (SELECT grid, x, y, y * 8 + x AS root FROM cells UNION SELECT c.grid, c.x, c.y, w.root FROM w JOIN cells c ON c.grid = w.grid AND abs(c.x - w.x) + abs(c.y - w.y) = 1),
+l AS (SELECT grid, x, y, min(root) AS label FROM w GROUP BY ALL)
+SELECT grid, CAST(min(x) AS INT) AS "left", CAST(max(x) AS INT) AS "right", CAST(min(y) AS INT) AS low, CAST(max(y) AS INT) AS high, count(*) AS cells,
+  round(count(*) / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)), 6) AS density FROM l GROUP BY grid, label""",
     "ink_tiles": f"""WITH {_CELLS}, m AS (SELECT grid + 1 AS grid, x, y FROM cells WHERE y < 7 AND grid % 7 > 0 AND x % 2 = 0),
 a AS (SELECT grid, x // 2 AS tx, y // 2 AS ty, count(*) / any_value(least(2, 8 - x // 2 * 2) * least(2, 7 - y // 2 * 2)) >= 0.3 AS want FROM cells WHERE y < 7 GROUP BY ALL),
 b AS (SELECT grid, x // 2 AS tx, y // 2 AS ty, count(*) / any_value(least(2, 8 - x // 2 * 2) * least(2, 7 - y // 2 * 2)) >= 0.3 AS have FROM m
