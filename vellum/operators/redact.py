@@ -84,8 +84,7 @@ class Redaction:
         """Glyphs of areas by a strategy, and drawn operators, but for texts, that areas touch."""
 
         def letters(x: DataFrame) -> DataFrame:
-            gone = layout.with_areas(x, areas).where(layout.removed_by(strategy)).select("doc_id", "line_no", "c").distinct()
-            return x.join(gone, ["doc_id", "line_no", "c"], "left_anti")
+            return layout.without_areas(x, areas, strategy)
 
         def ops(x: DataFrame) -> DataFrame:
             shown = content.category(F.col("name")) == "TextShowing"
@@ -115,8 +114,12 @@ class Redaction:
 
 
 class RedactedDocuments(NamedTuple):
-    """What is left of documents: glyphs, operators, carriers (doc_id, carrier, place, text); and what was done: (doc_id, matches, operators, carriers)."""
+    """What is left of documents: glyphs, operators, carriers (doc_id, carrier, place, text); and what was done: (doc_id, matches, operators, carriers).
 
+    ``pages`` are the pages that the glyphs are from, as in ``layout.redacted_pages``.
+    """
+
+    pages: DataFrame
     letters: DataFrame
     ops: DataFrame
     carriers: DataFrame
@@ -136,7 +139,8 @@ def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, ter
     outline, annotation): their texts lose the term, also where no page has it.  A carrier that becomes empty goes, but for an outline title, which says that
     it was redacted.  Terms of under three letters are taken out of pages alone, as they'd spoil other texts.  An empty term changes nothing.
     """
-    marked = layout.redacted(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers)
+    pages = layout.redacted_pages(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers)
+    marked = layout.spread(pages, letters, "gone", "matches")
     shown = content.find_text(ops, term, not case_sensitive) if hidden_layers else ops.limit(0)
     left_ops = ops.join(shown.select("doc_id", "ix"), ["doc_id", "ix"], "left_anti")
     cut = T.without_terms(F.col("text"), [term], not case_sensitive)
@@ -146,12 +150,12 @@ def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, ter
     judged = carriers.withColumn("_hit", scrubs).withColumn("text", F.when(F.col("_hit"), F.coalesce(F.nullif(cut, F.lit("")), instead)).otherwise(F.col("text")))
     kept = judged.where("NOT (_hit AND text IS NULL)").drop("_hit")
     done = [
-        marked.groupBy("doc_id").agg(F.sum("matches").alias("matches")).select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")),
+        pages.select("doc_id", F.col("matches")[0].alias("matches")).groupBy("doc_id").agg(F.sum("matches").alias("matches")).select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")),
         shown.groupBy("doc_id").agg(F.count("*").alias("operators")).select("doc_id", F.lit(0).alias("matches"), "operators", F.lit(0).alias("carriers")),
         judged.groupBy("doc_id").agg(F.count_if("_hit").alias("carriers")).select("doc_id", F.lit(0).alias("matches"), F.lit(0).alias("operators"), "carriers"),
     ]
     report = done[0].unionByName(done[1]).unionByName(done[2]).groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("matches", "operators", "carriers")])
-    return RedactedDocuments(marked.where("NOT gone").drop("gone", "matches"), left_ops, kept, report)
+    return RedactedDocuments(pages, marked.where("NOT gone").drop("gone", "matches"), left_ops, kept, report)
 
 
 #: Characters that a term has to have to be looked for in a copy.

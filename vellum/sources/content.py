@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.sources.tables import ADVANCE, HEIGHT, LEADING, LINES_SQL, PAGE_LINES, TOP, lines
+from vellum.sources.tables import ADVANCE, HEIGHT, LEADING, LINES_SQL, PAGE_LINES, TOP, by_document, lines
 
 #: The operators of one line, in order.
 STEPS = ("BDC", "BMC", "q", "cm", "BT", "Tj", "ET", "Do", "Q", "EMC", "EMC", "rg", "re", "f")
@@ -21,7 +21,7 @@ BOX = ("left", "bottom", "right", "top")
 
 def operators(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, page_no, ix, name, operands, arg, mcid, left, bottom, right, top): boxes are null where an operator draws nothing."""
-    line = lines(docs, id_col, text_col)
+    line = lines(by_document(docs, id_col, text_col), id_col, text_col)
     n, base = F.col("line_no"), (TOP - LEADING * F.col("line_no")).cast("double")
     x = F.pmod(F.col(id_col), F.lit(60)).cast("double")
     nothing = F.lit(None)
