@@ -7,12 +7,14 @@ states and marks is folded page by page in Arrow batches, as a page's operators
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.operators.records import near_white, rgb_of_cmyk
+from vellum.sources.tables import by_page
 
 #: Categories of operators by name (fixed values of the format).
 CATEGORIES = {
@@ -91,31 +93,51 @@ def with_state(ops: DataFrame) -> DataFrame:
     id has that of the one around it, and what stands in an artifact is one.  Ends without a beginning are passed over.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ix", kind="stable")
-        matrix, saved, marks = np.array([1.0, 0, 0, 1, 0, 0]), [], []
-        rows = []
-        for name, operands, arg, mcid in zip(pdf["name"], pdf["operands"], pdf["arg"], pdf["mcid"], strict=True):
-            if name == "q":
+    @F.arrow_udf("matrix array<array<double>>, mark array<long>, artifact array<boolean>, marks array<array<int>>")
+    def run(names: pa.Array, operands: pa.Array, artifacts: pa.Array, mcids: pa.Array) -> pa.Array:
+        ends = names.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0] if len(ends) else np.zeros(1, np.int64)
+        name, artifact, mcid, numbers = names.flatten(), artifacts.flatten().to_pylist(), mcids.flatten().to_pylist(), operands.flatten()
+        changes = np.flatnonzero(pc.is_in(name, pa.array(["q", "Q", "cm", "BDC", "BMC", "EMC"])).to_numpy(zero_copy_only=False))
+        name, of = name.to_pylist(), np.zeros(len(name), np.int64)  # of: which of the states that follow each operator meets
+        states: list[tuple] = []
+        begins = set(ends[:-1].tolist())
+        matrix, saved, marks = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], []
+        for at in sorted(begins.union(changes.tolist())):
+            if at >= len(name):
+                break
+            if at in begins:
+                matrix, saved, marks = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], []
+            what = name[at]
+            if what == "q":
                 saved.append(matrix)
-            elif name == "Q" and saved:
+            elif what == "Q" and saved:
                 matrix = saved.pop()
-            elif name == "cm" and operands is not None and len(operands) >= 6:
-                a, b, c, d, e, f = operands[:6]
-                ma, mb, mc, md, me, mf = matrix
-                matrix = np.array([a * ma + b * mc, a * mb + b * md, c * ma + d * mc, c * mb + d * md, e * ma + f * mc + me, e * mb + f * md + mf])
-            elif name in ("BDC", "BMC"):
+            elif what == "cm":
+                given = numbers[at].as_py()
+                if given is not None and len(given) >= 6:
+                    a, b, c, d, e, f = given[:6]
+                    ma, mb, mc, md, me, mf = matrix
+                    matrix = (a * ma + b * mc, a * mb + b * md, c * ma + d * mc, c * mb + d * md, e * ma + f * mc + me, e * mb + f * md + mf)
+            elif what in ("BDC", "BMC"):
                 above = marks[-1] if marks else (None, False, None)
-                own = int(mcid) if name == "BDC" and mcid is not None and not np.isnan(mcid) else None
-                marks.append((above[0] if own is None else own, above[1] or arg == "Artifact", own))
-            elif name == "EMC" and marks:
+                own = mcid[at] if what == "BDC" else None
+                marks.append((above[0] if own is None else own, above[1] or artifact[at], own))
+            elif what == "EMC" and marks:
                 marks.pop()
-            mark, artifact, _ = marks[-1] if marks else (None, False, None)
-            rows.append((matrix, mark, artifact, [m for _, _, m in marks if m is not None]))
-        return pdf.assign(matrix=[r[0] for r in rows], mark=pd.array([r[1] for r in rows], "Int64"), artifact=[r[2] for r in rows], marks=[r[3] for r in rows])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ops.schema) + ", matrix array<double>, mark long, artifact boolean, marks array<int>"
-    return ops.groupBy(*_PAGE).applyInPandas(run, schema)
+            mark, inside, _ = marks[-1] if marks else (None, False, None)
+            of[at] = 1
+            states.append((matrix, mark, inside, [m for _, _, m in marks if m is not None]))
+        of = pa.array(np.cumsum(of) - 1)
+        bounds, kinds = pa.array(ends, pa.int32()), (pa.list_(pa.float64()), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+        held = [pa.array([s[i] for s in states], kind).take(of) for i, kind in enumerate(kinds)]
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(bounds, h) for h in held], ["matrix", "mark", "artifact", "marks"])
+
+    found, o = ["matrix", "mark", "artifact", "marks"], F.col("_ops")
+    pages = by_page(ops.withColumn("_artifact", F.coalesce(F.col("arg") == "Artifact", F.lit(False))), ["ix"], "_ops")
+    held = pages.select(*_PAGE, "_ops", run(o["name"], o["operands"], o["_artifact"], o["mcid"]).alias("_s")).select(*_PAGE, "_ops", "_s.*")
+    each = held.select(*_PAGE, F.explode(F.arrays_zip("_ops", *found)).alias("_e"))
+    return each.select(*[F.col(c) if c in _PAGE else F.col(f"_e._ops.{c}").alias(c) for c in ops.columns], *[F.col(f"_e.{c}").alias(c) for c in found])
 
 
 def unit_square(matrix: Column) -> tuple[Column, ...]:
