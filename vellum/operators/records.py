@@ -101,10 +101,10 @@ def image_facts(pixels: DataFrame, key: str, region: tuple[int, int, int, int] |
     if region:
         left, top, right, bottom = region
         pixels = pixels.where((F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom))
-    light = F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114
+    light = 299 * F.col("red").cast("long") + 587 * F.col("green") + 114 * F.col("blue")  # in thousandths, whole numbers
     white = (F.least("red", "green", "blue") >= 250) & (F.col("alpha") >= 255)
     means = [(F.sum(c) / F.count("*")).alias(f"mean_{c}") for c in ("red", "green", "blue", "alpha")]
-    return pixels.groupBy(key).agg(F.count("*").alias("pixels"), *means, F.count_if(light < 64).alias("dark"), F.count_if(F.col("alpha") < 255).alias("transparent"), F.count_if(~white).alias("not_white"))
+    return pixels.groupBy(key).agg(F.count("*").alias("pixels"), *means, F.count_if(light < 64_000).alias("dark"), F.count_if(F.col("alpha") < 255).alias("transparent"), F.count_if(~white).alias("not_white"))
 
 
 def stamp_position(anchor: Column, width: Column, height: Column, size: Column, margin: float = 36.0) -> tuple[Column, Column]:
