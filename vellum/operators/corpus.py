@@ -147,24 +147,27 @@ def difference_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     The balance is the lesser count of dark samples for the greater one; 1 if neither image has any.
     """
 
-    def y(s: str) -> Column:
-        return 0.299 * F.col(f"{s}r") + 0.587 * F.col(f"{s}g") + 0.114 * F.col(f"{s}b")
+    def y(s: str) -> Column:  # in thousandths, and chroma in millionths: whole numbers, so a sample at an edge is on its right side
+        return 299 * F.col(f"{s}r").cast("long") + 587 * F.col(f"{s}g") + 114 * F.col(f"{s}b")
 
     def chroma(s: str) -> tuple[Column, Column]:
-        r, g, b = (F.col(f"{s}{c}") for c in "rgb")
-        return -0.168736 * r - 0.331264 * g + 0.5 * b, 0.5 * r - 0.418688 * g - 0.081312 * b
+        r, g, b = (F.col(f"{s}{c}").cast("long") for c in "rgb")
+        return -168736 * r - 331264 * g + 500000 * b, 500000 * r - 418688 * g - 81312 * b
+
+    def rounded(x: Column) -> Column:
+        return F.round(F.coalesce(x, F.lit(0.0)) * 10_000, 0) / 10_000
 
     (ab, ar), (bb, br) = chroma("a"), chroma("b")
     differs = (F.col("ar") != F.col("br")) | (F.col("ag") != F.col("bg")) | (F.col("ab") != F.col("bb"))
-    rows = df.select(*keys, differs.alias("differs"), F.abs(y("a") - y("b")).alias("y"), ((F.abs(ab - bb) + F.abs(ar - br)) / 2).alias("c"),
-        (y("a") < 128).alias("da"), (y("b") < 128).alias("db"))
+    rows = df.select(*keys, differs.alias("differs"), F.abs(y("a") - y("b")).alias("y"), ((F.abs(ab - bb) + F.abs(ar - br)) / 1e6 / 2).alias("c"),
+        (y("a") < 128_000).alias("da"), (y("b") < 128_000).alias("db"))
     out = rows.groupBy(*keys).agg(
-        F.count_if("differs").alias("differing"), F.avg(F.when(F.col("differs"), F.col("y"))).alias("y"), F.avg(F.when(F.col("differs"), F.col("c"))).alias("c"),
+        F.count_if("differs").alias("differing"), F.sum(F.when(F.col("differs"), F.col("y"))).alias("y"), F.avg(F.when(F.col("differs"), F.col("c"))).alias("c"),
         F.count_if("da").alias("da"), F.count_if("db").alias("db"),
     )
     balance = F.when(F.greatest("da", "db") == 0, 1.0).otherwise(F.least("da", "db") / F.nullif(F.greatest("da", "db"), F.lit(0)))
-    return out.select(*keys, "differing", F.round(F.coalesce("y", F.lit(0.0)), 4).alias("luminance"),
-        F.round(F.coalesce("c", F.lit(0.0)), 4).alias("chroma"), F.round(balance, 6).alias("dark_balance"))
+    return out.select(*keys, "differing", rounded(F.col("y") / F.nullif(1000 * F.col("differing"), F.lit(0))).alias("luminance"),
+        rounded(F.col("c")).alias("chroma"), F.round(balance, 6).alias("dark_balance"))
 
 
 def unpivoted(df: DataFrame, id_col: str, timers: Sequence[str]) -> DataFrame:
