@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.sources.scratch import discard, written
+from vellum.sources.scratch import discard
+from vellum.sources.scratch import written_large as written
 
 #: Structure types of the standard (fixed values).
 STANDARD = (
@@ -28,7 +29,7 @@ def resolved_kinds(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     The map of a document is walked as one expression over its own entries, which are few.
     """
     maps = roles.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "role"))).alias("_roles"))
-    held = nodes.join(maps, "doc_id", "left").withColumn("raw", F.col("kind"))
+    held = nodes.join(maps.hint("merge"), "doc_id", "left").withColumn("raw", F.col("kind"))
     start = F.struct(F.col("kind").alias("at"), F.array().cast("array<string>").alias("seen"))
 
     def onward(state: Column, _: Column) -> Column:
@@ -85,7 +86,7 @@ def heading_findings(nodes: DataFrame) -> DataFrame:
     before = F.lag("level").over(Window.partitionBy("doc_id").orderBy("node_id"))
     numbered = heads.where("level > 0").withColumn("_before", before)
     skips = numbered.groupBy("doc_id").agg(F.count_if((F.col("_before").isNull() & (F.col("level") != 1)) | (F.col("level") > F.col("_before") + 1)).alias("skips"))
-    out = heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 0).alias("plain")).join(skips, "doc_id", "left")
+    out = heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("level") == 0).alias("plain")).join(skips.hint("merge"), "doc_id", "left")
     mixed = (F.col("plain") > 0) & (F.col("plain") < F.col("n"))
     return out.select("doc_id", "n", F.when(mixed, 1).otherwise(F.coalesce("skips", F.lit(0))).alias("bad"))
 
@@ -94,14 +95,14 @@ def table_problems(nodes: DataFrame) -> DataFrame:
     """(doc_id, node_id, problem): children of tables that don't belong there, tables without rows, cells that are none."""
     kids = nodes.select("doc_id", F.col("parent_id").alias("_up"), F.col("node_id").alias("kid"), F.col("kind").alias("kid_kind"))
     tables = nodes.where("kind = 'Table'").select("doc_id", "node_id")
-    below = tables.join(kids, (tables["doc_id"] == kids["doc_id"]) & (tables["node_id"] == kids["_up"])).select(tables["doc_id"], "node_id", "kid", "kid_kind")
+    below = tables.join(kids.hint("merge"), (tables["doc_id"] == kids["doc_id"]) & (tables["node_id"] == kids["_up"])).select(tables["doc_id"], "node_id", "kid", "kid_kind")
     odd = below.where("kid_kind NOT IN ('TR', 'THead', 'TBody', 'TFoot', 'Caption')").select("doc_id", "node_id", F.concat(F.lit("unexpected child "), "kid_kind").alias("problem"))
     groups = below.where("kid_kind IN ('THead', 'TBody', 'TFoot')").select("doc_id", "node_id", F.col("kid").alias("group"))
-    inner = groups.join(kids, (groups["doc_id"] == kids["doc_id"]) & (groups["group"] == kids["_up"])).where("kid_kind = 'TR'").select(groups["doc_id"], "node_id", "kid")
+    inner = groups.join(kids.hint("merge"), (groups["doc_id"] == kids["doc_id"]) & (groups["group"] == kids["_up"])).where("kid_kind = 'TR'").select(groups["doc_id"], "node_id", "kid")
     rows = below.where("kid_kind = 'TR'").select("doc_id", "node_id", "kid").unionByName(inner)
-    empty = tables.join(rows, ["doc_id", "node_id"], "left_anti").withColumn("problem", F.lit("no rows"))
+    empty = tables.join(rows.hint("merge"), ["doc_id", "node_id"], "left_anti").withColumn("problem", F.lit("no rows"))
     row = rows.select("doc_id", "node_id", F.col("kid").alias("row"))
-    cells = row.join(kids, (row["doc_id"] == kids["doc_id"]) & (row["row"] == kids["_up"])).where("kid_kind NOT IN ('TH', 'TD')")
+    cells = row.join(kids.hint("merge"), (row["doc_id"] == kids["doc_id"]) & (row["row"] == kids["_up"])).where("kid_kind NOT IN ('TH', 'TD')")
     return odd.unionByName(empty).unionByName(cells.select(row["doc_id"], "node_id", F.concat(F.lit("no cell "), "kid_kind").alias("problem")))
 
 
@@ -117,17 +118,17 @@ def listed(problems: DataFrame, most: int = LISTED) -> DataFrame:
 def list_findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, bad) of lists, and of their items' bodies: lists without items, children that are none, items outside of lists."""
     up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("up_kind"))
-    placed = nodes.join(up, ["doc_id", "parent_id"], "left")
+    placed = nodes.join(up.hint("merge"), ["doc_id", "parent_id"], "left")
     lists = nodes.where("kind = 'L'").select("doc_id", "node_id")
     kids = placed.where("up_kind = 'L'").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("kind") == "LI").alias("items"),
         F.count_if(~F.col("kind").isin("LI", "Caption")).alias("odd"))
-    by_list = lists.join(kids, ["doc_id", "node_id"], "left").select("doc_id", F.lit(1).alias("n"),
+    by_list = lists.join(kids.hint("merge"), ["doc_id", "node_id"], "left").select("doc_id", F.lit(1).alias("n"),
         (F.when(F.coalesce("items", F.lit(0)) == 0, 1).otherwise(0) + F.coalesce("odd", F.lit(0))).alias("bad"))
     stray = placed.where("kind = 'LI' AND coalesce(up_kind, '') <> 'L'").select("doc_id", F.lit(1).alias("n"), F.lit(1).alias("bad"))
     structure = by_list.unionByName(stray).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     items = placed.where("kind = 'LI' AND up_kind = 'L'").select("doc_id", "node_id")
     bodies = nodes.where("kind = 'LBody'").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_body", F.lit(True))
-    body = items.join(bodies, ["doc_id", "node_id"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("_body").isNull()).alias("bad"))
+    body = items.join(bodies.hint("merge"), ["doc_id", "node_id"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("_body").isNull()).alias("bad"))
     return structure, body
 
 
@@ -137,6 +138,7 @@ def accessible(docs: DataFrame, nodes: DataFrame, untagged: DataFrame) -> DataFr
     ``nodes`` hold resolved kinds and ``unmapped``; ``untagged`` are text runs outside of the tree (doc_id, ...).
     A document without lists has no row for their items.
     """
+    docs = docs.hint("merge")
     tree = docs.where("has_tree").select("doc_id")
     own = written(nodes.join(tree, "doc_id", "left_semi"), "nodes")
     unmapped = own.groupBy("doc_id").agg(F.count_distinct(F.when(F.col("unmapped"), F.col("raw"))).alias("bad"))
@@ -144,7 +146,7 @@ def accessible(docs: DataFrame, nodes: DataFrame, untagged: DataFrame) -> DataFr
     figures = own.where("kind = 'Figure'").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~_said("alt") & ~_said("actual")).alias("bad"))
     tables = own.where("kind = 'Table'").groupBy("doc_id").agg(F.count("*").alias("n"))
     bad_tables = table_problems(own).groupBy("doc_id").agg(F.count("*").alias("bad"))
-    tables = tables.join(bad_tables, "doc_id", "left").select("doc_id", "n", F.coalesce("bad", F.lit(0)).alias("bad"))
+    tables = tables.join(bad_tables.hint("merge"), "doc_id", "left").select("doc_id", "n", F.coalesce("bad", F.lit(0)).alias("bad"))
     structure, bodies = list_findings(own)
 
     def if_tree(found: DataFrame, rule: str) -> DataFrame:
