@@ -143,3 +143,23 @@ def test_document_weights(spark):
     links = alignment.expanded(alignment.interned(docs, A, B), A, B)
     by = {w: [r["count"] for r in alignment.pair_counts(links, w).collect()] for w in ("freq", "docs")}
     assert by == {"freq": [4], "docs": [2]}
+
+
+def test_workers_hold_little():
+    import public_tokenizers
+
+    both = alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    words = [f"w{i:x}" for i in range(130_000)]
+    sizes = []
+    split, learn = both.split, both.learn
+    both.split = lambda t: sizes.append(len(t)) or split(t)
+    both.learn = lambda segments: sizes.append(0) or learn(segments)  # after each run of texts
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    assert [b";".join(x) for x in both.texts(texts)][:2] == [b";".join(learn(split(t))) for t in texts[:2]]
+    runs = "".join("|" if not s else "t" for s in sizes).split("|")
+    assert len(runs) > 2 and max(len(r) for r in runs) * 7_000 <= 2 * alignment.SPLIT
+    both.rest()
+    assert len(both.memo) > alignment.KEPT  # a task that learnt much leaves it to the next one
+    list(both.texts(["a few words"]))
+    both.rest()
+    assert len(both.memo) == alignment.KEPT // 2

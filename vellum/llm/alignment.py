@@ -29,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import remember, small_batches, written
+from vellum.llm.common import give_back, remember, small_batches, written
 
-#: Segments that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 600_000, 64
+#: Segments that a worker remembers, those that it keeps once a task has learnt fewer than so many, and the longest of them.
+MEMO, KEPT, MEMO_CHARS = 500_000, 100_000, 64
+#: Characters of texts that are split together, and segments that are encoded together: both take many times their size.
+SPLIT, LOT = 500_000, 10_000
 #: Characters in a chunk of documents with a dictionary of its own (a longer text is a chunk).
 CHUNK = 4_000_000
 #: Groups whose text is longer than this are known by its hash.
@@ -71,6 +73,7 @@ class Aligner:
         self.names = [str(i) for i in range(max(len(self.a_len), len(self.b_len)))]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.memo: dict[str, bytes | None] = {}
+        self.learnt = 0
 
     def split(self, text: str) -> list[str]:
         """``" " + text`` as segments, each of which starts with a space."""
@@ -108,19 +111,26 @@ class Aligner:
         """The groups of segments; None where the bytes of A's or B's tokens aren't the segment's."""
         out: list[bytes | None] = []
         a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for s, e, b in zip(segments, self.a.encode_batch_fast(segments, add_special_tokens=False), self.b.encode([s[1:] for s in segments], num_threads=1), strict=True):
-            a, raw = e.ids, s.encode()
-            whole = b"".join(map(b_of, b)) == raw and b"".join(map(a_of, a)) == raw
-            out.append(self.groups(a, b).encode() if whole else None)
+        for at in range(0, len(segments), LOT):
+            lot = segments[at : at + LOT]
+            for s, e, b in zip(lot, self.a.encode_batch_fast(lot, add_special_tokens=False), self.b.encode([s[1:] for s in lot], num_threads=1), strict=True):
+                a, raw = e.ids, s.encode()
+                whole = b"".join(map(b_of, b)) == raw and b"".join(map(a_of, a)) == raw
+                out.append(self.groups(a, b).encode() if whole else None)
         return out
 
     def texts(self, batch: list[str | None]) -> Iterator[list[bytes]]:
         """The groups of each text by segments, as the memo holds them; none of a text without tokens."""
+        for start, stop in _chunks(batch, SPLIT):
+            yield from self._texts(batch[start:stop])
+
+    def _texts(self, batch: list[str | None]) -> Iterator[list[bytes]]:
         if len(self.memo) > MEMO:  # the older half goes
-            self.memo = dict(islice(self.memo.items(), MEMO // 2, None))
+            self._keep(MEMO // 2)
         memo = self.memo
         split = [self.split(t) if t else [] for t in batch]
         new = list(set().union(*split).difference(memo))
+        self.learnt += len(new)
         memo.update(zip(new, self.learn(new), strict=True))
         for t, parts in zip(batch, split, strict=True):
             found = [memo[s] for s in parts]
@@ -132,6 +142,17 @@ class Aligner:
             if len(s) > MEMO_CHARS:
                 del memo[s]
 
+    def _keep(self, most: int) -> None:
+        """Only the segments that came last are remembered."""
+        self.memo = dict(islice(self.memo.items(), max(0, len(self.memo) - most), None))
+
+    def rest(self) -> None:
+        """After a task: where tasks learn little, what others left behind is hardly needed, and goes."""
+        if self.learnt < KEPT < len(self.memo):
+            self._keep(KEPT // 2)
+            give_back()
+        self.learnt = 0
+
     def forget(self) -> None:
         self.memo = {}
 
@@ -160,11 +181,12 @@ _ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "arr
 _FIELDS = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _SCHEMA.split(", ")])
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of at most ``CHUNK`` characters, or of one text."""
+def _chunks(texts: list[str | None], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` characters (``CHUNK``, if not given), or of one text."""
+    most = most or CHUNK
     start, size = 0, 0
     for n, t in enumerate(texts):
-        if size and size + len(t or "") > CHUNK:
+        if size and size + len(t or "") > most:
             yield start, n
             start, size = n, 0
         size += len(t or "")
@@ -216,6 +238,7 @@ def interned(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                     keys = [g if len(g) <= KEY else hashlib.sha256(g.encode()).hexdigest() for g in groups]
                     yield _batch(m, {"chunk": [chunk] * m, "is_doc": [False] * m, "number": np.arange(m, dtype=np.int32), "key": keys, "ids": [g if len(g) > KEY else None for g in groups], "freq": _added(flat, times, m), "docs": np.bincount(flat, minlength=m)})
                 chunk += 1
+        both.rest()
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return written(source.mapInArrow(run, _SCHEMA), "groups")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +36,28 @@ def small_batches(spark: SparkSession) -> None:
 _REMEMBERS: dict[str, Callable[[], None]] = {}
 
 
-def remember(name: str, forget: Callable[[], None]) -> None:
+def remember(name: str, forget: Callable[[], None] = lambda: None) -> None:
     """Says that ``name`` remembers things in this worker, which serves one operator after the other: those of others go.
 
-    So a worker holds the memo of one operator, and not the sum of all that it has ever worked for.
+    So a worker holds the memo of one operator, and not the sum of all that it has ever worked for.  An operator that remembers nothing
+    says so, too: else its workers hold what those before them remembered.
     """
-    for other in [k for k in _REMEMBERS if k != name]:
+    others = [k for k in _REMEMBERS if k != name]
+    for other in others:
         _REMEMBERS.pop(other)()
+    if others:
+        give_back()
     _REMEMBERS[name] = forget
 
 
+def give_back() -> None:
+    """Gives memory that this worker no longer needs back to the system, where its allocators keep it for themselves."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def texts(batch: pd.Series) -> Iterator[str]:
     """The texts of a batch; a null is an empty text."""
     for x in batch:
