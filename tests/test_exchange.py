@@ -177,6 +177,16 @@ def test_codespaces():
     assert CharacterMap([], []).cut(b"\x00A\x01") == [b"\x00A", b"\x01"]
 
 
+def test_strings_are_decoded_without_an_object_for_each_code(monkeypatch):
+    from vellum.functions.codespaces import UNKNOWN, CharacterMap
+    from vellum.plans.exchange_queries import utf8_map
+
+    monkeypatch.setattr(CharacterMap, "cut", None)
+    text = "aé€😀" * 50_000
+    assert utf8_map().decode(text.encode() + b"\xff\xe2\x82") == (text + UNKNOWN * 2, 200_002, 2)
+    assert CharacterMap([(b"\0", b"\xff")], [(b"a", b"c", "x" + UNKNOWN), (b"b", b"b", UNKNOWN)]).decode(b"abcd") == ("x" + UNKNOWN * 2 + "x" + chr(0xFFFF) + UNKNOWN, 4, 2)
+
+
 def glyph_lines(spark, rows):
     from vellum.operators import bidi
 
