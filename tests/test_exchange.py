@@ -212,6 +212,15 @@ def test_right_to_left_by_geometry(spark):
     assert glyph_lines(spark, [(None, 0.0, 0.0), ("א", 6.0, 0.0), ("ב", 12.0, 0.0)]) == ["בא"]
 
 
+def test_pages_of_glyphs_are_read_as_arrays(spark, monkeypatch):
+    from vellum.operators import bidi
+
+    monkeypatch.setattr(bidi, "TOGETHER", 5)
+    rows = [(1, list("םולש") + ["x"], [0.0, 6.0, 12.0, 18.0, 0.0], [0.0] * 4 + [12.0]), (2, [None, "א", "ב"], [0.0, 6.0, 12.0], [0.0] * 3), (3, ["ב", "ּ", "א"], [0.0, 3.0, 6.0], [0.0, 0.0, 4.0]), (4, [], [], [])]
+    pages = spark.createDataFrame(rows, "doc_id int, values array<string>, x array<double>, y array<double>").coalesce(1)
+    assert sorted(map(tuple, bidi.lines_of_pages(pages, ["doc_id"]).collect())) == [(1, 0, "שלום"), (1, 1, "x"), (2, 0, "בא"), (3, 0, "אבּ")]
+
+
 def test_split_by_outline(spark):
     from vellum.operators.organise import split_by_outline
 
