@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import ngram_join, packing, quality, suffix_dedup, toxicity
-from vellum.llm.common import discard, small_batches, table, written
+from vellum.llm.common import discard, remember, small_batches, table, written
 
 #: Scores that decide, as in the queries of the two classifiers.
 QUALITY, TOXIC = quality.THRESHOLD, toxicity.THRESHOLD
@@ -63,6 +63,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
+        remember("suffixes")
         return pd.Series([suffix_dedup.cut_text(t, [(s["from"], s["to"]) for s in x]) if isinstance(t, str) else None for t, x in zip(text, spans, strict=True)])
 
     joined = suffix_dedup.with_spans(docs, spans)

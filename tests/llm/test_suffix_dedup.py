@@ -151,3 +151,13 @@ def test_null_shared_and_great_ids(spark):
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))
     assert rows == sorted((ids[k] is None, ids[k] or 0, *w) for k, w in want.items())
     assert {r.doc_id: r.n_removed for r in got}[great + 9] == 40 * 231
+
+
+def test_memos_of_other_operators_go():
+    from vellum.llm import common
+
+    gone = []
+    common.remember("shingles", lambda: gone.append("shingles"))
+    common.remember("suffixes")
+    common.remember("suffixes")
+    assert gone == ["shingles"] and list(common._REMEMBERS) == ["suffixes"]

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, small_batches, texts, written
+from vellum.llm.common import discard, remember, small_batches, texts, written
 
 #: Labelled rows of each label that the fit may use at most.
 LABELLED = 8_000
@@ -360,6 +360,7 @@ def score(model: Model | None, text_col: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scores(batch: pd.Series) -> pd.Series:
+        remember("quality")
         if model is None:
             return pd.Series(np.full(len(batch), 0.5))
         return pd.Series(model.probability(np.stack([features(t) for t in texts(batch)])) if len(batch) else np.zeros(0))

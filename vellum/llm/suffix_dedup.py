@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, small_batches, texts, written
+from vellum.llm.common import discard, remember, small_batches, texts, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes that are looked at together; longer texts are gone through in overlapping parts.
@@ -195,6 +195,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
     """(anchor, content, h, sum, id, place, more) of all stretches of all texts; ``more``: further places of the same one in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("suffixes")
         for batch in batches:
             parts, more, sizes = [], [], []
             for t in batch.column("text").to_pylist():
@@ -246,6 +247,7 @@ def _members(touched: DataFrame, split: bool) -> DataFrame:
     """Stretches with their bytes: those of shards that stay whole, or those of large shards, split by classes of distance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remember("suffixes")
         for batch in batches:
             out = []
             for h, s, text, look in zip(*(batch[c] for c in ("h", "sum", "text", "look")), strict=True):
@@ -269,6 +271,7 @@ def _halved(pieces: DataFrame) -> DataFrame:
     """The pieces of either half of each piece's class of distances."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remember("suffixes")
         for batch in batches:
             out = []
             for key, h, s, a, first, last, low, high, own in zip(*(batch[c] for c in _PIECES if c != "tag"), strict=True):
@@ -317,6 +320,7 @@ def _sorted_shards(members: DataFrame) -> DataFrame:
         return pd.DataFrame({"h": held["h"].to_numpy()[row], "sum": held["sum"].to_numpy()[row], "from": at - high, "to": at - low + LENGTH})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remember("suffixes")
         held: list[pd.DataFrame] = []
         rows = 0
         for batch in batches:
@@ -383,6 +387,7 @@ def repeated_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        remember("suffixes")
         out = []
         for t, x in zip(text, spans, strict=True):
             if not isinstance(t, str):
