@@ -17,7 +17,7 @@ def test_dark_samples_at_the_edge(spark):
     assert corpus.difference_metrics(samples, ["k"]).first()["dark_balance"] == 0.5
 
 
-@pytest.mark.parametrize("name", ["space_degenerate"])
+@pytest.mark.parametrize("name", ["word_space_inference", "space_degenerate"])
 def test_spaces_of_lines_of_one_glyph(spark, tmp_path, name):
     texts = ["a\n \nab\n\na b", "é", "\xa0", "", None, "x" * 40 + "\ny"]
     duckdb.from_arrow(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toArrow()).write_parquet(f"{tmp_path}/documents.parquet")
