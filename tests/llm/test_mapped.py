@@ -215,3 +215,20 @@ def test_edited_digest_over_many_runs(spark):
     for j, (i, t) in enumerate(rows):
         after, q = rows[(j + 1) % len(rows)][1], len(t) // 4
         assert winnow_rows[i] == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
+
+
+def test_words_are_learnt_in_runs_and_few_stay_after_a_task(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 20)
+    monkeypatch.setattr(packing, "RUN", 7)
+    words, runs = packing.WordIds(WORDS), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda w: (runs.append(len(w)), learn(w)))
+    texts = [" ".join(f"word{i}, and{i}!" for i in range(n)) for n in (0, 3, 40)]
+    whole = list(words.encode(texts))
+    assert whole == [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert max(runs) == 7 and sum(runs) == 80
+    words.rest()  # a task that learnt much leaves all of it
+    assert len(words.memo) > 80
+    list(words.encode(["and so"]))
+    words.rest()
+    assert len(words.memo) <= 11 and list(words.encode(texts)) == whole

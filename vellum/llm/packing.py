@@ -25,17 +25,18 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import remember, small_batches, texts, written
+from vellum.llm.common import give_back, remember, small_batches, texts, written
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers (some 200 MB at most).
-MEMO = 700_000
+#: Words whose ids a worker remembers, those that it keeps once a task has learnt fewer than so many, and those that are learnt at once.
+MEMO, KEPT, RUN = 700_000, 100_000, 5_000
 _GAP = re.compile("[ \n]+")
 
 
@@ -60,6 +61,7 @@ class WordIds:
         if suffix:
             self.ends[[i for t, i in names.items() if t.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.learnt = 0
 
     def _learn(self, words: list[str]) -> None:
         """Adds the ids of new words to the memo."""
@@ -97,14 +99,22 @@ class WordIds:
             memo[""] = b""
         split = [_GAP.split(t) for t in batch]
         new = list(set().union(*split).difference(memo))
-        if new:
-            self._learn(new)
+        self.learnt += len(new)
+        for x in range(0, len(new), RUN):
+            self._learn(new[x : x + RUN])
         for words in split:
             yield b"".join(map(memo.__getitem__, words))
         for w in new:
             if len(w) > 64:
                 memo.pop(w, None)
 
+    def rest(self) -> None:
+        """After a task: where tasks learn little, what others left behind is hardly needed, and goes."""
+        if self.learnt < KEPT < len(self.memo):
+            self.memo = dict(islice(self.memo.items(), len(self.memo) - KEPT // 2, None)) | {"": b""}
+            give_back()
+        self.learnt = 0
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
@@ -117,14 +127,17 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     small_batches(df.sparkSession)
 
     @F.pandas_udf("doc_tokens long, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
-    def cut(batch: pd.Series) -> pd.DataFrame:
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         remember("words", word_ids.cache_clear)
-        out = []
-        for ids in word_ids(tokenizer).encode(list(texts(batch))):
-            ids += end
-            n = len(ids) // 4
-            out.append((n, [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, n, capacity)]))
-        return pd.DataFrame(out, columns=["doc_tokens", "pieces"])
+        words = word_ids(tokenizer)
+        for batch in batches:
+            out = []
+            for ids in words.encode(list(texts(batch))):
+                ids += end
+                n = len(ids) // 4
+                out.append((n, [(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for s in range(0, n, capacity)]))
+            yield pd.DataFrame(out, columns=["doc_tokens", "pieces"])
+        words.rest()
 
     # ids stay in Spark: pandas would make floats of a batch's ids where one is null
     rows = df.select(F.col(id_col).alias("_id"), cut(F.col(text_col)).alias("_cut")).select(F.col("_id").cast("long").alias(id_col), "_cut.doc_tokens", F.explode("_cut.pieces").alias("_piece"))
