@@ -114,7 +114,7 @@ class Redaction:
 
 
 class RedactedDocuments(NamedTuple):
-    """What is left of documents: glyphs, operators, carriers (doc_id, carrier, place, text); and what was done: (doc_id, matches, operators, carriers).
+    """What is left of documents: glyphs, operators, carriers (doc_id, carrier, place, text, and ``cut``, whether a term was taken out); and what was done: (doc_id, matches, operators, carriers).
 
     ``pages`` are the pages that the glyphs are from, as in ``layout.redacted_pages``.
     """
@@ -132,14 +132,15 @@ PLACEHOLDER = {"outline": "[redacted]"}
 LEAST_SCRUBBED = 3
 
 
-def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, term: str, strategy: str = "any", case_sensitive: bool = False, hidden_layers: bool = True, scrub: bool = True) -> RedactedDocuments:
+def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, term: str, strategy: str = "any", case_sensitive: bool = False, hidden_layers: bool = True, scrub: bool = True, anew: bool = True) -> RedactedDocuments:
     """A term taken out of documents in one act: of their pages, of the operators that show it, and of all that travels with them.
 
     Glyphs go as in ``layout.redacted``; operators whose text holds the term go with hidden layers included; ``carriers`` are rows of any kind (info, packet,
     outline, annotation): their texts lose the term, also where no page has it.  A carrier that becomes empty goes, but for an outline title, which says that
     it was redacted.  Terms of under three letters are taken out of pages alone, as they'd spoil other texts.  An empty term changes nothing.
+    What a removal brings together is taken out of pages, too, but not without ``anew``, and not of carriers.
     """
-    pages = layout.redacted_pages(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers)
+    pages = layout.redacted_pages(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers, anew=anew)
     marked = layout.spread(pages, letters, "gone", "matches")
     shown = content.find_text(ops, term, not case_sensitive) if hidden_layers else ops.limit(0)
     left_ops = ops.join(shown.select("doc_id", "ix"), ["doc_id", "ix"], "left_anti")
@@ -148,7 +149,7 @@ def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, ter
     scrubs = hit & F.lit(scrub and len(term) >= LEAST_SCRUBBED)
     instead = F.coalesce(*[F.when(F.col("carrier") == k, v) for k, v in PLACEHOLDER.items()])
     judged = carriers.withColumn("_hit", scrubs).withColumn("text", F.when(F.col("_hit"), F.coalesce(F.nullif(cut, F.lit("")), instead)).otherwise(F.col("text")))
-    kept = judged.where("NOT (_hit AND text IS NULL)").drop("_hit")
+    kept = judged.where("NOT (_hit AND text IS NULL)").withColumnRenamed("_hit", "cut")
     done = [
         pages.select("doc_id", F.col("matches")[0].alias("matches")).groupBy("doc_id").agg(F.sum("matches").alias("matches")).select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")),
         shown.groupBy("doc_id").agg(F.count("*").alias("operators")).select("doc_id", F.lit(0).alias("matches"), "operators", F.lit(0).alias("carriers")),
