@@ -142,6 +142,15 @@ def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, ter
     """
     pages = layout.redacted_pages(letters, term, strategy, case_sensitive=case_sensitive, hidden_layers=hidden_layers, anew=anew)
     marked = layout.spread(pages, letters, "gone", "matches")
+    left_ops, kept, beside = redact_beside_pages(ops, carriers, term, case_sensitive, hidden_layers, scrub)
+    found = pages.select("doc_id", F.col("matches")[0].alias("matches")).groupBy("doc_id").agg(F.sum("matches").alias("matches"))
+    done = found.select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")).unionByName(beside.select("doc_id", F.lit(0).alias("matches"), "operators", "carriers"))
+    report = done.groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("matches", "operators", "carriers")])
+    return RedactedDocuments(pages, marked.where("NOT gone").drop("gone", "matches"), left_ops, kept, report)
+
+
+def redact_beside_pages(ops: DataFrame, carriers: DataFrame, term: str, case_sensitive: bool = False, hidden_layers: bool = True, scrub: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The operators and carriers that ``redact_document`` leaves, and (doc_id, operators, carriers), how many lost the term."""
     shown = content.find_text(ops, term, not case_sensitive) if hidden_layers else ops.limit(0)
     left_ops = ops.join(shown.select("doc_id", "ix"), ["doc_id", "ix"], "left_anti")
     cut = T.without_terms(F.col("text"), [term], not case_sensitive)
@@ -151,12 +160,11 @@ def redact_document(letters: DataFrame, ops: DataFrame, carriers: DataFrame, ter
     judged = carriers.withColumn("_hit", scrubs).withColumn("text", F.when(F.col("_hit"), F.coalesce(F.nullif(cut, F.lit("")), instead)).otherwise(F.col("text")))
     kept = judged.where("NOT (_hit AND text IS NULL)").withColumnRenamed("_hit", "cut")
     done = [
-        pages.select("doc_id", F.col("matches")[0].alias("matches")).groupBy("doc_id").agg(F.sum("matches").alias("matches")).select("doc_id", "matches", F.lit(0).alias("operators"), F.lit(0).alias("carriers")),
-        shown.groupBy("doc_id").agg(F.count("*").alias("operators")).select("doc_id", F.lit(0).alias("matches"), "operators", F.lit(0).alias("carriers")),
-        judged.groupBy("doc_id").agg(F.count_if("_hit").alias("carriers")).select("doc_id", F.lit(0).alias("matches"), F.lit(0).alias("operators"), "carriers"),
+        shown.groupBy("doc_id").agg(F.count("*").alias("operators")).select("doc_id", "operators", F.lit(0).alias("carriers")),
+        judged.groupBy("doc_id").agg(F.count_if("_hit").alias("carriers")).select("doc_id", F.lit(0).alias("operators"), "carriers"),
     ]
-    report = done[0].unionByName(done[1]).unionByName(done[2]).groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("matches", "operators", "carriers")])
-    return RedactedDocuments(pages, marked.where("NOT gone").drop("gone", "matches"), left_ops, kept, report)
+    report = done[0].unionByName(done[1]).groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("operators", "carriers")])
+    return left_ops, kept, report
 
 
 #: Characters that a term has to have to be looked for in a copy.
